@@ -6,21 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eoframe import dims
+from eoframe.functions import indices as ix
+from eoframe.functions import radiometry as rad
+from eoframe.operators import coefficients as co
 from eoframe.operators import pixels as px
 from eoframe.operators import seasonal as se
 from eoframe.plans.registry import query
-from eoframe.plans.views import Tables, with_views
+from eoframe.plans.views import INDEX_SQL, SPECTRAL, Tables, r, reflectance_sql, rs, with_views
 
 OBS_KEY = ("l_orderkey", "l_linenumber")
 PIXEL = ("pixel_id", "grid_no", "px_col", "px_row", "scene_id", "acquired", "month")
 
 
-def r(c, digits: int = 9):
-    """Round a double column for comparison across engines, without negative zero."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits) + F.lit(0.0)
-
-
 def indices(t: Tables, *names: str) -> DataFrame:
     return px.compute_indices(t.view("obs"), names or dims.INDEX_NAMES, keep=(*OBS_KEY, *PIXEL))
 
@@ -50,9 +47,422 @@ def seasonal_amplitude(t: Tables) -> DataFrame:
 
 @query(with_views("""
 SELECT index, scene_id, count(value) AS n, count(*) AS total, count(value) * 100.0E0 / count(*) AS pct,
-  min(value) AS min, quantile_cont(value, 0.02) AS p2, quantile_cont(value, 0.25) AS p25,
-  quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.98) AS p98,
-  max(value) AS max
+  min(value) AS min, """ + rs("quantile_cont(value, 0.02)") + " AS p2, " + rs("quantile_cont(value, 0.25)") + " AS p25, "
+    + rs("quantile_cont(value, 0.5)") + " AS median, " + rs("quantile_cont(value, 0.75)") + " AS p75, "
+    + rs("quantile_cont(value, 0.98)") + """ AS p98, max(value) AS max
 FROM idx GROUP BY index, scene_id""", "idx"))
 def index_distribution(t: Tables) -> DataFrame:
-    return se.index_distribution(indices(t))
+    d = se.index_distribution(indices(t))
+    return d.withColumns({c: r(c) for c in ("p2", "p25", "median", "p75", "p98")})
+
+
+# ------------------------------------------------------------------ radiometry
+
+_DECLARED = "CASE WHEN l_linenumber = 4 THEN 0.0001E0 END AS scale, CASE WHEN l_linenumber = 4 THEN -0.1E0 END AS \"offset\""
+
+
+def declared(t: Tables) -> DataFrame:
+    """Observations of which some declare their own scale and offset."""
+    own = F.col("l_linenumber") == 4
+    return t.view("obs").withColumns({"scale": F.when(own, F.lit(0.0001)), "offset": F.when(own, F.lit(-0.1))})
+
+
+def _declared_sql(band: str) -> str:
+    return f"CASE WHEN scale IS NOT NULL THEN {band} * scale + \"offset\" ELSE {reflectance_sql(band)} END AS {band}"
+
+
+@query(with_views("WITH d AS (SELECT *, " + _DECLARED + " FROM obs) SELECT l_orderkey, l_linenumber, pixel_id, "
+                  + ", ".join(_declared_sql(b) for b in SPECTRAL) + " FROM d", "obs"))
+def to_reflectance(t: Tables) -> DataFrame:
+    return px.reflectance(declared(t)).select(*OBS_KEY, "pixel_id", *SPECTRAL)
+
+
+@query(with_views("""
+WITH d AS (SELECT *, """ + _DECLARED + """ FROM obs),
+s AS (SELECT DISTINCT scene_id, CASE WHEN scale IS NOT NULL THEN 'raster:bands'
+    WHEN family = 'ls' THEN 'constantes internas Landsat C2'
+    ELSE concat('inferencia por línea base ''', baseline, '''',
+      CASE WHEN baseline >= '04.00' THEN ' con desplazamiento BOA' ELSE '' END) END AS source FROM d)
+SELECT scene_id, CASE WHEN bool_and(source = 'raster:bands') THEN 'raster:bands (escala y desplazamiento del catálogo)'
+  ELSE concat('mixta — alguna banda usó respaldo: ',
+    string_agg(CASE WHEN source <> 'raster:bands' THEN source END, '; ' ORDER BY source)) END AS radiometry
+FROM s GROUP BY scene_id""", "obs"))
+def radiometry_source(t: Tables) -> DataFrame:
+    return px.radiometry_summary(declared(t), ["scene_id"])
+
+
+@query(with_views("""
+SELECT scene_id, scl, scl IN (0, 1) AS no_data, scl IN (3, 8, 9, 10) AS cloudy, count(*) AS n
+FROM obs GROUP BY scene_id, scl""", "obs"))
+def scl_masks(t: Tables) -> DataFrame:
+    marks = t.view("obs").select("scene_id", "scl", rad.scl_no_data(F.col("scl")).alias("no_data"),
+                                 rad.scl_cloudy(F.col("scl")).alias("cloudy"))
+    return marks.groupBy("scene_id", "scl", "no_data", "cloudy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("""
+SELECT scene_id, qa_pixel, (qa_pixel % 2) = 1 AS no_data, ((qa_pixel // 2) % 16) > 0 AS cloudy, count(*) AS n
+FROM obs GROUP BY scene_id, qa_pixel""", "obs"))
+def qa_pixel_masks(t: Tables) -> DataFrame:
+    marks = t.view("obs").select("scene_id", "qa_pixel", rad.qa_no_data(F.col("qa_pixel")).alias("no_data"),
+                                 rad.qa_cloudy(F.col("qa_pixel")).alias("cloudy"))
+    return marks.groupBy("scene_id", "qa_pixel", "no_data", "cloudy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("SELECT l_orderkey, l_linenumber, pixel_id, value FROM idx_nbr", "idx_nbr"))
+def mask_pixels(t: Tables) -> DataFrame:
+    return indices(t, "NBR").select(*OBS_KEY, "pixel_id", "value")
+
+
+@query(with_views("""
+WITH q AS (SELECT scene_id, CASE WHEN family = 'ls' THEN (qa_pixel & 1) <> 0 ELSE scl IN (0, 1) END AS nd,
+  CASE WHEN family = 'ls' THEN (qa_pixel & 30) <> 0 ELSE scl IN (3, 8, 9, 10) END AS cl FROM obs)
+SELECT scene_id, count(*) AS n_total, count(CASE WHEN NOT nd THEN 1 END) AS n_valid,
+  count(CASE WHEN cl AND NOT nd THEN 1 END) * 100.0E0 / nullif(count(CASE WHEN NOT nd THEN 1 END), 0) AS aoi_cloud_pct,
+  count(CASE WHEN NOT nd THEN 1 END) * 100.0E0 / count(*) AS data_pct
+FROM q GROUP BY scene_id""", "obs"))
+def aoi_cloud(t: Tables) -> DataFrame:
+    return px.aoi_cloud(t.view("obs"))
+
+
+@query(with_views("""
+SELECT track, count(*) AS n, count(nullif(vh, 0.0E0)) AS n_vh, count(nullif(vv, 0.0E0)) AS n_vv,
+  min(nullif(vh, 0.0E0)) AS min_vh, max(nullif(vv, 0.0E0)) AS max_vv FROM sar_obs GROUP BY track""", "sar_obs"))
+def nodata_to_null(t: Tables) -> DataFrame:
+    vh, vv = rad.nodata_to_null(F.col("vh")), rad.nodata_to_null(F.col("vv"))
+    return t.view("sar_obs").groupBy("track").agg(
+        F.count(F.lit(1)).alias("n"), F.count(vh).alias("n_vh"), F.count(vv).alias("n_vv"),
+        F.min(vh).alias("min_vh"), F.max(vv).alias("max_vv"))
+
+
+_OUTSIDE = " OR ".join(
+    f"(index = '{n}' AND raw NOT BETWEEN {lo}E0 AND {hi}E0)" for n, (lo, hi) in dims.INDEX_LIMITS.items())
+
+
+@query(with_views(f"""
+SELECT index, count(raw) AS n_finite, count(CASE WHEN {_OUTSIDE} THEN 1 END) AS n_outside,
+  count(CASE WHEN {_OUTSIDE} THEN 1 END) * 100.0E0 / nullif(count(raw), 0) AS pct_outside
+FROM idx GROUP BY index""", "idx"))
+def clamp_report(t: Tables) -> DataFrame:
+    return px.clamp_report(indices(t))
+
+
+@query(with_views("""
+SELECT l_orderkey, l_linenumber, index, CASE WHEN raw BETWEEN -1.0E0 AND 1.0E0 THEN raw END AS kept
+FROM idx_nbr""", "idx_nbr"))
+def clamp_physical(t: Tables) -> DataFrame:
+    return indices(t, "NBR").select(*OBS_KEY, "index", rad.clamp_physical("NBR", F.col("raw")).alias("kept"))
+
+
+# --------------------------------------------------------------------- indices
+
+def _register_index(name: str) -> None:
+    @query(with_views(f"SELECT l_orderkey, l_linenumber, pixel_id, raw, value FROM idx_{name.lower()}", f"idx_{name.lower()}"),
+           name=f"index_{name.lower()}")
+    def one_index(t: Tables) -> DataFrame:
+        return indices(t, name).select(*OBS_KEY, "pixel_id", "raw", "value")
+
+
+for _name in dims.INDEX_NAMES:
+    _register_index(_name)
+
+
+@query(with_views("""
+SELECT l_orderkey, l_linenumber, track, CASE WHEN rvi BETWEEN 0.0E0 AND 4.0E0 THEN rvi END AS rvi FROM
+(SELECT *, CASE WHEN vv + vh > 0 THEN 4.0E0 * vh / (vv + vh) END AS rvi FROM sar_obs) AS x""", "sar_obs"))
+def index_rvi(t: Tables) -> DataFrame:
+    return t.view("sar_obs").select(*OBS_KEY, "track", ix.rvi_dual_pol(F.col("vh"), F.col("vv")).alias("rvi"))
+
+
+@query(with_views("SELECT platform, family, tc_group, count(*) AS n FROM refl GROUP BY platform, family, tc_group", "refl"))
+def tc_group(t: Tables) -> DataFrame:
+    rows = t.view("obs").withColumn("tc_group", ix.tc_group(F.col("platform"), F.col("family")))
+    return rows.groupBy("platform", "family", "tc_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("""
+SELECT index, scene_id, count(*) AS n_rows, count(raw) AS n_raw, count(value) AS n_value, min(value) AS min_value,
+  max(value) AS max_value FROM idx GROUP BY index, scene_id""", "idx"))
+def compute_indices(t: Tables) -> DataFrame:
+    return indices(t).groupBy("index", "scene_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("raw").alias("n_raw"), F.count("value").alias("n_value"),
+        F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+
+
+# coefficient sets: one user collection per nation, one set per supplier
+_GROUP_NAMES = ("TM", "ETM", "OLI", "MSI", "XYZ")
+
+
+def user_sets(t: Tables) -> DataFrame:
+    base = dims.TC_COEFFICIENTS["OLI"]
+    nudge = F.col("s_acctbal") / 1000000.0
+    shifted = {c: F.array(*[F.lit(x) + nudge if i == 3 else F.lit(x) for i, x in enumerate(base[c.upper()])]) for c in "bgw"}
+    grp = F.element_at(F.array(*[F.lit(g) for g in _GROUP_NAMES]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    return t.table("supplier").select(
+        F.col("s_suppkey").alias("set_id"), grp.alias("grp"),
+        F.when(F.col("s_acctbal") > 5000, F.lit("Superficie")).otherwise(F.lit("TOA")).alias("kind"),
+        *[v.alias(c) for c, v in shifted.items()])
+
+
+def _set_columns(c: str) -> str:
+    terms = [f"{x!r}E0" + (" + s_acctbal / 1000000.0E0" if i == 3 else "") for i, x in enumerate(dims.TC_COEFFICIENTS["OLI"][c.upper()])]
+    return ", ".join(f"{x} AS {c}{i}" for i, x in enumerate(terms))
+
+
+def _dot_sql(a: str, b: str) -> str:
+    return "0.0E0 + " + " + ".join(f"{a}{i} * {b}{i}" for i in range(6))
+
+
+_NORM = "greatest(" + ", ".join(f"abs(sqrt({_dot_sql(v, v)}) - 1.0E0)" for v in "bgw") + ")"
+_DOT = "greatest(" + ", ".join(f"abs({_dot_sql(x, y)})" for x, y in ("bg", "bw", "gw")) + ")"
+
+
+@query("WITH s AS (SELECT s_suppkey AS set_id, " + ", ".join(_set_columns(c) for c in "bgw") + " FROM supplier) "
+       f"SELECT set_id, {rs(_NORM)} AS err_norm, {rs(_DOT)} AS err_dot, {_NORM} < 0.02E0 AND {_DOT} < 0.02E0 AS valid FROM s")
+def validate_orthonormality(t: Tables) -> DataFrame:
+    return co.validate_orthonormality(user_sets(t)).select(
+        "set_id", r("err_norm").alias("err_norm"), r("err_dot").alias("err_dot"), "valid")
+
+
+_BASE_SETS = " UNION ALL ".join(
+    f"SELECT '{g}' AS grp, '{c['kind']}' AS kind, {c['B'][3]!r}E0 AS b3" for g, c in dims.TC_COEFFICIENTS.items())
+
+
+@query(f"""WITH base AS ({_BASE_SETS}),
+u AS (SELECT s_suppkey AS set_id, CASE s_suppkey % 5 WHEN 0 THEN 'TM' WHEN 1 THEN 'ETM' WHEN 2 THEN 'OLI' WHEN 3 THEN 'MSI' ELSE 'XYZ' END AS grp,
+  CASE WHEN s_acctbal > 5000 THEN 'Superficie' ELSE 'TOA' END AS kind, 0.5073E0 + s_acctbal / 1000000.0E0 AS b3 FROM supplier)
+SELECT u.set_id, base.grp, CASE WHEN u.grp = base.grp THEN u.kind ELSE base.kind END AS kind,
+  CASE WHEN u.grp = base.grp THEN u.b3 ELSE base.b3 END AS nir_coef, u.grp = base.grp AS replaced,
+  u.grp = base.grp AND u.kind = 'TOA' AS not_surface FROM u CROSS JOIN base""")
+def override_tc_coefficients(t: Tables) -> DataFrame:
+    full = co.override_tc_coefficients(user_sets(t), by=["set_id"])
+    return full.select("set_id", "grp", "kind", F.element_at("b", 4).alias("nir_coef"), "replaced", "not_surface")
+
+
+@query(with_views("SELECT l_orderkey, l_linenumber, tc_group, " + ", ".join(f"{INDEX_SQL[n]} AS {n}" for n in ("TCB", "TCG", "TCW"))
+                  + " FROM refl", "refl"))
+def tasseled_cap_from_table(t: Tables) -> DataFrame:
+    refl = px.reflectance(t.view("obs"), dims.TC_BANDS)
+    caps = co.tasseled_cap_from(refl, dims.tc_table(t.spark))
+    return caps.select(*OBS_KEY, "tc_group", "TCB", "TCG", "TCW")
+
+
+@query(with_views("""
+WITH g AS (SELECT DISTINCT grid_no, scene_id, tc_group FROM refl WHERE tc_group IS NOT NULL)
+SELECT grid_no, scene_id, string_agg(tc_group, ',' ORDER BY tc_group) AS groups,
+  coalesce(string_agg(CASE WHEN tc_group IN ('ETM', 'MSI') THEN tc_group END, ',' ORDER BY tc_group), '') AS toa_groups,
+  count(*) > 1 AS mixed FROM g GROUP BY grid_no, scene_id""", "refl"))
+def tc_warnings(t: Tables) -> DataFrame:
+    return co.tc_warnings(t.view("obs"), ["grid_no", "scene_id"])
+
+
+# ------------------------------------------------------- stretches and limits
+
+def band_rows(t: Tables) -> DataFrame:
+    """Digital numbers as long rows (keys, band, value)."""
+    obs = t.view("obs")
+    cells = F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value")) for b in SPECTRAL])
+    return obs.select(*OBS_KEY, "scene_id", F.explode(cells).alias("c")).select(*OBS_KEY, "scene_id", "c.band", "c.value")
+
+
+_BAND_ROWS = " UNION ALL ".join(
+    f"SELECT l_orderkey, l_linenumber, scene_id, '{b}' AS band, CAST({b} AS DOUBLE) AS value FROM obs" for b in SPECTRAL)
+_CUTS = f"""WITH bands AS ({_BAND_ROWS}), q AS (SELECT band, scene_id, count(*) AS n, min(value) AS lo, max(value) AS hi,
+  quantile_cont(value, 0.02) AS a, quantile_cont(value, 0.98) AS b FROM bands WHERE value > 0 GROUP BY band, scene_id),
+cuts AS (SELECT band, scene_id, n AS n_valid,
+  CASE WHEN n < 100 THEN 0.0E0 WHEN b <= a THEN lo ELSE a END AS cut_lo,
+  CASE WHEN n < 100 THEN 10000.0E0 WHEN b > a THEN b WHEN hi > lo THEN hi ELSE lo + 1 END AS cut_hi FROM q)
+"""
+
+
+@query(with_views(_CUTS + f"SELECT band, scene_id, n_valid, {rs('cut_lo')} AS cut_lo, {rs('cut_hi')} AS cut_hi FROM cuts", "obs"))
+def stretch_cuts(t: Tables) -> DataFrame:
+    cuts = se.stretch_cuts(band_rows(t), ["band", "scene_id"])
+    return cuts.withColumns({"cut_lo": r("cut_lo"), "cut_hi": r("cut_hi")})
+
+
+@query(with_views(f"""
+SELECT band, CAST(round(greatest(1.0E0, least(255.0E0, 1.0E0 + (value - 500.0E0) * 254.0E0 / (4500.0E0 - 500.0E0)))) AS INT) AS byte,
+  count(*) AS n FROM ({_BAND_ROWS}) AS b GROUP BY 1, 2""", "obs"))
+def rescale_byte(t: Tables) -> DataFrame:
+    byte = se.rescale_byte(F.col("value"), F.lit(500.0), F.lit(4500.0))
+    return band_rows(t).groupBy("band", byte.alias("byte")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views(f"""
+SELECT index, scene_id, {rs('CASE WHEN s > 0 THEN m - 2 * s ELSE lo END', 6)} AS lo,
+  {rs('CASE WHEN s > 0 THEN m + 2 * s ELSE hi END', 6)} AS hi
+FROM (SELECT index, scene_id, avg(value) AS m, stddev_samp(value) AS s, min(value) AS lo, max(value) AS hi
+  FROM idx GROUP BY index, scene_id) AS q""", "idx"))
+def display_limits(t: Tables) -> DataFrame:
+    limits = se.display_limits(indices(t), ["index", "scene_id"])
+    return limits.withColumns({"lo": r("lo", 6), "hi": r("hi", 6)})
+
+
+# ------------------------------------------------------------ amplitude tables
+
+def amplitude(t: Tables) -> DataFrame:
+    return se.seasonal_amplitude(indices(t, "NDVI", "NBR", "MSI", "TCW"), keys=("index", "pixel_id"))
+
+
+_FOUR = " UNION ALL ".join(f"SELECT * FROM idx_{n}" for n in ("ndvi", "nbr", "msi", "tcw"))
+_AMP = "WITH four AS (" + _FOUR + "), amp AS (" + _AMPLITUDE_SQL.format("four") + ") "
+_FOUR_VIEWS = ("idx_ndvi", "idx_nbr", "idx_msi", "idx_tcw")
+
+
+@query(with_views(_AMP + """
+SELECT index, min(n_dry) AS min_dry, max(n_dry) AS max_dry, median(n_dry) AS med_dry, min(n_wet) AS min_wet,
+  max(n_wet) AS max_wet, median(n_wet) AS med_wet, count(*) AS pixels,
+  count(CASE WHEN amplitude IS NULL THEN 1 END) AS n_dropped,
+  count(CASE WHEN amplitude IS NULL THEN 1 END) * 100.0E0 / count(*) AS pct_dropped
+FROM amp GROUP BY index""", *_FOUR_VIEWS))
+def observation_summary(t: Tables) -> DataFrame:
+    return se.observation_summary(amplitude(t)).select(
+        "index", "min_dry", "max_dry", "med_dry", "min_wet", "max_wet", "med_wet",
+        F.col("pixels").cast("bigint").alias("pixels"), F.col("n_dropped").cast("bigint").alias("n_dropped"), "pct_dropped")
+
+
+@query(with_views(_AMP + """
+SELECT index, max(n_dry) AS max_dry, max(n_wet) AS max_wet, count(amplitude) AS n_valid,
+  CASE WHEN count(amplitude) > 0 THEN NULL WHEN max(n_dry) = 0 OR max(n_wet) = 0 THEN 'no_observations'
+    WHEN max(n_dry) < 3 OR max(n_wet) < 3 THEN 'below_min_obs' ELSE 'no_overlap' END AS cause
+FROM amp GROUP BY index""", *_FOUR_VIEWS))
+def empty_product_cause(t: Tables) -> DataFrame:
+    return se.empty_product_cause(amplitude(t))
+
+
+@query(with_views(_AMP + f"""
+SELECT index, min(amplitude) AS min, max(amplitude) AS max, {rs('median(amplitude)')} AS median,
+  count(amplitude) * 100.0E0 / count(*) AS pct_valid FROM amp GROUP BY index""", *_FOUR_VIEWS))
+def product_summary(t: Tables) -> DataFrame:
+    s = se.product_summary(amplitude(t), ["index"], "amplitude")
+    return s.withColumn("median", r("median"))
+
+
+@query(with_views("""
+WITH d AS (SELECT DISTINCT CASE WHEN month IN (12, 1, 2, 3, 4) THEN 'dry' ELSE 'wet' END AS season,
+  CAST(acquired AS STRING) AS d FROM obs)
+SELECT season, count(*) AS n_dates, string_agg(d, ', ' ORDER BY d) AS dates FROM d GROUP BY season""", "obs"))
+def scenes_used(t: Tables) -> DataFrame:
+    return se.scenes_used(t.view("obs"))
+
+
+@query(with_views("SELECT DISTINCT month FROM obs WHERE month NOT IN (12, 1, 2, 6, 7)", "obs"))
+def orphan_months(t: Tables) -> DataFrame:
+    return se.orphan_months(t.view("obs"), (12, 1, 2), (6, 7))
+
+
+# --------------------------------------------------------------- burn severity
+
+FIRE = "2020-06-10"
+_PICK = """
+WITH f AS (SELECT grid_no, acquired FROM obs), p AS (SELECT grid_no,
+  max(CASE WHEN acquired < DATE '2020-06-10' THEN acquired END) AS pre,
+  min(CASE WHEN acquired > DATE '2020-06-10' THEN acquired END) AS post FROM f GROUP BY grid_no)
+"""
+
+
+def fire_picks(t: Tables, assessment: str) -> DataFrame:
+    return se.pick_fire_scenes(t.view("obs"), FIRE, assessment, by=["grid_no"])
+
+
+@query(with_views(_PICK + """
+SELECT grid_no, pre, post, CAST(DATE '2020-06-10' - pre AS INT) AS days_before,
+  CAST(post - DATE '2020-06-10' AS INT) AS days_after, '' AS reason, false AS looks_initial FROM p""", "obs"))
+def pick_fire_scenes(t: Tables) -> DataFrame:
+    return fire_picks(t, "inicial")
+
+
+@query(with_views(_PICK + """, g AS (SELECT grid_no, acquired, row_number() OVER (PARTITION BY grid_no
+    ORDER BY abs(acquired - (DATE '2020-06-10' + 365)), acquired) AS rn FROM f WHERE acquired > DATE '2020-06-10')
+SELECT p.grid_no, p.pre, g.acquired AS post, CAST(DATE '2020-06-10' - p.pre AS INT) AS days_before,
+  CAST(g.acquired - DATE '2020-06-10' AS INT) AS days_after, '' AS reason,
+  g.acquired - DATE '2020-06-10' < 180 AS looks_initial FROM p JOIN g ON p.grid_no = g.grid_no WHERE g.rn = 1""", "obs"))
+def pick_fire_scenes_extended(t: Tables) -> DataFrame:
+    return fire_picks(t, "extendida")
+
+
+def burn(t: Tables) -> DataFrame:
+    """dNBR of two months on a coarse pixel: month composites stand for the two scenes."""
+    nbr = indices(t, "NBR").withColumn("acquired", F.trunc("acquired", "month")).withColumn("px", F.col("pixel_id") % 200)
+    picks = se.pick_fire_scenes(nbr, FIRE)
+    return se.dnbr(nbr, picks, ["px"])
+
+
+_BURN = """
+WITH m AS (SELECT pixel_id % 200 AS px, CAST(date_trunc('month', acquired) AS DATE) AS month_start, value FROM idx_nbr),
+b AS (SELECT px, avg(CASE WHEN month_start = DATE '2020-06-01' THEN value END) AS pre_value,
+  avg(CASE WHEN month_start = DATE '2020-07-01' THEN value END) AS post_value FROM m
+  WHERE month_start IN (DATE '2020-06-01', DATE '2020-07-01') GROUP BY px),
+d AS (SELECT *, pre_value - post_value AS dnbr FROM b)
+"""
+
+
+@query(with_views(_BURN + f"SELECT px, {rs('pre_value')} AS pre_value, {rs('post_value')} AS post_value, {rs('dnbr')} AS dnbr FROM d", "idx_nbr"))
+def dnbr(t: Tables) -> DataFrame:
+    return burn(t).select("px", *[r(c).alias(c) for c in ("pre_value", "post_value", "dnbr")])
+
+
+def _classes_sql(source: str, value: str, classes, area: bool) -> str:
+    rows, tests = [], []
+    for i, c in enumerate(classes, start=1):
+        lo, hi = c[1], c[2]
+        rows.append(f"SELECT {i} AS class_no, '{c[0]}' AS class, CAST({'NULL' if lo is None else f'{lo}E0'} AS DOUBLE) AS lo, "
+                    f"CAST({'NULL' if hi is None else f'{hi}E0'} AS DOUBLE) AS hi, "
+                    + (f"'{c[3]}' AS also_read_as" if len(c) > 3 else "'' AS also_read_as"))
+        tests.append(f"WHEN {value} < {hi}E0 THEN {i}" if hi is not None else f"WHEN {value} >= {lo}E0 THEN {i}")
+    extra = "coalesce(n, 0) * 400.0E0 / 10000.0E0 AS hectares" if area else "also_read_as"
+    return (f", c AS ({' UNION ALL '.join(rows)}), k AS (SELECT CASE {' '.join(tests)} END AS class_no, count(*) AS n "
+            f"FROM {source} WHERE {value} IS NOT NULL GROUP BY 1) SELECT c.class_no, class, lo, hi, coalesce(n, 0) AS n, "
+            f"coalesce(n, 0) * 100.0E0 / (SELECT count(*) FROM {source} WHERE {value} IS NOT NULL) AS pct, {extra} "
+            "FROM c LEFT JOIN k ON c.class_no = k.class_no")
+
+
+@query(with_views(_BURN + _classes_sql("d", "dnbr", dims.DNBR_CLASSES, True), "idx_nbr"))
+def dnbr_classes(t: Tables) -> DataFrame:
+    return se.dnbr_classes(burn(t), 400.0)
+
+
+@query(with_views("WITH d AS (SELECT * FROM idx_ndvi)" + _classes_sql("d", "value", dims.NDVI_CLASSES, False), "idx_ndvi"))
+def ndvi_classes(t: Tables) -> DataFrame:
+    return se.ndvi_classes(indices(t, "NDVI"))
+
+
+@query(with_views(_PICK + """
+SELECT grid_no, '2020-06-10' AS fire_date, 'inicial' AS assessment, pre, CAST(DATE '2020-06-10' - pre AS INT) AS days_before,
+  post, CAST(post - DATE '2020-06-10' AS INT) AS days_after, 'dNBR.tif' AS product FROM p""", "obs"))
+def dnbr_run_record(t: Tables) -> DataFrame:
+    return se.dnbr_run_record(fire_picks(t, "inicial"), FIRE, "inicial", "dNBR.tif")
+
+
+# ----------------------------------------------------------------------- joins
+
+@query(with_views("SELECT l_orderkey, l_linenumber, scene_id, max(nir) * 1.0E0 AS nir, max(red) * 1.0E0 AS red, "
+                  "max(blue) * 1.0E0 AS blue FROM obs GROUP BY l_orderkey, l_linenumber, scene_id", "obs"))
+def stack_bands(t: Tables) -> DataFrame:
+    return px.stack_bands(band_rows(t), [*OBS_KEY, "scene_id"], ["nir", "red", "blue"])
+
+
+@query(with_views("""
+WITH m AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN scl IN (0, 1, 3, 8, 9, 10) THEN 1 ELSE 0 END) = 1 AS invalid
+  FROM obs WHERE family = 's2' GROUP BY l_orderkey, l_linenumber)
+SELECT i.l_orderkey, i.l_linenumber, i.index, CASE WHEN NOT coalesce(m.invalid, false) THEN i.raw END AS value
+FROM idx_savi AS i LEFT JOIN m ON i.l_orderkey = m.l_orderkey AND i.l_linenumber = m.l_linenumber""", "idx_savi"))
+def mask_with(t: Tables) -> DataFrame:
+    obs = t.view("obs").where("family = 's2'")
+    bad = rad.scl_no_data(F.col("scl")) | rad.scl_cloudy(F.col("scl"))
+    mask = obs.groupBy(*OBS_KEY).agg(F.max(bad).alias("invalid"))
+    raw = indices(t, "SAVI").select(*OBS_KEY, "index", F.col("raw").alias("value"))
+    return px.mask_with(raw, mask, OBS_KEY)
+
+
+def _register_composite(name: str, bands: tuple) -> None:
+    cols = ", ".join(f"{b} AS {c}" for b, c in zip(bands, "rgb"))
+
+    @query(with_views(f"SELECT l_orderkey, l_linenumber, pixel_id, {cols} FROM obs", "obs"), name=f"composite_{name.lower()}")
+    def one_composite(t: Tables) -> DataFrame:
+        return px.composite(t.view("obs"), name, [*OBS_KEY, "pixel_id"])
+
+
+for _suffix, _triple in dims.COMPOSITES:
+    _register_composite(_suffix, _triple)
