@@ -54,16 +54,22 @@ def linear_combination(coefficients: list[Column], bands: list[Column]) -> Colum
     return reduce(lambda a, b: a + b, [c * x for c, x in zip(coefficients, bands)])
 
 
-def tasseled_cap(component: str, group: Column, bands: list[Column]) -> Column:
-    """Component of the built-in table as a CASE per group: no join, no shuffle."""
-    out = F.lit(None).cast("double")
-    for name, sets in dims.TC_COEFFICIENTS.items():
-        value = linear_combination([F.lit(c) for c in sets[component]], bands)
-        out = F.when(group == name, value).otherwise(out)
+def group_number(group: Column) -> Column:
+    """Position of a coefficient group in the built-in table, NULL when there is none."""
+    out = F.lit(None).cast("int")
+    for i, name in enumerate(dims.TC_COEFFICIENTS):
+        out = F.when(group == name, F.lit(i)).otherwise(out)
     return out
 
 
-def index_value(name: str, band: dict[str, Column], group: Column | None = None) -> Column:
+def tasseled_cap(component: str, number: Column, bands: list[Column]) -> Column:
+    """Component of the built-in table by group number: no join, small generated code."""
+    sets = dims.TC_COEFFICIENTS.values()
+    picked = [F.get(F.array(*[F.lit(s[component][i]) for s in sets]), number) for i in range(len(bands))]
+    return linear_combination(picked, bands)
+
+
+def index_value(name: str, band: dict[str, Column], group_no: Column | None = None) -> Column:
     """Raw index by its suffix; ``band`` maps band key to reflectance."""
     args = [band[k] for k in dims.INDEX_BANDS[name]]
     if name in ("NDVI", "NDMI", "NBR", "NDRE"):
@@ -76,4 +82,4 @@ def index_value(name: str, band: dict[str, Column], group: Column | None = None)
         return msi(*args)
     if name == "CIre":
         return cire(*args)
-    return tasseled_cap(name[-1], group, args)
+    return tasseled_cap(name[-1], group_no, args)

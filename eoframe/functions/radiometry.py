@@ -38,13 +38,24 @@ def to_reflectance(
     Baselines compare as text; an empty one means no offset.  Negative
     reflectance is kept on purpose.
     """
-    dn = dn.cast("double")
-    landsat = dn * F.lit(dims.LANDSAT_SCALE) + F.lit(dims.LANDSAT_OFFSET)
+    return scaled(dn, family == "ls", boa_shift(baseline, boa_applied), scale, offset)
+
+
+def boa_shift(baseline: Column, boa_applied: Column | None = None) -> Column:
+    """Additive shift of the newer Sentinel-2 baselines, zero otherwise."""
     shifted = baseline >= F.lit(dims.S2_BASELINE_WITH_OFFSET)
     if boa_applied is not None:
         shifted = shifted & ~F.coalesce(boa_applied, F.lit(False))
-    s2 = (dn + F.when(shifted, F.lit(dims.S2_BOA_OFFSET)).otherwise(F.lit(0.0))) / F.lit(dims.S2_DIVISOR)
-    by_family = F.when(family == "ls", landsat).otherwise(s2)
+    return F.when(shifted, F.lit(dims.S2_BOA_OFFSET)).otherwise(F.lit(0.0))
+
+
+def scaled(
+    dn: Column, is_landsat: Column, shift: Column, scale: Column | None = None, offset: Column | None = None
+) -> Column:
+    """Reflectance from facts of the scene that are worked out once per row."""
+    dn = dn.cast("double")
+    landsat = dn * F.lit(dims.LANDSAT_SCALE) + F.lit(dims.LANDSAT_OFFSET)
+    by_family = F.when(is_landsat, landsat).otherwise((dn + shift) / F.lit(dims.S2_DIVISOR))
     if scale is None:
         return by_family
     off = F.lit(0.0) if offset is None else F.coalesce(offset, F.lit(0.0))

@@ -28,19 +28,16 @@ def reflectance(pixels: DataFrame, bands: Sequence[str] = SPECTRAL) -> DataFrame
 
     Columns ``scale``, ``offset`` and ``boa_applied`` are used when present.
     """
-    return pixels.withColumns(
+    facts = pixels.withColumns(
         {
-            b: rad.to_reflectance(
-                F.col(b),
-                F.col("family"),
-                F.col("baseline"),
-                _optional(pixels, "boa_applied"),
-                _optional(pixels, "scale"),
-                _optional(pixels, "offset"),
-            )
-            for b in bands
+            "_ls": F.col("family") == "ls",
+            "_shift": rad.boa_shift(F.col("baseline"), _optional(pixels, "boa_applied")),
         }
     )
+    scale, offset = _optional(pixels, "scale"), _optional(pixels, "offset")
+    return facts.withColumns(
+        {b: rad.scaled(F.col(b), F.col("_ls"), F.col("_shift"), scale, offset) for b in bands}
+    ).drop("_ls", "_shift")
 
 
 def index_columns(pixels: DataFrame, names: Sequence[str], prefix: str = "raw_") -> DataFrame:
@@ -49,9 +46,13 @@ def index_columns(pixels: DataFrame, names: Sequence[str], prefix: str = "raw_")
     refl = reflectance(pixels, bands)
     band = {b: F.col(b) for b in bands}
     platform = F.col("platform") if "platform" in pixels.columns else F.lit("")
-    group = F.col("tc_group") if "tc_group" in pixels.columns else ix.tc_group(platform, F.col("family"))
-    values = {f"{prefix}{n}": ix.index_value(n, band, group) for n in names}
-    return refl.withColumns(values)
+    group_no = F.col("_group_no")
+    if any(n.startswith("TC") for n in names):
+        group = F.col("tc_group") if "tc_group" in pixels.columns else ix.tc_group(platform, F.col("family"))
+        # a column of its own, so that the pattern is matched once per row
+        refl = refl.withColumn("_group", group).withColumn("_group_no", ix.group_number(F.col("_group")))
+    values = {f"{prefix}{n}": ix.index_value(n, band, group_no) for n in names}
+    return refl.withColumns(values).drop("_group", "_group_no")
 
 
 def compute_indices(
@@ -64,13 +65,10 @@ def compute_indices(
     The whole operator is one narrow stage, and only the bands of the wanted
     indices are read.
     """
-    wide = index_columns(pixels, names)
     has_quality = "scl" in pixels.columns and "qa_pixel" in pixels.columns
-    bad = (
-        rad.invalid_pixel(F.col("family"), F.col("scl"), F.col("qa_pixel"))
-        if has_quality
-        else F.lit(False)
-    )
+    masked = rad.invalid_pixel(F.col("family"), F.col("scl"), F.col("qa_pixel"))
+    wide = index_columns(pixels.withColumn("_bad", masked if has_quality else F.lit(False)), names)
+    bad = F.col("_bad")
     cells = []
     for n in names:
         raw = F.col(f"raw_{n}")

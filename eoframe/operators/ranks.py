@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from eoframe.session import stable
 
-# Buckets per factor e of the value; one bucket spans 0.4 % of its value.
-_STEPS = 256
+# Buckets per factor e of the value; one bucket spans 0.1 % of its value.
+_STEPS = 1024
 # Larger than |ln| of the smallest double times the steps, so buckets keep their sign.
-_SHIFT = 200_000
+_SHIFT = 800_000
 
 HOT_FLOOR = 1_000_000
 HOT_SHARE = 1.0 / 200_000
@@ -41,51 +41,51 @@ def exact_quantiles(
     column ``<prefix>0``, ``<prefix>1``, … per probability; NULL values count
     only in ``n_total``.
 
-    Equal values collapse before the shuffle, which hashes (group, value), so
-    a hot group spreads over all tasks.  A histogram per group finds the few
-    buckets that hold the wanted ranks; only their rows are ranked.
+    A histogram per group, combined before its shuffle, tells which buckets
+    hold the wanted ranks.  A second read keeps only the rows of those
+    buckets, so the data itself is never shuffled and no group meets in one
+    task.  Meant for large groups; for a pixel's dates use ``percentile``.
     """
     by = list(by)
-    eq = [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]
-    ties = (
-        df.groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", value_bucket(F.col("_v")))
-    )
-    hist = ties.groupBy(*by, "_b").agg(
-        F.sum("_c").alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    facts = ["n_total", "n_valid", "v_min", "v_max"]
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).withColumn("_b", value_bucket(F.col("_v")))
+    hist = rows.groupBy(*by, "_b").agg(
+        F.count(F.lit(1)).alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     group = Window.partitionBy(*by)
     running = group.orderBy(F.col("_b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col("_b").isNotNull(), F.col("_bc"))
+    known = F.coalesce(F.when(F.col("_b").isNotNull(), F.col("_bc")), F.lit(0))
     hist = hist.select(
         *by,
         "_b",
-        (F.coalesce(F.sum(known).over(running), F.lit(0)) - F.coalesce(known, F.lit(0))).alias("_before"),
+        (F.sum(known).over(running) - known).alias("_before"),
         "_bc",
         F.sum("_bc").over(group).alias("n_total"),
-        F.coalesce(F.sum(known).over(group), F.lit(0)).alias("n_valid"),
+        F.sum(known).over(group).alias("n_valid"),
         F.min("_lo").over(group).alias("v_min"),
         F.max("_hi").over(group).alias("v_max"),
     )
-    ranks = []
-    for p in probs:
-        at = F.lit(float(p)) * (F.col("n_valid") - 1)
-        ranks += [F.floor(at), F.ceil(at)]
-    inside = F.filter(
-        F.array_distinct(F.array(*ranks)),
-        lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bc")),
+
+    def at(p: float) -> Column:
+        return F.lit(float(p)) * (F.col("n_valid") - 1)
+
+    ranks = F.array(*[side(at(p)) for p in probs for side in (F.floor, F.ceil)])
+    holds = F.exists(
+        ranks, lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_bc"))
+    )
+    hist = hist.where(F.col("_b").isNull() | holds)
+    wanted = hist.where(F.col("_b").isNotNull()).drop("_bc")
+    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]
+    carried = ["_before", *facts]
+    ties = (
+        rows.alias("t")
+        .join(wanted.alias("h"), [*on, F.col("t._b") == F.col("h._b")])
+        .groupBy(*[F.col(f"t.{c}").alias(c) for c in by], F.col("t._b").alias("_b"), "_v")
+        .agg(F.count(F.lit(1)).alias("_c"), *[F.max(c).alias(c) for c in carried])
     )
-    facts = ["n_total", "n_valid", "v_min", "v_max"]
-    hist = hist.withColumn("_want", inside).where(F.col("_b").isNull() | (F.size("_want") > 0))
-
-    one_bucket = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        ties.alias("t")
-        .join(hist.where(F.col("_b").isNotNull()).alias("h"), [*eq, F.col("t._b") == F.col("h._b")])
-        .select(*[F.col(f"t.{c}") for c in by], "t._b", "_v", "_c", "_before", *facts)
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(one_bucket))
-        .select(*by, *facts, "_v", (F.col("_end") - F.col("_c")).alias("_start"), "_end")
+    in_bucket = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    picked = ties.withColumn("_end", F.col("_before") + F.sum("_c").over(in_bucket)).select(
+        *by, *facts, "_v", (F.col("_end") - F.col("_c")).alias("_start"), "_end"
     )
     void = hist.where(F.col("_b").isNull()).select(
         *by,
@@ -94,20 +94,18 @@ def exact_quantiles(
         F.lit(None).cast("bigint").alias("_start"),
         F.lit(None).cast("bigint").alias("_end"),
     )
-    outs = []
+    ends = []
     for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("n_valid") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+        for side, rank in (("lo", F.floor(at(p))), ("hi", F.ceil(at(p)))):
             hit = (rank >= F.col("_start")) & (rank < F.col("_end"))
-            outs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
-    rows = picked.unionByName(void).groupBy(*by).agg(*[F.max(c).alias(c) for c in facts], *outs)
+            ends.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
+    out = picked.unionByName(void).groupBy(*by).agg(*[F.max(c).alias(c) for c in facts], *ends)
     quantiles = []
     for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("n_valid") - 1)
-        part = at - F.floor(at)
+        part = at(p) - F.floor(at(p))
         between = F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part
         quantiles.append(between.alias(f"{prefix}{i}"))
-    return rows.select(*by, *facts, *quantiles)
+    return out.select(*by, *facts, *quantiles)
 
 
 def hot_keys(
