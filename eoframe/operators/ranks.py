@@ -139,18 +139,23 @@ def split_hot(
     return cold, warm
 
 
-def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+def number_rows(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, descending: Sequence[bool] | None = None
+) -> DataFrame:
     """``row_number`` per group where a group may be of any size.
 
     Range partitioning splits a group by its order columns; each piece is
     numbered on its own and shifted by the rows of the group in earlier
-    pieces.  ``order`` must identify a row inside its group.
+    pieces.  ``order`` must identify a row inside its group; ``descending``
+    says per order column which way it runs.
     """
     by = list(by)
     names = [f"_o{i}" for i in range(len(order))]
+    down = list(descending or [False] * len(order))
+    sorting = [F.col(n).desc() if d else F.col(n).asc() for n, d in zip(names, down)]
     keyed = df.select("*", *[o.alias(n) for o, n in zip(order, names)])
     pieces = stable(
-        keyed.repartitionByRange(*[F.col(c) for c in by], *[F.col(n) for n in names]).withColumn(
+        keyed.repartitionByRange(*[F.col(c) for c in by], *sorting).withColumn(
             "_piece", F.spark_partition_id()
         )
     )
@@ -163,7 +168,7 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], out:
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"),
     )
     on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by] + [F.col("_piece") == F.col("_k_piece")]
-    local = Window.partitionBy(*by, "_piece").orderBy(*names)
+    local = Window.partitionBy(*by, "_piece").orderBy(*sorting)
     return (
         pieces.withColumn("_local", F.row_number().over(local))
         .join(offsets, on)

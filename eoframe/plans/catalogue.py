@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from eoframe.plans import catalog_queries, optical_queries, radar_queries  # noqa: F401
+from eoframe.plans import catalog_queries, mosaic_queries, optical_queries, radar_queries  # noqa: F401
 from eoframe.plans.registry import RUNS, SQL  # noqa: F401
