@@ -24,7 +24,7 @@ def _whole_number(token: Column) -> Column:
 
 def parse_months(text: Column) -> Column:
     """Months of a ',' or ';' list; one bad token empties the list, duplicates stay."""
-    tokens = F.filter(F.transform(F.split(_text(text), "[,;]"), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(_text(text), "[,;]"), lambda x: F.trim(x)), lambda t: t != "")
     months = F.transform(tokens, _whole_number)
     sound = F.forall(months, lambda m: F.coalesce(m.between(1, 12), F.lit(False)))
     return F.when(sound, months).otherwise(F.array().cast("array<int>"))
@@ -39,7 +39,7 @@ def parse_months_lenient(text: Column, default: Sequence[int]) -> Column:
 
 def parse_limits(text: Column) -> Column:
     """STRUCT<lo, hi> of 'lo,hi' with hi strictly above lo, else NULL."""
-    parts = F.transform(F.split(_text(text), "[,;]"), F.trim)
+    parts = F.transform(F.split(_text(text), "[,;]"), lambda x: F.trim(x))
     lo = F.get(parts, F.lit(0)).try_cast("double")
     hi = F.get(parts, F.lit(1)).try_cast("double")
     return F.when((F.size(parts) == 2) & (hi > lo), F.struct(lo.alias("lo"), hi.alias("hi")))
