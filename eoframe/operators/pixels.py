@@ -81,10 +81,8 @@ def compute_indices(
                 F.lit(n in dims.S2_ONLY).alias("s2_only"),
             )
         )
-    if len(cells) == 1:
-        rows = wide.select(*keep, "family", cells[0].alias("cell"))
-    else:
-        rows = wide.select(*keep, "family", F.explode(F.array(*cells)).alias("cell"))
+    # also for one index: exploded, its name stays a column that later keys can be hashed on
+    rows = wide.select(*keep, "family", F.explode(F.array(*cells)).alias("cell"))
     return (
         rows.where(~(F.col("cell.s2_only") & (F.col("family") == "ls")))
         .select(*keep, "cell.index", "cell.raw", "cell.value")

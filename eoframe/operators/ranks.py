@@ -109,33 +109,27 @@ def exact_quantiles(
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], floor: int = HOT_FLOOR, share: float = HOT_SHARE
+    counts: DataFrame, keys: Sequence[str], rows: Column, floor: int = HOT_FLOOR, share: float = HOT_SHARE
 ) -> DataFrame:
-    """Keys with more than ``max(floor, share * all rows)`` rows.
+    """Keys of a count table with more than ``max(floor, share * all rows)`` rows.
 
     There are at most ``1 / share`` of them whatever the data, which is the
-    proof that the table may be broadcast.  Only key columns are read, and
-    the counts combine before the shuffle.
+    proof that the result may be broadcast.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    limit = counts.agg(
-        F.greatest(F.lit(float(floor)), F.sum("_rows") * F.lit(float(share))).alias("_limit")
-    )
-    return counts.where(F.col("_rows") > limit.scalar()).select(*keys)
+    limit = counts.agg(F.greatest(F.lit(float(floor)), F.sum(rows) * F.lit(float(share))).alias("_limit"))
+    return counts.where(rows > limit.scalar()).select(*keys)
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], floor: int = HOT_FLOOR, share: float = HOT_SHARE
-) -> tuple[DataFrame, DataFrame]:
+def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary keys, rows of hot keys); together all rows of ``df``.
 
     Neither side shuffles ``df``: the hot keys are few by construction and are
     broadcast.  When there are none, adaptive execution drops the hot side.
     """
-    hot = F.broadcast(hot_keys(df, keys, floor, share))
+    few = F.broadcast(hot)
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
-    cold = df.alias("d").join(hot.alias("k"), on, "left_anti")
-    warm = df.alias("d").join(hot.alias("k"), on, "left_semi")
+    cold = df.alias("d").join(few.alias("k"), on, "left_anti")
+    warm = df.alias("d").join(few.alias("k"), on, "left_semi")
     return cold, warm
 
 

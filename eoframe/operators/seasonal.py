@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eoframe import dims
-from eoframe.operators.ranks import HOT_FLOOR, HOT_SHARE, exact_quantiles, split_hot
+from eoframe.operators.ranks import HOT_FLOOR, HOT_SHARE, exact_quantiles, hot_keys, split_hot
 
 
 def season_of(month: Column, dry: Sequence[int], wet: Sequence[int]) -> Column:
@@ -92,6 +92,14 @@ def display_limits(
     )
 
 
+def middle_of_sorted(values: Column) -> Column:
+    """Median of a sorted array without NULLs; NULL for an empty one."""
+    n = F.size(values)
+    lower = F.get(values, F.floor((n - 1) / 2).cast("int"))
+    upper = F.get(values, F.floor(n / 2).cast("int"))
+    return lower * 0.5 + upper * 0.5
+
+
 def seasonal_amplitude(
     values: DataFrame,
     keys: Sequence[str] = ("index", "grid", "px_col", "px_row"),
@@ -116,14 +124,26 @@ def seasonal_amplitude(
     seasoned = values.select(
         *keys, season_of(F.col("month"), dry, wet).alias("season"), "value"
     ).where(F.col("season").isNotNull())
-    cold, hot = split_hot(seasoned, keys, hot_floor, hot_share)
-
     is_dry, is_wet = F.col("season") == "dry", F.col("season") == "wet"
-    per_pixel = cold.groupBy(*keys).agg(
-        F.count(F.when(is_dry, F.col("value"))).alias("n_dry"),
-        F.count(F.when(is_wet, F.col("value"))).alias("n_wet"),
-        F.median(F.when(is_dry, F.col("value"))).alias("med_dry"),
-        F.median(F.when(is_wet, F.col("value"))).alias("med_wet"),
+    # one pass over the key columns tells hot keys and products that miss a season
+    counts = seasoned.groupBy(*keys).agg(F.count_if(is_dry).alias("_d"), F.count_if(is_wet).alias("_w"))
+    cold, hot = split_hot(seasoned, keys, hot_keys(counts, keys, F.col("_d") + F.col("_w"), hot_floor, hot_share))
+    # no row is saved by combining a pixel's dates before the shuffle, so the rows
+    # move once and are listed where they arrive; the split bounds each list
+    listed = (
+        cold.repartition(*keys)
+        .groupBy(*keys)
+        .agg(
+            F.sort_array(F.collect_list(F.when(is_dry, F.col("value")))).alias("_dry"),
+            F.sort_array(F.collect_list(F.when(is_wet, F.col("value")))).alias("_wet"),
+        )
+    )
+    per_pixel = listed.select(
+        *keys,
+        F.size("_dry").cast("bigint").alias("n_dry"),
+        F.size("_wet").cast("bigint").alias("n_wet"),
+        middle_of_sorted(F.col("_dry")).alias("med_dry"),
+        middle_of_sorted(F.col("_wet")).alias("med_wet"),
     )
     by_season = exact_quantiles(hot, [*keys, "season"], "value", (0.5,))
     split = by_season.groupBy(*keys).agg(
@@ -139,8 +159,8 @@ def seasonal_amplitude(
     pixels = per_pixel.unionByName(split)
     # products come from a closed vocabulary (11 indices, 175 tracks, 3 polarisations)
     void = (
-        seasoned.groupBy(*product)
-        .agg(F.count_if(is_dry).alias("_d"), F.count_if(is_wet).alias("_w"))
+        counts.groupBy(*product)
+        .agg(F.sum("_d").alias("_d"), F.sum("_w").alias("_w"))
         .where((F.col("_d") == 0) | (F.col("_w") == 0))
         .select(*product)
     )

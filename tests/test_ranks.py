@@ -39,10 +39,11 @@ def test_value_bucket_never_decreases(spark):
 
 def test_split_hot_keeps_all_rows(spark):
     df = skewed(spark)
-    cold, hot = ranks.split_hot(df, ["g"], floor=1000, share=0.01)
+    counts = df.groupBy("g").count()
+    cold, hot = ranks.split_hot(df, ["g"], ranks.hot_keys(counts, ["g"], F.col("count"), floor=1000, share=0.01))
     assert {r.g for r in hot.select("g").distinct().collect()} == {"hot"}
     assert cold.count() + hot.count() == df.count()
-    cold, hot = ranks.split_hot(df, ["g"])
+    cold, hot = ranks.split_hot(df, ["g"], ranks.hot_keys(counts, ["g"], F.col("count")))
     assert hot.count() == 0 and cold.count() == df.count()
 
 
