@@ -233,11 +233,15 @@ def band_aliases(band: str, family: str) -> tuple[str, ...]:
     return () if family == "ls" else (band,)
 
 
+def _first_link(assets: Column, names: Sequence[str]) -> Column:
+    tries = [F.nullif(F.try_element_at(assets, F.lit(a)), F.lit("")) for a in names]
+    return F.coalesce(*tries) if tries else F.lit(None).cast("string")
+
+
 def resolve_asset(assets: Column, band: str, family: Column) -> Column:
     """Link of the first alias present with a non-empty one; ``assets`` maps name to link."""
     def first(fam: str) -> Column:
-        tries = [F.nullif(F.try_element_at(assets, F.lit(a)), F.lit("")) for a in band_aliases(band, fam)]
-        return F.coalesce(*tries) if tries else F.lit(None).cast("string")
+        return _first_link(assets, band_aliases(band, fam))
 
     return F.when(family == "ls", first("ls")).otherwise(first("s2"))
 
@@ -320,19 +324,20 @@ def vetoed_composites(missing: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def pack_assets(assets: Column, family: Column) -> Column:
-    """Compact JSON of the supported bands under their first alias, links without signature."""
-    entries = []
-    for k in dims.BAND_KEYS:
-        link = F.substring_index(resolve_asset(assets, k, family), "?", 1)
-        name = first_alias(F.lit(k), family)
-        entries.append(F.when(link.isNotNull() & name.isNotNull(), F.struct(name.alias("key"), link.alias("value"))))
-    kept = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    # Landsat has one near infrared under two keys: the first mention of a name stays
-    return F.to_json(
-        F.map_from_entries(
-            F.filter(kept, lambda e, i: F.array_position(F.transform(kept, lambda x: x["key"]), e["key"]) == i + 1)
-        )
-    )
+    """Compact JSON of the supported bands under their first alias, links without signature.
+
+    Landsat's one near infrared serves two band keys and is listed once.
+    """
+    def packed(fam: str) -> Column:
+        pairs = {}
+        for k in dims.BAND_KEYS:
+            names = band_aliases(k, fam)
+            if names and names[0] not in pairs:
+                pairs[names[0]] = F.substring_index(_first_link(assets, names), "?", 1)
+        links = F.create_map(*[x for name, link in pairs.items() for x in (F.lit(name), link)])
+        return F.to_json(F.map_filter(links, lambda _, v: v.isNotNull()))
+
+    return F.when(family == "ls", packed("ls")).otherwise(packed("s2"))
 
 
 def scenes_from_footprints(footprints: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -343,7 +348,7 @@ def scenes_from_footprints(footprints: DataFrame) -> tuple[DataFrame, DataFrame]
     """
     links = F.from_json(F.col("assets"), "MAP<STRING,STRING>", {"mode": "PERMISSIVE"})
     parsed = footprints.withColumn("_links", links)
-    usable = F.col("_links").isNotNull() & (F.size("_links") > 0)
+    usable = F.coalesce(F.size("_links") > 0, F.lit(False))
     clock = F.coalesce(F.nullif(F.col("hora_utc"), F.lit("")), F.lit("00:00:00"))
     scenes = parsed.where(usable).select(
         F.col("id").alias("scene_id"),
@@ -356,7 +361,7 @@ def scenes_from_footprints(footprints: DataFrame) -> tuple[DataFrame, DataFrame]
         F.col("epsg"),
         F.transform_values("_links", lambda _, v: F.struct(v.alias("href"))).alias("assets"),
     )
-    rejected = parsed.where(~F.coalesce(usable, F.lit(False))).drop("_links")
+    rejected = parsed.where(~usable).drop("_links")
     return scenes, rejected
 
 
