@@ -58,42 +58,36 @@ def index_columns(pixels: DataFrame, names: Sequence[str], prefix: str = "raw_")
 def compute_indices(
     pixels: DataFrame, names: Sequence[str], keep: Sequence[str] = ("grid", "px_col", "px_row", "scene_id", "acquired")
 ) -> DataFrame:
-    """Long table (keep…, index, raw, value): formula, then clamp, then mask.
+    """Long table (keep…, index, raw, value): formula, then range, then mask.
 
     ``raw`` is the finite formula value, ``value`` is NULL when outside the
     physical range or masked.  Red-edge indices give no rows for Landsat.
     The whole operator is one narrow stage, and only the bands of the wanted
-    indices are read.
+    indices are read.  Rows are spread by ``unpivot``, which builds no arrays.
     """
     has_quality = "scl" in pixels.columns and "qa_pixel" in pixels.columns
     masked = rad.invalid_pixel(F.col("family"), F.col("scl"), F.col("qa_pixel"))
     wide = index_columns(pixels.withColumn("_bad", masked if has_quality else F.lit(False)), names)
-    bad = F.col("_bad")
-    cells = []
-    for n in names:
-        raw = F.col(f"raw_{n}")
-        value = F.when(~bad, rad.clamp_physical(n, raw))
-        cells.append(
-            F.struct(
-                F.lit(n).alias("index"),
-                raw.alias("raw"),
-                value.alias("value"),
-                F.lit(n in dims.S2_ONLY).alias("s2_only"),
-            )
-        )
-    # also for one index: exploded, its name stays a column that later keys can be hashed on
-    rows = wide.select(*keep, "family", F.explode(F.array(*cells)).alias("cell"))
-    return (
-        rows.where(~(F.col("cell.s2_only") & (F.col("family") == "ls")))
-        .select(*keep, "cell.index", "cell.raw", "cell.value")
+    long = wide.select(*keep, "family", "_bad", *[F.col(f"raw_{n}").alias(n) for n in names]).unpivot(
+        [*keep, "family", "_bad"], list(names), "index", "raw"
     )
+    red_edge = F.col("index").isin(*dims.S2_ONLY) & (F.col("family") == "ls")
+    value = F.when(~F.col("_bad") & within_range(F.col("index"), F.col("raw")), F.col("raw"))
+    return long.where(~red_edge).select(*keep, "index", "raw", value.alias("value"))
+
+
+def within_range(index: Column, raw: Column) -> Column:
+    """Is a value inside the physical range of the index named in the row?  Unlimited ones always are."""
+    ok = ~index.isin(*dims.INDEX_LIMITS)
+    for bounds in dict.fromkeys(dims.INDEX_LIMITS.values()):
+        names = [n for n, b in dims.INDEX_LIMITS.items() if b == bounds]
+        ok = ok | (index.isin(*names) & raw.between(*bounds))
+    return ok
 
 
 def clamp_report(values: DataFrame) -> DataFrame:
     """Per index: finite values, how many lie outside the range, and their share."""
-    outside = F.lit(False)
-    for n, (lo, hi) in dims.INDEX_LIMITS.items():
-        outside = outside | ((F.col("index") == n) & ~F.col("raw").between(lo, hi))
+    outside = ~within_range(F.col("index"), F.col("raw"))
     return (
         values.groupBy("index")
         .agg(

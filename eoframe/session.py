@@ -39,9 +39,11 @@ def stable(df: DataFrame) -> DataFrame:
 
 # Settings the runs profit from.  Generated methods above 8000 bytes are never
 # compiled by the JVM; wide index projections are faster split than interpreted.
+# Call-site capture doubles the time to build a large plan in Python.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
 }

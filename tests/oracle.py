@@ -13,18 +13,20 @@ import duckdb  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 from eoframe.plans.views import TABLES  # noqa: E402
+from eoframe.session import SETTINGS  # noqa: E402
 
 
 def session(cpus: str = "8") -> SparkSession:
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    for k, v in SETTINGS.items():
+        builder = builder.config(k, v)
+    return builder.getOrCreate()
 
 
 def connect(sf_dir: str):
