@@ -314,12 +314,16 @@ def vetoed_composites(missing: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per request and composite: the bands the sensor lacks, or '' when available.
 
     ``missing`` has ``by`` and an ARRAY<STRING> ``absent``; the eight
-    composites come as a constant table.
+    composites are a literal array, so there is no join.
     """
-    table = F.broadcast(dims.composites_table(missing.sparkSession))
-    lacking = F.filter(F.col("bands"), lambda b: F.array_contains(F.col("absent"), b))
-    return missing.crossJoin(table).select(
-        *by, "composite", F.array_join(lacking, ",").alias("lacking"), (F.size(lacking) == 0).alias("available")
+    table = F.array(
+        *[F.struct(F.lit(n).alias("composite"), F.array(*[F.lit(x) for x in b]).alias("bands")) for n, b in dims.COMPOSITES]
+    )
+    lacking = F.filter(F.col("c.bands"), lambda b: F.array_contains(F.col("absent"), b))
+    return (
+        missing.select(*by, "absent", F.explode(table).alias("c"))
+        .select(*by, F.col("c.composite").alias("composite"), lacking.alias("_lacking"))
+        .select(*by, "composite", F.array_join("_lacking", ",").alias("lacking"), (F.size("_lacking") == 0).alias("available"))
     )
 
 

@@ -22,10 +22,20 @@ def override_tc_coefficients(user: DataFrame, by: Sequence[str] = ()) -> DataFra
     """
     by = list(by)
     known = user.where(F.col("grp").isin(*GROUPS))
-    base = dims.tc_table(user.sparkSession)
     if by:
-        # a four-row constant table against every collection
-        base = F.broadcast(base).crossJoin(user.select(*by).distinct())
+        four = F.array(
+            *[
+                F.struct(
+                    F.lit(g).alias("grp"),
+                    F.lit(c["kind"]).alias("kind"),
+                    *[F.array(*[F.lit(x) for x in c[v]]).alias(v.lower()) for v in "BGW"],
+                )
+                for g, c in dims.TC_COEFFICIENTS.items()
+            ]
+        )
+        base = user.select(*by).distinct().select(*by, F.explode(four).alias("_s")).select(*by, "_s.*")
+    else:
+        base = dims.tc_table(user.sparkSession)
     mine = known.select(*by, "grp", *[F.col(c).alias(f"u_{c}") for c in ("kind", "b", "g", "w")], F.lit(True).alias("replaced"))
     joined = base.join(mine, [*by, "grp"], "left")
     replaced = F.coalesce(F.col("replaced"), F.lit(False))

@@ -127,14 +127,13 @@ def rank_tracks(inventory: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def affordable_options(orders: DataFrame) -> DataFrame:
     """Pixel spacings whose cost fits the balance (inclusive); no balance, no options.
 
-    ``orders`` has ``n`` and ``balance``; the price list has three rows.
+    ``orders`` has ``n`` and ``balance``; the three prices are a literal array.
     """
-    prices = F.broadcast(dims.credits_table(orders.sparkSession))
+    prices = F.array(*[F.struct(F.lit(m).alias("res_m"), F.lit(c).alias("price")) for m, c in sorted(dims.CREDITS.items())])
     return (
-        orders.crossJoin(prices.withColumnRenamed("credits", "_price"))
-        .withColumn("cost", F.col("n") * F.col("_price"))
+        orders.select("*", F.explode(prices).alias("_p"))
+        .select(*orders.columns, F.col("_p.res_m").alias("res_m"), (F.col("n") * F.col("_p.price")).alias("cost"))
         .where(F.col("cost") <= F.col("balance"))
-        .drop("_price")
     )
 
 

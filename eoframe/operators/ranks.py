@@ -19,6 +19,9 @@ _STEPS = 1024
 # Larger than |ln| of the smallest double times the steps, so buckets keep their sign.
 _SHIFT = 800_000
 
+# A wanted-bucket row is some 80 bytes, so a broadcast list stays below 50 MB.
+BROADCAST_ROWS = 500_000
+
 HOT_FLOOR = 1_000_000
 HOT_SHARE = 1.0 / 200_000
 
@@ -33,7 +36,7 @@ def value_bucket(v: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], prefix: str = "q"
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], prefix: str = "q", few_groups: bool = False
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, for groups of any size.
 
@@ -43,8 +46,12 @@ def exact_quantiles(
 
     A histogram per group, combined before its shuffle, tells which buckets
     hold the wanted ranks.  A second read keeps only the rows of those
-    buckets, so the data itself is never shuffled and no group meets in one
-    task.  Meant for large groups; for a pixel's dates use ``percentile``.
+    buckets; no group meets in one task.  Meant for large groups.
+
+    The list of wanted buckets is broadcast only when it is small: it is
+    checkpointed and counted, unless the caller vouches for ``few_groups``.
+    Then the data is not shuffled at all.  Beyond the bound equal values
+    collapse first and the list is joined by a shuffle.
     """
     by = list(by)
     facts = ["n_total", "n_valid", "v_min", "v_max"]
@@ -74,14 +81,20 @@ def exact_quantiles(
         ranks, lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_bc"))
     )
     hist = hist.where(F.col("_b").isNull() | holds)
+    if not few_groups:
+        hist = stable(hist)
     wanted = hist.where(F.col("_b").isNotNull()).drop("_bc")
+    if few_groups or hist.count() <= BROADCAST_ROWS:
+        found, wanted = rows.withColumn("_c", F.lit(1)), F.broadcast(wanted)
+    else:
+        found = rows.groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
     on = [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]
     carried = ["_before", *facts]
     ties = (
-        rows.alias("t")
+        found.alias("t")
         .join(wanted.alias("h"), [*on, F.col("t._b") == F.col("h._b")])
         .groupBy(*[F.col(f"t.{c}").alias(c) for c in by], F.col("t._b").alias("_b"), "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), *[F.max(c).alias(c) for c in carried])
+        .agg(F.sum("_c").alias("_c"), *[F.max(c).alias(c) for c in carried])
     )
     in_bucket = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = ties.withColumn("_end", F.col("_before") + F.sum("_c").over(in_bucket)).select(

@@ -145,7 +145,8 @@ def seasonal_amplitude(
         middle_of_sorted(F.col("_dry")).alias("med_dry"),
         middle_of_sorted(F.col("_wet")).alias("med_wet"),
     )
-    by_season = exact_quantiles(hot, [*keys, "season"], "value", (0.5,))
+    # hot keys are at most 1 / hot_share, so their list of buckets is short
+    by_season = exact_quantiles(hot, [*keys, "season"], "value", (0.5,), few_groups=True)
     split = by_season.groupBy(*keys).agg(
         *[
             agg.alias(name)
@@ -316,9 +317,10 @@ def dnbr(
     values of one pixel and date are averaged.
     """
     by, pixel = list(by), list(pixel)
-    p = picks.select(*by, "pre", "post").where("pre IS NOT NULL")
-    # without groups the picks are one row; with groups Spark weighs their size
-    dated = nbr.join(p, by) if by else nbr.crossJoin(F.broadcast(p))
+    if by:
+        dated = nbr.join(picks.select(*by, "pre", "post").where("pre IS NOT NULL"), by)
+    else:  # one pick: its dates are scalars
+        dated = nbr.withColumns({c: picks.select(c).scalar() for c in ("pre", "post")})
     before = F.col("acquired") == F.col("pre")
     after = F.col("acquired") == F.col("post")
     return (

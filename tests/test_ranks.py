@@ -1,6 +1,7 @@
 """Order statistics and numbering when one group has a third of the rows or more."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from eoframe.operators import ranks, seasonal
@@ -14,10 +15,12 @@ def skewed(spark, n=6000):
     return spark.range(n).select("id", g.alias("g"), v.cast("double").alias("v"))
 
 
-def test_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("few, rows", [(True, 0), (False, 10**6), (False, 0)])
+def test_exact_quantiles_match_numpy(spark, monkeypatch, few, rows):
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", rows)
     df = skewed(spark).unionByName(spark.createDataFrame([(1, "void", None)], "id BIGINT, g STRING, v DOUBLE"))
     probs = (0.0, 0.02, 0.25, 0.5, 0.98, 1.0)
-    got = {r.g: r for r in ranks.exact_quantiles(df, ["g"], "v", probs).collect()}
+    got = {r.g: r for r in ranks.exact_quantiles(df, ["g"], "v", probs, few_groups=few).collect()}
     pdf = df.toPandas()
     assert set(got) == set(pdf.g)
     for g, part in pdf.groupby("g"):
