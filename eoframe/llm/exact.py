@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,7 +49,7 @@ class LiveIndex:
         self.keys: list[list] = [[None] * SLOTS for _ in range(buckets)]
 
     def _places(self, digest: bytes) -> tuple[int, int, int]:
-        word = int.from_bytes(digest[:8], "little")
+        word = xxhash.xxh64_intdigest(digest)  # of all bytes: keys of one digest and many salts must spread
         mark = (word >> 48) or 1
         first = word & (self.buckets - 1)
         return mark, first, self._other(first, mark)

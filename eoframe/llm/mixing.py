@@ -26,7 +26,7 @@ from eoframe.session import stable
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
-STEPS = 30
+STEPS = 60
 BINS = 4096
 PASSES = 4
 
@@ -68,7 +68,7 @@ def balance(histogram: DataFrame, targets: DataFrame, cap: float = CAP, steps: i
     """(no, lam, scale): the dual's solution per source; ``histogram`` has (no, size, n)."""
     state = stable(
         targets.join(histogram.groupBy(F.col("no").alias("hn")).agg(F.max("size").cast("double").alias("scale")), F.col("no") == F.col("hn"))
-        .select("no", "target", "scale", F.lit(0.0).alias("lam"), F.lit(-1e5).alias("low"), F.lit(1e5).alias("high"), F.lit(False).alias("done"))
+        .select("no", "target", "scale", F.lit(0.0).alias("lam"), (F.col("scale") * -40).alias("low"), (F.col("scale") * 40).alias("high"), F.lit(False).alias("done"))
         .where("target > 0 AND target < 2 * source_size")
     )
     z = F.col("size") / F.col("scale")

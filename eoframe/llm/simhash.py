@@ -81,7 +81,7 @@ def gray_rank(fp: Column) -> Column:
 
 
 def cut(bits: list[int], parts: int) -> list[list[int]]:
-    return [list(x) for x in np.array_split(bits, parts)]
+    return [[int(b) for b in x] for x in np.array_split(bits, parts)]
 
 
 def signed(mask: int) -> int:
