@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from eoframe.llm import exact, mixing, packing, simhash
+from eoframe.llm import exact, mixing, packing, repeats, simhash, toxicity
 
 RUNS = {
+    "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
     "op2_packing": packing.op2_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
