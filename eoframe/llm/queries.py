@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eoframe.llm import exact, mixing, packing, repeats, simhash, toxicity
+from eoframe.llm import exact, hosts, mixing, packing, repeats, simhash, toxicity
 
 RUNS = {
     "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
@@ -10,6 +10,7 @@ RUNS = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op8_exact_dedup": exact.op8_exact_dedup,
+    "op9_url_reputation": hosts.op9_url_reputation,
     "op10_mixing": mixing.op10_mixing,
 }
 
