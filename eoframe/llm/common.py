@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eoframe.session import stable
+from eoframe.session import ensure_checkpoint_dir, stable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)  # stands for a null doc_id where a plain long is needed
@@ -48,6 +51,20 @@ def packed(docs: DataFrame) -> DataFrame:
     )
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a compressed table in the shared checkpoint folder, and a function that removes the table.
+
+    For wide intermediate rows that are read more than once; a checkpoint would keep them uncompressed.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext._jsc.sc()
+    path = f"{context.getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path), lambda: at.getFileSystem(context.hadoopConfiguration()).delete(at, True) and None
+
+
 def components(edges: DataFrame, salts: int = 16, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long): root is the smallest node it reaches.
 

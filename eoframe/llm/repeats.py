@@ -20,7 +20,8 @@ segments with the same anchor can hold equal windows.
 
 Defined results: null texts are empty; texts shorter than ``width`` lose nothing;
 rows equal in doc_id and text repeat each other; a null doc_id stays null; empty
-tables give none.  Segments are equal when their 128-bit digests are.
+tables give none.  Segments are equal when anchor and digest, 128
+bits together, are.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eoframe.llm.common import real_id, table, with_key
+from eoframe.llm.common import real_id, stored, table, with_key
 from eoframe.session import stable
 
 WIDTH = 200
@@ -108,15 +109,14 @@ def _segment_rows(width: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for pdf in batches:
             for doc, tk, text in zip(pdf.doc_id.tolist(), pdf.tk.tolist(), pdf.text):
                 raw = _bytes(text)
                 start, n, anchor = segments(np.frombuffer(raw, dtype=np.uint8), width, gram)
                 if len(start):
-                    sums = b"".join([digest(raw[s:e]) for s, e in zip(start.tolist(), (start + n + width - 1).tolist())])
-                    two = np.frombuffer(sums, dtype=np.int64).reshape(-1, 2)
-                    yield pd.DataFrame({"doc_id": doc, "tk": tk, "start": start, "n": n, "anchor": anchor, "d1": two[:, 0], "d2": two[:, 1]})
+                    whole = np.array([digest(raw[s:e]) for s, e in zip(start.tolist(), (start + n + width - 1).tolist())], dtype=np.uint64)
+                    yield pd.DataFrame({"doc_id": doc, "tk": tk, "start": start, "n": n, "anchor": anchor, "digest": whole.view(np.int64)})
 
     return run
 
@@ -237,23 +237,42 @@ def _solve(rows: list[tuple], width: int) -> list[tuple]:
     return out
 
 
+FOUND = "doc_id bigint, tk bigint, start bigint, end bigint, d1 bigint, d2 bigint"
+_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
 def _blocks(width: int):
-    """Rows come sorted by anchor; blocks are closed between anchors."""
+    """Rows come sorted by anchor; blocks are closed between anchors and give stretches (null digests).
+
+    Rows of a group too large for a block (``hot``) give all their windows with digests.
+    """
+
+    def stretches(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*x, None, None) for x in _solve(rows, width)], columns=_NAMES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         rows, size, last = [], 0, None
         for pdf in batches:
-            out = []
-            for anchor, doc, tk, start, raw in zip(pdf.anchor.tolist(), pdf.doc_id.tolist(), pdf.tk.tolist(), pdf.start.tolist(), pdf.raw):
+            for anchor, doc, tk, start, raw, hot in zip(
+                pdf.anchor.tolist(), pdf.doc_id.tolist(), pdf.tk.tolist(), pdf.start.tolist(), pdf.raw, pdf.hot.tolist()
+            ):
+                raw = bytes(raw)
+                if hot:
+                    n = len(raw) - width + 1
+                    two = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : i + width]) for i in range(n)]), dtype=np.int64).reshape(-1, 2)
+                    at = start + np.arange(n)
+                    yield pd.DataFrame({"doc_id": doc, "tk": tk, "start": at, "end": at + width, "d1": two[:, 0], "d2": two[:, 1]})
+                    continue
                 if anchor != last and size >= BLOCK:
-                    out += _solve(rows, width)
+                    yield stretches(rows)
                     rows, size = [], 0
-                rows.append((doc, tk, start, bytes(raw)))
+                rows.append((doc, tk, start, raw))
                 size += len(raw)
                 last = anchor
-            yield pd.DataFrame(out, columns=["doc_id", "tk", "start", "end"])
         if rows:
-            yield pd.DataFrame(_solve(rows, width), columns=["doc_id", "tk", "start", "end"])
+            yield stretches(rows)
 
     return run
 
@@ -266,57 +285,51 @@ def _cut_out(width: int):
             for doc, tk, text, wanted in zip(pdf.doc_id.tolist(), pdf.tk.tolist(), pdf.text, pdf.wanted):
                 raw = _bytes(text)
                 yield pd.DataFrame(
-                    [(w["anchor"], doc, tk, w["start"], raw[w["start"] : w["start"] + w["n"] + width - 1]) for w in wanted],
-                    columns=["anchor", "doc_id", "tk", "start", "raw"],
+                    [(w["anchor"], w["hot"], doc, tk, w["start"], raw[w["start"] : w["start"] + w["n"] + width - 1]) for w in wanted],
+                    columns=["anchor", "hot", "doc_id", "tk", "start", "raw"],
                 )
 
     return run
 
 
 KEY = ["doc_id", "tk"]
-SEGMENT = "doc_id bigint, tk bigint, start bigint, n bigint, anchor bigint, d1 bigint, d2 bigint"
-
-
-def _windows(width: int):
-    """Every window of a segment as a segment of its own, whose anchor is its whole content."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for pdf in batches:
-            for doc, tk, start, raw in zip(pdf.doc_id.tolist(), pdf.tk.tolist(), pdf.start.tolist(), pdf.raw):
-                raw = bytes(raw)
-                n = len(raw) - width + 1
-                two = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : i + width]) for i in range(n)]), dtype=np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"doc_id": doc, "tk": tk, "start": start + np.arange(n), "d1": two[:, 0], "d2": two[:, 1]})
-
-    return run
+SEGMENT = "doc_id bigint, tk bigint, start bigint, n bigint, anchor bigint, digest bigint"
 
 
 def repeated_stretches(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, tk, start, end): byte stretches of ``keyed`` (doc_id, tk, text) covered by repeated strings; they may overlap."""
-    rows = stable(keyed.mapInPandas(_joined(_segment_rows(width, gram)), SEGMENT))
-    # one row per different segment; its first place stands for it
-    kinds = stable(rows.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "start", "n")).alias("at")))
-    often = kinds.where("copies > 1").select(F.col("anchor").alias("ka"), F.col("d1").alias("k1"), F.col("d2").alias("k2"))
-    whole = rows.join(often, (F.col("anchor") == F.col("ka")) & (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).select(
-        *KEY, "start", (F.col("start") + F.col("n") + (width - 1)).alias("end")
+    rows, remove = stored(keyed.mapInPandas(_joined(_segment_rows(width, gram)), SEGMENT))
+    end = (F.col("start") + F.col("n") + (width - 1)).alias("end")
+    # most anchors occur once: only the others go on
+    anchors = stable(
+        rows.groupBy(F.col("anchor").alias("ka"))
+        .agg(F.count("*").alias("c"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+        .where("c > 1").select("ka", F.expr("least <> most").alias("mixed"))
+    )
+    again = stable(rows.join(anchors, F.col("anchor") == F.col("ka")).drop("ka"))
+    remove()
+    # one row per different segment of a mixed anchor; any of its places stands for it
+    mixed = again.where("mixed")
+    kinds = stable(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in (*KEY, "start", "n")]))
+    often = kinds.where("copies > 1").select(F.col("anchor").alias("ka"), F.col("digest").alias("kd"))
+    whole = again.where("NOT mixed").select(*KEY, "start", end).unionByName(
+        mixed.join(often, (F.col("anchor") == F.col("ka")) & (F.col("digest") == F.col("kd"))).select(*KEY, "start", end)
     )
     per_anchor = kinds.groupBy(F.col("anchor").alias("ka")).agg(F.count("*").alias("kinds"), F.min("copies").alias("least"))
-    open_ = stable(per_anchor.where("kinds > 1 AND least = 1"))
-    unsure = kinds.join(open_, F.col("anchor") == F.col("ka")).select("anchor", "kinds", "at.*")
-    lists = unsure.groupBy(*[F.col(c).alias(f"w_{c}") for c in KEY]).agg(F.collect_list(F.struct(
-        F.when(F.col("kinds") > GROUP, None).otherwise(F.col("anchor")).alias("anchor"), "start", "n")).alias("wanted"))
-    # rows alike in key are alike in text: one of them is enough
+    open_ = stable(per_anchor.where("least = 1").select("ka", (F.col("kinds") > GROUP).alias("hot")))
+    unsure = kinds.join(open_, F.col("anchor") == F.col("ka"))
+    # segments of one document, as many as its length allows
+    lists = unsure.groupBy(*[F.col(c).alias(f"w_{c}") for c in KEY]).agg(F.collect_list(F.struct("anchor", "hot", "start", "n")).alias("wanted"))
     with_text = keyed.join(lists, (F.col("doc_id") == F.col("w_doc_id")) & (F.col("tk") == F.col("w_tk"))).select(*KEY, "text", "wanted")
-    raw = with_text.mapInPandas(_joined(_cut_out(width)), "anchor bigint, doc_id bigint, tk bigint, start bigint, raw binary")
-    raw = stable(raw.dropDuplicates(["doc_id", "tk", "start"]))
-    small = raw.where("anchor IS NOT NULL").repartition("anchor").sortWithinPartitions("anchor")
-    found = small.mapInPandas(_blocks(width), "doc_id bigint, tk bigint, start bigint, end bigint")
-    hot = stable(raw.where("anchor IS NULL").mapInPandas(_joined(_windows(width)), "doc_id bigint, tk bigint, start bigint, d1 bigint, d2 bigint"))
-    twice = hot.groupBy(F.col("d1").alias("k1"), F.col("d2").alias("k2")).count().where("count > 1")
-    single = hot.join(twice, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).select(*KEY, "start", (F.col("start") + width).alias("end"))
-    return whole.unionByName(found).unionByName(single)
+    raw = with_text.mapInPandas(_joined(_cut_out(width)), "anchor bigint, hot boolean, doc_id bigint, tk bigint, start bigint, raw binary")
+    dealt = F.when(F.col("hot"), F.xxhash64(*KEY, "start")).otherwise(F.col("anchor"))
+    found = stable(
+        raw.withColumn("to", dealt).repartition("to").sortWithinPartitions("anchor").drop("to").mapInPandas(_joined(_blocks(width)), FOUND)
+    )
+    windows = found.where("d1 IS NOT NULL")
+    twice = windows.groupBy(F.col("d1").alias("k1"), F.col("d2").alias("k2")).agg(F.count("*").alias("c")).where("c > 1")
+    single = windows.join(twice, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).select(*KEY, "start", "end")
+    return whole.unionByName(found.where("d1 IS NULL").select(*KEY, "start", "end")).unionByName(single)
 
 
 def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
