@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eoframe.llm import exact, hosts, mixing, packing, repeats, simhash, spots, toxicity
+from eoframe.llm import credentials, exact, hosts, mixing, packing, repeats, simhash, spots, toxicity
 
 RUNS = {
     "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
@@ -10,6 +10,7 @@ RUNS = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_spot_fingerprints": spots.op6_spot_fingerprints,
+    "op7_credential_scan": credentials.op7_credential_scan,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_url_reputation": hosts.op9_url_reputation,
     "op10_mixing": mixing.op10_mixing,
