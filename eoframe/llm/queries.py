@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from eoframe.llm import credentials, exact, hosts, mixing, packing, repeats, simhash, spots, toxicity
+from eoframe.llm import credentials, exact, hosts, mixing, packing, quotes, repeats, simhash, spots, toxicity
 
 RUNS = {
     "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
     "op2_packing": packing.op2_packing,
+    "op3_quotation_linking": quotes.op3_quotation_linking,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_spot_fingerprints": spots.op6_spot_fingerprints,
