@@ -119,7 +119,7 @@ NDVI_CLASSES = (
     ("Herbácea rala, cultivo recién emergido", 0.2, 0.4, "Cubierta densa con vigor bajo"),
     ("Cultivo en desarrollo, pasto en crecimiento", 0.4, 0.6, "Cubierta rala con vigor alto"),
     ("Cultivo cerrado, pasto vigoroso, regeneración", 0.6, 0.8, "Cubierta media con vigor muy alto"),
-    ("Dosel cerrado", 0.8, None, "Zona de saturación"),
+    ("Dosel cerrado", 0.8, None, "Zona de saturación: el NDVI deja de resolver dentro de este tramo. Para separar ahí, use EVI2"),
 )
 
 # Burn-severity classes in index units, half-open (label, from, to)

@@ -69,16 +69,14 @@ def zoom_resolution(zoom: Column, lat: Column) -> Column:
 
 def sample_points(west: Column, south: Column, east: Column, north: Column, n: int) -> Column:
     """ARRAY<STRUCT<lon, lat>> of n x n cell centres; n of one or less gives the centre."""
-    n = max(1, int(n))
-    if n == 1:
-        cells = [((west + east) / 2.0, (south + north) / 2.0)]
-    else:
-        cells = [
-            (west + F.lit((i + 0.5) / n) * (east - west), south + F.lit((j + 0.5) / n) * (north - south))
-            for i in range(n)
-            for j in range(n)
-        ]
-    return F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in cells])
+    side = F.greatest(F.lit(n), F.lit(1))
+
+    def centre(low: Column, high: Column, cell: Column) -> Column:
+        return F.when(side == 1, (low + high) / 2.0).otherwise(low + (cell + 0.5) / side * (high - low))
+
+    numbers = F.sequence(F.lit(0), side * side - 1)
+    return F.transform(numbers, lambda k: F.struct(
+        centre(west, east, F.floor(k / side)).alias("lon"), centre(south, north, k % side).alias("lat")))
 
 
 def pixel_dimensions(west: Column, south: Column, east: Column, north: Column, res_m: Column) -> Column:

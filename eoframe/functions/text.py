@@ -259,13 +259,19 @@ def equal_interval_class(v: Column, lo: float, hi: float, n: int) -> Column:
     return F.when(v.between(lo, hi), F.least(F.lit(n), number).cast("int"))
 
 
-def equal_interval_labels(lo: float, hi: float, n: int) -> list[tuple[int, str, bool]]:
-    """(class, 'a – b', zero off the edges?) for the classes of :func:`equal_interval_class`."""
-    n = max(3, int(n))
-    width = (hi - lo) / n
-    nearest = min(abs(lo + k * width) for k in range(n + 1))
-    off = lo < 0.0 < hi and nearest > width * 0.05
-    return [(i + 1, f"{lo + i * width:.3f} – {lo + (i + 1) * width:.3f}", off) for i in range(n)]
+def equal_interval_labels(lo: Column, hi: Column, n: Column) -> Column:
+    """ARRAY<STRUCT<class, label, zero_off>> for the classes of :func:`equal_interval_class`.
+
+    ``zero_off`` says that zero lies inside a class, over a twentieth of its width from every edge.
+    """
+    parts = F.greatest(n, F.lit(3))
+    edges = F.transform(F.sequence(F.lit(0), parts), lambda k: lo + k * (hi - lo) / parts)
+    on_edge = F.exists(edges, lambda e: F.abs(e) <= (hi - lo) / parts * 0.05)
+    off = (lo < 0) & (hi > 0) & ~on_edge
+    return F.transform(
+        F.arrays_zip(F.slice(edges, F.lit(1), parts).alias("a"), F.slice(edges, F.lit(2), parts).alias("b")),
+        lambda pair, i: F.struct((i + 1).alias("class"), F.format_string("%.3f – %.3f", pair["a"], pair["b"]).alias("label"), off.alias("zero_off")),
+    )
 
 
 def provenance(

@@ -98,13 +98,14 @@ def latest_periods(grouped: DataFrame, max_n: int) -> DataFrame:
 
 
 def expected_periods(scenes: DataFrame, start: str, end: str, strategy: str, floor_year: int | None) -> DataFrame:
-    first = max(int(start[:4]), floor_year) if floor_year else int(start[:4])
-    years = range(first, int(end[:4]) + 1)
-    if strategy == "anual":
-        keys = [str(y) for y in years]
-    else:
-        keys = [k for y in years for m in range(1, 13) if start[:7] <= (k := f"{y}-{m:02d}") <= end[:7]]
-    return scenes.sparkSession.createDataFrame([(k,) for k in keys], "period STRING")
+    """One row per year or month that ``start`` to ``end`` touches, none before the floor."""
+    unit, shape = ("year", "yyyy") if strategy == "anual" else ("month", "yyyy-MM")
+    begin = F.trunc(F.lit(start).cast("date"), unit)
+    if floor_year:
+        begin = F.greatest(begin, F.make_date(F.lit(floor_year), F.lit(1), F.lit(1)))
+    last = F.trunc(F.lit(end).cast("date"), unit)
+    days = F.when(begin <= last, F.sequence(begin, last, F.expr(f"INTERVAL 1 {unit}")))
+    return scenes.sparkSession.range(1).select(F.explode(days).alias("day")).select(F.date_format("day", shape).alias("period"))
 
 
 def empty_periods(
@@ -267,12 +268,15 @@ def _lookup(key: Column, family: Column, s2: dict, ls: dict, s2_else: Column, ls
 
 def band_label(key: Column) -> Column:
     """What a band is on each sensor, e.g. 'rojo — S2 B04 10 m · Landsat red 30 m'."""
-    labels = {
-        k: f"{name} — " + (f"S2 {n2} {r2} m" if n2 else "S2 no") + " · " + (f"Landsat {ls[0]} {rl} m" if ls else "Landsat no")
-        for k, name, _, n2, r2, ls, rl in dims.BANDS
-    }
-    pairs = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, key), key)
+    def part(sensor: str, name: Column, res: Column) -> Column:
+        return F.coalesce(F.format_string(f"{sensor} %s %s m", name, res), F.lit(f"{sensor} no"))
+
+    columns = zip(*[(k, name, n2, str(r2), ls[0] if ls else None, str(rl)) for k, name, _, n2, r2, ls, rl in dims.BANDS])
+    keys, *facts = [F.array(*[F.lit(x) for x in c]) for c in columns]
+    at = F.array_position(keys, key).cast("int") - 1
+    name, s2, s2_res, ls, ls_res = [F.get(f, at) for f in facts]
+    sensors = F.concat_ws(" · ", F.when(s2.isNull(), F.lit("S2 no")).otherwise(part("S2", s2, s2_res)), F.when(ls.isNull(), F.lit("Landsat no")).otherwise(part("Landsat", ls, ls_res)))
+    return F.when(at >= 0, F.concat_ws(" — ", name, sensors)).otherwise(key)
 
 
 def band_suffix(key: Column, family: Column) -> Column:

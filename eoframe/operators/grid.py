@@ -133,6 +133,8 @@ def align_to_reference(stack: DataFrame, reference: Grid, by: Sequence[str], val
         & (F.col("dx") == reference.dx)
         & (F.col("dy") == reference.dy)
     )
+    # a row without a frame stays on the reference grid, as one whose frame is the reference's
+    same = F.coalesce(same, F.lit(True))
     inside = F.col("px_col").between(0, reference.cols - 1) & F.col("px_row").between(0, reference.rows - 1)
     untouched = stack.where(same & inside).select(
         *by, F.col("px_col").cast("int").alias("px_col"), F.col("px_row").cast("int").alias("px_row"), *values

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eoframe.functions.radiometry import finite
 from eoframe.session import stable
 
 # Buckets per factor e of the value; one bucket spans 0.1 % of its value.
@@ -55,7 +56,7 @@ def exact_quantiles(
     """
     by = list(by)
     facts = ["n_total", "n_valid", "v_min", "v_max"]
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).withColumn("_b", value_bucket(F.col("_v")))
+    rows = df.select(*by, finite(F.col(value)).alias("_v")).withColumn("_b", value_bucket(F.col("_v")))
     hist = rows.groupBy(*by, "_b").agg(
         F.count(F.lit(1)).alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )

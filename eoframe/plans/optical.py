@@ -23,7 +23,7 @@ def check_optical(
     amplitude: bool,
     fire_date: str | None,
     bands: Sequence[str] = (),
-    max_scenes: int = 20,
+    max_scenes: int | None = None,
     candidates: int = 3,
     min_obs: int = dims.MIN_OBS,
 ) -> None:
@@ -58,11 +58,9 @@ def check_optical(
     assets = [a[0] for b in bands if (a := band_aliases(b, family))]
     if len(set(assets)) != len(assets):
         raise ValueError("two of the bands are the same asset on this sensor")
-    for name, value, lo, hi in (
-        ("max_scenes", max_scenes, 1, 500), ("candidates", candidates, 1, 8), ("min_obs", min_obs, 1, 20)
-    ):
-        if not lo <= value <= hi:
-            raise ValueError(f"{name} must lie in {lo}..{hi}")
+    for name, value in (("max_scenes", max_scenes), ("candidates", candidates), ("min_obs", min_obs)):
+        if value is not None and value < 1:
+            raise ValueError(f"{name} must be 1 or more")
 
 
 def select_scenes(
@@ -74,7 +72,7 @@ def select_scenes(
     end: str,
     cloud_max: float = 70.0,
     aoi_cloud_max: float = 100.0,
-    max_scenes: int = 20,
+    max_scenes: int | None = None,
     candidates: int = 3,
     order: str = "desc",
 ) -> DataFrame:
@@ -85,7 +83,8 @@ def select_scenes(
     """
     if order in ("anual", "mensual"):
         found = catalog.search_scenes(scenes, collection, bbox, start, end, cloud_max, direction="asc")
-        chosen = catalog.latest_periods(catalog.top_per_period(found, order, candidates), max_scenes).drop("period", "rank")
+        best = catalog.top_per_period(found, order, candidates)
+        chosen = (best if max_scenes is None else catalog.latest_periods(best, max_scenes)).drop("period", "rank")
     else:
         chosen = catalog.search_scenes(scenes, collection, bbox, start, end, cloud_max, max_scenes, order)
     chosen = chosen.drop("aoi_cloud_pct", "data_pct")
@@ -107,7 +106,7 @@ def optical_run(
     family: str = "s2",
     cloud_max: float = 70.0,
     aoi_cloud_max: float = 100.0,
-    max_scenes: int = 20,
+    max_scenes: int | None = None,
     candidates: int = 3,
     order: str = "desc",
     amplitude: bool = False,

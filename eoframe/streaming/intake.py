@@ -9,25 +9,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def append_new(batch: DataFrame, out_path: str, key: Sequence[str] = ("scene_id",), order: Sequence[str] = ("datetime",)) -> None:
+    """Append the rows of ``batch`` whose key the Parquet table does not have yet.
+
+    Of rows with the same key in the batch the first by ``order`` (then by all
+    columns) stays.  A batch that is run again finds its keys there.
+    """
+    spark = batch.sparkSession
+    rest = [c for c in batch.columns if c not in key]
+    rank = F.struct(*order, F.xxhash64(*rest))
+    fresh = batch.groupBy(*key).agg(F.min_by(F.struct(*rest), rank).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in rest])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        fresh = fresh.join(spark.read.schema(batch.schema).parquet(out_path).select(*key), list(key), "left_anti")
+    fresh.select(*batch.columns).write.mode("append").parquet(out_path)
+
+
 def stream_new_scenes(
     arrivals: DataFrame, out_path: str, checkpoint: str, key: Sequence[str] = ("scene_id",), time: str = "datetime",
-    delay: str = "30 days",
 ) -> StreamingQuery:
     """Append each new scene once to Parquet; run it as often as you like.
 
-    ``arrivals`` is a streaming DataFrame with a timestamp column.  Duplicates
-    are remembered for ``delay`` behind the newest time seen; rows older than
-    that are dropped by Spark.  The run takes what is there and ends.
+    ``arrivals`` is a streaming DataFrame with a timestamp column.  Each batch
+    is compared with what the table has, so a scene may come at any time and in
+    any order, and none is dropped for its age.  The run takes what is there and ends.
     """
     return (
         arrivals.withColumn(time, F.col(time).cast("timestamp"))
-        .withWatermark(time, delay)
-        .dropDuplicatesWithinWatermark(list(key))
-        .writeStream.format("parquet")
-        .outputMode("append")
+        .writeStream.foreachBatch(lambda batch, _: append_new(batch, out_path, key, (time,)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(out_path)
+        .start()
     )
 
 
