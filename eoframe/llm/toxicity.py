@@ -36,7 +36,7 @@ SAMPLE = 20_000
 WORDS = 16_000
 LANDMARKS = 240
 GAP = 2
-DECAY = 0.5
+DECAY = 0.7
 THRESHOLD = 0.3
 LENGTH = 4
 ENDS = 1
@@ -178,7 +178,7 @@ FEATURES = 6
 
 
 def text_features(texts: list[str], machine: tuple) -> np.ndarray:
-    """Per text: how many of its words score above 0 and 0.5 (logs and shares), the highest score, and its length."""
+    """Per text: how many of its words score above 0.2 and 0.5 (logs and shares), the highest score, and its length."""
     codes, weights, bias = machine
     dense = _table(codes, weights)
     out = np.zeros((len(texts), FEATURES))
@@ -200,7 +200,7 @@ def text_features(texts: list[str], machine: tuple) -> np.ndarray:
             f = (f / norms(kinds) + bias)[number]
             have = np.flatnonzero(counts)
             starts = (np.cumsum(counts) - counts)[have]
-            low, high = np.add.reduceat(f > 0, starts, dtype=np.int64), np.add.reduceat(f > 0.5, starts, dtype=np.int64)
+            low, high = np.add.reduceat(f > 0.2, starts, dtype=np.int64), np.add.reduceat(f > 0.5, starts, dtype=np.int64)
             n = counts[have]
             out[at + have] = np.stack(
                 [np.log1p(low), np.log1p(high), low / n, high / n, np.clip(np.maximum.reduceat(f, starts), -1, 2), np.log1p(n)], axis=1
@@ -211,7 +211,8 @@ def text_features(texts: list[str], machine: tuple) -> np.ndarray:
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     """Weights on standardised features, folded back; last entry is the bias."""
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread = np.where(spread < 1e-3, 1.0, spread)  # a feature that never varies must not weigh on other texts
     z = np.hstack([(x - mean) / spread, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     ridge = np.full(z.shape[1], 0.05)
