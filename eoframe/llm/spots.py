@@ -16,6 +16,7 @@ a null doc_id comes first; empty tables give none.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,8 +94,8 @@ def classes(signed: DataFrame, least: float = 0.8) -> DataFrame:
     return own.join(named.withColumnRenamed("h", "nh"), (F.col("h") == F.col("nh")) & (F.col("signatures") == F.col("sg"))).select("doc_id", "class_id", "links")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` (doc_id, tk, ...) with ``next_<c>`` of the row after it in order of doc_id; after the last comes the first.
+def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``derive(docs)`` (doc_id, tk, ...) with ``next_<c>`` of the row after it in order of doc_id; after the last comes the first.
 
     Rows are dealt by ranges of doc_id; the few rows that end a range find the
     first row of the next range by a join.
@@ -106,17 +107,19 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     if bounds:
         listed = F.array(*[F.lit(int(b)) for b in bounds])
         bin_ = F.size(F.filter(listed, lambda b: b <= F.col("doc_id")))
-    d = docs.withColumn("bin", bin_)
+    binned = docs.withColumn("bin", bin_)
+    d = derive(binned)
     order = Window.partitionBy("bin").orderBy("doc_id", "tk")
     seen = d.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns], F.lead(F.lit(1)).over(order).alias("has"))
     inner = seen.where("has IS NOT NULL").drop("bin", "has")
     # a row of a few numbers per range, at most four times the shuffle partitions
-    firsts = d.select("bin", "doc_id", "tk").groupBy("bin").agg(F.min(F.struct("doc_id", "tk")).alias("f"))
+    firsts = binned.select("bin", "doc_id", "tk").groupBy("bin").agg(F.min(F.struct("doc_id", "tk")).alias("f"))
     around = Window.orderBy("bin")
     after = stable(firsts.select(
         F.col("bin").alias("eb"), F.coalesce(F.lead("f").over(around), F.first("f").over(around.rowsBetween(Window.unboundedPreceding, 0))).alias("f")
     ).select("eb", F.col("f.doc_id").alias("fd"), F.col("f.tk").alias("ft")))
-    heads = d.join(F.broadcast(after), (F.col("doc_id") == F.col("fd")) & (F.col("tk") == F.col("ft"))).select(
+    few = docs.join(F.broadcast(after), (F.col("doc_id") == F.col("fd")) & (F.col("tk") == F.col("ft")))
+    heads = derive(few).select(
         "eb", *[F.col(c).alias(f"next_{c}") for c in columns]).dropDuplicates(["eb"])
     last = seen.where("has IS NULL").drop("has", *[f"next_{c}" for c in columns]).join(heads, F.col("bin") == F.col("eb")).drop("bin", "eb")
     return inner.unionByName(last)
@@ -124,8 +127,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per document."""
-    d = with_signatures(with_key(docs), "text", "fingerprint")
-    d = with_next(d, ["text", "fingerprint"])
+    d = with_next(with_key(docs), ["text", "fingerprint"], lambda t: with_signatures(t, "text", "fingerprint"))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     d = d.select(
