@@ -29,6 +29,7 @@ CAP = 2.0
 STEPS = 60
 BINS = 4096
 PASSES = 4
+SALTS = 32
 
 
 def size_of(text: Column) -> Column:
@@ -105,6 +106,15 @@ def unit(*columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) * F.lit(2.0**-53)
 
 
+def salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def every_salt(per_source: DataFrame) -> DataFrame:
+    """A small table with one row per source, once for every salt ``cs``: a hot source is joined in ``SALTS`` parts."""
+    return per_source.withColumn("cs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def copies_for(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, n, size, source_size, target, ordinal, copies): a row per document row.
 
@@ -126,16 +136,17 @@ def copies_for(docs: DataFrame) -> DataFrame:
     )
     rows = (
         docs.withColumn("ordinal", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-        .join(duals, F.col("source").eqNullSafe(F.col("ts")))
-        .select("doc_id", "tk", "source", "ordinal", "size", "no", "source_size", "target", (rate + unit("doc_id", "tk", "ordinal")).alias("y"))
+        .withColumn("s", salt("doc_id", "tk", "ordinal"))
+        .join(every_salt(duals), F.col("source").eqNullSafe(F.col("ts")) & (F.col("s") == F.col("cs")))
+        .select("doc_id", "tk", "source", "ordinal", "s", "size", "no", "source_size", "target", (rate + unit("doc_id", "tk", "ordinal")).alias("y"))
     )
     rows = stable(rows)
-    events = rows.where("size > 0").select("no", "size", F.explode(F.array(1 - F.col("y"), 2 - F.col("y"))).alias("at"))
+    events = rows.where("size > 0").select("no", "s", "size", F.explode(F.array(1 - F.col("y"), 2 - F.col("y"))).alias("at"))
     # narrow [low, low + width) per source; taken: tokens of all events below low
     cut = stable(targets.select(F.col("no").alias("cn"), F.col("target").alias("goal"), F.lit(-2.0).alias("low"), F.lit(4.0).alias("width"), F.lit(0).cast("bigint").alias("taken")))
     for _ in range(PASSES):
         bin_ = F.floor((F.col("at") - F.col("low")) / F.col("width") * BINS)
-        inside = events.join(cut, F.col("no") == F.col("cn")).where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + F.col("width")))
+        inside = events.join(every_salt(cut), (F.col("no") == F.col("cn")) & (F.col("s") == F.col("cs"))).where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + F.col("width")))
         bins = inside.groupBy("cn", bin_.alias("bin")).agg(F.sum("size").alias("sum"))
         upto = Window.partitionBy("cn").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         before = bins.withColumn("before", F.coalesce(F.sum("sum").over(upto), F.lit(0)))
@@ -150,12 +161,12 @@ def copies_for(docs: DataFrame) -> DataFrame:
             )
         )
     at = cut.select("cn", F.col("low").alias("theta"), "goal")
-    first = rows.join(at, F.col("no") == F.col("cn")).withColumn(
+    first = rows.join(every_salt(at), (F.col("no") == F.col("cn")) & (F.col("s") == F.col("cs"))).withColumn(
         "copies", ((F.col("theta") > 1 - F.col("y")).cast("int") + (F.col("theta") > 2 - F.col("y")).cast("int"))
     )
     # the row whose one copy more or less brings the source nearest to its target
     gaps = first.groupBy(F.col("no").alias("gn")).agg((F.first("goal") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-    moves = first.where("size > 0").join(stable(gaps), F.col("no") == F.col("gn")).select(
+    moves = first.where("size > 0").join(every_salt(stable(gaps)).withColumnRenamed("cs", "gs"), (F.col("no") == F.col("gn")) & (F.col("s") == F.col("gs"))).select(
         "no", "doc_id", "tk", "ordinal", "gap", F.explode(F.array(F.lit(1), F.lit(-1))).alias("move"), "copies", "size"
     ).where("copies + move BETWEEN 0 AND 2")
     best = stable(
