@@ -147,23 +147,31 @@ def suffix_order(text: np.ndarray, rest: np.ndarray) -> np.ndarray:
     n = len(text)
     padded = np.concatenate((text.astype(np.int64) + 1, np.zeros(8, dtype=np.int64)))
     key = np.zeros(n, dtype=np.int64)
-    for k in range(6):  # six bytes and ends, base 257
-        key = key * 257 + np.where(rest > k, padded[k : n + k], 0)
-    order = np.argsort(key, kind="stable")
     span = 6
+    for k in range(span):  # six bytes and ends, base 257
+        key = key * 257 + np.where(rest > k, padded[k : n + k], 0)
+    order = np.argsort(key)
+    rank = np.empty(n, dtype=np.int64)
+    slots = np.arange(n)  # places of ``order`` that are not yet settled
+    key = key[order]
+    done = rest[order] < 0
     while True:
-        s = key[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], (s[1:] != s[:-1]).astype(np.int64))))
-        top = rank[order[-1]] + 1 if n else 0
-        if top == n or span >= rest.max():
+        # a suffix ranks by the first slot of its group
+        new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(key)))
+        rank[order[slots]] = np.repeat(slots[first], size)
+        # groups of one, and of suffixes that have ended, are settled
+        slots = slots[np.repeat(size > 1, size) & ~done]
+        if not len(slots):
             return np.argsort(rank, kind="stable")
-        later = np.zeros(n, dtype=np.int64)
-        inside = rest > span
-        later[inside] = rank[np.flatnonzero(inside) + span] + 1
-        # only suffixes that are still tied need sorting
-        key = rank * (n + 1) + later
-        order = np.argsort(key, kind="stable")
+        at = order[slots]
+        later = np.zeros(len(at), dtype=np.int64)
+        inside = rest[at] > span
+        later[inside] = rank[at[inside] + span] + 1
+        key = rank[at] * (n + 1) + later
+        by = np.argsort(key)
+        order[slots], key, done = at[by], key[by], later[by] == 0
         span *= 2
 
 
