@@ -314,11 +314,11 @@ def repeated_stretches(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -
         .agg(F.count("*").alias("c"), F.min("digest").alias("least"), F.max("digest").alias("most"))
         .where("c > 1").select("ka", F.expr("least <> most").alias("mixed"))
     )
-    again = stable(rows.join(anchors, F.col("anchor") == F.col("ka")).drop("ka"))
+    again, _ = stored(rows.join(anchors, F.col("anchor") == F.col("ka")).drop("ka"))
     remove()
     # one row per different segment of a mixed anchor; any of its places stands for it
     mixed = again.where("mixed")
-    kinds = stable(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in (*KEY, "start", "n")]))
+    kinds, _ = stored(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in (*KEY, "start", "n")]))
     often = kinds.where("copies > 1").select(F.col("anchor").alias("ka"), F.col("digest").alias("kd"))
     whole = again.where("NOT mixed").select(*KEY, "start", end).unionByName(
         mixed.join(often, (F.col("anchor") == F.col("ka")) & (F.col("digest") == F.col("kd"))).select(*KEY, "start", end)
