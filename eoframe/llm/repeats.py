@@ -14,9 +14,9 @@ segments with the same anchor can hold equal windows.
   give, streamed in text order, the matching statistics of every position against
   all other positions: inside a run they fall by one per byte.  Statistics of
   ``width`` or more mark a window.
-* An anchor with more than ``GROUP`` different segments is cut again with the
-  window itself as anchor, where equal windows are equal segments, so no group
-  is ever too large for a block.
+* An anchor with more than ``GROUP`` different segments is dealt into parts, each
+  indexed as a block; the different windows of its parts then meet by digest, so
+  no group is ever too large for a block.
 
 Defined results: null texts are empty; texts shorter than ``width`` lose nothing;
 rows equal in doc_id and text repeat each other; a null doc_id stays null; empty
@@ -39,7 +39,7 @@ from eoframe.session import stable
 
 WIDTH = 200
 GRAM = 32
-GROUP = 2000  # different segments of an anchor that one block takes
+GROUP = 2000  # different segments of an anchor that one block takes, about
 BLOCK = 400_000  # bytes of segments after which a block is closed
 PIECE = 1 << 19  # bytes hashed at once
 
@@ -245,42 +245,57 @@ def _solve(rows: list[tuple], width: int) -> list[tuple]:
     return out
 
 
-FOUND = "doc_id bigint, tk bigint, start bigint, end bigint, d1 bigint, d2 bigint"
+FOUND = "doc_id bigint, tk bigint, start bigint, end bigint, d1 bigint, d2 bigint, single boolean"
 _NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
+def _windows(rows: list[tuple], width: int) -> pd.DataFrame:
+    """A row per different window of one block: its digest, a place, and whether the block has it once."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    counts = np.array([len(r[3]) - width + 1 for r in rows])
+    two = np.frombuffer(b"".join([digest(raw[i : i + width]) for _, _, _, raw in rows for i in range(len(raw) - width + 1)]), dtype=np.int64).reshape(-1, 2)
+    order = np.lexsort((two[:, 1], two[:, 0]))
+    ranked = two[order]
+    first = np.flatnonzero(np.concatenate(([True], (ranked[1:] != ranked[:-1]).any(axis=1))))
+    kept = order[first]
+    owner = np.repeat(np.arange(len(rows)), counts)[kept]
+    inside = kept - (np.cumsum(counts) - counts)[owner]
+    doc, tk, start = (np.array([r[i] for r in rows], dtype=np.int64)[owner] for i in range(3))
+    at = start + inside
+    single = np.diff(np.append(first, len(ranked))) == 1
+    return pd.DataFrame({"doc_id": doc, "tk": tk, "start": at, "end": at + width, "d1": two[kept, 0], "d2": two[kept, 1], "single": single})
+
+
 def _blocks(width: int):
-    """Rows come sorted by anchor; blocks are closed between anchors and give stretches (null digests).
+    """Rows come sorted by anchor and part; blocks are closed between parts and give stretches (null digests).
 
-    Rows of a group too large for a block (``hot``) give all their windows with digests.
+    A part of a larger anchor group (``parts`` above one) is a block of its own and
+    also gives its different windows with digests, which meet those of other parts.
     """
 
-    def stretches(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*x, None, None) for x in _solve(rows, width)], columns=_NAMES)
+    def stretches(rows: list[tuple], split: bool) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame([(*x, None, None, None) for x in _solve(rows, width)], columns=_NAMES)
+        if rows and split:
+            yield _windows(rows, width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        rows, size, last = [], 0, None
+        rows, size, last = [], 0, (None, 0, False)
         for pdf in batches:
-            for anchor, doc, tk, start, raw, hot in zip(
-                pdf.anchor.tolist(), pdf.doc_id.tolist(), pdf.tk.tolist(), pdf.start.tolist(), pdf.raw, pdf.hot.tolist()
+            for anchor, part, parts, doc, tk, start, raw in zip(
+                pdf.anchor.tolist(), pdf.part.tolist(), pdf.parts.tolist(), pdf.doc_id.tolist(), pdf.tk.tolist(), pdf.start.tolist(), pdf.raw
             ):
-                raw = bytes(raw)
-                if hot:
-                    n = len(raw) - width + 1
-                    two = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : i + width]) for i in range(n)]), dtype=np.int64).reshape(-1, 2)
-                    at = start + np.arange(n)
-                    yield pd.DataFrame({"doc_id": doc, "tk": tk, "start": at, "end": at + width, "d1": two[:, 0], "d2": two[:, 1]})
-                    continue
-                if anchor != last and size >= BLOCK:
-                    yield stretches(rows)
+                here = anchor, part, parts > 1
+                if here != last and (size >= BLOCK or here[2] or last[2]):
+                    yield from stretches(rows, last[2])
                     rows, size = [], 0
+                raw = bytes(raw)
                 rows.append((doc, tk, start, raw))
                 size += len(raw)
-                last = anchor
-        if rows:
-            yield stretches(rows)
+                last = here
+        yield from stretches(rows, last[2])
 
     return run
 
@@ -293,8 +308,8 @@ def _cut_out(width: int):
             for doc, tk, text, wanted in zip(pdf.doc_id.tolist(), pdf.tk.tolist(), pdf.text, pdf.wanted):
                 raw = _bytes(text)
                 yield pd.DataFrame(
-                    [(w["anchor"], w["hot"], doc, tk, w["start"], raw[w["start"] : w["start"] + w["n"] + width - 1]) for w in wanted],
-                    columns=["anchor", "hot", "doc_id", "tk", "start", "raw"],
+                    [(w["anchor"], w["parts"], doc, tk, w["start"], raw[w["start"] : w["start"] + w["n"] + width - 1]) for w in wanted],
+                    columns=["anchor", "parts", "doc_id", "tk", "start", "raw"],
                 )
 
     return run
@@ -324,19 +339,21 @@ def repeated_stretches(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -
         mixed.join(often, (F.col("anchor") == F.col("ka")) & (F.col("digest") == F.col("kd"))).select(*KEY, "start", end)
     )
     per_anchor = kinds.groupBy(F.col("anchor").alias("ka")).agg(F.count("*").alias("kinds"), F.min("copies").alias("least"))
-    open_ = stable(per_anchor.where("least = 1").select("ka", (F.col("kinds") > GROUP).alias("hot")))
+    # a larger group is dealt into parts of about GROUP segments
+    open_ = stable(per_anchor.where("least = 1").select("ka", F.ceil(F.col("kinds") / GROUP).cast("int").alias("parts")))
     unsure = kinds.join(open_, F.col("anchor") == F.col("ka"))
     # segments of one document, as many as its length allows
-    lists = unsure.groupBy(*[F.col(c).alias(f"w_{c}") for c in KEY]).agg(F.collect_list(F.struct("anchor", "hot", "start", "n")).alias("wanted"))
+    lists = unsure.groupBy(*[F.col(c).alias(f"w_{c}") for c in KEY]).agg(F.collect_list(F.struct("anchor", "parts", "start", "n")).alias("wanted"))
     with_text = keyed.join(lists, (F.col("doc_id") == F.col("w_doc_id")) & (F.col("tk") == F.col("w_tk"))).select(*KEY, "text", "wanted")
-    raw = with_text.mapInPandas(_joined(_cut_out(width)), "anchor bigint, hot boolean, doc_id bigint, tk bigint, start bigint, raw binary")
-    dealt = F.when(F.col("hot"), F.xxhash64(*KEY, "start")).otherwise(F.col("anchor"))
+    raw = with_text.mapInPandas(_joined(_cut_out(width)), "anchor bigint, parts int, doc_id bigint, tk bigint, start bigint, raw binary")
+    raw = raw.withColumn("part", F.pmod(F.xxhash64(*KEY, "start"), "parts"))
     found = stable(
-        raw.withColumn("to", dealt).repartition("to").sortWithinPartitions("anchor").drop("to").mapInPandas(_joined(_blocks(width)), FOUND)
+        raw.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInPandas(_joined(_blocks(width)), FOUND)
     )
+    # of a window only one place per part goes on, so one that most segments hold is no large group
     windows = found.where("d1 IS NOT NULL")
     twice = windows.groupBy(F.col("d1").alias("k1"), F.col("d2").alias("k2")).agg(F.count("*").alias("c")).where("c > 1")
-    single = windows.join(twice, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).select(*KEY, "start", "end")
+    single = windows.where("single").join(twice, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).select(*KEY, "start", "end")
     return whole.unionByName(found.where("d1 IS NULL").select(*KEY, "start", "end")).unionByName(single)
 
 
