@@ -154,7 +154,7 @@ def output_names(scenes: DataFrame, suffix: str) -> DataFrame:
         F.coalesce(F.nullif(F.col("grid"), F.lit("")), F.lit("NA")),
         F.lit(suffix),
     )
-    named = scenes.withColumns({"_base": base, "_day": F.substring(text, 9, 2)})
+    named = scenes.withColumns({"_base": base, "_day": F.coalesce(F.nullif(F.substring(text, 9, 2), F.lit("")), F.lit("00"))})
     numbered = number_rows(named, ["_base", "_day"], [F.col("acquired"), F.col("scene_id")], "_nth")
     # a base covers one month, so it has at most 31 days; its first scene sits in the first day
     first_day = named.groupBy("_base").agg(F.min("_day").alias("_first"))
@@ -218,9 +218,18 @@ def suspicious_extent(west: Column, south: Column, east: Column, north: Column)
 
 
 def collect_new(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Existing rows plus the incoming ones not yet there; running it again changes nothing."""
-    fresh = incoming.dropDuplicates(list(key)).join(existing, list(key), "left_anti")
-    return existing.unionByName(fresh)
+    """Existing rows plus the incoming ones not yet there; running it again changes nothing.
+
+    Of incoming rows with one key the same one stays in every run.
+    """
+    rest = [c for c in incoming.columns if c not in key]
+    if rest:
+        row = F.struct(*rest)
+        one = incoming.groupBy(*key).agg(F.min_by(row, F.struct(F.xxhash64(F.to_json(row)), F.to_json(row))).alias("_r"))
+        one = one.select(*key, *[F.col("_r")[c].alias(c) for c in rest])
+    else:
+        one = incoming.distinct()
+    return existing.unionByName(one.join(existing, list(key), "left_anti"))
 
 
 # ------------------------------------------------------------- bands and assets
@@ -352,7 +361,8 @@ def scenes_from_footprints(footprints: DataFrame) -> tuple[DataFrame, DataFrame]
     """(scenes, rejected) of a reviewed footprint table.
 
     Rows whose ``assets`` text is unreadable or empty are rejected and kept
-    apart, never lost.
+    apart, never lost.  ``assets`` maps names to links, as :func:`resolve_asset`
+    wants it; collection and catalogue are there when the table has them.
     """
     links = F.from_json(F.col("assets"), "MAP<STRING,STRING>", {"mode": "PERMISSIVE"})
     parsed = footprints.withColumn("_links", links)
@@ -367,7 +377,9 @@ def scenes_from_footprints(footprints: DataFrame) -> tuple[DataFrame, DataFrame]
         F.col("plataforma").alias("platform"),
         F.col("tile").alias("grid"),
         F.col("epsg"),
-        F.transform_values("_links", lambda _, v: F.struct(v.alias("href"))).alias("assets"),
+        F.try_to_date(F.col("fecha"), "yyyy-MM-dd").alias("acquired"),
+        *[F.col(own).alias(name) for own, name in (("coleccion", "collection"), ("catalogo", "catalog")) if own in footprints.columns],
+        F.col("_links").alias("assets"),
     )
     rejected = parsed.where(~usable).drop("_links")
     return scenes, rejected

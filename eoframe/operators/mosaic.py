@@ -54,27 +54,33 @@ def filter_published(versions: DataFrame, start: str | None, end: str | None) ->
 # ------------------------------------------------------------- folds over tiles
 
 
+UNLISTED = -2  # place of a redirect whose target is no listed version
+
+
 def _walk_redirects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Follow each tile's cells, newest first; only the next position is kept between rows."""
-    tile, wanted, step = None, 0, 0
+    """Follow each tile's cells from the newest one; skipped cells wait in case the walk comes back."""
+    tile, wanted, step, skipped = None, 0, 0, {}
     for batch in batches:
         found = []
-        for key, pos, num, has, sel_pos, sel_num, size in zip(
+        for key, pos, *cell in zip(
             batch.tile_key, batch.pos, batch.num, batch.has_data, batch.select_pos, batch.select_num, batch.size_bytes
         ):
             if key != tile:
-                tile, wanted, step = key, 0, 0
-            if wanted is None or pos < wanted:
+                tile, wanted, step, skipped = key, 0, 0, {}
+            if wanted is None:
                 continue
-            if pos > wanted or not has:
-                wanted = None
+            if pos > wanted:  # the cell asked for is missing
+                wanted, skipped = None, {}
                 continue
-            redirected = sel_pos >= 0
-            step += 1
-            found.append((key, step, sel_num if redirected else num, size))
-            wanted = (sel_pos if redirected else pos) + 1
-            if wanted <= pos:
-                wanted = None
+            skipped[pos] = cell
+            while wanted is not None and wanted <= pos:
+                num, has, target, target_num, size = skipped.pop(wanted, (None, False, None, None, None))
+                if not has:  # without data, or visited before
+                    wanted, skipped = None, {}
+                    break
+                step += 1
+                found.append((key, step, num if target == -1 else target_num, size))
+                wanted = None if target == UNLISTED else (wanted if target == -1 else target) + 1
         yield pd.DataFrame(found, columns=["tile_key", "step", "num", "size_bytes"])
 
 
@@ -82,9 +88,12 @@ def changed_versions(tilemap: DataFrame) -> DataFrame:
     """Versions with a local change, per tile, from the newest on.
 
     ``tilemap``: tile_key, pos (0 is newest), num, has_data, select_pos,
-    select_num (NULL or 0: itself), size_bytes.  A cell without data, a missing
-    cell or a step back ends the walk.  The rows of a tile stream through a
-    sorted partition with constant state; no tile is held in memory.
+    select_num (NULL or 0: itself), size_bytes.  The walk goes on with the
+    version after the one a cell names, newer or older.  A cell without data, a
+    missing cell, a version met before or a target without a position ends it;
+    such a target is still reported.  The rows of a tile stream through a sorted
+    partition; only cells the walk jumped over are kept, fewer than the versions
+    ever published.
     """
     redirect = F.coalesce(F.col("select_num"), F.lit(0)) != 0
     cells = tilemap.select(
@@ -92,7 +101,7 @@ def changed_versions(tilemap: DataFrame) -> DataFrame:
         F.col("pos").cast("long").alias("pos"),
         F.col("num").cast("long").alias("num"),
         F.coalesce(F.col("has_data"), F.lit(False)).alias("has_data"),
-        F.when(redirect, F.col("select_pos").cast("long")).otherwise(F.lit(-1)).alias("select_pos"),
+        F.when(redirect, F.coalesce(F.col("select_pos").cast("long"), F.lit(UNLISTED))).otherwise(F.lit(-1)).alias("select_pos"),
         F.coalesce(F.col("select_num"), F.lit(0)).cast("long").alias("select_num"),
         F.coalesce(F.col("size_bytes"), F.lit(0)).cast("long").alias("size_bytes"),
     )

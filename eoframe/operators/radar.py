@@ -16,16 +16,21 @@ from eoframe.operators.seasonal import seasonal_amplitude, season_of
 
 
 def normalize_granules(raw: DataFrame) -> DataFrame:
-    """Search records in the vocabulary used here; rows without a name are dropped."""
-    direction = F.lower(F.trim(F.coalesce(F.col("flight_direction"), F.lit("?"))))
+    """Search records in the vocabulary used here; rows without a name are dropped.
+
+    An empty direction or beam mode is '?'.
+    """
+    direction = F.lower(F.trim(F.coalesce(F.nullif(F.col("flight_direction"), F.lit("")), F.lit("?"))))
     pols = F.filter(F.split(F.coalesce(F.col("polarization"), F.lit("")), r"[+,\s]+"), lambda p: p != "")
-    keep = [c for c in raw.columns if c not in ("granule", "flight_direction", "polarization", "path")]
+    keep = [c for c in raw.columns if c not in ("granule", "flight_direction", "polarization", "path", "beam_mode")]
+    mode = [F.coalesce(F.nullif(F.col("beam_mode"), F.lit("")), F.lit("?")).alias("beam_mode")] if "beam_mode" in raw.columns else []
     return raw.select(
         F.trim(F.coalesce(F.col("granule"), F.lit(""))).alias("granule"),
         direction.alias("orbit_state"),
         F.col("path").alias("relative_orbit"),
         pols.alias("polarizations"),
         month_of(F.col("start_time"), F.col("granule")).alias("month"),
+        *mode,
         *keep,
     ).where(F.col("granule") != "")
 

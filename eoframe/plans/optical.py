@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from eoframe import dims
 from eoframe.operators import catalog, pixels as px, seasonal
 from eoframe.operators.catalog import band_aliases
+from eoframe.operators.grid import crop_bbox, crop_polygon
 
 
 def check_optical(
@@ -118,13 +120,25 @@ def optical_run(
     pixel_area_m2: float | None = None,
     pixel: Sequence[str] = ("grid", "px_col", "px_row"),
     work_path: str | None = None,
+    xy: tuple[str, str] | None = None,
+    rings: list[list[tuple[float, float]]] | None = None,
+    products: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Scenes, index values and the asked products, each a lazy DataFrame.
 
+    ``xy`` names the pixel columns in the units of ``bbox``: pixels outside the
+    box (and outside the polygon ``rings``) are cut off before anything is
+    measured.  Only the outputs in ``products`` (None: all the arguments give)
+    are planned; the statistics among them run jobs for their bucket lists.
+
     With ``work_path`` the index values are written there once and all
     products read them; otherwise each product computes what it needs.
     """
     check_optical(start, end, family, indices, dry, wet, amplitude, fire_date, (), max_scenes, candidates, min_obs)
+    if rings and not xy:
+        raise ValueError("a polygon needs the pixel columns it is measured in")
+    if xy:
+        pixels = crop_polygon(crop_bbox(pixels, bbox, *xy), rings, *xy) if rings else crop_bbox(pixels, bbox, *xy)
     chosen = select_scenes(
         scenes, pixels, collection, bbox, start, end, cloud_max, aoi_cloud_max, max_scenes, candidates, order
     )
@@ -134,20 +148,25 @@ def optical_run(
     if work_path:
         values.write.mode("errorifexists").partitionBy("index").parquet(work_path)
         values = scenes.sparkSession.read.parquet(work_path)
-    out = {"scenes": chosen, "values": values, "distribution": seasonal.index_distribution(values)}
+    makers: dict[str, Callable[[], DataFrame]] = {
+        "scenes": lambda: chosen, "values": lambda: values, "distribution": lambda: seasonal.index_distribution(values),
+    }
     if amplitude:
-        amp = seasonal.seasonal_amplitude(values, ("index", *pixel), dry, wet, min_obs)
-        out |= {
+        amp = cache(lambda: seasonal.seasonal_amplitude(values, ("index", *pixel), dry, wet, min_obs))
+        makers |= {
             "amplitude": amp,
-            "observations": seasonal.observation_summary(amp),
-            "empty_cause": seasonal.empty_product_cause(amp, min_obs),
-            "orphan_months": seasonal.orphan_months(values, dry, wet),
+            "observations": lambda: seasonal.observation_summary(amp()),
+            "empty_cause": lambda: seasonal.empty_product_cause(amp(), min_obs),
+            "orphan_months": lambda: seasonal.orphan_months(values, dry, wet),
         }
     if "NDVI" in indices:
-        out["ndvi_classes"] = seasonal.ndvi_classes(values)
+        makers["ndvi_classes"] = lambda: seasonal.ndvi_classes(values)
     if fire_date:
         nbr = values.where(F.col("index") == "NBR")
-        picks = seasonal.pick_fire_scenes(nbr, fire_date, assessment)
-        burnt = seasonal.dnbr(nbr, picks, pixel)
-        out |= {"fire_scenes": picks, "dnbr": burnt, "dnbr_classes": seasonal.dnbr_classes(burnt, pixel_area_m2)}
-    return out
+        # one row per scene tells the dates; the pixels of other scenes are not read for it
+        picks = seasonal.pick_fire_scenes(chosen, fire_date, assessment)
+        burnt = cache(lambda: seasonal.dnbr(nbr, picks, pixel))
+        makers |= {"fire_scenes": lambda: picks, "dnbr": burnt, "dnbr_classes": lambda: seasonal.dnbr_classes(burnt(), pixel_area_m2)}
+    if unknown := sorted(set(products or ()) - set(makers)):
+        raise ValueError(f"no such outputs: {unknown}")
+    return {name: make() for name, make in makers.items() if products is None or name in products}

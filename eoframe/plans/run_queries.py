@@ -41,12 +41,12 @@ def run(t: Tables, **options) -> dict[str, DataFrame]:
 
 @query(with_views(_SCENES + "SELECT scene_id, acquired, aoi_cloud_pct FROM k", "obs"))
 def optical_run_scenes(t: Tables) -> DataFrame:
-    return run(t)["scenes"].select("scene_id", "acquired", "aoi_cloud_pct")
+    return run(t, products=("scenes",))["scenes"].select("scene_id", "acquired", "aoi_cloud_pct")
 
 
 @query(with_views(_SCENES + ", v AS (SELECT * FROM idx_ndvi WHERE scene_id IN (SELECT scene_id FROM k)) " + _AMPLITUDE_SQL.format("v"), "idx_ndvi"))
 def optical_run_amplitude(t: Tables) -> DataFrame:
-    return run(t, indices=("NDVI",), amplitude=True)["amplitude"]
+    return run(t, indices=("NDVI",), amplitude=True, products=("amplitude",))["amplitude"]
 
 
 @query(with_views(_VERDICT.replace("month NOT IN (12, 1, 2, 6, 7, 8)", "month NOT IN (12, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)") + """

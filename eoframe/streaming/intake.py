@@ -19,8 +19,8 @@ def append_new(batch: DataFrame, out_path: str, key: Sequence[str] = ("scene_id"
     rest = [c for c in batch.columns if c not in key]
     rank = F.struct(*order, F.xxhash64(*rest))
     fresh = batch.groupBy(*key).agg(F.min_by(F.struct(*rest), rank).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in rest])
-    folder = spark._jvm.org.apache.hadoop.fs.Path(out_path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    fs, folder = _hadoop(spark, out_path)
+    if fs.exists(folder):
         fresh = fresh.join(spark.read.schema(batch.schema).parquet(out_path).select(*key), list(key), "left_anti")
     fresh.select(*batch.columns).write.mode("append").parquet(out_path)
 
@@ -43,6 +43,12 @@ def stream_new_scenes(
     )
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop objects."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def latest_status(observed: DataFrame, key: Sequence[str] = ("batch_name", "job_id")) -> DataFrame:
     """The last observed state of each job; combines before the shuffle."""
     rest = [c for c in observed.columns if c not in key]
@@ -56,8 +62,10 @@ def stream_job_status(
     """Keep the latest state per job in numbered Parquet snapshots.
 
     Each micro-batch merges with the snapshot before it and writes its own
-    folder, so a batch that is run again writes the same result and no reader
-    sees a half-written table.  :func:`read_job_status` reads the newest.
+    folder, so a batch that is run again writes the same result.  The committer
+    marks a folder when it is whole; :func:`read_job_status` reads the newest
+    marked one.  Two snapshots are kept, as a batch may be run again from the
+    one before it.
     """
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -65,6 +73,9 @@ def stream_job_status(
         if number > 0:
             rows = rows.unionByName(spark.read.parquet(f"{snapshot_path}/batch={number - 1}"))
         latest_status(rows, key).write.mode("overwrite").parquet(f"{snapshot_path}/batch={number}")
+        if number > 1:
+            fs, old = _hadoop(spark, f"{snapshot_path}/batch={number - 2}")
+            fs.delete(old, True)
 
     return (
         arrivals.writeStream.foreachBatch(merge)
@@ -75,7 +86,9 @@ def stream_job_status(
 
 
 def read_job_status(spark: SparkSession, snapshot_path: str) -> DataFrame:
-    """The newest snapshot of :func:`stream_job_status`."""
-    all_of_them = spark.read.parquet(snapshot_path)
-    newest = all_of_them.agg(F.max("batch").alias("b")).scalar()
-    return all_of_them.where(F.col("batch") == newest).drop("batch")
+    """The newest whole snapshot of :func:`stream_job_status`; FileNotFoundError if there is none."""
+    fs, marks = _hadoop(spark, f"{snapshot_path}/batch=*/_SUCCESS")
+    whole = [int(found.getPath().getParent().getName().partition("=")[2]) for found in fs.globStatus(marks) or ()]
+    if not whole:
+        raise FileNotFoundError(f"no snapshot under {snapshot_path}")
+    return spark.read.parquet(f"{snapshot_path}/batch={max(whole)}")

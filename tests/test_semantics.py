@@ -1,5 +1,6 @@
 """Cases that fix the meaning of the operators, each with a variant that must fail."""
 
+import random
 from datetime import date
 
 import numpy as np
@@ -303,13 +304,56 @@ def test_redirect_walk(spark):
     assert [(r.tile_key, r.step, r.num) for r in mo.changed_versions(df).orderBy("step").collect()] == [("t", 1, 30), ("t", 2, 20)]
 
 
+def brute_walk(cells):
+    """(step, num) of one tile's cells {pos: (num, has, select_pos, select_num)}."""
+    out, pos, seen = [], 0, set()
+    while pos in cells and pos not in seen:
+        seen.add(pos)
+        num, has, to, to_num = cells[pos]
+        if not has:
+            break
+        out.append((len(out) + 1, to_num or num))
+        if to_num and to is None:
+            break
+        pos = (to if to_num else pos) + 1
+    return out
+
+
+def test_redirects_back_and_to_unlisted_versions(spark):
+    rng = random.Random(11)
+    tiles = {}
+    for tile in range(60):
+        n = rng.randint(1, 12)
+        places = [p for p in range(n) if rng.random() < 0.95]
+        tiles[tile] = {}
+        for p in places:
+            kind = rng.random()
+            to = None if kind < 0.1 else rng.randrange(n)
+            tiles[tile][p] = (100 - p, rng.random() < 0.95, *((None, None) if kind > 0.6 else (to, 99 if to is None else 100 - to)))
+    rows = [(t, p, c[0], c[1], c[2], c[3], 1) for t, cells in tiles.items() for p, c in cells.items()]
+    df = spark.createDataFrame(rows, "tile_key INT, pos INT, num INT, has_data BOOLEAN, select_pos INT, select_num INT, size_bytes INT")
+    got = {t: [] for t in tiles}
+    for r in mo.changed_versions(df).orderBy("tile_key", "step").collect():
+        got[r.tile_key].append((r.step, r.num))
+    assert got == {t: brute_walk(cells) for t, cells in tiles.items()}
+
+
+def test_footprints_go_back_into_asset_links(spark):
+    base = spark.createDataFrame([("a", '{"blue": "https://x/b02.tif"}', "sentinel-2-l2a", "https://c/v1")], "id STRING, assets STRING, coleccion STRING, catalogo STRING").withColumns({
+        "fecha": F.lit("2025-01-03"), "hora_utc": F.lit(""), "nubes_pct": F.lit(10.0), "nubes_aoi": F.lit(5.0), "datos_pct": F.lit(100.0),
+        "plataforma": F.lit("sentinel-2a"), "tile": F.lit("16PFS"), "epsg": F.lit(32616)})
+    good, _ = ca.scenes_from_footprints(base)
+    r = good.select("collection", "catalog", F.col("acquired").cast("string").alias("d"), ca.resolve_asset(F.col("assets"), "blue", F.lit("s2")).alias("link")).first()
+    assert tuple(r) == ("sentinel-2-l2a", "https://c/v1", "2025-01-03", "https://x/b02.tif")
+
+
 def test_footprints_are_rejected_and_counted(spark):
-    rows = [("a", '{"B04": "https://x/b04.tif"}'), ("b", ""), ("c", "{esto no es json"), ("d", "{}"), ("e", None)]
+    rows = [("a", '{"B04": "https://x/b04.tif"}'), ("b", ""), ("c", '{"half": ['), ("d", "{}"), ("e", None)]
     base = spark.createDataFrame(rows, "id STRING, assets STRING").withColumns({
         "fecha": F.lit("2025-01-03"), "hora_utc": F.lit(None).cast("string"), "nubes_pct": F.lit(10.0), "nubes_aoi": F.lit(5.0),
         "datos_pct": F.lit(100.0), "plataforma": F.lit("sentinel-2a"), "tile": F.lit("16PFS"), "epsg": F.lit(32616)})
     good, bad = ca.scenes_from_footprints(base)
-    assert [(r.scene_id, r.datetime, r.assets["B04"].href) for r in good.collect()] == [("a", "2025-01-03T00:00:00Z", "https://x/b04.tif")]
+    assert [(r.scene_id, r.datetime, r.assets["B04"]) for r in good.collect()] == [("a", "2025-01-03T00:00:00Z", "https://x/b04.tif")]
     assert sorted(r.id for r in bad.collect()) == ["b", "c", "d", "e"]
 
 

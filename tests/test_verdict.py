@@ -1,10 +1,13 @@
 """Findings of the first review, each held by a test."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from eoframe.functions.text import equal_interval_labels
+from eoframe.operators.catalog import collect_new
 from eoframe.operators.grid import Grid, align_to_reference
 from eoframe.operators.ranks import exact_quantiles
+from eoframe.plans.optical import optical_run
 from eoframe.streaming import intake
 
 
@@ -40,3 +43,40 @@ def test_interval_labels(spark):
     assert [tuple(c) for c in got[0]] == [(1, "-1.000 – 0.000", False), (2, "0.000 – 1.000", False), (3, "1.000 – 2.000", False)]
     assert len(got[1]) == 3 and not got[1][0].zero_off
     assert all(c.zero_off for c in got[2]) and got[2][3].label == "0.625 – 1.000"
+
+
+def test_a_row_is_collected_once_whatever_its_order(spark):
+    old = spark.createDataFrame([(1, "a", {"k": "v"})], "id int, t string, m map<string,string>")
+    new = [(1, "z", {}), (2, "b", {"k": "1"}), (2, "c", None), (3, None, {})]
+    one, two = (sorted((r.id, r.t) for r in collect_new(old, spark.createDataFrame(rows, old.schema), ["id"]).collect() if r.id < 3) for rows in (new, new[::-1]))
+    assert one == two and len(one) == 2 and one[0] == (1, "a")
+
+
+def test_snapshots_are_marked_and_expire(spark, tmp_path):
+    schema = "batch_name string, job_id string, observed_at long, status_code string"
+    for i in range(4):
+        spark.createDataFrame([("b", "j", i, f"s{i}")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        arrivals = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        intake.stream_job_status(arrivals, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["batch=2", "batch=3"]
+    spark.range(1).write.parquet(f"{tmp_path}/out/batch=9")
+    (tmp_path / "out/batch=9/_SUCCESS").unlink()
+    assert [r.status_code for r in intake.read_job_status(spark, f"{tmp_path}/out").collect()] == ["s3"]
+
+
+def test_the_run_is_cropped_and_plans_only_what_is_asked(spark):
+    scenes = spark.createDataFrame([(1, "2024-01-05", 5.0), (2, "2024-03-05", 5.0)], "scene_id int, day string, cloud_pct double").select(
+        "scene_id", F.to_date("day").alias("acquired"), "cloud_pct", F.lit("c").alias("collection"),
+        *[F.lit(v).alias(c) for c, v in (("west", 0.0), ("south", 0.0), ("east", 10.0), ("north", 10.0))])
+    # clear inside the box, clouded outside
+    pixels = spark.createDataFrame([(s, x, 1.0, 9 if x > 4 else 4) for s in (1, 2) for x in (1.0, 2.0, 5.0, 6.0)], "scene_id int, x double, y double, scl int").selectExpr(
+        "*", "'s2' AS family", "'03.01' AS baseline", "3000 AS nir08", "1000 AS swir22", "0 AS qa_pixel", "'g' AS grid", "CAST(x AS INT) AS px_col", "1 AS px_row",
+        "CASE scene_id WHEN 1 THEN DATE '2024-01-05' ELSE DATE '2024-03-05' END AS acquired")
+    ask = dict(collection="c", bbox=(0.0, 0.0, 4.0, 4.0), start="2024-01-01", end="2024-12-31", indices=("NBR",), aoi_cloud_max=50.0, fire_date="2024-02-01", xy=("x", "y"))
+    out = optical_run(scenes, pixels, **ask, products=("scenes", "fire_scenes", "dnbr"))
+    assert set(out) == {"scenes", "fire_scenes", "dnbr"}
+    assert sorted((r.scene_id, r.aoi_cloud_pct) for r in out["scenes"].collect()) == [(1, 0.0), (2, 0.0)]
+    assert sorted((r.px_col, r.dnbr) for r in out["dnbr"].collect()) == [(1, 0.0), (2, 0.0)]
+    assert optical_run(scenes, pixels, **{**ask, "xy": None}, products=("scenes",))["scenes"].count() == 2
+    with pytest.raises(ValueError):
+        optical_run(scenes, pixels, **ask, products=("amplitude",))
