@@ -15,7 +15,8 @@ are computed on executors.
 
 Defined results: null or empty texts get the score of a text without words;
 labels whose document is missing or whose mark is null are left out; with labels
-of one kind only, every score is that kind's share; empty tables give none.
+of one kind only, or labelled texts without a word of two letters, every score is
+the share of toxic labels; empty tables give none.
 """
 
 from __future__ import annotations
@@ -257,6 +258,8 @@ def fit(docs: DataFrame, labels: DataFrame):
         .groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
     )
     total = counts.where("word = ''").first()
+    if total is None:
+        return None, float(share)
     p, q = F.col("p") / max(1, total.p), F.col("q") / max(1, total.q)
     words = counts.where("word <> ''").select("word", p.alias("p"), q.alias("q"))
     picked = [
@@ -265,6 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame):
         words.orderBy(F.xxhash64("word"), "word").limit(WORDS // 4),
     ]
     got = picked[0].unionByName(picked[1]).unionByName(picked[2]).distinct().orderBy("word").toPandas()  # at most WORDS rows
+    got = got[norms(got.word.tolist()) > 1e-5]  # words too short for a subsequence have nothing to learn from
+    if got.empty:
+        return None, float(share)
     machine = train_words(got.word.tolist(), got.p.to_numpy() * 100, got.q.to_numpy() * 100)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

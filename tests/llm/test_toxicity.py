@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import fixtures
 import numpy as np
@@ -54,6 +55,14 @@ def test_table_equals_kernel_machine():
     assert x[words.index("idiot"), 4] > 0 > x[words.index("catter"), 4]
 
 
+def test_labelled_texts_without_words(spark):
+    ids = [i for i in range(100, 130) if zlib.crc32(str(i).encode()) % 4 != 2][:8]
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    for texts in ([None, ""], ["...", "a ½½ b"]):
+        docs = fixtures.docs(spark, [(i, texts[n % 2], "en", "s", 1) for n, i in enumerate(ids)])
+        assert {r.score for r in toxicity.classify(docs, labels).collect()} == {0.5}
+
+
 def test_no_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.classify(fixtures.docs(spark), none).collect()} == {0.0}
