@@ -89,25 +89,28 @@ def pixel_dimensions(west: Column, south: Column, east: Column, north: Column, r
 
 
 def estimate_volume(
-    west: Column, south: Column, east: Column, north: Column, indices: list[str], amplitude: bool, n_dates: Column, family: str
+    west: Column, south: Column, east: Column, north: Column, indices: list[str], amplitude: bool, n_dates: Column, family: str,
+    stretch: bool = False,
 ) -> Column:
     """STRUCT<gib, width_px, height_px> of the most demanding index.
 
-    Advice for sizing partitions before a run; nothing is refused here.
+    Without indices a stretch holds three copies of one band, and plain bands
+    hold nothing.  Advice for sizing partitions before a run; nothing is refused
+    here.
     """
-    best = None
-    for name in indices:
-        bands = dims.INDEX_BANDS[name]
-        s2 = {b[0]: float(b[4]) for b in dims.BANDS}
-        res = dims.LANDSAT_RES if family == "ls" else min(s2[b] for b in bands)
-        layers = F.lit(len(bands) + 2.0)
-        if amplitude:
-            layers = F.greatest(layers, F.greatest(F.lit(1), n_dates) * 2.0 + 8.0)
-        d = pixel_dimensions(west, south, east, north, F.lit(res))
-        gib = d["width_px"] * d["height_px"] * 4.0 * layers / float(1024**3)
-        row = F.struct(gib.alias("gib"), d["width_px"].alias("width_px"), d["height_px"].alias("height_px"))
-        best = row if best is None else F.greatest(best, row)
-    return best
+    finest = {key: dims.LANDSAT_RES if family == "ls" else float(res) for key, _, _, _, res, _, _ in dims.BANDS}
+    kinds = [F.struct(F.lit(min(finest[b] for b in dims.INDEX_BANDS[i])).alias("res"), F.lit(len(dims.INDEX_BANDS[i]) + 2.0).alias("copies")) for i in indices]
+    if not kinds:
+        res = dims.LANDSAT_RES if family == "ls" else dims.DEFAULT_S2_RES
+        kinds = [F.struct(F.lit(float(res)).alias("res"), F.lit(3.0 if stretch else 0.0).alias("copies"))]
+    least = F.greatest(n_dates, F.lit(1)) * 2.0 + 8.0 if amplitude and indices else F.lit(0.0)
+
+    def need(kind: Column) -> Column:
+        d = pixel_dimensions(west, south, east, north, kind["res"])
+        gib = d["width_px"] * d["height_px"] * 4.0 * F.greatest(kind["copies"], least) / float(1024**3)
+        return F.struct(gib.alias("gib"), d["width_px"].alias("width_px"), d["height_px"].alias("height_px"))
+
+    return F.array_max(F.transform(F.array(*kinds), need))
 
 
 def pixel_area(dx: Column, dy: Column) -> Column:

@@ -61,13 +61,16 @@ def tile_pixels(t: Tables) -> DataFrame:
     return own.unionByName(copies)
 
 
-@query(_TILES + """,
+_FOLD = """,
 f(tile_key, i, num, kept, last) AS (SELECT tile_key, i, num, true, px FROM t WHERE i = 1
-  UNION ALL SELECT t.tile_key, t.i, t.num, n.keep, CASE WHEN t.px IS NULL THEN NULL WHEN n.keep THEN t.px ELSE f.last END
+  UNION ALL SELECT t.tile_key, t.i, t.num, k.keep, CASE WHEN t.px IS NULL THEN NULL WHEN k.keep THEN t.px ELSE f.last END
   FROM f JOIN t ON t.tile_key = f.tile_key AND t.i = f.i + 1
   CROSS JOIN LATERAL (SELECT t.px IS NULL OR f.last IS NULL OR
-    list_sum(list_transform(list_zip(t.px, f.last), lambda z: abs(z[1] - z[2]))) / 64.0E0 >= 2.0E0 AS keep) AS n)
-SELECT tile_key, num FROM f WHERE kept""")
+    list_sum(list_transform(list_zip(t.px, f.last), lambda z: abs(z[1] - z[2]))) / 64.0E0 >= 2.0E0 AS keep) AS k)
+"""
+
+
+@query(_TILES + _FOLD + "SELECT tile_key, num FROM f WHERE kept")
 def drop_same_photo(t: Tables) -> DataFrame:
     return mo.drop_same_photo(tile_pixels(t))
 
@@ -155,15 +158,19 @@ def nearest_points(t: Tables) -> DataFrame:
     return mo.nearest_points(responses(t), F.lit(50.0), F.lit(100.0)).select("event_id", "num", "rank")
 
 
-@query(_META + """, s AS (SELECT num, rank, capture, res, error, CASE WHEN covered THEN CASE WHEN sensor <> '' AND sensor <> provider
+_SUMMARY = """, s AS (SELECT num, rank, capture, res, error, CASE WHEN covered THEN CASE WHEN sensor <> '' AND sensor <> provider
     THEN concat(provider, ' (', sensor, ')') ELSE provider END END AS source FROM n WHERE rank <= 3),
 q AS (SELECT num, source, min(rank) AS rank FROM s WHERE source IS NOT NULL GROUP BY num, source),
 src AS (SELECT num, string_agg(source, ' / ' ORDER BY rank) AS sources FROM q GROUP BY num),
 d AS (SELECT num, string_agg(DISTINCT capture, ',' ORDER BY capture) AS dates, count(DISTINCT capture) AS k, min(capture) AS a, max(capture) AS b,
-  count(error) AS failures, arg_min(res, rank) AS res FROM s GROUP BY num)
-SELECT d.num, coalesce(dates, '') AS dates, coalesce(sources, '') AS sources, res, failures,
+  count(error) AS failures, arg_min(res, rank) AS res FROM s GROUP BY num),
+y AS (SELECT d.num, coalesce(dates, '') AS dates, coalesce(sources, '') AS sources, res, failures,
   CASE WHEN k = 0 AND failures > 0 THEN '?' WHEN k = 0 THEN '—' WHEN k = 1 THEN a ELSE concat(a, '…', b, ' (', CAST(k AS STRING), ')') END AS summary
-FROM d LEFT JOIN src ON d.num = src.num""")
+  FROM d LEFT JOIN src ON d.num = src.num)
+"""
+
+
+@query(_META + _SUMMARY + "SELECT * FROM y")
 def version_metadata(t: Tables) -> DataFrame:
     return mo.version_metadata(mo.tile_metadata(responses(t)), F.lit(50.0), F.lit(100.0)).drop("accuracy")
 

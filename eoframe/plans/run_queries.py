@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eoframe.operators.mosaic import version_order
+from eoframe.operators.mosaic import tile_metadata, version_order
+from eoframe.operators.report import kml_audit
 from eoframe.plans import mosaic, optical, radar
-from eoframe.plans.mosaic_queries import _CHAIN, tile_pixels, tilemap
+from eoframe.plans.mosaic_queries import _CHAIN, _FOLD, _META, _SUMMARY, _TILES, responses, tile_pixels, tilemap
 from eoframe.plans.optical_queries import _AMPLITUDE_SQL
-from eoframe.plans.radar_queries import _VERDICT, granules
+from eoframe.plans.radar_queries import _SAR_AMP, _VERDICT, granules
 from eoframe.plans.registry import query
+from eoframe.plans.text_queries import KML_SQL, manifests, scratch
 from eoframe.plans.views import Tables, with_views
+from eoframe.sources.manifest import MANIFEST_SCHEMA, read_order_manifest, write_order_manifest
+from eoframe.sources.pixels import read_kml_corpus as corpus
+from eoframe.sources.pixels import read_pixels, write_pixels
 
 # Month composites of the observations stand for scenes; their catalogue cloud follows the month.
 _SCENES = """
@@ -56,13 +61,115 @@ def sar_order_plan(t: Tables) -> DataFrame:
     return radar.sar_order_plan(granules(t), 5, cap=10**6)["requests"].select("granule_no", "order_name", "batch")
 
 
+_USEFUL = _VERDICT.replace("month NOT IN (12, 1, 2, 6, 7, 8)", "month NOT IN (12, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)") + """
+, u AS (SELECT count(*) AS n, count(CASE WHEN month IN (12, 1, 2, 3, 4) THEN 1 END) AS n_dry, count(CASE WHEN month NOT IN (12, 1, 2, 3, 4) THEN 1 END) AS n_wet
+  FROM v WHERE relative_orbit = 5 AND verdict IN ('useful', 'no_name'))
+"""
+
+
+@query(with_views(_VERDICT.replace("month NOT IN (12, 1, 2, 6, 7, 8)", "month NOT IN (12, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)") + """
+SELECT granule_no, order_name, verdict FROM v WHERE relative_orbit = 5""", "granules"))
+def sar_order_granules(t: Tables) -> DataFrame:
+    return radar.sar_order_plan(granules(t), 5)["granules"].select("granule_no", "order_name", "verdict")
+
+
+@query(with_views(_USEFUL + """
+SELECT n, n_dry, n_wet, n * 60 AS cost, CASE WHEN n * 60 > 1000000 THEN 'over_cap' WHEN n * 60 > 2500.0E0 THEN 'over_balance'
+  WHEN n_dry = 0 OR n_wet = 0 THEN 'season_empty' ELSE 'ok' END AS verdict FROM u""", "granules"))
+def sar_order_verdict(t: Tables) -> DataFrame:
+    return radar.sar_order_plan(granules(t), 5, cap=10**6, balance=2500.0)["verdict"].select("n", "n_dry", "n_wet", "cost", "verdict")
+
+
+@query(with_views(_USEFUL + """
+, p AS (SELECT CAST(10 AS INT) AS res_m, 60 AS price UNION ALL SELECT 20, 15 UNION ALL SELECT 30, 5)
+SELECT n, res_m, n * price AS cost FROM u CROSS JOIN p WHERE n * price <= 1000000.0E0""", "granules"))
+def sar_order_options(t: Tables) -> DataFrame:
+    return radar.sar_order_plan(granules(t), 5, balance=1e6)["options"].select("n", "res_m", "cost")
+
+
+@query(with_views("""
+WITH q AS (SELECT relative_orbit, count(*) AS n, count(CASE WHEN month IN (12, 1, 2, 3, 4) THEN 1 END) AS n_dry,
+  count(CASE WHEN month NOT IN (12, 1, 2, 3, 4) THEN 1 END) AS n_wet, count(CASE WHEN polarization = 'VV+VH' THEN 1 END) AS n_pol
+  FROM granules WHERE relative_orbit = 5 GROUP BY relative_orbit)
+SELECT *, CASE WHEN n_dry < 3 OR n_wet < 3 THEN 'too_few_observations' WHEN n_pol = 0 THEN 'no_polarization' ELSE '' END AS reason FROM q""", "granules"))
+def sar_order_feasibility(t: Tables) -> DataFrame:
+    return radar.sar_order_plan(granules(t), 5, min_obs=3)["feasibility"]
+
+
+@query(with_views("""
+WITH s AS (SELECT orbit_state, relative_orbit, CASE WHEN polarization = '' THEN '?' ELSE polarization END AS pol, count(*) AS n,
+  count(CASE WHEN month IN (12, 1, 2, 3, 4) THEN 1 END) AS n_dry, count(CASE WHEN month NOT IN (12, 1, 2, 3, 4) THEN 1 END) AS n_wet FROM granules GROUP BY 1, 2, 3),
+i AS (SELECT orbit_state, relative_orbit, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_dry) AS BIGINT) AS n_dry, CAST(sum(n_wet) AS BIGINT) AS n_wet,
+  string_agg(pol, ', ' ORDER BY pol) AS polarizations, CAST(sum(n) * 15 AS BIGINT) AS credits FROM s GROUP BY 1, 2)
+SELECT *, least(n_dry, n_wet) AS weakest, CAST(row_number() OVER (ORDER BY least(n_dry, n_wet) DESC, n DESC, credits, relative_orbit) AS INT) AS position,
+  rank() OVER (ORDER BY least(n_dry, n_wet) DESC, n DESC, credits) = 1 AS tied FROM i WHERE n_dry > 0 AND n_wet > 0""", "granules"))
+def sar_inventory_ranking(t: Tables) -> DataFrame:
+    return radar.sar_inventory(granules(t), res_m=20)["ranking"]
+
+
+@query(with_views("""
+WITH p AS (SELECT 'VH' AS pol, track, pixel_id, month, nullif(vh, 0.0E0) AS value FROM sar_obs
+  UNION ALL SELECT 'VV', track, pixel_id, month, nullif(vv, 0.0E0) FROM sar_obs
+  UNION ALL SELECT 'RVI', track, pixel_id, month, 4.0E0 * nullif(vh, 0.0E0) / nullif(nullif(vv, 0.0E0) + nullif(vh, 0.0E0), 0.0E0) FROM sar_obs)
+""" + _SAR_AMP, "sar_obs"))
+def sar_collect(t: Tables) -> DataFrame:
+    return radar.sar_collect(t.view("sar_obs"), pixel=("pixel_id",), min_obs=3)
+
+
+@query(with_views("SELECT l_orderkey, l_linenumber, grid_no, px_col, px_row, red FROM obs WHERE grid_no >= 2", "obs"))
+def write_read_pixels(t: Tables) -> DataFrame:
+    """Pixels written by grid and read again; the grid filter prunes folders."""
+    folder = scratch(t, "pixels")
+    write_pixels(t.view("obs").select("l_orderkey", "l_linenumber", "grid_no", "px_col", "px_row", "red"), folder, partition_by=("grid_no",))
+    kept = read_pixels(t.spark, folder).where("grid_no >= 2")
+    return kept.withColumn("grid_no", F.col("grid_no").cast("bigint"))
+
+
+@query("""
+SELECT concat('rtc_', CAST(l_orderkey AS STRING), '_', CAST(l_suppkey AS STRING)) AS batch_name, CAST(l_linenumber AS STRING) AS job_id,
+  concat('G', CAST(l_partkey AS STRING)) AS granule, l_returnflag AS status_code FROM lineitem""")
+def write_read_order_manifest(t: Tables) -> DataFrame:
+    folder = scratch(t, "manifests")
+    rows = manifests(t).select(F.from_json("manifest", MANIFEST_SCHEMA).alias("m")).select("m.*")
+    write_order_manifest(rows, folder)
+    return read_order_manifest(t.spark, folder)[1].drop("expiration_time")
+
+
+@query(KML_SQL)
+def read_kml_corpus(t: Tables) -> DataFrame:
+    """Markup texts as files, one for each page, read whole for the audit."""
+    folder = scratch(t, "kml")
+    t.view("kml_docs").select("page_id", "kml").write.partitionBy("page_id").text(folder)
+    page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint")
+    return kml_audit(corpus(t.spark, folder)).select(page.alias("page_id"), "n_placemarks", "n_overlays", "n_vertices", "too_many_features", "too_many_vertices")
+
+
+def mosaic_versions(cells: DataFrame) -> DataFrame:
+    numbers = cells.select("num").distinct()
+    return numbers.select("num", F.date_add(F.lit("2014-02-20").cast("date"), F.col("num").cast("int")).cast("string").alias("published"))
+
+
+@query(_CHAIN + ", " + _META.strip().removeprefix("WITH ") + _SUMMARY + ", "
+       + _TILES.strip().removeprefix("WITH RECURSIVE ").replace("FROM tiles)", "FROM tiles SEMI JOIN w USING (tile_key, num))") + _FOLD + """
+, p AS (SELECT num, row_number() OVER (ORDER BY num DESC) - 1 AS pos FROM (SELECT DISTINCT num FROM c) AS z),
+h AS (SELECT num, count(DISTINCT tile_key) AS hits FROM f WHERE kept GROUP BY num),
+g AS (SELECT p.num, p.pos, h.hits, coalesce(y.summary, '—') AS capture FROM p JOIN h ON p.num = h.num LEFT JOIN y ON p.num = y.num),
+o AS (SELECT *, regexp_matches(capture, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS clean, row_number() OVER (PARTITION BY capture ORDER BY pos) AS nth,
+  count(*) OVER (PARTITION BY capture) - 1 AS others FROM g)
+SELECT num, pos, hits, capture, CASE WHEN clean THEN others ELSE 0 END AS n_equivalent FROM o WHERE nth = 1 OR NOT clean""")
+def mosaic_history_compared(t: Tables) -> DataFrame:
+    """The whole history: same photos dropped, capture dates of the nearest points, one version per date."""
+    cells, meta = tilemap(t), tile_metadata(responses(t))
+    out = mosaic.mosaic_history(version_order(mosaic_versions(cells)), cells, tile_pixels(t), meta, F.lit(50.0), F.lit(100.0))
+    return out["versions"].select("num", "pos", "hits", "capture", "n_equivalent")
+
+
 @query(_CHAIN + """, p AS (SELECT num, row_number() OVER (ORDER BY num DESC) - 1 AS pos FROM (SELECT DISTINCT num FROM c) AS d),
 h AS (SELECT num, count(DISTINCT tile_key) AS hits FROM w GROUP BY num)
 SELECT p.num, p.pos, h.hits, '—' AS capture FROM p JOIN h ON p.num = h.num""")
 def mosaic_history(t: Tables) -> DataFrame:
     cells = tilemap(t)
-    numbers = cells.select("num").distinct()
-    versions = numbers.select("num", F.date_add(F.lit("2014-02-20").cast("date"), F.col("num").cast("int")).cast("string").alias("published"))
+    versions = mosaic_versions(cells)
     empty_meta = cells.limit(0).select(
         "num", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.lit(True).alias("covered"), F.lit("").alias("capture"),
         F.lit("").alias("provider"), F.lit("").alias("sensor"), F.lit(0.0).alias("res"), F.lit(0.0).alias("accuracy"), F.lit("").alias("error"))

@@ -118,12 +118,15 @@ def unsafe_href(t: Tables) -> DataFrame:
     return t.table("documents").select("doc_id", tx.unsafe_href(F.col("text")).alias("bad"))
 
 
-@query(with_views(r"""
+KML_SQL = with_views(r"""
 WITH v AS (SELECT page_id, kml, list_sum(list_transform(regexp_extract_all(kml, '(?s)<coordinates[^>]*>(.*?)</coordinates>', 1),
     lambda b: len(regexp_extract_all(b, '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+')))) AS n FROM kml_docs)
 SELECT page_id, CAST((length(kml) - length(replace(kml, '<Placemark', ''))) // 10 AS BIGINT) AS n_placemarks,
   CAST((length(kml) - length(replace(kml, '<GroundOverlay', ''))) // 14 AS BIGINT) AS n_overlays,
-  CAST(coalesce(n, 0) AS BIGINT) AS n_vertices, false AS too_many_features, coalesce(n, 0) > 250000 AS too_many_vertices FROM v""", "kml_docs"))
+  CAST(coalesce(n, 0) AS BIGINT) AS n_vertices, false AS too_many_features, coalesce(n, 0) > 250000 AS too_many_vertices FROM v""", "kml_docs")
+
+
+@query(KML_SQL)
 def kml_audit(t: Tables) -> DataFrame:
     return rp.kml_audit(t.view("kml_docs")).drop("url", "kml")
 
@@ -209,7 +212,7 @@ def read_order_manifest(t: Tables) -> DataFrame:
 
 # --------------------------------------------------------------------- streams
 
-def _scratch(t: Tables, name: str) -> str:
+def scratch(t: Tables, name: str) -> str:
     """A new folder beside the checkpoints, which every executor can reach."""
     ensure_checkpoint_dir(t.spark)
     return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex[:12]}"
@@ -222,7 +225,7 @@ def _stream(t: Tables, table: str) -> DataFrame:
 @query("SELECT o_custkey AS scene_id FROM orders GROUP BY o_custkey")
 def stream_new_scenes(t: Tables) -> DataFrame:
     """Orders arrive as repeated announcements of a customer's scene; each scene is kept once."""
-    folder = _scratch(t, "scenes")
+    folder = scratch(t, "scenes")
     arrivals = _stream(t, "orders").select(F.col("o_custkey").alias("scene_id"), F.col("o_orderdate").alias("datetime"))
     intake.stream_new_scenes(arrivals, f"{folder}/out", f"{folder}/state").awaitTermination()
     return t.spark.read.parquet(f"{folder}/out").select("scene_id")
@@ -233,7 +236,7 @@ WITH j AS (SELECT concat('rtc_', CAST(user_id AS STRING)) AS batch_name, CAST(us
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS rn FROM events)
 SELECT batch_name, job_id, status_code FROM j WHERE rn = 1""")
 def stream_job_status(t: Tables) -> DataFrame:
-    folder = _scratch(t, "jobs")
+    folder = scratch(t, "jobs")
     arrivals = _stream(t, "events").select(F.concat(F.lit("rtc_"), F.col("user_id").cast("string")).alias("batch_name"),
                                            (F.col("user_id") % 7).alias("job_id"), F.col("event_type").alias("status_code"), F.col("ts").alias("observed_at"))
     intake.stream_job_status(arrivals, f"{folder}/out", f"{folder}/state").awaitTermination()
