@@ -23,8 +23,13 @@ _SHIFT = 800_000
 # A wanted-bucket row is some 80 bytes, so a broadcast list stays below 50 MB.
 BROADCAST_ROWS = 500_000
 
+# Rows of a wanted bucket above which it is cut again, and into how many parts.
+SPLIT_ROWS = 5_000_000
+PARTS = 4096
+
 HOT_FLOOR = 1_000_000
-HOT_SHARE = 1.0 / 200_000
+# a hot key gives at most four wanted buckets (two seasons, two ranks of a median)
+HOT_SHARE = 4.0 / BROADCAST_ROWS
 
 
 def value_bucket(v: Column) -> Column:
@@ -37,7 +42,8 @@ def value_bucket(v: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], prefix: str = "q", few_groups: bool = False
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], prefix: str = "q", few_groups: bool = False,
+    split: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, for groups of any size.
 
@@ -47,7 +53,10 @@ def exact_quantiles(
 
     A histogram per group, combined before its shuffle, tells which buckets
     hold the wanted ranks.  A second read keeps only the rows of those
-    buckets; no group meets in one task.  Meant for large groups.
+    buckets; no group meets in one task.  Meant for large groups.  A wanted
+    bucket of different values with more than ``split`` rows (a group whose
+    values lie close together) is cut by value until its parts are smaller; each
+    cut is one more read, and none is made where buckets are small.
 
     The list of wanted buckets is broadcast only when it is small: it is
     checkpointed and counted, unless the caller vouches for ``few_groups``.
@@ -68,6 +77,8 @@ def exact_quantiles(
         "_b",
         (F.sum(known).over(running) - known).alias("_before"),
         "_bc",
+        "_lo",
+        "_hi",
         F.sum("_bc").over(group).alias("n_total"),
         F.sum(known).over(group).alias("n_valid"),
         F.min("_lo").over(group).alias("v_min"),
@@ -82,22 +93,40 @@ def exact_quantiles(
         ranks, lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_bc"))
     )
     hist = hist.where(F.col("_b").isNull() | holds)
+    inside = [*[F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by], F.col("t._b") == F.col("h._b"), F.col("t._v").between(F.col("h._lo"), F.col("h._hi"))]
+
+    def cut_up(wide: DataFrame, small: bool) -> DataFrame:
+        """``wide`` intervals in parts of equal width, as intervals of their own; those with a wanted rank."""
+        place = F.floor((F.col("t._v") - F.col("h._lo")) / (F.col("h._hi") - F.col("h._lo")) * PARTS)
+        parts = rows.alias("t").join((F.broadcast(wide) if small else wide).alias("h"), inside).groupBy(
+            *[F.col(f"h.{c}").alias(c) for c in (*by, "_b", *facts, "_before")], place.alias("_part")
+        ).agg(F.count(F.lit(1)).alias("_bc"), F.min("t._v").alias("_lo"), F.max("t._v").alias("_hi"))
+        upto = Window.partitionBy(*by, "_before").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        return parts.withColumn("_done", F.sum("_bc").over(upto)).withColumn("_before", F.col("_before") + F.col("_done") - F.col("_bc")).where(holds).select(*hist.columns)
+
+    small = True
     if not few_groups:
+        # a bucket of one value is one row later on, whatever its size
+        wide = F.coalesce((F.col("_bc") > split) & (F.col("_lo") < F.col("_hi")), F.lit(False))
         hist = stable(hist)
+        while True:
+            listed, some = hist.agg(F.count(F.lit(1)), F.max(wide)).first()
+            small = listed <= BROADCAST_ROWS
+            if not some:
+                break
+            hist = stable(hist.where(~wide).unionByName(cut_up(hist.where(wide), small)))
     wanted = hist.where(F.col("_b").isNotNull()).drop("_bc")
-    if few_groups or hist.count() <= BROADCAST_ROWS:
+    if small:
         found, wanted = rows.withColumn("_c", F.lit(1)), F.broadcast(wanted)
     else:
         found = rows.groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]
-    carried = ["_before", *facts]
     ties = (
         found.alias("t")
-        .join(wanted.alias("h"), [*on, F.col("t._b") == F.col("h._b")])
-        .groupBy(*[F.col(f"t.{c}").alias(c) for c in by], F.col("t._b").alias("_b"), "_v")
-        .agg(F.sum("_c").alias("_c"), *[F.max(c).alias(c) for c in carried])
+        .join(wanted.alias("h"), inside)
+        .groupBy(*[F.col(f"t.{c}").alias(c) for c in by], "_before", "_v")
+        .agg(F.sum("_c").alias("_c"), *[F.max(c).alias(c) for c in facts])
     )
-    in_bucket = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    in_bucket = Window.partitionBy(*by, "_before").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = ties.withColumn("_end", F.col("_before") + F.sum("_c").over(in_bucket)).select(
         *by, *facts, "_v", (F.col("_end") - F.col("_c")).alias("_start"), "_end"
     )

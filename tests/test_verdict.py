@@ -1,5 +1,6 @@
 """Findings of the first review, each held by a test."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,21 @@ def test_quantiles_leave_out_nan_and_infinity(spark):
     assert (r.n_total, r.n_valid, r.v_max, r.q0) == (6, 2, 2.0, 1.5)
 
 
+def test_quantiles_of_values_close_together(spark):
+    rng = np.random.default_rng(5)
+    close = np.concatenate([290.0 + rng.random(30_000) / 10, np.full(4_000, 290.05), rng.normal(size=500)])
+    rows = [(k, float(sign * v)) for k, sign in (("a", 1), (None, -1)) for v in close] + [("one", 7.0)] * 3000
+    df = spark.createDataFrame(rows, "k string, v double").repartition(8)
+    probs = (0.02, 0.25, 0.5, 0.75, 0.98)
+    for bound in (1000, 10**6):
+        got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, split=bound).collect()}
+        for k, sign in (("a", 1), (None, -1)):
+            want = np.quantile(sign * close, probs)
+            assert [got[k][f"q{i}"] for i in range(5)] == pytest.approx(list(want), abs=1e-12)
+            assert got[k].n_valid == len(close)
+        assert [got["one"][f"q{i}"] for i in range(5)] == [7.0] * 5
+
+
 def test_rows_without_a_frame_stay(spark):
     df = spark.createDataFrame([("s", 0, 0, 0.0, 0.0, 1.0, -1.0, 5.0), ("t", 1, 0, None, None, None, None, 6.0)],
                                "scene string, px_col int, px_row int, x0 double, y0 double, dx double, dy double, v double")
