@@ -9,6 +9,12 @@ share a masked bit pattern in an upper node, and the differences between a query
 and a node's own bits add up on the way down, so whole runs are pruned at once.
 A bucket gives a forest of its links, never all pairs.
 
+With a least similarity near copies are defined by exact shares instead: a link
+is a Jaccard share of shingles of at least that, or fingerprints linked as above
+whose counted shingles have that cosine.  Fingerprints alone miss most pairs at
+0.8, so rows also meet in buckets of the shingles that such a partner must share
+(rare ones first); rows that are already connected are not compared again.
+
 Defined results: empty or null texts have fingerprint zero and link like any
 other; equal fingerprints are one node; null doc_ids count as the smallest only
 where a component has no other; empty tables give none.
@@ -33,6 +39,9 @@ DISTANCE = 4
 ROWS = 4096  # fingerprints of a bucket that one task takes without splitting
 LEVELS = 4
 FAN = 8
+OFTEN = 4_000  # documents in which common shingles are counted; their order changes the cost only
+FEW = 1_000_000  # texts to compare that are named to all executors; more are joined
+COMMON = 200_000  # common shingles that are put last
 
 
 def shingle_hashes(text: str, width: int = WORDS) -> np.ndarray:
@@ -62,12 +71,12 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """(doc_id, tk, fp): one row per document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = np.array([fingerprint(shingle_hashes(x)) for x in pdf.text], dtype=np.uint64)
+            fp = np.array([fingerprint(shingle_hashes(x, width)) for x in pdf.text], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": pdf.doc_id, "tk": pdf.tk, "fp": fp.view(np.int64)})
 
     return with_key(docs).mapInPandas(run, "doc_id bigint, tk bigint, fp bigint")
@@ -156,28 +165,33 @@ def forest(points: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     return root
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = None
+def _whole(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches``, sorted by ``keys``, in pieces that never cut a key."""
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        held = pdf if held is None else pd.concat([held, pdf])
-        last = (held["mask"].to_numpy() == held["mask"].iloc[-1]) & (held["value"].to_numpy() == held["value"].iloc[-1])
-        if last.all():
+        last = np.logical_and.reduce([pdf[k].to_numpy() == pdf[k].iloc[-1] for k in keys]) if len(pdf) else np.empty(0, dtype=bool)
+        if not len(pdf) or last.all() and (not held or all(held[-1][k].iloc[-1] == pdf[k].iloc[0] for k in keys)):
+            held += [pdf] if len(pdf) else []
             continue
-        yield from _solve(held[~last])
-        held = held[last]
-    if held is not None and len(held):
-        yield from _solve(held)
+        yield pd.concat([*held, pdf[~last]])
+        held = [pdf[last]]
+    if held:
+        yield pd.concat(held)
+
+
+def _bounds(*columns: np.ndarray) -> list[int]:
+    edge = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return [0, *(np.flatnonzero(edge) + 1).tolist(), len(columns[0])]
 
 
-def _solve(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _solve(pdf: pd.DataFrame, distance: int) -> Iterator[pd.DataFrame]:
     mask, value, fp = (pdf[c].to_numpy() for c in ("mask", "value", "fp"))
-    edge = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
-    bounds = [0, *edge.tolist(), len(fp)]
+    bounds = _bounds(mask, value)
     a, b = [], []
     for s, e in zip(bounds, bounds[1:]):
         if e - s > 1:
             points = fp[s:e].view(np.uint64)
-            root = forest(points)
+            root = forest(points, distance)
             own = root != np.arange(e - s)
             if own.any():
                 a.append(fp[s:e][own])
@@ -186,10 +200,10 @@ def _solve(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): links between different fingerprints ``fp`` that keep every connection within the distance."""
     # few distinct masks: they depend on the distance and the number of fingerprints only
-    buckets = fps.select(F.explode(F.array(*[F.lit(signed(m)) for m in block_masks(fps.count())])).alias("mask"), "fp")
+    buckets = fps.select(F.explode(F.array(*[F.lit(signed(m)) for m in block_masks(fps.count(), distance)])).alias("mask"), "fp")
     small = None
     for level in range(LEVELS):
         keyed = buckets.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
@@ -203,21 +217,172 @@ def links(fps: DataFrame) -> DataFrame:
         small = ready if small is None else small.unionByName(ready)
         if level == LEVELS - 1 or not masks:
             break
-        which = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(signed(f)) for f in finer(m % (1 << 64))]))])
+        which = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(signed(f)) for f in finer(m % (1 << 64), distance)]))])
         buckets = stable(keyed.join(big, on, "left_semi").select(F.explode(which[F.col("mask")]).alias("mask"), "fp"))
     sorted_ = (
         small.withColumn("gray", gray_rank(F.col("fp"))).repartition("mask", "value")
         .sortWithinPartitions("mask", "value", F.col("gray") < 0, "gray")
     )
-    return sorted_.select("mask", "value", "fp").mapInPandas(_links, "a bigint, b bigint")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole(batches, ["mask", "value"]):
+            yield from _solve(pdf, distance)
+
+    return sorted_.select("mask", "value", "fp").mapInPandas(run, "a bigint, b bigint")
+
+
+def common_shingles(docs: DataFrame, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes in order, their counts) that are common among about ``OFTEN`` documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            s, n = np.unique(np.concatenate([np.unique(shingle_hashes(x, width)) for x in pdf.text] or [np.empty(0, np.uint64)]), return_counts=True)
+            yield pd.DataFrame({"s": s.view(np.int64), "n": n})
+
+    some = with_key(docs).where(F.pmod(F.xxhash64("tk"), F.lit(max(1, rows))) < OFTEN)
+    counts = some.mapInPandas(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 3")
+    got = counts.orderBy(F.desc("n"), "s").limit(COMMON).toPandas()  # at most COMMON pairs of numbers
+    s, n = got.s.to_numpy(dtype=np.int64).view(np.uint64), got.n.to_numpy(dtype=np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, fp, component_id, kept_tk) per document; doc_ids with NO_ID for null."""
-    d = stable(fingerprints(docs))
+
+def shared_shingles(docs: DataFrame, rows: int, width: int, least: float) -> DataFrame:
+    """(s, node, n, i, head, hn, hi): rows that meet in a shingle ``s`` which a row alike by ``least`` must share.
+
+    ``n`` is the number of shingles of a row, ``i`` the place of ``s`` in their
+    order, ``head`` (with ``hn`` and ``hi``) a row of the bucket chosen by hash.
+    """
+    common, often = common_shingles(docs, rows, width)
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for node, text in zip(pdf.tk.tolist(), pdf.text):
+                h = np.unique(shingle_hashes(text, width))
+                first = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
+                out.append(pd.DataFrame({"s": h[:first].view(np.int64), "node": node, "n": len(h), "i": np.arange(first)}))
+            if out:
+                yield pd.concat(out)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole(batches, ["s"]):
+            pdf = pdf.drop_duplicates(["s", "node"])
+            s, node, n, i = (pdf[c].to_numpy() for c in ("s", "node", "n", "i"))
+            bounds = np.array(_bounds(s))
+            size = np.diff(bounds)
+            head = np.repeat(bounds[:-1] + (s[bounds[:-1]].view(np.uint64) % size.astype(np.uint64)).astype(np.int64), size)
+            pdf = pdf.assign(head=node[head], hn=n[head], hi=i[head])
+            yield pdf[np.repeat(size > 1, size)]
+
+    schema = "s bigint, node bigint, n bigint, i bigint"
+    k = with_key(docs).mapInPandas(keys, schema).repartition("s").sortWithinPartitions("s", "node")
+    return k.mapInPandas(meet, schema + ", head bigint, hn bigint, hi bigint")
+
+
+def apart(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of one bucket that ``roots`` does not connect and whose lengths and places allow ``least``."""
+    r = shared.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("s", "node", "n", "i", F.coalesce("root", "node").alias("root"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole(batches, ["s"]):
+            s, node, n, i, root = (pdf[c].to_numpy() for c in ("s", "node", "n", "i", "root"))
+            bounds = _bounds(s)
+            found: list[np.ndarray] = []
+            for x, e in zip(bounds, bounds[1:]):
+                if (root[x:e] == root[x]).all():
+                    continue
+                for k in range(x, e - 1):
+                    o = np.arange(k + 1, e)
+                    need = least / (1 + least) * (n[k] + n[o]) - 1e-9
+                    o = o[(root[o] != root[k]) & (np.minimum(n[k] - i[k], n[o] - i[o]) >= need)]
+                    found.append(np.stack([np.minimum(node[k], node[o]), np.maximum(node[k], node[o])], axis=1))
+                    if len(found) > 4096:
+                        yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+                        found = []
+            if found:
+                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    by = r.repartition("s").sortWithinPartitions("s", "node")
+    return by.mapInPandas(run, "a bigint, b bigint").distinct()
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float, counted: bool) -> bool:
+    """Jaccard share of two lists of shingle hashes, or if ``counted`` the cosine of their counts, is ``least`` or more."""
+    (x, p), (y, q) = (np.unique(h, return_counts=True) for h in (a, b))
+    if not len(x) or not len(y):
+        return len(x) == len(y)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if len(i) >= least * (len(x) + len(y) - len(i)) - 1e-9:
+        return True
+    p, q = p.astype(float), q.astype(float)
+    return counted and p[i] @ q[j] >= least * np.sqrt((p @ p) * (q @ q))
+
+
+def checked(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """Of ``pairs`` (a, b, counted) of texts of ``docs`` those that are alike by ``least``."""
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"v": pdf.tk, "hs": [np.sort(shingle_hashes(x, width)).view(np.int64) for x in pdf.text]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [alike(*x, least, c) for *x, c in zip(pdf.ha, pdf.hb, pdf.counted)]
+            yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
+
+    wanted = stable(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
+    few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    lists = with_key(docs).join(few, F.col("tk") == F.col("v"), "left_semi").mapInPandas(hashes, "v bigint, hs array<bigint>")
+    lists = lists.dropDuplicates(["v"])
+    both = pairs.join(lists.select(F.col("v").alias("va"), F.col("hs").alias("ha")), F.col("a") == F.col("va"))
+    both = both.join(lists.select(F.col("v").alias("vb"), F.col("hs").alias("hb")), F.col("b") == F.col("vb"))
+    return both.select("a", "b", "ha", "hb", "counted").mapInPandas(run, "a bigint, b bigint")
+
+
+def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int, least: float) -> DataFrame:
+    """(node, root) of the texts of ``nodes`` (tk, fp) that are linked to any other by ``least``."""
+    heads = nodes.groupBy("fp").agg(F.min("tk").alias("head"))
+    by = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"n{c}"))
+    near_ = links(heads.select("fp"), distance).distinct().join(by("a"), "a").join(by("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    same = nodes.join(by("f"), F.col("fp") == F.col("f")).where("tk <> nf").select(F.col("tk").alias("a"), F.col("nf").alias("b"))
+    close = near_.unionByName(same).withColumn("counted", F.lit(True))
+    shared = stable(shared_shingles(docs, nodes.count(), width, least))
+    need = F.lit(least / (1 + least)) * (F.col("n") + F.col("hn")) - 1e-9
+    star = shared.where((F.col("node") != F.col("head")) & (F.least(F.col("n") - F.col("i"), F.col("hn") - F.col("hi")) >= need))
+    star = star.select(F.col("node").alias("a"), F.col("head").alias("b"), F.lit(False).alias("counted"))
+    pairs = stable(
+        close.unionByName(star).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("counted").alias("counted"))
+    )
+    edges = stable(checked(pairs, docs, width, least))
+    roots = components(edges)
+    more = stable(apart(shared, roots, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("counted", F.lit(False)))
+    if not more.head(1):
+        return roots
+    rest = stable(checked(more, docs, width, least))
+    return components(edges.unionByName(rest)) if rest.head(1) else roots
+
+
+def near_groups(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, least: float | None = None) -> DataFrame:
+    """(doc_id, tk, fp, component_id, kept_tk) per document; doc_ids with NO_ID for null.
+
+    Linked by fingerprints of ``width`` words within ``distance``, or if ``least``
+    is given by that similarity.
+    """
+    d = stable(fingerprints(docs, width))
     first = F.struct(F.col("doc_id") == NO_ID, "doc_id", "tk")
+    if least is not None:
+        nodes = stable(d.groupBy("tk").agg(F.min("fp").alias("fp"), F.min(first).alias("first")))
+        roots = similar_roots(docs, nodes.select("tk", "fp"), width, distance, least)
+        named = stable(nodes.join(roots, F.col("tk") == F.col("node"), "left").select(F.col("tk").alias("k"), "first", F.coalesce("root", "tk").alias("root")))
+        least_ = named.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("f"))
+        ids = named.join(least_, F.col("root") == F.col("r")).select("k", F.col("f.doc_id").alias("component_id"), F.col("f.tk").alias("kept_tk"))
+        return d.join(ids, F.col("tk") == F.col("k")).select("doc_id", "tk", "fp", "component_id", "kept_tk")
     fps = stable(d.groupBy("fp").agg(F.min(first).alias("first")))
-    roots = components(links(fps.select("fp")))
+    roots = components(links(fps.select("fp"), distance))
     named = fps.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
@@ -229,10 +394,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return d.join(ids, F.col("fp") == F.col("f")).select("doc_id", "tk", "fp", "component_id", "kept_tk")
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
+def drop_near(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, least: float | None = None) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (a null only if there is no other)."""
     keep = stable(
-        near_groups(docs).where("doc_id = component_id AND tk = kept_tk")
+        near_groups(docs, width, distance, least).where("doc_id = component_id AND tk = kept_tk")
         .select(F.col("doc_id").alias("k"), F.col("tk").alias("kt")).distinct()
     )
     d = packed(docs).withColumn("tk", F.xxhash64("_text")).drop("_text")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 import fixtures
 from eoframe.llm import simhash
 
@@ -129,3 +130,37 @@ def test_stage(spark):
     groups = simhash.near_groups(d).select("component_id").distinct().count()
     assert len(kept) == groups
     assert simhash.drop_near(fixtures.empty(spark)).count() == 0
+
+
+def test_similarity_equals_all_pairs(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(10):
+        base = [f"g{g}w{rng.randrange(90)}" for _ in range(80)]
+        for _ in range(5):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(80)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words), "en", "s", 1))
+    sets = [{tuple(r[1].split()[i : i + 5]) for i in range(76)} for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(len(rows))}
+    docs = fixtures.docs(spark, rows, extra=True)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, 5, least=0.8).collect()}
+    assert got == want
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()} != want
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == sorted(set(want.values()))
+    awkward = simhash.drop_near(fixtures.docs(spark, extra=True), 5, least=0.8)
+    assert 0 < awkward.count() <= len(fixtures.ROWS)
+    assert simhash.drop_near(fixtures.empty(spark), 5, least=0.8).count() == 0
