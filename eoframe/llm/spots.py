@@ -1,13 +1,15 @@
 """Document fingerprints: chains of content words that follow common-word anchors.
 
-A signature is a common word (anchor) and the next ``CHAIN`` content words; the
-fingerprint is the sorted set of their hashes.  Likeness is the Jaccard share of
+A signature is a common word (anchor) and the next ``CHAIN`` content words; a
+word with no such anchor among the ``REACH`` words up to it starts a chain of its
+own, so stretches with few anchors have signatures too and an edit changes only
+those near it.  The fingerprint is the sorted set of their hashes.  Likeness is the Jaccard share of
 two sets; two sets whose lengths alone keep it below a threshold are never
 compared.  Everything is column expressions.
 
-Defined results: words are runs of letters and digits, in lower case; a text
-without any anchor is fingerprinted by chains after every word, a text without
-words by its whole content; so every text, empty ones too, has a signature, and
+Defined results: words are runs of letters and digits, in lower case; of
+successive anchors the last starts a chain; a text without words is fingerprinted
+by its whole content; so every text, empty ones too, has a signature, and
 equal texts have equal fingerprints.  A null text counts as empty.  The document
 after the last is the first; rows equal in doc_id follow each other by content;
 a null doc_id comes first; empty tables give none.
@@ -26,6 +28,7 @@ from eoframe.llm.common import components, real_id, table, with_key
 from eoframe.session import stable
 
 CHAIN = 2
+REACH = 8
 #: Common words of four languages.
 ANCHORS = (
     "the of and to in is that it for was with as by on be at this from are or a he an "
@@ -40,14 +43,19 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN, anch
     keep = [c for c in df.columns]
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     d = df.withColumn("_words", words)
-    before = lambda i: F.get(F.col("_words"), i - 1)
-    marked = F.transform("_words", lambda w, i: F.struct(F.when((i > 0) & before(i).isin(*anchors), before(i)).alias("a"), w.alias("w")))
-    d = d.select(*keep, "_words", F.filter(marked, lambda x: ~x.w.isin(*anchors)).alias("_content"))
+    d = d.select(*keep, "_words", F.transform("_words", lambda w: w.isin(*anchors)).alias("_common"))
     ahead = lambda c, i, k: F.get(F.col(c), i + k)
+    starts = F.transform("_common", lambda c, i: c & ~F.coalesce(ahead("_common", i, 1), F.lit(True)))
+    d = d.select(*keep, "_words", "_common", starts.alias("_starts"))
+    marked = F.transform("_words", lambda w, i: F.struct(F.when(ahead("_starts", i, -1), ahead("_words", i, -1)).alias("a"), w.alias("w"), ahead("_common", i, 0).alias("c")))
+    d = d.select(*keep, "_words", "_starts", F.filter(marked, lambda x: ~x.c).alias("_content"))
     spots = F.transform("_content", lambda x, i: F.when(x.a.isNotNull(), F.xxhash64(x.a, x.w, *[ahead("_content", i, k).w for k in range(1, chain)])))
-    d = d.select(*keep, "_words", F.filter(spots, lambda h: h.isNotNull()).alias("_spots"))
-    every = F.transform("_words", lambda w, i: F.xxhash64(w, *[ahead("_words", i, k) for k in range(1, chain + 1)]))
-    chosen = F.when(F.size("_spots") > 0, F.col("_spots")).when(F.size("_words") > 0, every).otherwise(F.array(F.xxhash64(text)))
+    from_ = lambda i: F.greatest(F.lit(1), i + 2 - REACH)
+    # the second look at _starts keeps the planner from working it out anew for each word
+    near = lambda i: ahead("_starts", i, 0) | F.array_contains(F.slice("_starts", from_(i), i + 2 - from_(i)), True)
+    alone = F.transform("_words", lambda w, i: F.when(~near(i), F.xxhash64(w, *[ahead("_words", i, k) for k in range(1, chain + 1)])))
+    d = d.select(*keep, F.filter(F.concat(spots, alone), lambda h: h.isNotNull()).alias("_spots"))
+    chosen = F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(F.array(F.xxhash64(text)))
     return d.select(*keep, F.array_sort(F.array_distinct(chosen)).alias(out))
 
 

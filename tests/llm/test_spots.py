@@ -58,3 +58,13 @@ def test_classes_equal_all_pairs(spark):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     assert got == {i: find(i) for i in range(len(sets))}
+
+
+def test_stray_anchor_keeps_the_rest(spark):
+    words = [f"w{i}" for i in range(120)]
+    for at in (5, 60, 115):
+        text = words[:at] + ["the"] + words[at:]
+        edited = text[:90] + [f"x{i}" for i in range(31)]
+        d = spark.createDataFrame([(" ".join(text), " ".join(edited))], "t string, e string")
+        r = spots.with_signatures(spots.with_signatures(d, "t", "a"), "e", "b").select("a", "b", spots.likeness(F.col("a"), F.col("b")).alias("like")).first()
+        assert len(r.a) > 100 and 0.4 < r.like < 0.8
