@@ -10,7 +10,8 @@ and scoring a text is looking up its words' subsequences.  A logistic step on a
 text's word scores gives the score of the text.
 
 Training sees at most ``SAMPLE`` labelled texts (those first by a hash of their
-id) and ``WORDS`` of their words; word counts over that sample and all scores
+id) and all of their words; landmarks are chosen among ``WORDS`` of them, ties by
+hash.  Word counts over that sample, the sums of each Newton step and all scores
 are computed on executors.
 
 Defined results: null or empty texts get the score of a text without words;
@@ -22,7 +23,7 @@ the share of toxic labels; empty tables give none.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -125,25 +126,36 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     return out / norms(words).astype(np.float32)[:, None]
 
 
-def svm(x: np.ndarray, p: np.ndarray, q: np.ndarray, cost: float = 30.0, steps: int = 25) -> np.ndarray:
-    """Squared hinge with weight ``p`` for label +1 and ``q`` for -1 per row, by Newton steps; last entry is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    ridge = np.ones(x.shape[1])
+def moments(words: list[str], p: np.ndarray, q: np.ndarray, marks: list[str], root: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of one Newton step over ``words``: a row per weight, the second derivatives and last the first."""
+    out = np.zeros((len(w), len(w) + 1))
+    for i in range(0, len(words), 1 << 14):
+        some = words[i : i + (1 << 14)]
+        x = np.hstack([kernel(some, marks) @ root.astype(np.float32), np.ones((len(some), 1), dtype=np.float32)]).astype(np.float64)
+        ok = norms(some) > 1e-5  # words too short for a subsequence have nothing to learn from
+        f = x @ w
+        a, b = p[i : i + (1 << 14)] * (ok & (f < 1)), q[i : i + (1 << 14)] * (ok & (f > -1))
+        out[:, :-1] += (x.T * (a + b)) @ x
+        out[:, -1] += x.T @ (a * (f - 1) + b * (f + 1))
+    return out
+
+
+def svm(size: int, sums: Callable[[np.ndarray], np.ndarray], cost: float = 30.0, steps: int = 25) -> np.ndarray:
+    """Squared hinge by Newton steps with ``sums(w)`` over all words; last entry is the bias."""
+    w = np.zeros(size + 1)
+    ridge = np.ones(size + 1)
     ridge[-1] = 1e-3
     for _ in range(steps):
-        f = x @ w
-        a, b = p * (f < 1), q * (f > -1)
-        grad = ridge * w + 2 * cost * (x.T @ (a * (f - 1) + b * (f + 1)))
-        step = np.linalg.solve(np.diag(ridge) + 2 * cost * (x.T * (a + b)) @ x, grad)
+        m = sums(w)
+        step = np.linalg.solve(np.diag(ridge) + 2 * cost * m[:, :-1], ridge * w + 2 * cost * m[:, -1])
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def train_words(words: list[str], p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(subsequence codes, their weights, bias) of the machine."""
+def landmarks(words: list[str], p: np.ndarray, q: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(landmark words, the map from kernel values to the space they span)."""
     lean = np.argsort(q - p, kind="stable")
     toxic = lean[: LANDMARKS // 2]
     plain = lean[::-1][: LANDMARKS // 4]
@@ -152,8 +164,11 @@ def train_words(words: list[str], p: np.ndarray, q: np.ndarray) -> tuple[np.ndar
     kmm = kernel(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
     good = values > 1e-4 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    w = svm(kernel(words, marks) @ root.astype(np.float32), p, q)
+    return marks, vectors[:, good] / np.sqrt(values[good])
+
+
+def folded(marks: list[str], root: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(subsequence codes, their weights, bias) of the machine with weights ``w``."""
     beta = root @ w[:-1] / norms(marks)
     codes = np.unique(np.concatenate([c for _, c, _ in subsequences(marks)]))
     weights = np.zeros(len(codes))
@@ -162,6 +177,32 @@ def train_words(words: list[str], p: np.ndarray, q: np.ndarray) -> tuple[np.ndar
     return codes.astype(np.int32), weights.astype(np.float32), float(w[-1])
 
 
+def train_words(words: list[str], p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The machine of a plain list of words."""
+    marks, root = landmarks(words, p, q)
+    return folded(marks, root, svm(root.shape[1], lambda w: moments(words, p, q, marks, root, w)))
+
+
+def train_table(words: DataFrame, marks: list[str], root: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The machine of all rows of ``words`` (word, p, q); tasks return one matrix of sums each."""
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, least = 0.0, None
+            for pdf in batches:
+                if len(pdf):
+                    total = total + moments(pdf.word.tolist(), pdf.p.to_numpy(), pdf.q.to_numpy(), marks, root, w)
+                    least = pdf.word.iloc[0] if least is None else least
+            if least is not None:
+                yield pd.DataFrame({"least": [least], "m": [total.tobytes()]})
+
+        # a matrix per task, added in a fixed order
+        rows = sorted(words.mapInPandas(run, "least string, m binary").collect(), key=lambda r: r.least)
+        return sum(np.frombuffer(r.m).reshape(len(w), len(w) + 1) for r in rows)
+
+    return folded(marks, root, svm(root.shape[1], sums))
+
+
 _TABLES: dict[int, np.ndarray] = {}
 
 
@@ -261,17 +302,18 @@ def fit(docs: DataFrame, labels: DataFrame):
     if total is None:
         return None, float(share)
     p, q = F.col("p") / max(1, total.p), F.col("q") / max(1, total.q)
-    words = counts.where("word <> ''").select("word", p.alias("p"), q.alias("q"))
+    words = counts.where("word <> ''").select("word", (p * 100).alias("p"), (q * 100).alias("q"))
+    words = stable(words.repartition(24, F.xxhash64("word")).sortWithinPartitions("word"))
     picked = [
-        words.orderBy((F.col("q") - F.col("p")), "word").limit(WORDS // 2),
-        words.orderBy((F.col("p") - F.col("q")), "word").limit(WORDS // 4),
+        words.orderBy((F.col("q") - F.col("p")), F.xxhash64("word"), "word").limit(WORDS // 2),
+        words.orderBy((F.col("p") - F.col("q")), F.xxhash64("word"), "word").limit(WORDS // 4),
         words.orderBy(F.xxhash64("word"), "word").limit(WORDS // 4),
     ]
-    got = picked[0].unionByName(picked[1]).unionByName(picked[2]).distinct().orderBy("word").toPandas()  # at most WORDS rows
+    got = picked[0].unionByName(picked[1]).unionByName(picked[2]).distinct().orderBy(F.xxhash64("word"), "word").toPandas()  # at most WORDS rows
     got = got[norms(got.word.tolist()) > 1e-5]  # words too short for a subsequence have nothing to learn from
     if got.empty:
         return None, float(share)
-    machine = train_words(got.word.tolist(), got.p.to_numpy() * 100, got.q.to_numpy() * 100)
+    machine = train_table(words, *landmarks(got.word.tolist(), got.p.to_numpy(), got.q.to_numpy()))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -69,3 +69,27 @@ def test_no_labels_and_empty(spark):
     assert toxicity.classify(fixtures.empty(spark), none).count() == 0
     d = fixtures.docs(spark, extra=True)
     assert toxicity.drop_toxic(d, d, none).count() == len(fixtures.ROWS)
+
+
+def test_all_words_train(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 320)
+    rows, labels, _ = corpus()
+    # each seen once in a toxic text: a tie beyond the number of words that landmarks are chosen from
+    ids = [i for i, y in labels if y and zlib.crc32(str(i).encode()) % 4 != 2]
+    rare = [f"{a}{b}{c}{end}" for end in ("qqvk", "zzwyxk") for a in "abcdefgz" for b in "aeio" for c in "bcdfglm"]
+    texts = {r[0]: r[1] for r in rows}
+    for k, word in enumerate(rare):
+        texts[ids[k % len(ids)]] += f" {word}"
+    docs = fixtures.docs(spark, [(i, t, "en", "s", 1) for i, t in texts.items()])
+    seen = []
+    real = toxicity.train_table
+    monkeypatch.setattr(toxicity, "train_table", lambda words, *a: (seen.extend(r.word for r in words.collect()), real(words, *a))[1])
+    machine, _ = toxicity.fit(docs, toxicity.training_labels(spark.createDataFrame(labels, "doc_id long, toxic int")))
+    assert set(rare) <= set(seen)
+    assert len(seen) > 320
+    # sums over tasks are those of one plain list
+    words = [f"{a}{b}" for a in ("idi", "mor", "cat", "dog") for b in ("ot", "on", "ter", "gy")]
+    p = np.array([1.0 if w in ("idiot", "moron") else 0.0 for w in words])
+    table = spark.createDataFrame(list(zip(words, p.tolist(), (1 - p).tolist())), "word string, p double, q double").repartition(3)
+    one, many = toxicity.train_words(words, p, 1 - p), real(table, *toxicity.landmarks(words, p, 1 - p))
+    assert (one[0] == many[0]).all() and np.allclose(one[1], many[1], atol=1e-4)
