@@ -33,3 +33,22 @@ def test_links_and_bodies(spark):
 def test_empty(spark):
     d = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert quotes.conversations(d).count() == 0
+
+
+def test_parts_of_messages(spark):
+    rows = [
+        (1, 0, "user", "First line\nsecond line\nthird line\n\nNext paragraph."),
+        (1, 1, "assistant", "> First line\nYes.\n> second line\nI will\ncome."),
+        (1, 2, "user", "> I will come.\nGood.\n> Yes.\nFine."),
+        (1, 3, "user", "> first line\n> third line\n> next paragraph.\nIn order."),
+        (1, 4, "user", "> third line\n> first line\nOut of order."),
+        (2, 0, "user", "> second line\n> third line\nFrom elsewhere."),
+        (3, 0, "user", "> Fine.\nA second look."),
+        (3, 1, "user", "> First line\n> second line\n> third line\nWhole."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (r.n_quotes, r.n_linked, r.n_in_part, r.parent_conv, r.parent_turn) for k, r in got.items()} == {
+        (1, 0): (0, 0, 0, None, None), (1, 1): (2, 0, 2, 1, 0), (1, 2): (2, 0, 2, 1, 1), (1, 3): (1, 0, 1, 1, 0), (1, 4): (1, 0, 0, 1, 3),
+        (2, 0): (1, 0, 1, 1, 0), (3, 0): (1, 0, 1, 1, 2), (3, 1): (1, 1, 0, 1, 0),
+    }
+    assert {r.thread_id for r in got.values()} == {1}
