@@ -2,9 +2,8 @@
 
 import pytest
 
-from conftest import SMALL
 from eoframe.plans.catalogue import RUNS, SQL
-from oracle import compare, connect
+from oracle import SMALL, compare, connect
 
 
 @pytest.fixture(scope="module")
