@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eoframe.llm import credentials, exact, hosts, mixing, packing, quality, quotes, repeats, simhash, spots, toxicity
+from eoframe.llm import credentials, exact, hosts, merkle, mixing, packing, quality, quotes, repeats, simhash, spots, toxicity
 
 RUNS = {
     "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
@@ -15,7 +15,8 @@ RUNS = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_url_reputation": hosts.op9_url_reputation,
     "op10_mixing": mixing.op10_mixing,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_quality": quality.op12_quality,
 }
 
-SQL = {"op8_exact_dedup": exact.OP8_SQL}
+SQL = {"op8_exact_dedup": exact.OP8_SQL, "op11_merkle_manifest": merkle.OP11_SQL}
