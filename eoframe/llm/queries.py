@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eoframe.llm import credentials, exact, hosts, merkle, mixing, packing, quality, quotes, repeats, simhash, spots, toxicity
+from eoframe.llm import credentials, exact, hosts, merkle, mixing, packing, prefixes, quality, quotes, repeats, simhash, spots, toxicity
 
 RUNS = {
     "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
@@ -17,6 +17,7 @@ RUNS = {
     "op10_mixing": mixing.op10_mixing,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_quality": quality.op12_quality,
+    "op13_prefix_trie": prefixes.op13_prefix_trie,
 }
 
-SQL = {"op8_exact_dedup": exact.OP8_SQL, "op11_merkle_manifest": merkle.OP11_SQL}
+SQL = {"op8_exact_dedup": exact.OP8_SQL, "op11_merkle_manifest": merkle.OP11_SQL, "op13_prefix_trie": prefixes.OP13_SQL}
