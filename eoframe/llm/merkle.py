@@ -231,8 +231,12 @@ def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list]:
 
     ``top`` (tree, subroot, siblings, shape, root) has a row per source: its root and the proof that leads on to the root.
     """
-    counts = leaves.groupBy("tree").agg(F.count("*").alias("n"))
-    known = leaves.join(counts.withColumnRenamed("tree", "t"), F.col("tree") == F.col("t")).drop("t")
+    # sizes reach the leaves by block, so that no task gets a whole source
+    leaves = _blocks(leaves)
+    blocks = leaves.groupBy("tree", "block").agg(F.count("*").alias("n"))
+    trees = blocks.groupBy(F.col("tree").alias("t")).agg(F.sum("n").alias("n"))
+    sizes = blocks.drop("n").join(trees, F.col("tree") == F.col("t")).select("t", F.col("block").alias("b"), "n")
+    known = leaves.join(sizes, (F.col("tree") == F.col("t")) & (F.col("block") == F.col("b"))).drop("t", "b", "block")
     nodes, removers = interiors(known.select("tree", "pos", F.col("leaf").alias("digest"), "n"))
     alone = known.where("n = 1").select("tree", F.col("leaf").alias("digest"))
     subroots = nodes.where("n = 1").select("tree", "digest").unionByName(alone)  # level ends where one node is left
