@@ -43,7 +43,7 @@ from eoframe.llm.common import stored, table, texts
 
 SAMPLE = 20_000
 PARTS = (0.002, 0.01, 0.03, 0.08, 0.2, 0.4, 0.6, 0.8, 0.92, 0.97, 0.99, 0.998)
-MERGERS = 16
+MERGERS = 4
 RIDGE = 1e-3
 BINS = 400
 THRESHOLD = 0.5
