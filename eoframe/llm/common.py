@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eoframe.session import ensure_checkpoint_dir, stable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FEW = 1_000_000  # short keys that are named to all executors after they are counted; more are joined
 NO_ID = -(2**63)  # stands for a null doc_id where a plain long is needed
 
 
@@ -51,6 +52,32 @@ def packed(docs: DataFrame) -> DataFrame:
     )
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if they are counted to be few."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
+def kept_rows(rows: DataFrame, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """The packed rows of ``rows`` (row, and keys) without those whose key is in ``gone`` and with one row for a key in ``again``.
+
+    Both name keys by the same columns.  The rest is not shuffled where both are
+    few; of rows that share a key the least by its JSON stays, which any column
+    type has, and they are combined before their shuffle.
+    """
+    gone, again = stable(gone.distinct()), stable(again.distinct())
+    keys = gone.columns
+
+    def on(side: DataFrame) -> tuple[DataFrame, list[Column]]:
+        return few(side.select(*[F.col(c).alias(f"_{c}") for c in keys])), [F.col(c) == F.col(f"_{c}") for c in keys]
+
+    left = rows.join(*on(gone), "left_anti") if not gone.isEmpty() else rows
+    if again.isEmpty():
+        return left.select("row.*")
+    single = left.join(*on(again), "left_anti").select("row")
+    one = left.join(*on(again), "left_semi").groupBy(*keys).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(one).select("row.*")
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """``df`` as a compressed table in the shared checkpoint folder, and a function that removes the table.
 

@@ -21,9 +21,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from eoframe.llm.common import NO_ID, ascii_lower, packed, real_id, table, texts
+from eoframe.llm.common import NO_ID, ascii_lower, kept_rows, packed, real_id, table, texts
 from eoframe.session import stable
 
 SALTS = 32
@@ -183,11 +182,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the largest doc_id."""
-    keep = stable(groups(docs).where("doc_id = keep").select(F.col("digest").alias("kd"), F.col("doc_id").alias("ki")))
+    g = groups(docs)
     d = packed(docs).withColumn("digest", F.unhex(F.sha2(ascii_lower(F.col("_text")), 256))).drop("_text")
-    same = d.join(keep, (F.col("digest") == F.col("kd")) & (F.col("doc_id") == F.col("ki")))
-    first = Window.partitionBy("digest", "doc_id").orderBy(F.xxhash64("row"))
-    return same.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("row.*")
+    return kept_rows(d, g.where("doc_id <> keep").select("digest", "doc_id"), g.where("doc_id = keep AND n > 1").select("digest", "doc_id"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,7 +198,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     c = stable(copies_for(sized(docs)).where("copies > 0").select(
         F.col("doc_id").alias("k"), F.col("tk").alias("kt"), F.col("source").alias("ks"), F.col("ordinal").alias("ko"), "copies"))
     d = packed(docs).withColumn("tk", F.xxhash64("_text")).drop("_text").withColumn("source", F.col("row.source"))
-    alike = Window.partitionBy("doc_id", "tk", "source").orderBy(F.xxhash64("row"))
+    alike = Window.partitionBy("doc_id", "tk", "source").orderBy(F.to_json("row"))
     numbered = d.withColumn("ordinal", F.row_number().over(alike).cast("bigint"))
     on = (F.col("doc_id") == F.col("k")) & (F.col("tk") == F.col("kt")) & F.col("source").eqNullSafe(F.col("ks")) & (F.col("ordinal") == F.col("ko"))
     return numbered.join(c, on).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -12,8 +12,12 @@ A bucket gives a forest of its links, never all pairs.
 With a least similarity near copies are defined by exact shares instead: a link
 is a Jaccard share of shingles of at least that, or fingerprints linked as above
 whose counted shingles have that cosine.  Fingerprints alone miss most pairs at
-0.8, so rows also meet in buckets of the shingles that such a partner must share
-(rare ones first); rows that are already connected are not compared again.
+0.8, so rows also meet in ``BANDS`` buckets of pairs of least shingle hashes.  A
+bucket is put in order of length and a row is compared with its ``REACH``
+neighbours only; what is connected then meets the rest of the bucket as one row,
+in up to ``ROUNDS`` more rounds.  So pairs grow with the rows, whatever the size
+of a bucket, at the price that a link may be missed where a bucket holds many
+texts that are not alike.
 
 Defined results: empty or null texts have fingerprint zero and link like any
 other; equal fingerprints are one node; null doc_ids count as the smallest only
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eoframe.llm.common import LOWER, NO_ID, UPPER, components, packed, real_id, table, with_key
+from eoframe.llm.common import LOWER, NO_ID, UPPER, components, few, kept_rows, packed, real_id, stored, table, with_key
 from eoframe.session import stable
 
 WORDS = 4
@@ -39,9 +43,10 @@ DISTANCE = 4
 ROWS = 4096  # fingerprints of a bucket that one task takes without splitting
 LEVELS = 4
 FAN = 8
-OFTEN = 4_000  # documents in which common shingles are counted; their order changes the cost only
-FEW = 1_000_000  # texts to compare that are named to all executors; more are joined
-COMMON = 200_000  # common shingles that are put last
+BANDS = 12  # two rows alike by 0.8 share a band's key with 0.64, so they share none of these with 0.36^12, 5 in a million
+REACH = 3  # neighbours of a bucket that are compared in a round
+ROUNDS = 3
+_ORDERS = np.random.default_rng(11).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str, width: int = WORDS) -> np.ndarray:
@@ -231,83 +236,90 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return sorted_.select("mask", "value", "fp").mapInPandas(run, "a bigint, b bigint")
 
 
-def common_shingles(docs: DataFrame, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes in order, their counts) that are common among about ``OFTEN`` documents."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """A key per band: the least of the shingle hashes under each of the band's two orders, put together."""
+    least = np.full(2 * BANDS, ~np.uint64(0))
+    for i in range(0, len(hashes), 1 << 14):
+        mixed = hashes[i : i + (1 << 14), None] * _ORDERS
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(axis=0))
+    least = least.reshape(BANDS, 2)
+    keys = (least[:, 0] ^ (least[:, 1] * _ORDERS[0])) * _ORDERS[1]
+    return (keys ^ (keys >> np.uint64(29)) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, tk, fp, n, keys): fingerprint, number of different shingles and band keys per document, in one reading."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            s, n = np.unique(np.concatenate([np.unique(shingle_hashes(x, width)) for x in pdf.text] or [np.empty(0, np.uint64)]), return_counts=True)
-            yield pd.DataFrame({"s": s.view(np.int64), "n": n})
+            out = []
+            for doc, tk, text in zip(pdf.doc_id.tolist(), pdf.tk.tolist(), pdf.text):
+                h = shingle_hashes(text, width)
+                own = np.unique(h)
+                out.append((doc, tk, int(np.uint64(fingerprint(h)).view(np.int64)), len(own), minima(own) if len(own) else []))
+            yield pd.DataFrame(out, columns=["doc_id", "tk", "fp", "n", "keys"])
 
-    some = with_key(docs).where(F.pmod(F.xxhash64("tk"), F.lit(max(1, rows))) < OFTEN)
-    counts = some.mapInPandas(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 3")
-    got = counts.orderBy(F.desc("n"), "s").limit(COMMON).toPandas()  # at most COMMON pairs of numbers
-    s, n = got.s.to_numpy(dtype=np.int64).view(np.uint64), got.n.to_numpy(dtype=np.int64)
-    order = np.argsort(s)
-    return s[order], n[order]
+    return with_key(docs).mapInPandas(run, "doc_id bigint, tk bigint, fp bigint, n bigint, keys array<bigint>")
 
 
-def shared_shingles(docs: DataFrame, rows: int, width: int, least: float) -> DataFrame:
-    """(s, node, n, i, head, hn, hi): rows that meet in a shingle ``s`` which a row alike by ``least`` must share.
+def neighbours(rows: DataFrame, reach: int = REACH, least: float = 0.0) -> DataFrame:
+    """(a, b): different groups of rows (key, n, node, root) that stand at most ``reach`` places apart in their bucket.
 
-    ``n`` is the number of shingles of a row, ``i`` the place of ``s`` in their
-    order, ``head`` (with ``hn`` and ``hi``) a row of the bucket chosen by hash.
+    Buckets are in order of ``n`` and range partitions cut large ones, so no
+    task holds a bucket; rows at a cut are joined by their places.  Pairs whose
+    lengths alone forbid the share ``least`` are left out.
     """
-    common, often = common_shingles(docs, rows, width)
+    placed = stable(rows.repartitionByRange(F.col("key"), F.col("n"), F.col("node")).sortWithinPartitions("key", "n", "node").withColumn("piece", F.spark_partition_id()))
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs within a piece, and its first and last ``reach`` rows for the cuts (``cut``: -1 first, 1 last)."""
+        tail = None
+        first = None
         for pdf in batches:
-            out = []
-            for node, text in zip(pdf.tk.tolist(), pdf.text):
-                h = np.unique(shingle_hashes(text, width))
-                first = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
-                out.append(pd.DataFrame({"s": h[:first].view(np.int64), "node": node, "n": len(h), "i": np.arange(first)}))
-            if out:
-                yield pd.concat(out)
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole(batches, ["s"]):
-            pdf = pdf.drop_duplicates(["s", "node"])
-            s, node, n, i = (pdf[c].to_numpy() for c in ("s", "node", "n", "i"))
-            bounds = np.array(_bounds(s))
-            size = np.diff(bounds)
-            head = np.repeat(bounds[:-1] + (s[bounds[:-1]].view(np.uint64) % size.astype(np.uint64)).astype(np.int64), size)
-            pdf = pdf.assign(head=node[head], hn=n[head], hi=i[head])
-            yield pdf[np.repeat(size > 1, size)]
-
-    schema = "s bigint, node bigint, n bigint, i bigint"
-    k = with_key(docs).mapInPandas(keys, schema).repartition("s").sortWithinPartitions("s", "node")
-    return k.mapInPandas(meet, schema + ", head bigint, hn bigint, hi bigint")
-
-
-def apart(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of one bucket that ``roots`` does not connect and whose lengths and places allow ``least``."""
-    r = shared.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("s", "node", "n", "i", F.coalesce("root", "node").alias("root"))
+            if not len(pdf):
+                continue
+            piece = int(pdf.piece.iloc[0])
+            whole = pdf if tail is None else pd.concat([tail, pdf])
+            yield _pairs(whole, 0 if tail is None else len(tail), reach, least)
+            if first is None or len(first) < reach:
+                first = (pdf if first is None else pd.concat([first, pdf])).head(reach)
+            tail = whole.tail(reach)
+        if tail is not None:
+            yield pd.concat([_edge(first, piece, -1), _edge(tail, piece, 1)])
+
+    schema = "a bigint, b bigint, cut int, piece int, place int, key bigint, n bigint, node bigint, root bigint"
+    found = stable(placed.mapInPandas(pairs, schema))
+    ends = found.where("cut <> 0")  # at most 2 * reach rows a partition
+    order = Window.orderBy("piece")
+    after = ends.select("piece").distinct().select("piece", F.lead("piece").over(order).alias("next"))
+    last = ends.where("cut = 1").join(after, "piece").select("next", F.col("place").alias("back"), *[F.col(c).alias(f"l{c}") for c in ("key", "n", "node", "root")])
+    first = ends.where("cut = -1")
+    near_ = (
+        (F.col("next") == F.col("piece")) & (F.col("lkey") == F.col("key")) & (F.col("back") + F.col("place") < reach)
+        & (F.col("lroot") != F.col("root")) & (F.col("ln") >= least * F.col("n") - 1e-9)
+    )
+    over = last.join(first, near_).select(F.col("lnode").alias("a"), F.col("node").alias("b"))
+    return found.where("cut = 0").select("a", "b").unionByName(over).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _edge(pdf: pd.DataFrame, piece: int, which: int) -> pd.DataFrame:
+    place = np.arange(len(pdf)) if which < 0 else np.arange(len(pdf))[::-1]
+    return pd.DataFrame({
+        "a": 0, "b": 0, "cut": which, "piece": piece, "place": place, **{c: pdf[c].to_numpy() for c in ("key", "n", "node", "root")}
+    })
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole(batches, ["s"]):
-            s, node, n, i, root = (pdf[c].to_numpy() for c in ("s", "node", "n", "i", "root"))
-            bounds = _bounds(s)
-            found: list[np.ndarray] = []
-            for x, e in zip(bounds, bounds[1:]):
-                if (root[x:e] == root[x]).all():
-                    continue
-                for k in range(x, e - 1):
-                    o = np.arange(k + 1, e)
-                    need = least / (1 + least) * (n[k] + n[o]) - 1e-9
-                    o = o[(root[o] != root[k]) & (np.minimum(n[k] - i[k], n[o] - i[o]) >= need)]
-                    found.append(np.stack([np.minimum(node[k], node[o]), np.maximum(node[k], node[o])], axis=1))
-                    if len(found) > 4096:
-                        yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
-                        found = []
-            if found:
-                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
-
-    by = r.repartition("s").sortWithinPartitions("s", "node")
-    return by.mapInPandas(run, "a bigint, b bigint").distinct()
+
+def _pairs(pdf: pd.DataFrame, old: int, reach: int, least: float) -> pd.DataFrame:
+    """Pairs of rows up to ``reach`` places apart of which the later one is none of the first ``old`` rows."""
+    key, n, node, root = (pdf[c].to_numpy() for c in ("key", "n", "node", "root"))
+    a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for d in range(1, reach + 1):
+        at = np.arange(max(d, old), len(pdf))
+        at = at[(key[at] == key[at - d]) & (root[at] != root[at - d]) & (n[at - d] >= least * n[at] - 1e-9)]
+        a.append(node[at - d])
+        b.append(node[at])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pd.DataFrame({"a": a, "b": b, "cut": 0, "piece": 0, "place": 0, "key": 0, "n": 0, "node": 0, "root": 0})
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float, counted: bool) -> bool:
@@ -323,47 +335,53 @@ def alike(a: np.ndarray, b: np.ndarray, least: float, counted: bool) -> bool:
 
 
 def checked(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Of ``pairs`` (a, b, counted) of texts of ``docs`` those that are alike by ``least``."""
+    """Of ``pairs`` (a, b, counted) of texts of ``docs`` (one row per text) those that are alike by ``least``."""
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"v": pdf.tk, "hs": [np.sort(shingle_hashes(x, width)).view(np.int64) for x in pdf.text]})
+            yield pd.DataFrame({"v": pdf.tk, "hs": [np.sort(shingle_hashes(x, width)).tobytes() for x in pdf.text]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = [alike(*x, least, c) for *x, c in zip(pdf.ha, pdf.hb, pdf.counted)]
+            ok = [alike(*(np.frombuffer(x, dtype=np.uint64) for x in two), least, c) for *two, c in zip(pdf.ha, pdf.hb, pdf.counted)]
             yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
     wanted = stable(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
-    few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    lists = with_key(docs).join(few, F.col("tk") == F.col("v"), "left_semi").mapInPandas(hashes, "v bigint, hs array<bigint>")
-    lists = lists.dropDuplicates(["v"])
+    lists, remove = stored(with_key(docs).join(few(wanted), F.col("tk") == F.col("v"), "left_semi").mapInPandas(hashes, "v bigint, hs binary").dropDuplicates(["v"]))
     both = pairs.join(lists.select(F.col("v").alias("va"), F.col("hs").alias("ha")), F.col("a") == F.col("va"))
     both = both.join(lists.select(F.col("v").alias("vb"), F.col("hs").alias("hb")), F.col("b") == F.col("vb"))
-    return both.select("a", "b", "ha", "hb", "counted").mapInPandas(run, "a bigint, b bigint")
+    out = stable(both.select("a", "b", "ha", "hb", "counted").mapInPandas(run, "a bigint, b bigint"))
+    remove()
+    return out
 
 
 def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int, least: float) -> DataFrame:
-    """(node, root) of the texts of ``nodes`` (tk, fp) that are linked to any other by ``least``."""
+    """(node, root) of the texts of ``nodes`` (tk, fp, n, keys) that are linked to any other by ``least``."""
     heads = nodes.groupBy("fp").agg(F.min("tk").alias("head"))
     by = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"n{c}"))
     near_ = links(heads.select("fp"), distance).distinct().join(by("a"), "a").join(by("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     same = nodes.join(by("f"), F.col("fp") == F.col("f")).where("tk <> nf").select(F.col("tk").alias("a"), F.col("nf").alias("b"))
-    close = near_.unionByName(same).withColumn("counted", F.lit(True))
-    shared = stable(shared_shingles(docs, nodes.count(), width, least))
-    need = F.lit(least / (1 + least)) * (F.col("n") + F.col("hn")) - 1e-9
-    star = shared.where((F.col("node") != F.col("head")) & (F.least(F.col("n") - F.col("i"), F.col("hn") - F.col("hi")) >= need))
-    star = star.select(F.col("node").alias("a"), F.col("head").alias("b"), F.lit(False).alias("counted"))
-    pairs = stable(
-        close.unionByName(star).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("counted").alias("counted"))
-    )
-    edges = stable(checked(pairs, docs, width, least))
+    close = near_.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("counted"))
+    rows = nodes.select(F.explode("keys").alias("key"), "n", F.col("tk").alias("node"))
+    first = neighbours(rows.withColumn("root", F.col("node")), least=least).withColumn("counted", F.lit(False))
+    pairs = stable(close.unionByName(first).groupBy("a", "b").agg(F.max("counted").alias("counted")))
+    edges = checked(pairs, docs, width, least)
     roots = components(edges)
-    more = stable(apart(shared, roots, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("counted", F.lit(False)))
-    if not more.head(1):
-        return roots
-    rest = stable(checked(more, docs, width, least))
-    return components(edges.unionByName(rest)) if rest.head(1) else roots
+    for _ in range(ROUNDS):
+        # what is connected meets others as one row of its shortest text
+        r = rows.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left")
+        one = r.groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("n", "node")).alias("m"))
+        met = neighbours(one.select("key", "m.n", "m.node", "root"), least=least)
+        more = stable(met.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("counted", F.lit(False)))
+        if more.isEmpty():
+            break
+        pairs = pairs.unionByName(more)
+        new = checked(more, docs, width, least)
+        if new.isEmpty():
+            break
+        edges = edges.unionByName(new)
+        roots = components(edges)
+    return roots
 
 
 def near_groups(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, least: float | None = None) -> DataFrame:
@@ -372,15 +390,16 @@ def near_groups(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, l
     Linked by fingerprints of ``width`` words within ``distance``, or if ``least``
     is given by that similarity.
     """
-    d = stable(fingerprints(docs, width))
     first = F.struct(F.col("doc_id") == NO_ID, "doc_id", "tk")
     if least is not None:
-        nodes = stable(d.groupBy("tk").agg(F.min("fp").alias("fp"), F.min(first).alias("first")))
-        roots = similar_roots(docs, nodes.select("tk", "fp"), width, distance, least)
+        d, _ = stored(sketches(docs, width))
+        nodes, _ = stored(d.groupBy("tk").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(first).alias("first")))
+        roots = similar_roots(docs, nodes.select("tk", "fp", "n", "keys"), width, distance, least)
         named = stable(nodes.join(roots, F.col("tk") == F.col("node"), "left").select(F.col("tk").alias("k"), "first", F.coalesce("root", "tk").alias("root")))
         least_ = named.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("f"))
         ids = named.join(least_, F.col("root") == F.col("r")).select("k", F.col("f.doc_id").alias("component_id"), F.col("f.tk").alias("kept_tk"))
         return d.join(ids, F.col("tk") == F.col("k")).select("doc_id", "tk", "fp", "component_id", "kept_tk")
+    d = stable(fingerprints(docs, width))
     fps = stable(d.groupBy("fp").agg(F.min(first).alias("first")))
     roots = components(links(fps.select("fp"), distance))
     named = fps.join(roots, F.col("fp") == F.col("node"), "left").select(
@@ -396,14 +415,10 @@ def near_groups(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, l
 
 def drop_near(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, least: float | None = None) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (a null only if there is no other)."""
-    keep = stable(
-        near_groups(docs, width, distance, least).where("doc_id = component_id AND tk = kept_tk")
-        .select(F.col("doc_id").alias("k"), F.col("tk").alias("kt")).distinct()
-    )
+    counted = near_groups(docs, width, distance, least).groupBy("doc_id", "tk", "component_id", "kept_tk").agg(F.count("*").alias("rows"))
+    counted = stable(counted.withColumn("kept", (F.col("doc_id") == F.col("component_id")) & (F.col("tk") == F.col("kept_tk"))))
     d = packed(docs).withColumn("tk", F.xxhash64("_text")).drop("_text")
-    same = d.join(keep, (F.col("doc_id") == F.col("k")) & (F.col("tk") == F.col("kt")))
-    one = Window.partitionBy("doc_id", "tk").orderBy(F.xxhash64("row"))
-    return same.withColumn("rn", F.row_number().over(one)).where("rn = 1").select("row.*")
+    return kept_rows(d, counted.where("NOT kept").select("doc_id", "tk"), counted.where("kept AND rows > 1").select("doc_id", "tk"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

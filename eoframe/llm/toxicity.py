@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eoframe.llm.common import packed, real_id, table, with_key
+from eoframe.llm.common import few, packed, real_id, table, with_key
 from eoframe.session import stable
 
 SAMPLE = 20_000
@@ -365,7 +365,7 @@ def drop_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataF
         .select(F.col("doc_id").alias("k"), F.col("tk").alias("kt")).distinct()
     )
     d = packed(docs).withColumn("tk", F.xxhash64("_text")).drop("_text")
-    return d.join(bad, (F.col("doc_id") == F.col("k")) & (F.col("tk") == F.col("kt")), "left_anti").select("row.*")
+    return d.join(few(bad), (F.col("doc_id") == F.col("k")) & (F.col("tk") == F.col("kt")), "left_anti").select("row.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
