@@ -14,7 +14,7 @@ is a Jaccard share of shingles of at least that, or fingerprints linked as above
 whose counted shingles have that cosine.  Fingerprints alone miss most pairs at
 0.8, so rows also meet in ``BANDS`` buckets of pairs of least shingle hashes.  A
 bucket is put in order of length and a row is compared with its ``REACH``
-neighbours only; what is connected then meets the rest of the bucket as one row,
+neighbours only; what is connected then meets ``WIDER`` neighbours as one row,
 in up to ``ROUNDS`` more rounds.  So pairs grow with the rows, whatever the size
 of a bucket, at the price that a link may be missed where a bucket holds many
 texts that are not alike.
@@ -44,7 +44,8 @@ ROWS = 4096  # fingerprints of a bucket that one task takes without splitting
 LEVELS = 4
 FAN = 8
 BANDS = 12  # two rows alike by 0.8 share a band's key with 0.64, so they share none of these with 0.36^12, 5 in a million
-REACH = 3  # neighbours of a bucket that are compared in a round
+REACH = 2  # neighbours of a bucket that are compared at first
+WIDER = 12  # and later, when what is connected counts as one row
 ROUNDS = 3
 _ORDERS = np.random.default_rng(11).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -371,7 +372,7 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int,
         # what is connected meets others as one row of its shortest text
         r = rows.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left")
         one = r.groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("n", "node")).alias("m"))
-        met = neighbours(one.select("key", "m.n", "m.node", "root"), least=least)
+        met = neighbours(one.select("key", "m.n", "m.node", "root"), WIDER, least)
         more = stable(met.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("counted", F.lit(False)))
         if more.isEmpty():
             break
