@@ -45,6 +45,7 @@ ENDS = 1
 #: (offsets of the later characters, weight)
 PATTERNS = [(o, DECAY ** (o[-1] - LENGTH + 1)) for o in combinations(range(1, LENGTH + GAP), LENGTH - 1)]
 SPELT = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][\s.\-*]){3,}[^\W_](?=\W|$)")
+START = 4.0  # weight of a subsequence that begins with its word, so that a rare beginning counts before a common ending
 DIGITS = dict(zip("013457", "oieast"))
 
 
@@ -90,7 +91,7 @@ def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.full(n, ENDS), cls, np.full(n, ENDS)))[order], who[order]
 
 
-def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(word number, subsequence, weight) per pattern."""
     cls, who = letters(words)
     for offsets, weight in PATTERNS:
@@ -101,13 +102,13 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, flo
         code = cls[ok]
         for o in offsets:
             code = code * 64 + cls[ok + o]
-        yield who[ok], code, weight
+        yield who[ok], code, np.where(cls[ok] == ENDS, START * weight, weight)
 
 
 def norms(words: list[str]) -> np.ndarray:
     total = np.zeros(len(words))
     for who, _, weight in subsequences(words):
-        total += weight * weight * np.bincount(who, minlength=len(words))
+        total += np.bincount(who, weights=weight * weight, minlength=len(words))
     return np.sqrt(np.maximum(total, 1e-12))
 
 
@@ -122,7 +123,7 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     for who, code, weight in subsequences(words):
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         hit = codes[at] == code
-        np.add.at(out, who[hit], weight * rows[at[hit]])
+        np.add.at(out, who[hit], weight[hit, None].astype(np.float32) * rows[at[hit]])
     return out / norms(words).astype(np.float32)[:, None]
 
 
@@ -154,13 +155,32 @@ def svm(size: int, sums: Callable[[np.ndarray], np.ndarray], cost: float = 30.0,
     return w
 
 
+def spread(words: list[str], weight: np.ndarray, n: int) -> list[str]:
+    """``n`` of ``words``: the heaviest, then always the one of most weight that the chosen leave unexplained in kernel space."""
+    left = np.asarray(weight, dtype=float) + 1e-9
+    rest = np.ones(len(words))
+    basis = np.zeros((len(words), 0))
+    chosen: list[int] = []
+    while len(chosen) < min(n, len(words)):
+        i = int(np.argmax(left * rest))
+        if rest[i] < 1e-3:
+            break
+        k = kernel(words, [words[i]])[:, 0].astype(float)
+        new = (k - basis @ basis[i]) / np.sqrt(max(rest[i], 1e-6))
+        basis = np.column_stack([basis, new])
+        rest = np.maximum(rest - new**2, 0)
+        chosen.append(i)
+    return [words[i] for i in chosen]
+
+
 def landmarks(words: list[str], p: np.ndarray, q: np.ndarray) -> tuple[list[str], np.ndarray]:
     """(landmark words, the map from kernel values to the space they span)."""
     lean = np.argsort(q - p, kind="stable")
-    toxic = lean[: LANDMARKS // 2]
+    first = lean[: 16 * LANDMARKS]
+    toxic = spread([words[i] for i in first], np.maximum(p - q, 0)[first] ** 2, LANDMARKS // 2)
     plain = lean[::-1][: LANDMARKS // 4]
     rest = lean[LANDMARKS // 2 : -LANDMARKS // 4][:: max(1, len(lean) // (LANDMARKS // 4))]
-    marks = [words[i] for i in dict.fromkeys([*toxic, *plain, *rest])]
+    marks = list(dict.fromkeys([*toxic, *[words[i] for i in [*plain, *rest]]]))
     kmm = kernel(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
     good = values > 1e-4 * values.max()
@@ -216,6 +236,7 @@ def _table(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return _TABLES[key]
 
 
+RARE = 0.02  # of a word's shares, so that a rare word leans less
 FEATURES = 6
 
 
@@ -238,7 +259,7 @@ def text_features(texts: list[str], machine: tuple) -> np.ndarray:
             kinds = list(kinds)
             f = np.zeros(len(kinds))
             for who, code, weight in subsequences(kinds):
-                f += weight * np.bincount(who, weights=dense[code], minlength=len(kinds))
+                f += np.bincount(who, weights=weight * dense[code], minlength=len(kinds))
             f = (f / norms(kinds) + bias)[number]
             have = np.flatnonzero(counts)
             starts = (np.cumsum(counts) - counts)[have]
@@ -301,8 +322,9 @@ def fit(docs: DataFrame, labels: DataFrame):
     total = counts.where("word = ''").first()
     if total is None:
         return None, float(share)
-    p, q = F.col("p") / max(1, total.p), F.col("q") / max(1, total.q)
-    words = counts.where("word <> ''").select("word", (p * 100).alias("p"), (q * 100).alias("q"))
+    p, q = F.col("p") * 100 / max(1, total.p), F.col("q") * 100 / max(1, total.q)
+    damp = F.sqrt(p + q + RARE)  # a word weighs by the root of how often it is seen, so that rare insults count
+    words = counts.where("word <> ''").select("word", (p / damp).alias("p"), (q / damp).alias("q"))
     words = stable(words.repartition(24, F.xxhash64("word")).sortWithinPartitions("word"))
     picked = [
         words.orderBy((F.col("q") - F.col("p")), F.xxhash64("word"), "word").limit(WORDS // 2),
