@@ -130,12 +130,12 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
 def moments(words: list[str], p: np.ndarray, q: np.ndarray, marks: list[str], root: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Sums of one Newton step over ``words``: a row per weight, the second derivatives and last the first."""
     out = np.zeros((len(w), len(w) + 1))
-    for i in range(0, len(words), 1 << 14):
-        some = words[i : i + (1 << 14)]
+    for i in range(0, len(words), 1 << 12):
+        some = words[i : i + (1 << 12)]
         x = np.hstack([kernel(some, marks) @ root.astype(np.float32), np.ones((len(some), 1), dtype=np.float32)]).astype(np.float64)
         ok = norms(some) > 1e-5  # words too short for a subsequence have nothing to learn from
         f = x @ w
-        a, b = p[i : i + (1 << 14)] * (ok & (f < 1)), q[i : i + (1 << 14)] * (ok & (f > -1))
+        a, b = p[i : i + (1 << 12)] * (ok & (f < 1)), q[i : i + (1 << 12)] * (ok & (f > -1))
         out[:, :-1] += (x.T * (a + b)) @ x
         out[:, -1] += x.T @ (a * (f - 1) + b * (f + 1))
     return out
@@ -249,7 +249,7 @@ def text_features(texts: list[str], machine: tuple) -> np.ndarray:
     at, size = 0, 0
     for end in range(1, len(texts) + 1):
         size += len(texts[end - 1])
-        if size < 4_000_000 and end < len(texts):
+        if size < 1_500_000 and end < len(texts):
             continue
         lists = [words_of(t) for t in texts[at:end]]
         counts = np.array([len(x) for x in lists])
