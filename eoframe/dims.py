@@ -7,6 +7,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# File suffix of a band as (key, Sentinel-2, Landsat)
+BAND_SUFFIXES = (
+    ("visual", "TCI", None),
+    ("blue", "B02", "BLUE"),
+    ("green", "B03", "GREEN"),
+    ("red", "B04", "RED"),
+    ("rededge1", "B05", None),
+    ("rededge2", "B06", None),
+    ("rededge3", "B07", None),
+    ("nir", "B08", "NIR08"),
+    ("nir08", "B8A", "NIR08"),
+    ("swir16", "B11", "SWIR16"),
+    ("swir22", "B12", "SWIR22"),
+    ("scl", "SCL", "QA"),
+)
+
 # Bands as
 # (key, label, Sentinel-2 aliases, S2 band number, S2 metres, Landsat aliases, Landsat metres)
 BANDS = (

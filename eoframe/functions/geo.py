@@ -168,6 +168,34 @@ def utm_forward(lon: Column, lat: Column, epsg: Column) -> Column:
     )
 
 
+_NUMBER = r"-?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?"
+_POSITION = rf"\[\s*({_NUMBER})\s*,\s*({_NUMBER})\s*(?:,\s*{_NUMBER}\s*)*\]"
+
+
+def geojson_bounds(geometry: Column) -> Column:
+    """STRUCT<west, south, east, north> of the text of a GeoJSON geometry or of its coordinates; NULL without a position.
+
+    A position is an innermost array of numbers, so points, polygons, their
+    collections and heights need no recursion.  A geometry cut at the date line
+    touches both its sides and leaves more than half of the circle free between
+    them; its box has west > east, as boxes of items across the date line do.
+    """
+    xs, ys = (F.regexp_extract_all(geometry, F.lit(_POSITION), F.lit(g)).cast("array<double>") for g in (1, 2))
+    at = F.array_sort(F.array_distinct(xs))
+    low, high = F.get(at, F.lit(0)), F.get(at, F.size(at) - 1)
+    # the widest stretch without a position between the two sides, as (width, its west end, its east end)
+    gaps = F.zip_with(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda a, b: F.struct((b - a).alias("w"), a.alias("a"), b.alias("b")))
+    widest = F.array_max(gaps)
+    cut = F.coalesce((low == -180) & (high == 180) & (F.size(at) > 2) & (widest["w"] > 180), F.lit(False))
+    return F.when(
+        F.size(at) > 0,
+        F.struct(
+            F.when(cut, widest["b"]).otherwise(low).alias("west"), F.array_min(ys).alias("south"),
+            F.when(cut, widest["a"]).otherwise(high).alias("east"), F.array_max(ys).alias("north"),
+        ),
+    )
+
+
 def point_in_polygon(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:
     """Even-odd rule over all rings (holes and several parts included).
 

@@ -12,6 +12,9 @@ from eoframe.functions.text import platform_prefix
 from eoframe.operators.ranks import number_rows
 
 
+BOUNDS = ("west", "south", "east", "north", "wraps")
+
+
 def period_of(acquired: Column, strategy: str) -> Column:
     """Year for 'anual', 'YYYY-MM' for anything else; too short a date has none."""
     text = acquired.cast("string")
@@ -19,9 +22,20 @@ def period_of(acquired: Column, strategy: str) -> Column:
     return F.when(F.length(text) >= 7, key)
 
 
-def intersects(west: Column, south: Column, east: Column, north: Column, bbox: Sequence[float]) -> Column:
+def intersects(
+    west: Column, south: Column, east: Column, north: Column, bbox: Sequence[float], wraps: Column | None = None
+) -> Column:
+    """Whether a box meets ``bbox``; either may cross the date line, which ``west > east`` says.
+
+    ``wraps`` is that fact as a stored column; with it the whole condition is
+    made of comparisons with literals, which reach the Parquet scan.
+    """
     w, s, e, n = (F.lit(float(v)) for v in bbox)
-    return (west <= e) & (east >= w) & (south <= n) & (north >= s)
+    level = (south <= n) & (north >= s)
+    both, one = (west <= e) & (east >= w), (west <= e) | (east >= w)
+    if bbox[0] > bbox[2]:  # a box asked for across the date line meets every box that crosses it too
+        return level & (one if wraps is None else wraps | one)
+    return level & (both if wraps is None else (~wraps & both) | (wraps & one))
 
 
 def search_scenes(
@@ -43,7 +57,7 @@ def search_scenes(
     last_moment = F.date_add(F.lit(end).cast("date"), 1)
     found = scenes.where(
         (F.col("collection") == collection)
-        & intersects(F.col("west"), F.col("south"), F.col("east"), F.col("north"), bbox)
+        & intersects(*[F.col(c) for c in ("west", "south", "east", "north")], bbox, F.col("wraps") if "wraps" in scenes.columns else None)
         & (F.col("acquired") >= F.lit(start).cast("date"))
         & (F.col("acquired") < last_moment)
         & (F.col("cloud_pct") < float(max_cloud))
@@ -289,10 +303,10 @@ def band_label(key: Column) -> Column:
 
 
 def band_suffix(key: Column, family: Column) -> Column:
-    """File suffix: the real band number on Sentinel-2, the common name on Landsat, 'X' if none."""
-    s2 = {k: n2 for k, _, _, n2, _, _, _ in dims.BANDS}
-    ls = {k: a[0].upper().replace("QA_PIXEL", "QA") if a else None for k, _, _, _, _, a, _ in dims.BANDS}
-    return _lookup(key, family, s2, ls, F.lit("X"), F.lit("X"))
+    """File suffix of a band on a sensor, as the band dimension has it; 'X' if the sensor lacks the band."""
+    of_band = F.create_map(*[x for k, *both in dims.BAND_SUFFIXES for x in (F.lit(k), F.struct(*[F.lit(v).alias(n) for n, v in zip(("s2", "ls"), both)]))])
+    found = F.try_element_at(of_band, key)
+    return F.coalesce(F.when(family == "ls", found["ls"]).otherwise(found["s2"]), F.lit("X"))
 
 
 def native_res(key: Column, family: Column) -> Column:
@@ -362,7 +376,9 @@ def scenes_from_footprints(footprints: DataFrame) -> tuple[DataFrame, DataFrame]
 
     Rows whose ``assets`` text is unreadable or empty are rejected and kept
     apart, never lost.  ``assets`` maps names to links, as :func:`resolve_asset`
-    wants it; collection and catalogue are there when the table has them.
+    wants it; collection, catalogue and bounds are there when the table has them.
+    With all of them the scenes are as :func:`eoframe.sources.stac.read_scenes`
+    gives them, so they can be searched and written again.
     """
     links = F.from_json(F.col("assets"), "MAP<STRING,STRING>", {"mode": "PERMISSIVE"})
     parsed = footprints.withColumn("_links", links)
@@ -377,16 +393,20 @@ def scenes_from_footprints(footprints: DataFrame) -> tuple[DataFrame, DataFrame]
         F.col("plataforma").alias("platform"),
         F.col("tile").alias("grid"),
         F.col("epsg"),
+        F.col("epsg").alias("proj_epsg"),
+        F.lit(None).cast("string").alias("proj_code"),
+        F.when(F.lower("plataforma").contains("landsat"), F.lit("ls")).otherwise(F.lit("s2")).alias("family"),
         F.try_to_date(F.col("fecha"), "yyyy-MM-dd").alias("acquired"),
-        *[F.col(own).alias(name) for own, name in (("coleccion", "collection"), ("catalogo", "catalog")) if own in footprints.columns],
+        *[F.col(own).alias(name) for own, name in (("coleccion", "collection"), ("catalogo", "catalog"), ("thumb", "thumb")) if own in footprints.columns],
+        *[F.col(c) for c in BOUNDS if c in footprints.columns],
         F.col("_links").alias("assets"),
     )
     rejected = parsed.where(~usable).drop("_links")
     return scenes, rejected
 
 
-def to_footprints(scenes: DataFrame) -> DataFrame:
-    """The fifteen footprint columns.
+def to_footprints(scenes: DataFrame, bounds: bool = False) -> DataFrame:
+    """The fifteen footprint columns, with ``bounds`` also the box, for a second pass that searches again.
 
     Missing cloud becomes 0.0 here, unmeasured area values -1.0; the EPSG code
     comes from ``proj_epsg``, else from ``proj_code`` without its prefix, else 0.
@@ -413,4 +433,5 @@ def to_footprints(scenes: DataFrame) -> DataFrame:
         pack_assets(F.col("assets"), F.col("family")).alias("assets"),
         F.col("collection").alias("coleccion"),
         F.col("catalog").alias("catalogo"),
+        *([F.col(c) for c in BOUNDS] if bounds else []),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eoframe import dims
 from eoframe.functions import text as tx
+from eoframe.operators import catalog as ca
 from eoframe.operators import report as rp
 from eoframe.plans.optical_queries import indices
 from eoframe.plans.registry import query
@@ -185,6 +186,64 @@ def read_scenes(t: Tables) -> DataFrame:
     return scenes.select("scene_id", "acquired", "cloud_pct", "platform", "proj_epsg", "west", "north", F.col("assets")["red"].alias("red_link"))
 
 
+def scene_files(t: Tables) -> str:
+    """A folder of feature collections, a hundred suppliers' scenes to a file: boxes of four and six numbers, and none."""
+    k = F.col("s_suppkey")
+    lon, lat = (k * 7 % 300 - 150).cast("double"), (k * 11 % 120 - 60).cast("double")
+    corner = lambda x, y: F.array(x, y)
+    ring = lambda w, s, e, n: F.array(corner(w, s), corner(e, s), corner(e, n), corner(w, n), corner(w, s))
+    date_line = F.array(F.array(ring(F.lit(179.0), lat, F.lit(180.0), lat + 1)), F.array(ring(F.lit(-180.0), lat, F.lit(-179.5), lat + 1)))
+    one = F.to_json(F.array(ring(lon, lat, lon + 2, lat + 1)))
+    geometry = (
+        F.when(k % 4 == 2, F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), F.to_json(date_line), F.lit("}")))
+        .when(k % 8 == 5, F.concat(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Polygon","coordinates":'), one, F.lit("}]}")))
+        .otherwise(F.concat(F.lit('{"type":"Polygon","coordinates":'), one, F.lit("}")))
+    )
+    box = F.when(k % 4 == 0, F.array(lon, lat, lon + 2, lat + 1)).when(k % 4 == 3, F.array(lon, lat, F.lit(5.0), lon + 2, lat + 1, F.lit(90.0)))
+    props = F.create_map(
+        F.lit("datetime"), F.concat(F.lit("2024-0"), (k % 9 + 1).cast("string"), F.lit("-15T10:00:00Z")), F.lit("platform"), F.lit("sentinel-2b"),
+        F.lit("eo:cloud_cover"), (k % 100).cast("string"), F.lit("s2:mgrs_tile"), F.concat(F.lit("T"), (k % 60).cast("string")), F.lit("proj:code"), F.lit("EPSG:32616"))
+    rest = F.to_json(F.struct(
+        k.cast("string").alias("id"), F.when(k % 5 == 0, F.lit("landsat-c2-l2")).otherwise(F.lit("sentinel-2-l2a")).alias("collection"), box.alias("bbox"),
+        props.alias("properties"), F.create_map(F.lit("red"), F.struct(F.concat(F.lit("https://x/"), k.cast("string"), F.lit("?s=1")).alias("href"))).alias("assets")))
+    item = F.concat(F.expr("substring(rest, 1, length(rest) - 1)"), F.lit(',"geometry":'), F.col("geometry"), F.lit("}"))
+    items = t.table("supplier").select(F.floor(k / 100).alias("page"), rest.alias("rest"), geometry.alias("geometry")).select("page", item.alias("item"))
+    pages = items.groupBy("page").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("item"), ","), F.lit("]}")).alias("value"))
+    folder = scratch(t, "pages")
+    pages.write.partitionBy("page").text(folder)
+    return folder
+
+
+_SCENE_FILES = """
+WITH k AS (SELECT s_suppkey AS k, CAST(s_suppkey * 7 % 300 - 150 AS DOUBLE) AS lon, CAST(s_suppkey * 11 % 120 - 60 AS DOUBLE) AS lat FROM supplier),
+s AS (SELECT k, CAST(k AS STRING) AS scene_id, CASE WHEN k % 5 = 0 THEN 'landsat-c2-l2' ELSE 'sentinel-2-l2a' END AS collection,
+  concat('2024-0', CAST(k % 9 + 1 AS STRING), '-15') AS day, CAST(k % 100 AS DOUBLE) AS cloud_pct, concat('T', CAST(k % 60 AS STRING)) AS grid,
+  CASE WHEN k % 4 = 2 THEN 179.0E0 ELSE lon END AS west, lat AS south, CASE WHEN k % 4 = 2 THEN -179.5E0 ELSE lon + 2 END AS east, lat + 1 AS north FROM k)
+"""
+
+
+@query(_SCENE_FILES + """SELECT scene_id, CAST(day AS DATE) AS acquired, cloud_pct, grid, west, south, east, north, 's2' AS family FROM s
+WHERE collection = 'sentinel-2-l2a' AND cloud_pct < 70 AND west <= 90 AND east >= -90 AND west <= east AND south <= 50 AND north >= -50
+  AND day BETWEEN '2024-02-01' AND '2024-08-31'""")
+def search_scene_files(t: Tables) -> DataFrame:
+    """From catalogue files to a search; items without a box have the envelope of their geometry."""
+    scenes = stac.read_scenes(t.spark, scene_files(t))
+    found = ca.search_scenes(scenes, "sentinel-2-l2a", (-90, -50, 90, 50), "2024-02-01", "2024-08-31", 70.0)
+    return found.select("scene_id", "acquired", "cloud_pct", "grid", "west", "south", "east", "north", "family")
+
+
+@query(_SCENE_FILES + """SELECT scene_id, concat(day, 'T10:00:00Z') AS datetime, -1.0E0 AS aoi_cloud_pct, grid, CAST(32616 AS INT) AS proj_epsg,
+  concat('https://x/', scene_id) AS red_link, 'https://c/v1/' AS catalog, west, east FROM s
+WHERE collection = 'sentinel-2-l2a' AND cloud_pct < 70 AND (west > east OR west <= -149 OR east >= 149)""")
+def footprint_round_trip(t: Tables) -> DataFrame:
+    """Catalogue files to reviewed footprints and back, then a search across the date line and its links."""
+    footprints = ca.to_footprints(stac.read_scenes(t.spark, scene_files(t), "https://c/v1/"), bounds=True)
+    scenes, _ = ca.scenes_from_footprints(footprints)
+    found = ca.search_scenes(scenes, "sentinel-2-l2a", (149, -90, -149, 90), "2024-01-01", "2024-12-31", 70.0)
+    return found.select(
+        "scene_id", "datetime", "aoi_cloud_pct", "grid", "proj_epsg", ca.resolve_asset(F.col("assets"), "red", F.col("family")).alias("red_link"), "catalog", "west", "east")
+
+
 def manifests(t: Tables) -> DataFrame:
     """One manifest text per order; every job of it is a line item."""
     job = F.struct(F.col("l_linenumber").cast("string").alias("job_id"), F.concat(F.lit("G"), F.col("l_partkey").cast("string")).alias("granule"),
