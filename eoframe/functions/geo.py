@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -168,6 +169,46 @@ def utm_forward(lon: Column, lat: Column, epsg: Column) -> Column:
     )
 
 
+def utm_inverse(x: Column, y: Column, epsg: Column) -> Column:
+    """STRUCT<lon, lat> of a point in a UTM code, NULL for another code; undoes :func:`utm_forward` below a millimetre."""
+    n = _FLAT / (2 - _FLAT)
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * _K0
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    zone, hemisphere = epsg % 100, F.floor(epsg / 100)
+    known = hemisphere.isin(326, 327) & zone.between(1, 60)
+    eta = (x - F.lit(500000.0)) / F.lit(radius)
+    xi = (y - F.when(hemisphere == 327, F.lit(10000000.0)).otherwise(F.lit(0.0))) / F.lit(radius)
+    to_xi, to_eta = xi, eta
+    for j, b in enumerate(beta, start=1):
+        to_xi = to_xi - F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        to_eta = to_eta - F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(to_xi) / F.cosh(to_eta))
+    phi = chi
+    for j, d in enumerate(delta, start=1):
+        phi = phi + F.lit(d) * F.sin(2 * j * chi)
+    lam = F.atan2(F.sinh(to_eta), F.cos(to_xi))
+    return F.when(known, F.struct((F.degrees(lam) + (zone * 6 - 183)).alias("lon"), F.degrees(phi).alias("lat")))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def reproject(x: Column, y: Column, source: Column, target: Column) -> Column:
+    """STRUCT<x, y> of a point of one code in another (UTM, or 4326 in degrees); equal codes change nothing."""
+    flat = F.struct(x.alias("lon"), y.alias("lat"))
+    at = F.when(source == 4326, flat).otherwise(utm_inverse(x, y, source))
+
+    def onto(p: Column) -> Column:
+        return F.when(target == 4326, F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).otherwise(utm_forward(p["lon"], p["lat"], target))
+
+    # the point in degrees is bound to a variable: written out, it would stand in each term of the second series
+    far = let(at, onto)
+    return F.when(source == target, F.struct(x.alias("x"), y.alias("y"))).otherwise(far)
+
+
 _NUMBER = r"-?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?"
 _POSITION = rf"\[\s*({_NUMBER})\s*,\s*({_NUMBER})\s*(?:,\s*{_NUMBER}\s*)*\]"
 

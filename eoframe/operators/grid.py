@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eoframe.functions.geo import point_in_polygon, utm_forward
+from eoframe.functions.geo import let, point_in_polygon, reproject, utm_forward, utm_inverse
 
 
 @dataclass(frozen=True)
@@ -142,6 +142,93 @@ def align_to_reference(stack: DataFrame, reference: Grid, by: Sequence[str], val
     return untouched.unionByName(resample_bilinear(stack.where(~same), None, reference, by, values))
 
 
+FRAME = ("x0", "y0", "dx", "dy", "epsg")
+
+
+def reproject_bilinear(stack: DataFrame, target: Grid, epsg: int, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Pixels of any frame and UTM zone on one grid: bilinear values weighted over the valid neighbours.
+
+    Rows carry ``FRAME``.  The corners one source step around a pixel, mapped
+    forward, tell the target cells that may use it; the centre of each of these,
+    mapped back, tells its weight in the steps of the source.  So no pixel is
+    joined, and the weights meet in one grouping that combines before its shuffle.
+    """
+    x0, y0, dx, dy, code = (F.col(c) for c in FRAME)
+    to = F.lit(epsg)
+    placed = stack.withColumns({"_sx": x0 + (F.col("px_col") + 0.5) * dx, "_sy": y0 + (F.col("px_row") + 0.5) * dy})
+
+    def reached(at: Column, o: float, d: float, n: int) -> Column:
+        # one cell more on either side: the edges between corners are curved by less than that
+        a, b = (F.array_min(at) - o) / d - 0.5, (F.array_max(at) - o) / d - 0.5
+        return let(F.struct(F.floor(F.least(a, b)).alias("a"), F.ceil(F.greatest(a, b)).alias("b")), lambda r: _cells(r["a"] - 1, r["b"] + 1, n))
+
+    around = F.array(*[F.struct((F.col("_sx") + a * F.abs(dx)).alias("x"), (F.col("_sy") + b * F.abs(dy)).alias("y")) for a in (-1, 1) for b in (-1, 1)])
+    corners = F.transform(around, lambda p: reproject(p["x"], p["y"], code, to))
+    cells = let(corners, lambda c: F.struct(reached(c["x"], target.x0, target.dx, target.cols).alias("c"), reached(c["y"], target.y0, target.dy, target.rows).alias("r")))
+    keep = [*by, *values, "_sx", "_sy", "dx", "dy", "epsg"]
+    spread = placed.select(*keep, cells.alias("_cells")).select(*keep, F.explode("_cells.c").alias("t_col"), "_cells")
+    spread = spread.select(*keep, "t_col", F.explode("_cells.r").alias("t_row"))
+    tx, ty = F.lit(target.x0) + (F.col("t_col") + 0.5) * F.lit(target.dx), F.lit(target.y0) + (F.col("t_row") + 0.5) * F.lit(target.dy)
+
+    def weight(t: Column) -> Column:
+        steps = [F.abs((t[c] - F.col(f"_s{c}")) / F.col(f"d{c}")) for c in ("x", "y")]
+        return F.greatest(F.lit(0.0), 1.0 - steps[0]) * F.greatest(F.lit(0.0), 1.0 - steps[1])
+
+    weighted = spread.withColumn("_w", let(reproject(tx, ty, to, code), weight)).where(F.col("_w") > 0)
+    out = weighted.groupBy(*by, F.col("t_col").alias("px_col"), F.col("t_row").alias("px_row")).agg(
+        *[F.try_divide(F.sum(F.col(v) * F.col("_w")), F.sum(F.when(F.col(v).isNotNull(), F.col("_w")))).alias(v) for v in values]
+    )
+    return out.where(F.coalesce(*[F.col(v) for v in values]).isNotNull())
+
+
+def align_scenes(
+    stack: DataFrame, reference: Grid, epsg: int, by: Sequence[str], values: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """(pixels on the reference grid, rejected scenes with their row counts).
+
+    Rows carry ``FRAME``.  Those of the reference's own frame pass through, others
+    are reprojected; rows of an unknown place (a NULL in the frame, or a code
+    that is neither UTM nor 4326) can't be placed and are counted by ``by``.
+    """
+    code = F.col("epsg")
+    known = (code == 4326) | (F.floor(code / 100).isin(326, 327) & (code % 100).between(1, 60))
+    placed = F.coalesce(known & F.col("x0").isNotNull() & F.col("y0").isNotNull() & (F.col("dx") != 0) & (F.col("dy") != 0), F.lit(False))
+    same = (F.col("x0") == reference.x0) & (F.col("y0") == reference.y0) & (F.col("dx") == reference.dx) & (F.col("dy") == reference.dy) & (code == epsg)
+    inside = F.col("px_col").between(0, reference.cols - 1) & F.col("px_row").between(0, reference.rows - 1)
+    untouched = stack.where(placed & same & inside).select(
+        *by, F.col("px_col").cast("int").alias("px_col"), F.col("px_row").cast("int").alias("px_row"), *values
+    )
+    moved = reproject_bilinear(stack.where(placed & ~same), reference, epsg, by, values)
+    rejected = stack.where(~placed).groupBy(*by).agg(F.count("*").alias("n_rows"))
+    return untouched.unionByName(moved), rejected
+
+
+def crop_geographic(
+    pixels: DataFrame, bbox: Sequence[float], epsg: int, x: str = "x", y: str = "y", rings: list[list[tuple[float, float]]] | None = None
+) -> DataFrame:
+    """Pixels of a UTM code inside a box, and a cut line, in degrees.
+
+    The box is the envelope of points along its edges in the pixels' code; it is
+    made of literals only, which fold to four numbers that reach the scan.
+    """
+    edge = [utm_forward(lon, lat, F.lit(epsg)) for lon, lat in _edge_points(*[F.lit(float(v)) for v in bbox])]
+    xs, ys = [p["x"] for p in edge], [p["y"] for p in edge]
+    boxed = pixels.where(F.col(x).between(F.least(*xs), F.greatest(*xs)) & F.col(y).between(F.least(*ys), F.greatest(*ys)))
+    if not rings:
+        return boxed
+    at = utm_inverse(F.col(x), F.col(y), F.lit(epsg))
+    placed = boxed.withColumn("_at", at)
+    return placed.where(point_in_polygon(F.col("_at.lon"), F.col("_at.lat"), rings)).drop("_at")
+
+
+def _edge_points(w: Column, s: Column, e: Column, n: Column, steps: int = 8) -> list[tuple[Column, Column]]:
+    points = []
+    for i in range(steps + 1):
+        f = F.lit(i / steps)
+        points += [(w + f * (e - w), s), (w + f * (e - w), n), (w, s + f * (n - s)), (e, s + f * (n - s))]
+    return points
+
+
 def project_points(points: DataFrame, lon: str = "lon", lat: str = "lat", epsg: str = "epsg") -> DataFrame:
     """Adds x, y in the UTM code of the row; an unknown code gives NULL."""
     return points.withColumn("_xy", utm_forward(F.col(lon), F.col(lat), F.col(epsg))).select(
@@ -154,11 +241,7 @@ def project_bbox(boxes: DataFrame, steps: int = 8) -> DataFrame:
 
     The edge points are an array of the row, so nothing is exploded or shuffled.
     """
-    w, s, e, n = (F.col(c) for c in ("west", "south", "east", "north"))
-    points = []
-    for i in range(steps + 1):
-        f = F.lit(i / steps)
-        points += [(w + f * (e - w), s), (w + f * (e - w), n), (w, s + f * (n - s)), (e, s + f * (n - s))]
+    points = _edge_points(*[F.col(c) for c in ("west", "south", "east", "north")], steps)
     edge = F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in points])
     xy = boxes.withColumn("_xy", F.transform(edge, lambda p: utm_forward(p["lon"], p["lat"], F.col("epsg"))))
     xs, ys = F.transform("_xy", lambda p: p["x"]), F.transform("_xy", lambda p: p["y"])

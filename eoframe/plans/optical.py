@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eoframe import dims
 from eoframe.operators import catalog, pixels as px, seasonal
 from eoframe.operators.catalog import band_aliases
-from eoframe.operators.grid import crop_bbox, crop_polygon
+from eoframe.operators.grid import Grid, align_scenes, crop_bbox, crop_geographic, crop_polygon
 
 
 def check_optical(
@@ -97,6 +97,28 @@ def select_scenes(
     return catalog.filter_aoi_cloud(measured, aoi_cloud_max)
 
 
+def on_common_grid(
+    values: DataFrame, chosen: DataFrame, frames: DataFrame, dry: Sequence[int], pixel: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """(values on the frame of the first dry scene, counts of values without a usable frame)."""
+    if not {"px_col", "px_row"} <= set(pixel):
+        raise ValueError("a common grid needs px_col and px_row among the pixel columns")
+    columns = ("x0", "y0", "dx", "dy", "cols", "rows", "epsg")
+    usable = frames.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+    first = usable.join(chosen.select("scene_id", "acquired"), "scene_id").orderBy(
+        ~F.month("acquired").isin(*dry), "acquired", "scene_id"
+    ).select(*columns).first()  # one row
+    if first is None:
+        raise ValueError("no chosen scene has a frame")
+    grid = Grid(first.x0, first.y0, first.dx, first.dy, first.cols, first.rows)
+    placed = values.join(frames.select("scene_id", "x0", "y0", "dx", "dy", "epsg"), "scene_id", "left")
+    by = ["index", "scene_id", "acquired", *[c for c in pixel if c not in ("px_col", "px_row")]]
+    # cells of one name are one place now, whichever grid a pixel came from
+    by = [c for c in by if c != "grid"]
+    moved, rejected = align_scenes(placed, grid, first.epsg, by, ["value"])
+    return (moved.withColumn("grid", F.lit("reference")) if "grid" in pixel else moved), rejected
+
+
 def optical_run(
     scenes: DataFrame,
     pixels: DataFrame,
@@ -123,12 +145,21 @@ def optical_run(
     xy: tuple[str, str] | None = None,
     rings: list[list[tuple[float, float]]] | None = None,
     products: Sequence[str] | None = None,
+    xy_epsg: int | None = None,
+    frames: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Scenes, index values and the asked products, each a lazy DataFrame.
 
     ``xy`` names the pixel columns in the units of ``bbox``: pixels outside the
     box (and outside the polygon ``rings``) are cut off before anything is
-    measured.  Only the outputs in ``products`` (None: all the arguments give)
+    measured.  With ``xy_epsg`` those columns are in that UTM code while ``bbox``
+    and ``rings`` are in degrees, as the scenes' boxes are.
+
+    ``frames`` (scene_id, x0, y0, dx, dy, cols, rows, epsg) has the raster frame
+    of each scene; then index values come on the frame of the first dry scene
+    (the first scene if none is dry), whatever zone the others are in, and
+    ``unplaced`` counts the values of scenes without a usable frame.  The frame
+    is looked up when the run is planned.  Only the outputs in ``products`` (None: all the arguments give)
     are planned; the statistics among them run jobs for their bucket lists.
 
     With ``work_path`` the index values are written there once and all
@@ -137,13 +168,18 @@ def optical_run(
     check_optical(start, end, family, indices, dry, wet, amplitude, fire_date, (), max_scenes, candidates, min_obs)
     if rings and not xy:
         raise ValueError("a polygon needs the pixel columns it is measured in")
-    if xy:
+    if xy and xy_epsg is not None:
+        pixels = crop_geographic(pixels, bbox, xy_epsg, *xy, rings)
+    elif xy:
         pixels = crop_polygon(crop_bbox(pixels, bbox, *xy), rings, *xy) if rings else crop_bbox(pixels, bbox, *xy)
     chosen = select_scenes(
         scenes, pixels, collection, bbox, start, end, cloud_max, aoi_cloud_max, max_scenes, candidates, order
     )
     used = pixels.join(chosen.select("scene_id"), "scene_id", "left_semi")
     values = px.compute_indices(used, list(indices), keep=(*pixel, "scene_id", "acquired"))
+    unplaced = None
+    if frames is not None:
+        values, unplaced = on_common_grid(values, chosen, frames, dry, pixel)
     values = values.withColumn("month", F.month("acquired"))
     if work_path:
         values.write.mode("errorifexists").partitionBy("index").parquet(work_path)
@@ -151,6 +187,8 @@ def optical_run(
     makers: dict[str, Callable[[], DataFrame]] = {
         "scenes": lambda: chosen, "values": lambda: values, "distribution": lambda: seasonal.index_distribution(values),
     }
+    if unplaced is not None:
+        makers["unplaced"] = lambda: unplaced
     if amplitude:
         amp = cache(lambda: seasonal.seasonal_amplitude(values, ("index", *pixel), dry, wet, min_obs))
         makers |= {
