@@ -85,10 +85,11 @@ def iso_timestamp(text: Column) -> Column:
     Fractions are dropped, a zone is kept and never invented.  Day, zone and
     clock are cut apart and judged one by one.
     """
-    t = F.trim(text)
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")  # any white space, not blanks alone
     date = F.translate(F.substring(t, 1, 10), "/", "-")
     parts = F.split(date, "-")
-    day_ok = (F.array_join(F.transform(parts, lambda p: F.length(p).cast("string")), "") == "422") & ~F.translate(date, "-", "").rlike(r"\D")
+    lengths = F.transform(parts, F.length)
+    day_ok = (lengths == F.array(F.lit(4), F.lit(2), F.lit(2))) & ~F.translate(date, "-", "").rlike(r"\D")
     day_ok = day_ok & real_date(*[F.get(parts, i) for i in range(3)]).isNotNull()
     rest = F.substring(t, F.lit(11), F.length(t))
     zone = F.regexp_extract(rest, r"(Z|[+-]\d\d:?\d\d)$", 1)

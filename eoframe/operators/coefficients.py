@@ -74,13 +74,16 @@ def validate_orthonormality(sets: DataFrame, tol: float = 0.02) -> DataFrame:
 def tasseled_cap_from(pixels: DataFrame, coefficients: DataFrame) -> DataFrame:
     """TCB, TCG and TCW of reflectance pixels from a coefficient table.
 
-    The table has one row per sensor group, four at most, so it is broadcast.
-    A pixel whose satellite has no group keeps NULL components.
+    The table has one row per sensor group, four at most, so it is broadcast; a
+    group that comes twice is an error, as it would double its pixels.  A pixel whose satellite has no group keeps NULL components.
     """
     bands = F.array(*[F.col(c).cast("double") for c in dims.TC_BANDS])
     four = coefficients.where(F.col("grp").isin(*GROUPS)).select(
         F.col("grp").alias("tc_group"), F.col("b").alias("_b"), F.col("g").alias("_g"), F.col("w").alias("_w")
     )
+    twice = F.count(F.lit(1)) > 1
+    said = F.raise_error(F.concat(F.lit("coefficients come twice for "), F.col("tc_group"))).cast("array<double>")
+    four = four.groupBy("tc_group").agg(F.when(twice, said).otherwise(F.first("_b")).alias("_b"), F.first("_g").alias("_g"), F.first("_w").alias("_w"))
     grouped = pixels if "tc_group" in pixels.columns else pixels.withColumn("tc_group", tc_group(F.col("platform"), F.col("family")))
     return (
         grouped.join(F.broadcast(four), "tc_group", "left")

@@ -41,15 +41,22 @@ def value_bucket(v: Column) -> Column:
     return F.when(v > 0, up).when(v < 0, -up).otherwise(F.when(v.isNotNull(), F.lit(0)))
 
 
+def halfway(lower: Column, upper: Column) -> Column:
+    """The middle of two values, the one formula of every median."""
+    return lower * 0.5 + upper * 0.5
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], prefix: str = "q", few_groups: bool = False,
-    split: int = SPLIT_ROWS,
+    split: int = SPLIT_ROWS, halves: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, for groups of any size.
 
     Result: ``by``, ``n_total``, ``n_valid``, ``v_min``, ``v_max`` and one
     column ``<prefix>0``, ``<prefix>1``, … per probability; NULL values count
-    only in ``n_total``.
+    only in ``n_total``.  With ``halves`` a value halfway between two ranks is
+    the mean of the two, as a median is; else it lies on the line between them,
+    which may differ in the last bit.
 
     A histogram per group, combined before its shuffle, tells which buckets
     hold the wanted ranks.  A second read keeps only the rows of those
@@ -147,6 +154,8 @@ def exact_quantiles(
     for i, p in enumerate(probs):
         part = at(p) - F.floor(at(p))
         between = F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part
+        if halves:
+            between = F.when(part == 0.5, halfway(F.col(f"_lo{i}"), F.col(f"_hi{i}"))).otherwise(between)
         quantiles.append(between.alias(f"{prefix}{i}"))
     return out.select(*by, *facts, *quantiles)
 

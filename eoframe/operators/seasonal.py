@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eoframe import dims
-from eoframe.operators.ranks import HOT_FLOOR, HOT_SHARE, exact_quantiles, hot_keys, split_hot
+from eoframe.operators.ranks import HOT_FLOOR, HOT_SHARE, exact_quantiles, halfway, hot_keys, split_hot
 
 
 def season_of(month: Column, dry: Sequence[int], wet: Sequence[int]) -> Column:
@@ -93,11 +93,11 @@ def display_limits(
 
 
 def middle_of_sorted(values: Column) -> Column:
-    """Median of a sorted array without NULLs; NULL for an empty one."""
+    """Median of a sorted array without NULLs, as :func:`ranks.exact_quantiles` has it with ``halves``; NULL for an empty one."""
     n = F.size(values)
     lower = F.get(values, F.floor((n - 1) / 2).cast("int"))
     upper = F.get(values, F.floor(n / 2).cast("int"))
-    return lower * 0.5 + upper * 0.5
+    return halfway(lower, upper)
 
 
 def seasonal_amplitude(
@@ -146,7 +146,7 @@ def seasonal_amplitude(
         middle_of_sorted(F.col("_wet")).alias("med_wet"),
     )
     # hot keys are at most 1 / hot_share, so their list of buckets is short
-    by_season = exact_quantiles(hot, [*keys, "season"], "value", (0.5,), few_groups=True)
+    by_season = exact_quantiles(hot, [*keys, "season"], "value", (0.5,), few_groups=True, halves=True)
     split = by_season.groupBy(*keys).agg(
         *[
             agg.alias(name)

@@ -224,7 +224,30 @@ def project_points(t: Tables) -> DataFrame:
     return gr.project_points(points).select("scene_id", r("x", 1).alias("x"), r("y", 1).alias("y"))
 
 
-@query()
+def _krueger_sql(lon: str, lat: str, zone: int) -> tuple[str, str]:
+    """The projection by its own series, which holds far from the middle of the zone."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * k0
+    e = 2 * n**0.5 / (1 + n)
+    lam = f"radians({lon} - ({zone * 6 - 183}))"
+    t = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))"
+    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1.0E0 + {t} * {t}))"
+    terms = [(n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 2), (13 * n**2 / 48 - 3 * n**3 / 5, 4), (61 * n**3 / 240, 6)]
+    x = " + ".join([eta, *[f"{c!r} * cos({m} * {xi}) * sinh({m} * {eta})" for c, m in terms]])
+    y = " + ".join([xi, *[f"{c!r} * sin({m} * {xi}) * cosh({m} * {eta})" for c, m in terms]])
+    return f"(500000.0E0 + {radius!r} * ({x}))", f"({radius!r} * ({y}))"
+
+
+_BX, _BY = _krueger_sql("lon", "lat", 16)
+
+
+@query(with_views(_BOXES + f"""
+, f AS (SELECT scene_id, west, south, east - west AS w, north - south AS h, CAST(i AS DOUBLE) / 8 AS f FROM b CROSS JOIN range(0, 9) AS k(i)),
+p AS (SELECT scene_id, west + f * w AS lon, south AS lat FROM f UNION ALL SELECT scene_id, west + f * w, south + h FROM f
+  UNION ALL SELECT scene_id, west, south + f * h FROM f UNION ALL SELECT scene_id, west + w, south + f * h FROM f),
+q AS (SELECT scene_id, CASE WHEN scene_id % 3 <> 0 THEN {_BX} END AS x, CASE WHEN scene_id % 3 <> 0 THEN {_BY} END AS y FROM p)
+SELECT scene_id, {rs('min(x)', 3)} AS x_min, {rs('min(y)', 3)} AS y_min, {rs('max(x)', 3)} AS x_max, {rs('max(y)', 3)} AS y_max FROM q GROUP BY scene_id""", "scenes"))
 def project_bbox(t: Tables) -> DataFrame:
     b = boxes(t).withColumn("epsg", F.when(F.col("scene_id") % 3 == 0, F.lit(0)).otherwise(F.lit(32616)))
     return gr.project_bbox(b).select("scene_id", *[r(c, 3).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,37 @@ def optical_run_amplitude(t: Tables) -> DataFrame:
     return run(t, indices=("NDVI",), amplitude=True, products=("amplitude",))["amplitude"]
 
 
+def _edges() -> tuple[float, float, float, float]:
+    """Envelope in zone 16 of the area asked for, from points along its edges, for the check."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n, e2 = f / (2 - f), f * (2 - f)
+    terms = [(n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 2), (13 * n**2 / 48 - 3 * n**3 / 5, 4), (61 * n**3 / 240, 6)]
+    xs, ys = [], []
+    for i in range(9):
+        for lon, lat in ((-84.1 + i / 80, 9.9), (-84.1 + i / 80, 10.0), (-84.1, 9.9 + i / 80), (-84.0, 9.9 + i / 80)):
+            lam, s, e = math.radians(lon + 87), math.sin(math.radians(lat)), math.sqrt(e2)
+            t = math.sinh(math.atanh(s) - e * math.atanh(e * s))
+            xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.sqrt(1 + t * t))
+            radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * k0
+            xs.append(500000 + radius * (eta + sum(c * math.cos(m * xi) * math.sinh(m * eta) for c, m in terms)))
+            ys.append(radius * (xi + sum(c * math.sin(m * xi) * math.cosh(m * eta) for c, m in terms)))
+    return min(xs), max(xs), min(ys), max(ys)
+
+
+_X0, _X1, _Y0, _Y1 = _edges()
+
+
+@query(with_views(_SCENES.replace("AS cl FROM obs)", f"AS cl FROM obs WHERE 810000 + px_col * 500.0E0 BETWEEN {_X0!r} AND {_X1!r} AND 1096000 + px_row * 300.0E0 BETWEEN {_Y0!r} AND {_Y1!r})").replace("c JOIN m", "c LEFT JOIN m").replace("WHERE m.aoi", "WHERE m.aoi_cloud_pct IS NULL OR m.aoi")
+                  + "SELECT scene_id, acquired, aoi_cloud_pct FROM k", "obs"))
+def optical_run_cropped(t: Tables) -> DataFrame:
+    """Scenes are searched in degrees, and the cloud is measured over the same box in the pixels' UTM zone."""
+    placed = t.view("obs").drop("month").withColumns({"x": 810000 + F.col("px_col") * 500.0, "y": 1096000 + F.col("px_row") * 300.0})
+    out = optical.optical_run(
+        month_scenes(t), placed, "mixed", (-84.1, 9.9, -84.0, 10.0), "2018-06-01", "2023-12-31",
+        aoi_cloud_max=50.0, order="mensual", pixel=("pixel_id",), products=("scenes",), xy=("x", "y"), xy_epsg=32616)
+    return out["scenes"].select("scene_id", "acquired", "aoi_cloud_pct")
+
+
 @query(with_views(_VERDICT.replace("month NOT IN (12, 1, 2, 6, 7, 8)", "month NOT IN (12, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)") + """
 SELECT granule_no, order_name, CAST((row_number() OVER (ORDER BY order_name, granule) + 199) // 200 AS BIGINT) AS batch
 FROM v WHERE relative_orbit = 5 AND verdict IN ('useful', 'no_name')""", "granules"))

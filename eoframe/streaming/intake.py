@@ -17,7 +17,7 @@ def append_new(batch: DataFrame, out_path: str, key: Sequence[str] = ("scene_id"
     """
     spark = batch.sparkSession
     rest = [c for c in batch.columns if c not in key]
-    rank = F.struct(*order, F.xxhash64(*rest))
+    rank = F.struct(*order, F.to_json(F.struct(*rest)))  # columns of any type, maps too
     fresh = batch.groupBy(*key).agg(F.min_by(F.struct(*rest), rank).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in rest])
     fs, folder = _hadoop(spark, out_path)
     if fs.exists(folder):

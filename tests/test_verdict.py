@@ -4,10 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eoframe.functions.text import equal_interval_labels
+from eoframe import dims
+from eoframe.functions.text import equal_interval_labels, iso_timestamp
 from eoframe.operators.catalog import collect_new
+from eoframe.operators.coefficients import GROUPS, tasseled_cap_from
 from eoframe.operators.grid import Grid, align_to_reference
 from eoframe.operators.ranks import exact_quantiles
+from eoframe.operators.seasonal import seasonal_amplitude
 from eoframe.plans.optical import optical_run
 from eoframe.streaming import intake
 
@@ -96,3 +99,36 @@ def test_the_run_is_cropped_and_plans_only_what_is_asked(spark):
     assert optical_run(scenes, pixels, **{**ask, "xy": None}, products=("scenes",))["scenes"].count() == 2
     with pytest.raises(ValueError):
         optical_run(scenes, pixels, **ask, products=("amplitude",))
+
+
+def test_one_median_for_few_and_many_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, m, float(v)) for k in range(12) for m in (1, 7) for v in rng.random(4 + k % 3 * 2)]
+    df = spark.createDataFrame(rows, "px int, month int, value double").withColumn("index", F.lit("NDVI"))
+    ask = dict(keys=("index", "px"), dry=(1,), wet=(7,), min_obs=1)
+    some = [sorted(map(tuple, seasonal_amplitude(df, **ask, **hot).collect())) for hot in ({}, {"hot_floor": 1, "hot_share": 0.0})]
+    assert some[0] == some[1]
+
+
+def test_white_space_around_dates(spark):
+    texts = ["2025-01-02\n", "\t2025-01-02T03:04:05Z ", "  2025/01/02\r\n", "2025-01-02 x", "225-01-002"]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(iso_timestamp(F.col("t")).alias("x")).collect()]
+    assert got == ["2025-01-02", "2025-01-02T03:04:05Z", "2025-01-02", None, None]
+
+
+def test_maps_arrive_and_a_batch_may_run_twice(spark, tmp_path):
+    schema = "scene_id string, datetime timestamp, properties map<string,string>"
+    batch = spark.createDataFrame([("a", None, {"k": "2"}), ("a", None, {"k": "1"}), ("b", None, None)], schema)
+    for _ in range(2):
+        intake.append_new(batch, f"{tmp_path}/out")
+    got = sorted((r.scene_id, r.properties) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", {"k": "1"}), ("b", None)]
+
+
+def test_a_coefficient_group_that_comes_twice_is_refused(spark):
+    one = [1.0] * 6
+    table = spark.createDataFrame([(GROUPS[0], one, one, one)] * 2, "grp string, b array<double>, g array<double>, w array<double>")
+    pixels = spark.createDataFrame([(GROUPS[0], *one)], "tc_group string, " + ", ".join(f"{b} double" for b in dims.TC_BANDS))
+    assert tasseled_cap_from(pixels, table.limit(1)).count() == 1
+    with pytest.raises(Exception, match="twice"):
+        tasseled_cap_from(pixels, table).collect()
