@@ -46,7 +46,7 @@ FAN = 8
 BANDS = 12  # two rows alike by 0.8 share a band's key with 0.64, so they share none of these with 0.36^12, 5 in a million
 REACH = 2  # neighbours of a bucket that are compared at first
 WIDER = 12  # and later, when what is connected counts as one row
-ROUNDS = 3
+ROUNDS = 1
 _ORDERS = np.random.default_rng(11).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
