@@ -37,6 +37,7 @@ from eoframe.session import stable
 SAMPLE = 20_000
 WORDS = 16_000
 LANDMARKS = 240
+MERGERS = 4
 GAP = 2
 DECAY = 0.7
 THRESHOLD = 0.3
@@ -216,8 +217,14 @@ def train_table(words: DataFrame, marks: list[str], root: np.ndarray) -> tuple[n
             if least is not None:
                 yield pd.DataFrame({"least": [least], "m": [total.tobytes()]})
 
-        # a matrix per task, added in a fixed order
-        rows = sorted(words.mapInPandas(run, "least string, m binary").collect(), key=lambda r: r.least)
+        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = sorted((least, m) for pdf in batches for least, m in zip(pdf.least, pdf.m))
+            if rows:
+                yield pd.DataFrame({"least": [rows[0][0]], "m": [sum(np.frombuffer(m) for _, m in rows).tobytes()]})
+
+        # a matrix per task, added in a fixed order by MERGERS tasks, so the driver gets as many whatever the partitions
+        some = words.mapInPandas(run, "least string, m binary").repartition(MERGERS).mapInPandas(merge, "least string, m binary")
+        rows = sorted(some.collect(), key=lambda r: r.least)
         return sum(np.frombuffer(r.m).reshape(len(w), len(w) + 1) for r in rows)
 
     return folded(marks, root, svm(root.shape[1], sums))
