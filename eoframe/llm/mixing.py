@@ -6,8 +6,9 @@ tilts rates exponentially: r / (2 - r) = exp(lambda * size / scale).  lambda is
 the root of the source's convex dual; Newton steps, held inside a bracket, run
 for all sources at once over a histogram of (source, size).  Rates become whole
 copies by one threshold per source on the rate plus a hash of the document, the
-threshold found by narrowing a histogram, and last one document per source is
-added or dropped where that brings the tokens nearer to the target.
+threshold found by narrowing a histogram, and last, in up to eight rounds, the one
+or two documents of a source are added or dropped that bring its tokens nearest
+to the target.
 
 Defined results: a null text has size 0; a null source is a source, last in
 order; a source without words has target 0; rows equal in doc_id and text are
@@ -30,6 +31,7 @@ STEPS = 60
 BINS = 4096
 PASSES = 4
 SALTS = 32
+ROUNDS = 8
 
 
 def size_of(text: Column) -> Column:
@@ -164,22 +166,71 @@ def copies_for(docs: DataFrame) -> DataFrame:
     first = rows.join(every_salt(at), (F.col("no") == F.col("cn")) & (F.col("s") == F.col("cs"))).withColumn(
         "copies", ((F.col("theta") > 1 - F.col("y")).cast("int") + (F.col("theta") > 2 - F.col("y")).cast("int"))
     )
-    # the row whose one copy more or less brings the source nearest to its target
-    gaps = first.groupBy(F.col("no").alias("gn")).agg((F.first("goal") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-    moves = first.where("size > 0").join(every_salt(stable(gaps)).withColumnRenamed("cs", "gs"), (F.col("no") == F.col("gn")) & (F.col("s") == F.col("gs"))).select(
-        "no", "doc_id", "tk", "ordinal", "gap", F.explode(F.array(F.lit(1), F.lit(-1))).alias("move"), "copies", "size"
-    ).where("copies + move BETWEEN 0 AND 2")
-    best = stable(
-        moves.groupBy(F.col("no").alias("mn")).agg(
-            F.min(F.struct(F.abs(F.col("gap") - F.col("move") * F.col("size")).alias("left"), "doc_id", "tk", "ordinal", "move", "gap")).alias("b")
-        ).where("b.left < abs(b.gap)").select("mn", "b.*")
-    ).select("mn", F.col("doc_id").alias("bd"), F.col("tk").alias("bt"), F.col("ordinal").alias("bo"), F.col("move"))
-    same = (F.col("no") == F.col("mn")) & (F.col("doc_id") == F.col("bd")) & (F.col("tk") == F.col("bt")) & (F.col("ordinal") == F.col("bo"))
-    return first.join(best, same, "left").select(
+    first = stable(first.select("doc_id", "tk", "source", "ordinal", "s", "size", "source_size", "target", "no", "copies"))
+    moves = closing_moves(first.where("size > 0").groupBy("no", "size", "copies").agg(F.count("*").alias("n")), cut.select(F.col("cn").alias("no"), F.col("goal").cast("double").alias("goal")))
+    # each class names how many of its rows move; a row's place in its class is asked for only there
+    wanted = every_salt(moves).select(F.col("no").alias("mn"), F.col("size").alias("ms"), F.col("copies").alias("mc"), "steps", "cs")
+    classes = first.join(wanted, (F.col("no") == F.col("mn")) & (F.col("size") == F.col("ms")) & (F.col("copies") == F.col("mc")) & (F.col("s") == F.col("cs")))
+    by_hash = [unit("doc_id", "tk", "ordinal"), F.col("doc_id"), F.col("tk"), F.col("ordinal")]
+    each = classes.withColumn("i", F.row_number().over(Window.partitionBy("no", "size", "copies", "s").orderBy(*by_hash))).where(F.col("i") <= 2 * ROUNDS)
+    place = Window.partitionBy("no", "size", "copies").orderBy(*by_hash)
+    moved = stable(
+        each.withColumn("i", F.row_number().over(place)).where(F.col("i") <= F.size("steps"))
+        .select(F.col("doc_id").alias("bd"), F.col("tk").alias("bt"), F.col("ordinal").alias("bo"), F.col("source").alias("bs"), F.get("steps", F.col("i") - 1).alias("move"))
+    )
+    same = (F.col("doc_id") == F.col("bd")) & (F.col("tk") == F.col("bt")) & (F.col("ordinal") == F.col("bo")) & F.col("source").eqNullSafe(F.col("bs"))
+    return first.join(moved, same, "left").select(
         "doc_id", "tk", "source", "ordinal", "size", "source_size", "target", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies")
     )
 
 
+def closing_moves(classes: DataFrame, goals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(no, size, copies, steps): what some rows of a class take more or less so that sources meet their goals.
+
+    ``classes`` has (no, size, copies, n), ``goals`` (no, goal).  In each round
+    every source makes the move of one or two rows that brings it nearest to its
+    goal; partners are neighbours in order of tokens, so no pairs are formed.  It
+    ends when no source gains.  A row moves once: its class keeps the others.
+    A window holds one row per move of a source, and the sizes of its documents
+    are fewer than the root of twice its words.
+    """
+    state = stable(classes)
+    taken = classes.groupBy(F.col("no").alias("tn")).agg(F.sum(F.col("n") * F.col("size") * F.col("copies")).alias("t"))
+    gaps = stable(goals.join(taken, F.col("no") == F.col("tn")).select("no", (F.col("goal") - F.col("t")).alias("gap")))
+    done = state.where("false").select("no", "size", "copies", F.lit(0).alias("step"))
+    for _ in range(rounds):
+        moves = state.where("n > 0").select(
+            "no", "size", "copies", "n", F.explode(F.filter(F.array(*[F.lit(x) for x in (-2, -1, 1, 2)]), lambda x: (F.col("copies") + x).between(0, 2))).alias("step")
+        )
+        still = F.struct(F.lit(0).cast("bigint").alias("size"), F.lit(0).alias("copies"), F.lit(2).cast("bigint").alias("n"), F.lit(0).alias("step"))
+        every = moves.select("no", F.struct("size", "copies", "n", "step").alias("m")).unionByName(gaps.select("no", still.alias("m")))
+        worth = F.col("m.size") * F.col("m.step")
+        asks = every.join(gaps, "no").where("abs(gap) > 0.5")
+        line = asks.select("no", "gap", worth.cast("double").alias("at"), "m", F.lit(None).cast(asks.schema["m"].dataType).alias("ask")).unionByName(
+            asks.select("no", "gap", (F.col("gap") - worth).alias("at"), F.lit(None).cast(asks.schema["m"].dataType).alias("m"), F.col("m").alias("ask"))
+        )
+        below = Window.partitionBy("no").orderBy("at", "m.size", "m.copies", "m.step", "ask.size", "ask.copies", "ask.step")
+        above = Window.partitionBy("no").orderBy(*[F.desc(c) for c in ("at", "m.size", "m.copies", "m.step", "ask.size", "ask.copies", "ask.step")])
+        met = line.withColumn("lower", F.last("m", ignorenulls=True).over(below)).withColumn("upper", F.last("m", ignorenulls=True).over(above)).where("ask IS NOT NULL")
+        pair = met.select("no", "gap", "ask", F.explode(F.array("lower", "upper")).alias("b")).where("b IS NOT NULL")
+        # two rows of one class need two rows there
+        pair = pair.where("ask.size <> b.size OR ask.copies <> b.copies OR ask.n > 1")
+        left = F.abs(F.col("gap") - F.col("ask.size") * F.col("ask.step") - F.col("b.size") * F.col("b.step"))
+        best = stable(pair.groupBy("no").agg(F.min(F.struct(left.alias("left"), F.least("ask", "b").alias("a"), F.greatest("ask", "b").alias("b"))).alias("p"), F.first("gap").alias("gap")).where("p.left < abs(gap)"))
+        steps = best.select("no", F.explode(F.array("p.a", "p.b")).alias("m")).where("m.step <> 0").select("no", "m.size", "m.copies", "m.step")
+        if best.isEmpty():
+            break
+        done = done.unionByName(steps)
+        used = steps.groupBy(*[F.col(c).alias(f"u_{c}") for c in ("no", "size", "copies")]).agg(F.count("*").alias("u"))
+        state = stable(
+            state.join(used, (F.col("no") == F.col("u_no")) & (F.col("size") == F.col("u_size")) & (F.col("copies") == F.col("u_copies")), "left")
+            .select("no", "size", "copies", (F.col("n") - F.coalesce("u", F.lit(0))).alias("n"))
+        )
+        gained = best.select(F.col("no").alias("bn"), (F.col("gap") - F.col("p.a.size") * F.col("p.a.step") - F.col("p.b.size") * F.col("p.b.step")).alias("now"))
+        gaps = gaps.join(gained, F.col("no") == F.col("bn"), "left").select("no", F.coalesce("now", "gap").alias("gap"))
+    return stable(done.groupBy("no", "size", "copies").agg(F.sort_array(F.collect_list("step")).alias("steps")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, source, size, n) of ``docs``."""
     t = packed(docs).select("doc_id", F.xxhash64("_text").alias("tk"), F.col("row.source").alias("source"), size_of(F.col("_text")).alias("size"))

@@ -80,3 +80,20 @@ def test_stage_repeats_rows(spark):
     want = {r.doc_id: r.taken // r.size for r in mixing.mix(d).collect()}
     have = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert have == {k: v for k, v in want.items() if v}
+
+
+def test_sources_of_few_documents(spark):
+    """Ten documents of very different sizes: one threshold alone misses by much more."""
+    rows = [(i, "w " * (3 + (i * i * 7919 + i * 104729) % (3000 if i % 10 == 0 else 400)), "en", f"s{i % 8}", 1) for i in range(80)]
+    check(spark, rows, 0.01)
+
+
+def test_closing_moves(spark):
+    """The nearest sum that one or two rows reach, again and again; a row moves once."""
+    classes = [(1, 100, 1, 2), (1, 7, 0, 3), (2, 10, 2, 1), (3, 5, 1, 4)]
+    goals = [(1, 314.0), (2, 20.0), (3, 0.0)]
+    c = spark.createDataFrame(classes, "no int, size long, copies int, n long")
+    got = {(r["no"], r["size"], r["copies"]): r.steps for r in mixing.closing_moves(c, spark.createDataFrame(goals, "no int, goal double")).collect()}
+    assert got == {(1, 100, 1): [1], (1, 7, 0): [2], (3, 5, 1): [-1, -1, -1, -1]}
+    one = spark.createDataFrame([(1, 100, 0, 1)], "no int, size long, copies int, n long")
+    assert [r.steps for r in mixing.closing_moves(one, spark.createDataFrame([(1, 300.0)], "no int, goal double")).collect()] == [[2]]
