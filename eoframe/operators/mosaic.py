@@ -54,36 +54,6 @@ def filter_published(versions: DataFrame, start: str | None, end: str | None) ->
 # ------------------------------------------------------------- folds over tiles
 
 
-UNLISTED = -2  # place of a redirect whose target is no listed version
-
-
-def _walk_redirects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Follow each tile's cells from the newest one; skipped cells wait in case the walk comes back."""
-    tile, wanted, step, skipped = None, 0, 0, {}
-    for batch in batches:
-        found = []
-        for key, pos, *cell in zip(
-            batch.tile_key, batch.pos, batch.num, batch.has_data, batch.select_pos, batch.select_num, batch.size_bytes
-        ):
-            if key != tile:
-                tile, wanted, step, skipped = key, 0, 0, {}
-            if wanted is None:
-                continue
-            if pos > wanted:  # the cell asked for is missing
-                wanted, skipped = None, {}
-                continue
-            skipped[pos] = cell
-            while wanted is not None and wanted <= pos:
-                num, has, target, target_num, size = skipped.pop(wanted, (None, False, None, None, None))
-                if not has:  # without data, or visited before
-                    wanted, skipped = None, {}
-                    break
-                step += 1
-                found.append((key, step, num if target == -1 else target_num, size))
-                wanted = None if target == UNLISTED else (wanted if target == -1 else target) + 1
-        yield pd.DataFrame(found, columns=["tile_key", "step", "num", "size_bytes"])
-
-
 def changed_versions(tilemap: DataFrame) -> DataFrame:
     """Versions with a local change, per tile, from the newest on.
 
@@ -91,25 +61,48 @@ def changed_versions(tilemap: DataFrame) -> DataFrame:
     select_num (NULL or 0: itself), size_bytes.  The walk goes on with the
     version after the one a cell names, newer or older.  A cell without data, a
     missing cell, a version met before or a target without a position ends it;
-    such a target is still reported.  The rows of a tile stream through a sorted
-    partition; only cells the walk jumped over are kept, fewer than the versions
-    ever published.
+    such a target is still reported.  Of several cells of one tile and position
+    the least (num, then what it names) counts.
+
+    Each cell points to one cell, so the walk is found by doubling: cells met
+    within 2^k steps and pointers 2^k steps long give those of 2^(k+1).  It takes
+    as many rounds as the longest walk has binary digits, each two joins on (tile,
+    position), so a tile with most of the rows is spread like any other.  A cell
+    met again keeps its first step, and a round that meets no new cell is the last.
     """
     redirect = F.coalesce(F.col("select_num"), F.lit(0)) != 0
-    cells = tilemap.select(
-        "tile_key",
-        F.col("pos").cast("long").alias("pos"),
-        F.col("num").cast("long").alias("num"),
-        F.coalesce(F.col("has_data"), F.lit(False)).alias("has_data"),
-        F.when(redirect, F.coalesce(F.col("select_pos").cast("long"), F.lit(UNLISTED))).otherwise(F.lit(-1)).alias("select_pos"),
-        F.coalesce(F.col("select_num"), F.lit(0)).cast("long").alias("select_num"),
+    place, target = F.col("pos").cast("long"), F.col("select_pos").cast("long")
+    # a redirect to no listed version has no target, so nothing follows it
+    cell = F.struct(
+        F.when(redirect, F.col("select_num")).otherwise(F.col("num")).cast("long").alias("num"),
         F.coalesce(F.col("size_bytes"), F.lit(0)).cast("long").alias("size_bytes"),
+        (F.when(redirect, target).otherwise(place) + 1).alias("to"),
+        F.coalesce(F.col("has_data"), F.lit(False)).alias("has_data"),
     )
-    key_type = dict(tilemap.dtypes)["tile_key"]
-    return (
-        cells.repartition("tile_key")
-        .sortWithinPartitions("tile_key", "pos")
-        .mapInPandas(_walk_redirects, f"tile_key {key_type}, step INT, num BIGINT, size_bytes BIGINT")
+    first = F.min_by(cell, F.struct(F.col("num").cast("long"), cell))
+    cells = tilemap.groupBy("tile_key", place.alias("pos")).agg(first.alias("c")).select("tile_key", "pos", "c.*")
+    cells = stable(cells.where("has_data").drop("has_data"))
+
+    def at(tile: str, pos: str, other_pos: str) -> Column:
+        return F.col("tile_key").eqNullSafe(F.col(tile)) & (F.col(pos) == F.col(other_pos))
+
+    there = cells.select(F.col("tile_key").alias("there"), F.col("pos").alias("there_pos"))
+    jumps = stable(cells.select("tile_key", "pos", "to").join(there, at("there", "to", "there_pos"), "left_semi"))
+    met = cells.where("pos = 0").select("tile_key", "pos", F.lit(0).cast("long").alias("steps"))
+    length = 1
+    while True:
+        jump = jumps.select(F.col("tile_key").alias("from_tile"), F.col("pos").alias("from_pos"), F.col("to").alias("next"))
+        reached = met.join(jump, at("from_tile", "pos", "from_pos")).groupBy("tile_key", F.col("next").alias("pos")).agg((F.min("steps") + length).alias("steps"))
+        known = met.select(F.col("tile_key").alias("known"), F.col("pos").alias("known_pos"))
+        fresh = stable(reached.join(known, at("known", "pos", "known_pos"), "left_anti"))
+        if fresh.isEmpty():
+            break
+        met = met.unionByName(fresh)
+        jumps = stable(jumps.join(jump, at("from_tile", "to", "from_pos")).select("tile_key", "pos", F.col("next").alias("to")))
+        length *= 2
+    walk = met.select(F.col("tile_key").alias("walk"), F.col("pos").alias("walk_pos"), "steps")
+    return cells.join(walk, at("walk", "pos", "walk_pos")).select(
+        "tile_key", (F.col("steps") + 1).cast("int").alias("step"), "num", "size_bytes"
     )
 
 

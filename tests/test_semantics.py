@@ -338,6 +338,29 @@ def test_redirects_back_and_to_unlisted_versions(spark):
     assert got == {t: brute_walk(cells) for t, cells in tiles.items()}
 
 
+def test_long_redirect_walks(spark):
+    """A tile with most of the rows, walks of lengths around powers of two, a ring, a tile without a key, repeated cells."""
+    tiles = {"hot": {p: (9000 - p, True, None, None) for p in range(1500)}}
+    tiles["back"] = {p: (900 - p, True, *((p - 2, 900 - p + 2) if p == 99 else (None, None))) for p in range(300)}
+    for n in (1, 2, 3, 4, 5, 7, 8, 9):
+        tiles[f"n{n}"] = {p: (100 - p, True, None, None) for p in range(n)}
+    tiles["ring"] = {0: (9, True, 1, 8), 1: (8, True, None, None), 2: (7, True, 0, 9), 3: (6, True, None, None)}
+    tiles[None] = {0: (5, True, 2, 3), 3: (2, True, None, None)}
+    rows = [(t, p, *c, 1) for t, cells in tiles.items() for p, c in cells.items()]
+    rows += [("n3", 1, 500, True, None, None, 1), ("n3", 1, 99, True, None, None, 1)]
+    out = mo.changed_versions(spark.createDataFrame(rows, "tile_key STRING, pos INT, num INT, has_data BOOLEAN, select_pos INT, select_num INT, size_bytes INT"))
+    assert "Python" not in out._jdf.queryExecution().toString() and "InPandas" not in out._jdf.queryExecution().toString()
+    got = {t: [] for t in tiles}
+    for r in sorted(out.collect(), key=lambda r: r.step):
+        got[r.tile_key].append((r.step, r.num))
+    assert got == {t: brute_walk(cells) for t, cells in tiles.items()}
+
+
+def test_redirect_walk_of_nothing(spark):
+    cells = spark.createDataFrame([], "tile_key STRING, pos INT, num INT, has_data BOOLEAN, select_pos INT, select_num INT, size_bytes INT")
+    assert mo.changed_versions(cells).count() == 0
+
+
 def test_footprints_go_back_into_asset_links(spark):
     base = spark.createDataFrame([("a", '{"blue": "https://x/b02.tif"}', "sentinel-2-l2a", "https://c/v1")], "id STRING, assets STRING, coleccion STRING, catalogo STRING").withColumns({
         "fecha": F.lit("2025-01-03"), "hora_utc": F.lit(""), "nubes_pct": F.lit(10.0), "nubes_aoi": F.lit(5.0), "datos_pct": F.lit(100.0),
