@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+BUCKETS = 32
+
 
 def append_new(batch: DataFrame, out_path: str, key: Sequence[str] = ("scene_id",), order: Sequence[str] = ("datetime",)) -> None:
     """Append the rows of ``batch`` whose key the Parquet table does not have yet.
@@ -56,29 +58,65 @@ def latest_status(observed: DataFrame, key: Sequence[str] = ("batch_name", "job_
     return observed.groupBy(*key).agg(last.alias("_l")).select(*key, *[F.col("_l")[c].alias(c) for c in rest])
 
 
+def status_bucket(key: Sequence[str], buckets: int) -> Column:
+    """The bucket of a job, from its key; NULLs have one too."""
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def _bucket_versions(spark: SparkSession, snapshot_path: str) -> dict[int, list[int]]:
+    """Per bucket the marked batches that wrote it, in order; as many entries as buckets and the few versions kept."""
+    fs, marks = _hadoop(spark, f"{snapshot_path}/batch=*/_SUCCESS")
+    whole = {found.getPath().getParent().getName() for found in fs.globStatus(marks) or ()}
+    versions: dict[int, list[int]] = {}
+    _, folders = _hadoop(spark, f"{snapshot_path}/batch=*/_bucket=*")
+    for found in fs.globStatus(folders) or ():
+        batch = found.getPath().getParent().getName()
+        if batch in whole:
+            versions.setdefault(int(found.getPath().getName().partition("=")[2]), []).append(int(batch.partition("=")[2]))
+    return {bucket: sorted(batches) for bucket, batches in versions.items()}
+
+
+def _bucket_paths(snapshot_path: str, newest: dict[int, int]) -> list[str]:
+    return [f"{snapshot_path}/batch={batch}/_bucket={bucket}" for bucket, batch in sorted(newest.items())]
+
+
+def merge_status(batch: DataFrame, number: int, snapshot_path: str, key: Sequence[str] = ("batch_name", "job_id"), buckets: int = BUCKETS) -> None:
+    """Write batch ``number`` of :func:`stream_job_status`: the buckets its jobs fall into, and no other."""
+    spark = batch.sparkSession
+    rows = latest_status(batch, key).withColumn("_bucket", status_bucket(key, buckets))
+    touched = {r["_bucket"] for r in rows.select("_bucket").distinct().collect()}
+    versions = _bucket_versions(spark, snapshot_path)
+    # a batch that is run again sees what it saw before: nothing of its own number or later
+    before = {b: max(n for n in have if n < number) for b, have in versions.items() if min(have) < number}
+    old = _bucket_paths(snapshot_path, {b: n for b, n in before.items() if b in touched})
+    if old:
+        kept = spark.read.schema(batch.schema).parquet(*old).withColumn("_bucket", status_bucket(key, buckets))
+        rows = latest_status(rows.unionByName(kept), key)
+    rows.select(*batch.columns, "_bucket").repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(f"{snapshot_path}/batch={number}")
+    left = {n for b, have in versions.items() for n in have if n >= before.get(b, number)}
+    for bucket, have in versions.items():
+        for n in have:
+            if n < before.get(bucket, number):
+                part = f"{snapshot_path}/batch={n}"
+                fs, gone = _hadoop(spark, f"{part}/_bucket={bucket}" if n in left else part)
+                fs.delete(gone, True)
+
+
 def stream_job_status(
-    arrivals: DataFrame, snapshot_path: str, checkpoint: str, key: Sequence[str] = ("batch_name", "job_id")
+    arrivals: DataFrame, snapshot_path: str, checkpoint: str, key: Sequence[str] = ("batch_name", "job_id"), buckets: int = BUCKETS
 ) -> StreamingQuery:
-    """Keep the latest state per job in numbered Parquet snapshots.
-
-    Each micro-batch merges with the snapshot before it and writes its own
-    folder, so a batch that is run again writes the same result.  The committer
-    marks a folder when it is whole; :func:`read_job_status` reads the newest
-    marked one.  Two snapshots are kept, as a batch may be run again from the
-    one before it.
+    """Keep the latest state per job in Parquet, in ``buckets`` parts by a hash of the job.
+
+    A micro-batch reads and rewrites only the buckets its jobs fall into, each as
+    a folder of its own batch, so its cost follows the batch and not the table.
+    The committer marks the batch when all its buckets are whole; readers
+    (:func:`read_job_status`) take the newest marked version of each bucket, so
+    none sees half a batch.  A bucket keeps two versions, as a batch may be run
+    again from the one before it.  ``buckets`` stays the same for a table; choose
+    it so that a bucket fits one task.
     """
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{snapshot_path}/batch={number - 1}"))
-        latest_status(rows, key).write.mode("overwrite").parquet(f"{snapshot_path}/batch={number}")
-        if number > 1:
-            fs, old = _hadoop(spark, f"{snapshot_path}/batch={number - 2}")
-            fs.delete(old, True)
-
     return (
-        arrivals.writeStream.foreachBatch(merge)
+        arrivals.writeStream.foreachBatch(lambda batch, number: merge_status(batch, number, snapshot_path, key, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -86,9 +124,8 @@ def stream_job_status(
 
 
 def read_job_status(spark: SparkSession, snapshot_path: str) -> DataFrame:
-    """The newest whole snapshot of :func:`stream_job_status`; FileNotFoundError if there is none."""
-    fs, marks = _hadoop(spark, f"{snapshot_path}/batch=*/_SUCCESS")
-    whole = [int(found.getPath().getParent().getName().partition("=")[2]) for found in fs.globStatus(marks) or ()]
-    if not whole:
+    """The newest whole version of every bucket of :func:`stream_job_status`; FileNotFoundError if there is none."""
+    newest = {bucket: max(batches) for bucket, batches in _bucket_versions(spark, snapshot_path).items()}
+    if not newest:
         raise FileNotFoundError(f"no snapshot under {snapshot_path}")
-    return spark.read.parquet(f"{snapshot_path}/batch={max(whole)}")
+    return spark.read.parquet(*_bucket_paths(snapshot_path, newest))

@@ -83,6 +83,27 @@ def test_snapshots_are_marked_and_expire(spark, tmp_path):
     assert [r.status_code for r in intake.read_job_status(spark, f"{tmp_path}/out").collect()] == ["s3"]
 
 
+def test_a_batch_of_one_job_rewrites_one_bucket(spark, tmp_path):
+    schema, out = "batch_name string, job_id string, observed_at long, status_code string", f"{tmp_path}/out"
+    first = [("b", f"j{i}", 1, "new") for i in range(200)] + [("b", None, 1, "new")]
+    intake.merge_status(spark.createDataFrame(first, schema), 0, out, buckets=8)
+    second = spark.createDataFrame([("b", "j7", 2, "done"), ("b", "j7", 0, "late")], schema)
+    for _ in range(2):  # a batch that is run again
+        intake.merge_status(second, 1, out, buckets=8)
+        assert len(list((tmp_path / "out/batch=0").glob("_bucket=*"))) == 8
+        assert len(list((tmp_path / "out/batch=1").glob("_bucket=*"))) == 1
+        got = {r.job_id: r.status_code for r in intake.read_job_status(spark, out).collect()}
+        assert len(got) == 201 and got["j7"] == "done" and sum(v == "new" for v in got.values()) == 200
+    # half a commit is not seen, and the next run of that batch makes it whole
+    (tmp_path / "out/batch=1/_SUCCESS").unlink()
+    assert {r.status_code for r in intake.read_job_status(spark, out).collect()} == {"new"}
+    intake.merge_status(second, 1, out, buckets=8)
+    intake.merge_status(spark.createDataFrame([("b", "j7", 3, "gone")], schema), 2, out, buckets=8)
+    assert len(list((tmp_path / "out/batch=0").glob("_bucket=*"))) == 7
+    assert {r.status_code for r in intake.read_job_status(spark, out).where("job_id = 'j7'").collect()} == {"gone"}
+    assert intake.read_job_status(spark, out).count() == 201
+
+
 def test_the_run_is_cropped_and_plans_only_what_is_asked(spark):
     scenes = spark.createDataFrame([(1, "2024-01-05", 5.0), (2, "2024-03-05", 5.0)], "scene_id int, day string, cloud_pct double").select(
         "scene_id", F.to_date("day").alias("acquired"), "cloud_pct", F.lit("c").alias("collection"),
