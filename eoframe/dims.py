@@ -175,17 +175,26 @@ KML_MAX_VERTICES = 250000
 
 # What an index measures and its usual misreading, one line each.
 INDEX_GUIDE = {
-    "NDVI": ("amount of green vegetation", "saturates over dense canopy"),
-    "SAVI": ("green vegetation with bare-soil correction", "differs from NDVI only over visible soil"),
-    "EVI2": ("vigour without saturation", "not bounded by one; calibrated on MODIS"),
-    "NDMI": ("water held by the canopy", "over sparse cover it reads soil moisture"),
-    "NBR": ("standing vegetation against char", "one date does not measure severity"),
-    "MSI": ("moisture stress", "inverted: high is dry"),
-    "NDRE": ("relative chlorophyll, red edge", "compare inside one scene only"),
-    "CIre": ("relative chlorophyll as a ratio", "noisy over sparse cover"),
-    "TCB": ("brightness", "coefficients belong to one sensor"),
-    "TCG": ("greenness", "coefficients belong to one sensor"),
-    "TCW": ("wetness", "shadow reads as wetness"),
+    "NDVI": ("amount of green vegetation", "dense, active green cover", "little or no green vegetation",
+             "saturates over dense canopy, and does not tell how much cover there is from the state it is in"),
+    "SAVI": ("green vegetation with bare-soil correction", "much green cover", "little vegetation",
+             "differs from NDVI only over visible soil; saturates like it"),
+    "EVI2": ("vigour without saturation", "much green biomass, also where NDVI no longer rises", "little vegetation",
+             "runs from 0 to about 0.9 over vegetation; calibrated on MODIS with a red to blue ratio of 2.08"),
+    "NDMI": ("water held by the canopy", "moist canopy", "dry canopy, or little of it",
+             "over sparse cover it reads soil moisture; a low value may be drought or missing vegetation"),
+    "NBR": ("standing vegetation against char", "standing vegetation", "burnt surface or bare soil",
+            "one date does not measure severity; that takes the difference of two dates, with thresholds of its own"),
+    "MSI": ("moisture stress", "dry or stressed canopy", "moist canopy",
+            "inverted: high is dry; no upper bound, and high over bare soil without any plant"),
+    "NDRE": ("relative chlorophyll, red edge", "more chlorophyll than the rest of the scene", "less chlorophyll: senescence or deficiency",
+             "compare inside one scene only, it is no content of chlorophyll; Sentinel-2 alone has the band"),
+    "CIre": ("relative chlorophyll as a ratio", "more chlorophyll than the rest of the scene", "less chlorophyll",
+             "compare inside one scene only; no upper bound, noisy over sparse cover; Sentinel-2 alone has the band"),
+    "TCB": ("brightness", "bare soil, sand, rock, built surface", "water, dense canopy, shadow",
+            "coefficients belong to one sensor; two of the four sets were derived from top-of-atmosphere reflectance"),
+    "TCG": ("greenness", "vegetation", "no vegetation", "coefficients belong to one sensor"),
+    "TCW": ("wetness", "water in canopy and soil, shadow", "dry", "shadow reads as wetness; coefficients belong to one sensor"),
 }
 
 
@@ -222,7 +231,7 @@ def composites_table(spark: SparkSession) -> DataFrame:
 def guide_table(spark: SparkSession) -> DataFrame:
     """Guide text per index in canonical order (11 rows)."""
     rows = [(i, n, *INDEX_GUIDE[n]) for i, n in enumerate(INDEX_NAMES)]
-    return spark.createDataFrame(rows, "pos INT, index STRING, measures STRING, caution STRING")
+    return spark.createDataFrame(rows, "pos INT, index STRING, measures STRING, high STRING, low STRING, caution STRING")
 
 
 def class_table(spark: SparkSession, classes) -> DataFrame:

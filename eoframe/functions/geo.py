@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -237,26 +237,36 @@ def geojson_bounds(geometry: Column) -> Column:
     )
 
 
-def point_in_polygon(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:
-    """Even-odd rule over all rings (holes and several parts included).
-
-    A box test comes first; the edges are one literal array, folded only for
-    the points inside the box.
-    """
+def ring_edges(rings: Sequence[Sequence[tuple[float, float]]]) -> list[tuple[float, float, float, float]]:
+    """Edges (x1, y1, x2, y2) of all rings, each closed."""
     edges = []
     for ring in rings:
-        closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-        edges += [(*a, *b) for a, b in zip(closed, closed[1:])]
-    xs = [v for e in edges for v in (e[0], e[2])]
-    ys = [v for e in edges for v in (e[1], e[3])]
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in e]) for e in edges])
+        closed = ring if tuple(ring[0]) == tuple(ring[-1]) else [*ring, ring[0]]
+        edges += [tuple(float(v) for v in (*a, *b)) for a, b in zip(closed, closed[1:])]
+    return edges
 
+
+def odd_crossings(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a ray to the right of (x, y) meets an odd number of ``edges``, an array of arrays x1, y1, x2, y2."""
     def crosses(e: Column) -> Column:
         x1, y1, x2, y2 = (F.get(e, F.lit(i)) for i in range(4))
         straddles = (y1 > y) != (y2 > y)
         at = (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1
         return F.coalesce(straddles & (x < at), F.lit(False))
 
-    odd = F.aggregate(table, F.lit(False), lambda inside, e: inside != crosses(e))
+    return F.aggregate(edges, F.lit(False), lambda inside, e: inside != crosses(e))
+
+
+def point_in_polygon(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:
+    """Even-odd rule over all rings (holes and several parts included).
+
+    A box test comes first; the edges are one literal array, folded only for
+    the points inside the box.  For outlines of many points see
+    :func:`eoframe.operators.grid.crop_polygon`.
+    """
+    edges = ring_edges(rings)
+    xs = [v for e in edges for v in (e[0], e[2])]
+    ys = [v for e in edges for v in (e[1], e[3])]
+    table = F.array(*[F.array(*[F.lit(v) for v in e]) for e in edges])
     box = x.between(min(xs), max(xs)) & y.between(min(ys), max(ys))
-    return F.when(box, odd).otherwise(F.lit(False))
+    return F.when(box, odd_crossings(x, y, table)).otherwise(F.lit(False))

@@ -62,13 +62,24 @@ def scaled(
     return F.when(scale.isNotNull(), dn * scale + off).otherwise(by_family)
 
 
+def short_number(v: Column) -> Column:
+    """A double in at most six significant digits without trailing zeros: 0.0001, 2.75e-05, 1e+06, 10000."""
+    digits = F.format_string("%.5e", v)
+    exponent = F.regexp_extract(digits, "e(.*)$", 1).cast("int")
+    trailing = r"\.?0+$"
+    plain = F.regexp_replace(digits.cast("decimal(38,12)").cast("decimal(38,9)").cast("string"), trailing, "")
+    powers = F.concat(F.regexp_replace(F.substring_index(digits, "e", 1), trailing, ""), F.regexp_extract(digits, "e.*$", 0))
+    return F.when(v.isNull(), F.lit(None).cast("string")).when(exponent.between(-4, 5), plain).otherwise(powers)
+
+
 def radiometry_source(
     family: Column,
     baseline: Column,
     boa_applied: Column | None = None,
     scale: Column | None = None,
+    offset: Column | None = None,
 ) -> Column:
-    """Where the scale of a band came from, as a label."""
+    """Where the scale of a band came from, as a label; a declared one is shown with its numbers."""
     shifted = F.coalesce(baseline >= F.lit(dims.S2_BASELINE_WITH_OFFSET), F.lit(False))
     if boa_applied is not None:
         shifted = shifted & ~F.coalesce(boa_applied, F.lit(False))
@@ -79,10 +90,18 @@ def radiometry_source(
         F.lit("'"),
         F.when(shifted, F.lit(" con desplazamiento BOA")).otherwise(F.lit("")),
     )
-    fallback = F.when(family == "ls", F.lit("constantes internas Landsat C2")).otherwise(s2)
+    landsat = F.concat(
+        F.lit("constantes internas Landsat C2 ("), short_number(F.lit(dims.LANDSAT_SCALE)), F.lit(", "),
+        short_number(F.lit(dims.LANDSAT_OFFSET)), F.lit(")"),
+    )
+    fallback = F.when(family == "ls", landsat).otherwise(s2)
     if scale is None:
         return fallback
-    return F.when(scale.isNotNull(), F.lit("raster:bands")).otherwise(fallback)
+    added = F.lit(0.0) if offset is None else F.coalesce(offset, F.lit(0.0))
+    declared = F.concat(
+        F.lit("raster:bands (escala "), short_number(scale), F.lit(", desplazamiento "), short_number(added), F.lit(")")
+    )
+    return F.when(scale.isNotNull(), declared).otherwise(fallback)
 
 
 def scl_no_data(scl: Column) -> Column:

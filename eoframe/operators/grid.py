@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eoframe.functions.geo import let, point_in_polygon, reproject, utm_forward, utm_inverse
+from eoframe.functions.geo import let, odd_crossings, point_in_polygon, reproject, ring_edges, utm_forward, utm_inverse
 
 
 @dataclass(frozen=True)
@@ -29,12 +31,75 @@ def crop_bbox(pixels: DataFrame, bbox: Sequence[float], x: str = "x", y: str = "
     return pixels.where(F.col(x).between(w, e) & F.col(y).between(s, n))
 
 
-def crop_polygon(pixels: DataFrame, rings: list[list[tuple[float, float]]], x: str = "x", y: str = "y") -> DataFrame:
-    """Pixel centres inside the cut line; its box is a pushed-down filter of its own."""
+# Edges a pixel is held against as literals; longer outlines are cut into strips.
+LITERAL_EDGES = 16
+
+# Rows of the strip table per edge; an entry is 32 bytes, so 500 000 of them stay below 20 MB.
+_PER_EDGE = 4
+STRIP_BROADCAST = 500_000
+
+
+def _strip_count(edges: np.ndarray) -> int:
+    """The finest power of two of strips in which all edges together have at most ``_PER_EDGE`` entries each.
+
+    One strip always qualifies, so the bound holds for every outline.
+    """
+    low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+    bottom, height = low.min(), high.max() - low.min()
+    strips = 1
+    while strips < len(edges):
+        scale = 2 * strips / height
+        entries = (np.floor((high - bottom) * scale) - np.floor((low - bottom) * scale) + 1).sum()
+        if not entries <= _PER_EDGE * len(edges):
+            break
+        strips *= 2
+    return strips
+
+
+def crop_polygon(
+    pixels: DataFrame, rings: list[list[tuple[float, float]]], x: str = "x", y: str = "y", literal: int = LITERAL_EDGES
+) -> DataFrame:
+    """Pixel centres inside the cut line by the even-odd rule; its box is a pushed-down filter of its own.
+
+    Points without a place are outside, and so is everything for an outline without height.
+
+    Outlines of more than ``literal`` edges are cut into horizontal strips: an
+    edge is listed in each strip it passes through, and a pixel meets the edges of its own
+    strip only.  Both ways use one expression, so their answers are the same.
+    The strip table has at most four entries an edge; below ``STRIP_BROADCAST``
+    entries it is broadcast and no pixel moves, beyond that the join is left to
+    Spark's own size checks.
+    """
+    edges = [e for e in ring_edges(rings) if e[1] != e[3]]  # a level edge is never crossed
     xs = [p[0] for r in rings for p in r]
     ys = [p[1] for r in rings for p in r]
     boxed = crop_bbox(pixels, (min(xs), min(ys), max(xs), max(ys)), x, y)
-    return boxed.where(point_in_polygon(F.col(x), F.col(y), rings))
+    if not edges:
+        return boxed.where(F.lit(False))
+    if len(edges) <= literal:
+        return boxed.where(point_in_polygon(F.col(x), F.col(y), rings))
+    known = np.array(edges, dtype=float)
+    bottom = float(known[:, [1, 3]].min())
+    scale = _strip_count(known) / (float(known[:, [1, 3]].max()) - bottom)
+
+    def strip(v: Column) -> Column:
+        # never decreases with v, so the strips of an edge's ends enclose those of its points
+        return F.floor((v - F.lit(bottom)) * F.lit(scale))
+
+    table = pixels.sparkSession.createDataFrame(pd.DataFrame(known, columns=["x1", "y1", "x2", "y2"]))
+    e = {c: F.col(c) for c in table.columns}
+    listed = (
+        table.select(
+            F.array(*e.values()).alias("_edge"),
+            F.explode(F.sequence(strip(F.least(e["y1"], e["y2"])), strip(F.greatest(e["y1"], e["y2"])))).alias("_strip"),
+        )
+        .groupBy("_strip")
+        .agg(F.collect_list("_edge").alias("_edges"))
+    )
+    if _PER_EDGE * len(edges) <= STRIP_BROADCAST:
+        listed = F.broadcast(listed)
+    met = boxed.withColumn("_strip", strip(F.col(y))).join(listed, "_strip")
+    return met.where(odd_crossings(F.col(x), F.col(y), F.col("_edges"))).select(*pixels.columns)
 
 
 def resample_average(pixels: DataFrame, k: int, by: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -218,7 +283,7 @@ def crop_geographic(
         return boxed
     at = utm_inverse(F.col(x), F.col(y), F.lit(epsg))
     placed = boxed.withColumn("_at", at)
-    return placed.where(point_in_polygon(F.col("_at.lon"), F.col("_at.lat"), rings)).drop("_at")
+    return crop_polygon(placed, rings, "_at.lon", "_at.lat").drop("_at")
 
 
 def _edge_points(w: Column, s: Column, e: Column, n: Column, steps: int = 8) -> list[tuple[Column, Column]]:

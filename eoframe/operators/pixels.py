@@ -124,31 +124,35 @@ def aoi_cloud(pixels: DataFrame, by: Sequence[str] = ("scene_id",)) -> DataFrame
     )
 
 
-def radiometry_summary(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One text per product: all scales declared, or which fallbacks were used.
+def radiometry_labels(bands: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The distinct labels per ``by`` (a scene, a band of it, ...): ``by`` and ``source``.
 
-    Labels are made distinct before they are listed; there are only a handful.
+    ``bands`` has family, baseline and, where known, boa_applied, scale, offset.
     """
     source = rad.radiometry_source(
-        F.col("family"), F.col("baseline"), _optional(pixels, "boa_applied"), _optional(pixels, "scale")
+        F.col("family"), F.col("baseline"), _optional(bands, "boa_applied"), _optional(bands, "scale"), _optional(bands, "offset")
     )
+    return bands.select(*by, source.alias("source")).distinct()
+
+
+def radiometry_summary(bands: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One text per product: all scales declared, or which fallbacks were used.
+
+    Labels are made distinct before they are listed.  Declared ones, which may
+    be many, are only counted; a product's fallbacks are as few as its baselines.
+    """
     declared = F.col("source").startswith("raster:bands")
     return (
-        pixels.select(*by, source.alias("source"))
-        .distinct()
+        radiometry_labels(bands, by)
         .groupBy(*by)
         .agg(
             F.bool_and(declared).alias("_all"),
-            F.array_sort(F.collect_list(F.when(~declared, F.col("source")))).alias("_fallbacks"),
+            F.array_sort(F.collect_set(F.when(~declared, F.col("source")))).alias("_fallbacks"),
         )
         .select(
             *by,
             F.when(F.col("_all"), F.lit("raster:bands (escala y desplazamiento del catálogo)"))
-            .otherwise(
-                F.concat(
-                    F.lit("mixta — alguna banda usó respaldo: "), F.array_join("_fallbacks", "; ")
-                )
-            )
+            .otherwise(F.concat(F.lit("mixta — alguna banda usó respaldo: "), F.array_join("_fallbacks", "; ")))
             .alias("radiometry"),
         )
     )

@@ -141,6 +141,23 @@ def crop_polygon(t: Tables) -> DataFrame:
     return gr.crop_polygon(centres(t), [RING])
 
 
+# an outline of 1802 points, ragged on both sides
+OUTLINE = ([(3.0 + (i * 7 % 13) / 3.0, i / 24.0) for i in range(901)]
+           + [(46.5 - (i * 5 % 11) / 7.0, i / 24.0) for i in range(900, -1, -1)])
+
+
+@query(with_views(_CENTRES + """,
+v AS (SELECT CAST(i AS INT) AS i, i / 24.0E0 AS y, 3.0E0 + (i * 7 % 13) / 3.0E0 AS l, 46.5E0 - (i * 5 % 11) / 7.0E0 AS r FROM range(0, 901) AS n(i)),
+e AS (SELECT a.l AS x1, a.y AS y1, b.l AS x2, b.y AS y2, a.y AS lo, b.y AS hi FROM v AS a JOIN v AS b ON b.i = a.i + 1
+  UNION ALL SELECT b.r, b.y, a.r, a.y, a.y, b.y FROM v AS a JOIN v AS b ON b.i = a.i + 1),
+k AS (SELECT *, row_number() OVER () AS no FROM c),
+n AS (SELECT k.no, k.l_orderkey, k.l_linenumber, k.x, k.y, count(*) AS crossed FROM k JOIN e ON k.y >= e.lo AND k.y < e.hi
+  WHERE k.x < (x2 - x1) * (k.y - y1) / (y2 - y1) + x1 GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, x, y FROM n WHERE crossed % 2 = 1""", "obs"))
+def crop_outline(t: Tables) -> DataFrame:
+    return gr.crop_polygon(centres(t), [OUTLINE])
+
+
 # ------------------------------------------------------------------- resampling
 
 def raster(t: Tables) -> DataFrame:

@@ -79,18 +79,36 @@ def to_reflectance(t: Tables) -> DataFrame:
 
 @query(with_views("""
 WITH d AS (SELECT *, """ + _DECLARED + """ FROM obs),
-s AS (SELECT DISTINCT scene_id, CASE WHEN scale IS NOT NULL THEN 'raster:bands'
-    WHEN family = 'ls' THEN 'constantes internas Landsat C2'
+s AS (SELECT DISTINCT scene_id, CASE WHEN scale IS NOT NULL THEN 'raster:bands (escala 0.0001, desplazamiento -0.1)'
+    WHEN family = 'ls' THEN 'constantes internas Landsat C2 (2.75e-05, -0.2)'
     ELSE concat('inferencia por línea base ''', baseline, '''',
       CASE WHEN baseline >= '04.00' THEN ' con desplazamiento BOA' ELSE '' END) END AS source FROM d)
-SELECT scene_id, CASE WHEN bool_and(source = 'raster:bands') THEN 'raster:bands (escala y desplazamiento del catálogo)'
+SELECT scene_id, CASE WHEN bool_and(source LIKE 'raster:bands%') THEN 'raster:bands (escala y desplazamiento del catálogo)'
   ELSE concat('mixta — alguna banda usó respaldo: ',
-    string_agg(CASE WHEN source <> 'raster:bands' THEN source END, '; ' ORDER BY source)) END AS radiometry
+    string_agg(CASE WHEN source NOT LIKE 'raster:bands%' THEN source END, '; ' ORDER BY source)) END AS radiometry
 FROM s GROUP BY scene_id""", "obs"))
 def radiometry_source(t: Tables) -> DataFrame:
     return px.radiometry_summary(declared(t), ["scene_id"])
 
 
+@query(with_views("""
+WITH d AS (SELECT scene_id, family, baseline, l_orderkey % 6 AS k, unnest(['red', 'nir', 'swir1']) AS band FROM obs)
+SELECT DISTINCT scene_id, band, CASE
+  WHEN band = 'red' AND k % 3 = 0 THEN 'raster:bands (escala 0.0001, desplazamiento -0.1)'
+  WHEN band = 'red' AND k % 3 = 1 THEN 'raster:bands (escala 2.75e-05, desplazamiento 0)'
+  WHEN band = 'nir' AND k % 2 = 0 THEN 'raster:bands (escala 1.23457e+06, desplazamiento 1000)'
+  WHEN family = 'ls' THEN 'constantes internas Landsat C2 (2.75e-05, -0.2)'
+  ELSE concat('inferencia por línea base ''', baseline, '''', CASE WHEN baseline >= '04.00' THEN ' con desplazamiento BOA' ELSE '' END) END AS source
+FROM d""", "obs"))
+def radiometry_labels(t: Tables) -> DataFrame:
+    k, band = F.col("l_orderkey") % 6, F.explode(F.array(F.lit("red"), F.lit("nir"), F.lit("swir1")))
+    bands = t.view("obs").select("scene_id", "family", "baseline", k.alias("k"), band.alias("band"))
+    red, nir, k = F.col("band") == "red", F.col("band") == "nir", F.col("k")
+    scale = F.when(red & (k % 3 == 0), 0.0001).when(red & (k % 3 == 1), 0.0000275).when(nir & (k % 2 == 0), 1234567.0)
+    offset = F.when(red & (k % 3 == 0), -0.1).when(nir & (k % 2 == 0), 1000.0)
+    return px.radiometry_labels(bands.withColumns({"scale": scale, "offset": offset}), ["scene_id", "band"])
+
+
 @query(with_views("""
 SELECT scene_id, scl, scl IN (0, 1) AS no_data, scl IN (3, 8, 9, 10) AS cloudy, count(*) AS n
 FROM obs GROUP BY scene_id, scl""", "obs"))

@@ -152,15 +152,23 @@ def product_inventory(t: Tables) -> DataFrame:
     return rp.product_inventory(rows)
 
 
-_GUIDE = " UNION ALL ".join(f"SELECT {i} AS pos, '{n}' AS index, '{dims.INDEX_GUIDE[n][0]}' AS measures, '{dims.INDEX_GUIDE[n][1]}' AS caution"
-                            for i, n in enumerate(dims.INDEX_NAMES))
-
-
-@query(with_views(f"""
-WITH g AS ({_GUIDE}) SELECT * FROM g WHERE index IN (SELECT index FROM idx_ndvi UNION SELECT index FROM idx_msi UNION SELECT index FROM idx_tcw)""",
-                  "idx_ndvi", "idx_msi", "idx_tcw"))
+@query(with_views("""
+WITH g(pos, index, measures, high, low, caution) AS (VALUES
+  (0, 'NDVI', 'amount of green vegetation', 'dense, active green cover', 'little or no green vegetation', 'saturates over dense canopy, and does not tell how much cover there is from the state it is in'),
+  (1, 'SAVI', 'green vegetation with bare-soil correction', 'much green cover', 'little vegetation', 'differs from NDVI only over visible soil; saturates like it'),
+  (2, 'EVI2', 'vigour without saturation', 'much green biomass, also where NDVI no longer rises', 'little vegetation', 'runs from 0 to about 0.9 over vegetation; calibrated on MODIS with a red to blue ratio of 2.08'),
+  (3, 'NDMI', 'water held by the canopy', 'moist canopy', 'dry canopy, or little of it', 'over sparse cover it reads soil moisture; a low value may be drought or missing vegetation'),
+  (4, 'NBR', 'standing vegetation against char', 'standing vegetation', 'burnt surface or bare soil', 'one date does not measure severity; that takes the difference of two dates, with thresholds of its own'),
+  (5, 'MSI', 'moisture stress', 'dry or stressed canopy', 'moist canopy', 'inverted: high is dry; no upper bound, and high over bare soil without any plant'),
+  (6, 'NDRE', 'relative chlorophyll, red edge', 'more chlorophyll than the rest of the scene', 'less chlorophyll: senescence or deficiency', 'compare inside one scene only, it is no content of chlorophyll; Sentinel-2 alone has the band'),
+  (7, 'CIre', 'relative chlorophyll as a ratio', 'more chlorophyll than the rest of the scene', 'less chlorophyll', 'compare inside one scene only; no upper bound, noisy over sparse cover; Sentinel-2 alone has the band'),
+  (8, 'TCB', 'brightness', 'bare soil, sand, rock, built surface', 'water, dense canopy, shadow', 'coefficients belong to one sensor; two of the four sets were derived from top-of-atmosphere reflectance'),
+  (9, 'TCG', 'greenness', 'vegetation', 'no vegetation', 'coefficients belong to one sensor'),
+  (10, 'TCW', 'wetness', 'water in canopy and soil, shadow', 'dry', 'shadow reads as wetness; coefficients belong to one sensor')),
+present AS (""" + " UNION ".join(f"SELECT index FROM idx_{n.lower()}" for n in dims.INDEX_NAMES) + """)
+SELECT * FROM g WHERE index IN (SELECT index FROM present)""", *[f"idx_{n.lower()}" for n in dims.INDEX_NAMES]))
 def guide_rows(t: Tables) -> DataFrame:
-    rows = indices(t, "NDVI", "MSI", "TCW").withColumn("index", F.when(F.col("index") == "MSI", F.lit("AMPL_MSI")).otherwise(F.col("index")))
+    rows = indices(t).withColumn("index", F.when(F.col("index") == "MSI", F.lit("AMPL_MSI")).otherwise(F.col("index")))
     return rp.guide_rows(rows)
 
 

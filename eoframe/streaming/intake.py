@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 BUCKETS = 32
@@ -27,18 +29,54 @@ def append_new(batch: DataFrame, out_path: str, key: Sequence[str] = ("scene_id"
     fresh.select(*batch.columns).write.mode("append").parquet(out_path)
 
 
+def _first_of_key(rank: str, columns: Sequence[str]):
+    """State function of :func:`stream_new_scenes`: the first row of a key that was never seen, else nothing."""
+
+    def pick(_key, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            for _ in pieces:
+                pass
+            return
+        best = None
+        for piece in pieces:  # a key's rows come in batches, of which one row is held
+            row = piece.sort_values(rank, kind="stable").iloc[:1]
+            if best is None or row[rank].iat[0] < best[rank].iat[0]:
+                best = row
+        state.update((True,))
+        yield best[list(columns)]
+
+    return pick
+
+
 def stream_new_scenes(
     arrivals: DataFrame, out_path: str, checkpoint: str, key: Sequence[str] = ("scene_id",), time: str = "datetime",
 ) -> StreamingQuery:
     """Append each new scene once to Parquet; run it as often as you like.
 
-    ``arrivals`` is a streaming DataFrame with a timestamp column.  Each batch
-    is compared with what the table has, so a scene may come at any time and in
-    any order, and none is dropped for its age.  The run takes what is there and ends.
+    ``arrivals`` is a streaming DataFrame with a timestamp column.  The state
+    store under ``checkpoint`` remembers the keys that came, hashed over the
+    executors, so a batch costs what it brings: the table is never read, a scene
+    may come at any time and in any order, and none is dropped for its age.
+    Rows without a key count as one scene.  Of rows with the same key in a batch
+    the first by time (none first), then by all columns as JSON, stays.  The
+    file sink's log commits a batch as a whole, and one that is run again writes
+    nothing twice; ``spark.read.parquet(out_path)`` follows that log.  The run
+    takes what is there and ends.
+
+    A table that :func:`append_new` made has no such state: continue it there.
     """
+    timed = arrivals.withColumn(time, F.col(time).cast("timestamp"))
+    columns = timed.columns
+    # text that sorts as (time, row)
+    micros = F.coalesce(F.unix_micros(time) + F.lit(10**18), F.lit(0))
+    ranked = timed.withColumn("_rank", F.concat(F.lpad(micros.cast("string"), 20, "0"), F.to_json(F.struct(*columns))))
+    first = ranked.groupBy(*key).applyInPandasWithState(
+        _first_of_key("_rank", columns), timed.schema, "seen BOOLEAN", "append", GroupStateTimeout.NoTimeout
+    )
     return (
-        arrivals.withColumn(time, F.col(time).cast("timestamp"))
-        .writeStream.foreachBatch(lambda batch, _: append_new(batch, out_path, key, (time,)))
+        first.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", out_path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
