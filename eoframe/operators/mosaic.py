@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eoframe import dims
+from eoframe.functions.geo import sample_points, tile_of, zoom_for_resolution
 from eoframe.functions.text import epoch_ms_date
 from eoframe.operators.ranks import number_rows
 from eoframe.session import stable
@@ -51,6 +52,22 @@ def filter_published(versions: DataFrame, start: str | None, end: str | None) ->
     return kept
 
 
+def sample_tiles(areas: DataFrame, n: int, res_m: float) -> DataFrame:
+    """The n x n sample points of each area and their tiles, at the zoom of its middle.
+
+    ``areas``: west, south, east, north and any columns of its own.  Adds point
+    (from 0), lon, lat, zoom and tile_key, ``zoom/row/col``.
+    """
+    sides = [F.col(c) for c in ("west", "south", "east", "north")]
+    zoomed = areas.withColumn("zoom", zoom_for_resolution(F.lit(float(res_m)), (F.col("south") + F.col("north")) / 2.0))
+    spots = zoomed.select("*", F.posexplode(sample_points(*sides, n)).alias("point", "_at"))
+    tile = tile_of(F.col("_at.lon"), F.col("_at.lat"), F.col("zoom"))
+    return spots.select(
+        *areas.columns, "zoom", "point", F.col("_at.lon").alias("lon"), F.col("_at.lat").alias("lat"),
+        F.concat_ws("/", "zoom", tile["row"], tile["col"]).alias("tile_key"),
+    )
+
+
 # ------------------------------------------------------------- folds over tiles
 
 
@@ -308,6 +325,32 @@ def version_metadata(meta: DataFrame, lon: Column, lat: Column, k: int = dims.ME
     )
 
 
+_ANSWER = ("covered", "capture", "provider", "sensor", "res", "accuracy", "error")
+
+
+def repair_metadata(meta: DataFrame, again: DataFrame, lon: Column, lat: Column, k: int = dims.META_POINTS) -> DataFrame:
+    """The nearest points of each version, failed ones answered from a second pass.
+
+    Only versions with a failure and no capture date are mended, and only where
+    ``again`` brings one of their dates; all others keep their first answers.
+    ``again`` has num, lon, lat and the columns of an answer, in any number of
+    rows a point: an answer beats an error, then the least one counts.
+    Rows without a place keep what they have.
+    """
+    failed, dated = F.col("error").isNotNull(), F.col("covered") & F.col("error").isNull() & F.col("capture").isNotNull()
+    near = nearest_points(meta, lon, lat, k).drop("rank").select("num", "lon", "lat", *_ANSWER)
+    version = Window.partitionBy("num")  # at most k rows each
+    near = near.withColumn("_open", failed & (F.count_if(dated).over(version) == 0))
+    second = again.where(failed.eqNullSafe(F.lit(False))).groupBy("num", "lon", "lat").agg(
+        F.min(F.struct(*_ANSWER)).alias("_second")
+    )
+    met = near.join(second, ["num", "lon", "lat"], "left")
+    answered = F.col("_open") & F.col("_second").isNotNull()
+    comes = answered & F.col("_second.covered") & F.col("_second.capture").isNotNull()
+    met = met.withColumn("_mend", answered & (F.count_if(comes).over(version) > 0))
+    return met.select("num", "lon", "lat", *[F.when(F.col("_mend"), F.col("_second")[c]).otherwise(F.col(c)).alias(c) for c in _ANSWER])
+
+
 def one_per_capture(versions: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(kept, merged): one version per clean capture date, the one published last.
 

@@ -7,9 +7,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eoframe.operators.mosaic import tile_metadata, version_order
+from eoframe.operators.mosaic import sample_tiles, tile_metadata, version_order
 from eoframe.operators.report import kml_audit
 from eoframe.plans import mosaic, optical, radar
+from eoframe.plans.grid_queries import _TILE
 from eoframe.plans.mosaic_queries import _CHAIN, _FOLD, _META, _SUMMARY, _TILES, responses, tile_pixels, tilemap
 from eoframe.plans.optical_queries import _AMPLITUDE_SQL
 from eoframe.plans.radar_queries import _SAR_AMP, _VERDICT, granules
@@ -197,6 +198,53 @@ def mosaic_history_compared(t: Tables) -> DataFrame:
     return out["versions"].select("num", "pos", "hits", "capture", "n_equivalent")
 
 
+def _second_pass(t: Tables) -> DataFrame:
+    """Failed points asked again: some answer with a date, some know no image, some fail again."""
+    k = F.col("event_id")
+    day = F.unix_date(F.date_add(F.lit("2023-04-05").cast("date"), (k % 3).cast("int"))).cast("bigint") * 86400000
+    found = F.to_json(F.struct(F.array(F.struct(F.struct(
+        day.cast("string").alias("SRC_DATE2"), F.lit("P9").alias("NICE_DESC"), F.lit("").alias("SRC_DESC")).alias("attributes"))).alias("features")))
+    text = F.when(k % 20 == 0, found).when(k % 30 == 0, F.lit('{"features": []}')).otherwise(F.lit('{"error": "timeout"}'))
+    return tile_metadata(responses(t).where(k % 10 == 0).withColumn("response", text))
+
+
+@query(_CHAIN + f""", spots AS (SELECT i * 5 + j AS point, 49.0E0 + (i + 0.5E0) / 5 * 2.0E0 AS lon, 9.0E0 + (j + 0.5E0) / 5 * 2.0E0 AS lat,
+  CAST(ceil(log2(156543.03392E0 * cos(radians(10.0E0)) / 30.0E0)) AS INT) AS zoom FROM range(0, 5) AS a(i) CROSS JOIN range(0, 5) AS b(j)),
+pts AS (SELECT point, CAST((CAST(floor((lon + 180.0E0) / 360.0E0 * pow(2.0E0, zoom)) AS BIGINT) + CAST({_TILE} AS BIGINT)) % 10 AS INT) AS tile_key FROM spots), """
+       + _META.strip().removeprefix("WITH ") + """, near AS (SELECT * FROM n WHERE rank <= 3),
+pend AS (SELECT num FROM near GROUP BY num HAVING count(error) > 0 AND count(capture) = 0),
+rec AS (SELECT DISTINCT num FROM near WHERE error IS NOT NULL AND event_id % 20 = 0 AND num IN (SELECT num FROM pend)),
+n2 AS (SELECT num, rank, CASE WHEN m AND event_id % 20 = 0 THEN true ELSE covered END AS covered,
+  CASE WHEN m AND event_id % 20 = 0 THEN CAST(CAST(DATE '2023-04-05' + CAST(event_id % 3 AS INT) AS DATE) AS STRING) ELSE capture END AS capture,
+  CASE WHEN m AND event_id % 20 = 0 THEN 'P9' ELSE provider END AS provider, CASE WHEN m AND event_id % 20 = 0 THEN '' ELSE sensor END AS sensor,
+  res, CASE WHEN m AND (event_id % 20 = 0 OR event_id % 30 = 0) THEN NULL ELSE error END AS error
+  FROM (SELECT *, error IS NOT NULL AND num IN (SELECT num FROM rec) AS m FROM near) AS marked)"""
+       + _SUMMARY.replace("FROM n WHERE", "FROM n2 WHERE") + ", "
+       + _TILES.strip().removeprefix("WITH RECURSIVE ").replace("FROM tiles)", "FROM tiles SEMI JOIN w USING (tile_key, num) WHERE tile_key IN (SELECT tile_key FROM pts))") + _FOLD + """
+, p AS (SELECT num, row_number() OVER (ORDER BY num DESC) - 1 AS pos FROM (SELECT DISTINCT num FROM c) AS z),
+h AS (SELECT num, count(DISTINCT point) AS hits FROM f JOIN pts ON f.tile_key = pts.tile_key WHERE kept GROUP BY num),
+asked AS (SELECT num, count(*) AS k FROM near GROUP BY num),
+g AS (SELECT p.num, p.pos, h.hits, coalesce(y.summary, '—') AS capture, 25 - coalesce(asked.k, 0) AS n_unasked
+  FROM p JOIN h ON p.num = h.num LEFT JOIN y ON p.num = y.num LEFT JOIN asked ON p.num = asked.num),
+o AS (SELECT *, regexp_matches(capture, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS clean, row_number() OVER (PARTITION BY capture ORDER BY pos) AS nth,
+  count(*) OVER (PARTITION BY capture) - 1 AS others FROM g)
+SELECT num, pos, hits, capture, n_unasked, CASE WHEN clean THEN others ELSE 0 END AS n_equivalent FROM o WHERE nth = 1 OR NOT clean
+UNION ALL SELECT NULL, -1, NULL, 'n/d', NULL, NULL""")
+def mosaic_history_sampled(t: Tables) -> DataFrame:
+    """From an area to its history: sampled tiles, a second pass over failed points, the live mosaic in front."""
+    area = t.spark.range(1).select(*[F.lit(v).alias(c) for c, v in (("west", 49.0), ("south", 9.0), ("east", 51.0), ("north", 11.0))])
+    spots = sample_tiles(area, 5, 30.0)
+    # the embeddings' ten tiles stand for the tiles of the area, by row + col
+    parts = F.split("tile_key", "/")
+    spots = spots.withColumn("tile_key", ((parts[1].cast("bigint") + parts[2].cast("bigint")) % 10).cast("int"))
+    cells, meta = tilemap(t), tile_metadata(responses(t))
+    photo = t.table("embeddings").agg(F.max("vec_id").alias("last"))
+    current = photo.select(F.concat(F.lit("new"), "last").cast("binary").alias("current_tile"), F.col("last").cast("string").cast("binary").alias("archived_tile"))
+    out = mosaic.mosaic_history(version_order(mosaic_versions(cells)), cells, tile_pixels(t), meta, F.lit(50.0), F.lit(100.0),
+                                points=spots, again=_second_pass(t), current=current)
+    return out["versions"].select("num", "pos", "hits", "capture", "n_unasked", "n_equivalent")
+
+
 @query(_CHAIN + """, p AS (SELECT num, row_number() OVER (ORDER BY num DESC) - 1 AS pos FROM (SELECT DISTINCT num FROM c) AS d),
 h AS (SELECT num, count(DISTINCT tile_key) AS hits FROM w GROUP BY num)
 SELECT p.num, p.pos, h.hits, '—' AS capture FROM p JOIN h ON p.num = h.num""")
