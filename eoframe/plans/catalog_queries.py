@@ -361,9 +361,9 @@ def vetoed_composites(t: Tables) -> DataFrame:
 _SEASON_DATES = "CASE WHEN month(acquired) IN (12, 1, 2, 3, 4) THEN 'dry' ELSE 'wet' END"
 
 
-@query(with_views("SELECT DISTINCT acquired FROM scenes WHERE cloud_pct < 50", "scenes"))
+@query(with_views("SELECT DISTINCT acquired FROM scenes", "scenes"))
 def season_date_union(t: Tables) -> DataFrame:
-    s = scenes(t).where("cloud_pct < 50")
+    s = scenes(t)
     dry = F.month("acquired").isin(*dims.DRY_MONTHS)
     return s.where(dry).select("acquired").union(s.where(~dry).select("acquired")).distinct()
 

@@ -7,16 +7,17 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eoframe import dims
 from eoframe.operators.mosaic import sample_tiles, tile_metadata, version_order
 from eoframe.operators.report import kml_audit
 from eoframe.plans import mosaic, optical, radar
 from eoframe.plans.grid_queries import _TILE
 from eoframe.plans.mosaic_queries import _CHAIN, _FOLD, _META, _SUMMARY, _TILES, responses, tile_pixels, tilemap
-from eoframe.plans.optical_queries import _AMPLITUDE_SQL
+from eoframe.plans.optical_queries import _AMPLITUDE_SQL, _classes_sql
 from eoframe.plans.radar_queries import _SAR_AMP, _VERDICT, granules
 from eoframe.plans.registry import query
 from eoframe.plans.text_queries import KML_SQL, manifests, scratch
-from eoframe.plans.views import Tables, with_views
+from eoframe.plans.views import Tables, r, rs, with_views
 from eoframe.sources.manifest import MANIFEST_SCHEMA, read_order_manifest, write_order_manifest
 from eoframe.sources.pixels import read_kml_corpus as corpus
 from eoframe.sources.pixels import read_pixels, write_pixels
@@ -57,6 +58,46 @@ def optical_run_amplitude(t: Tables) -> DataFrame:
     return run(t, indices=("NDVI",), amplitude=True, products=("amplitude",))["amplitude"]
 
 
+_RUN_NDVI = _SCENES + ", v AS (SELECT * FROM idx_ndvi WHERE scene_id IN (SELECT scene_id FROM k))"
+
+
+@query(with_views(_RUN_NDVI + """
+SELECT index, scene_id, count(value) AS n, count(*) AS total, count(value) * 100.0E0 / count(*) AS pct, min(value) AS min, """
+                  + ", ".join(f"{rs(f'quantile_cont(value, {p})')} AS {n}" for p, n in ((0.02, "p2"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.98, "p98")))
+                  + ", max(value) AS max FROM v GROUP BY index, scene_id", "idx_ndvi"))
+def optical_run_distribution(t: Tables) -> DataFrame:
+    d = run(t, indices=("NDVI",), products=("distribution",))["distribution"]
+    return d.withColumns({c: r(c) for c in ("p2", "p25", "median", "p75", "p98")})
+
+
+@query(with_views(_RUN_NDVI + ", amp AS (" + _AMPLITUDE_SQL.format("v") + """)
+SELECT index, min(n_dry) AS min_dry, max(n_dry) AS max_dry, median(n_dry) AS med_dry, min(n_wet) AS min_wet, max(n_wet) AS max_wet, median(n_wet) AS med_wet,
+  count(*) AS pixels, count(*) - count(amplitude) AS n_dropped, (count(*) - count(amplitude)) * 100.0E0 / count(*) AS pct_dropped FROM amp GROUP BY index""", "idx_ndvi"))
+def optical_run_observations(t: Tables) -> DataFrame:
+    return run(t, indices=("NDVI",), amplitude=True, products=("observations",))["observations"].select(
+        "index", *[f"{s}_{k}" for k in ("dry", "wet") for s in ("min", "max", "med")],
+        F.col("pixels").cast("bigint").alias("pixels"), F.col("n_dropped").cast("bigint").alias("n_dropped"), "pct_dropped")
+
+
+@query(with_views(_RUN_NDVI + ", amp AS (" + _AMPLITUDE_SQL.format("v").replace(">= 3", ">= 9") + """)
+SELECT index, max(n_dry) AS max_dry, max(n_wet) AS max_wet, count(amplitude) AS n_valid,
+  CASE WHEN count(amplitude) > 0 THEN NULL WHEN max(n_dry) = 0 OR max(n_wet) = 0 THEN 'no_observations'
+    WHEN max(n_dry) < 9 OR max(n_wet) < 9 THEN 'below_min_obs' ELSE 'no_overlap' END AS cause FROM amp GROUP BY index""", "idx_ndvi"))
+def optical_run_empty_cause(t: Tables) -> DataFrame:
+    return run(t, indices=("NDVI",), amplitude=True, min_obs=9, products=("empty_cause",))["empty_cause"]
+
+
+@query(with_views(_RUN_NDVI + "SELECT DISTINCT CAST(month AS INT) AS month FROM v WHERE month NOT IN (12, 1, 2, 6, 7, 8)", "idx_ndvi"))
+def optical_run_orphan_months(t: Tables) -> DataFrame:
+    options = {"amplitude": True, "dry": (12, 1, 2), "wet": (6, 7, 8)}
+    return run(t, indices=("NDVI",), products=("orphan_months",), **options)["orphan_months"]
+
+
+@query(with_views("WITH v AS (SELECT * FROM idx_ndvi WHERE scene_id IN (" + _SCENES + "SELECT scene_id FROM k))" + _classes_sql("v", "value", dims.NDVI_CLASSES, False), "idx_ndvi"))
+def optical_run_ndvi_classes(t: Tables) -> DataFrame:
+    return run(t, indices=("NDVI",), products=("ndvi_classes",))["ndvi_classes"]
+
+
 def _edges() -> tuple[float, float, float, float]:
     """Envelope in zone 16 of the area asked for, from points along its edges, for the check."""
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
