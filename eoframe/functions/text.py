@@ -108,13 +108,17 @@ def lenient_date(text: Column) -> Column:
 
 
 def epoch_ms_date(value: Column) -> Column:
-    """UTC date of epoch milliseconds given as text; other text gives its first ten characters."""
+    """UTC date of epoch milliseconds given as text; other text gives its first ten characters.
+
+    Years beyond 9999 have more digits and no sign.
+    """
     v = _text(value)
     number = F.when(v.rlike(r"^-?\d{1,17}(\.\d+)?$"), v.try_cast("double"))
     days = F.floor(number / 86400000.0).cast("int")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
     return (
         F.when(v == "", F.lit("—"))
-        .when(number.isNotNull(), F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string"))
+        .when(number.isNotNull(), F.ltrim(day, F.lit("+")))
         .otherwise(F.substring(v, 1, 10))
     )
 
