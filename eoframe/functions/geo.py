@@ -136,11 +136,21 @@ def same_frame(
 _A, _FLAT, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
 
 
-def utm_forward(lon: Column, lat: Column, epsg: Column) -> Column:
-    """STRUCT<x, y> of WGS84 degrees in a UTM code (326zz north, 327zz south), else NULL.
+def utm_angles(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
+    """(t, lam) of a point for :func:`utm_sphere`: tangent of the conformal latitude, longitude from the middle of the zone."""
+    n = _FLAT / (2 - _FLAT)
+    e = 2 * math.sqrt(n) / (1 + n)
+    s = F.sin(F.radians(lat))
+    return F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s)), F.radians(lon - (epsg % 100 * 6 - 183))
 
-    Series of Krueger to the third order: below a millimetre inside a zone.
-    """
+
+def utm_sphere(t: Column, lam: Column) -> tuple[Column, Column]:
+    """(xi, eta) on the conformal sphere, for :func:`utm_plane`."""
+    return F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+
+
+def utm_plane(xi: Column, eta: Column, epsg: Column) -> Column:
+    """STRUCT<x, y> in a UTM code, NULL for another code."""
     n = _FLAT / (2 - _FLAT)
     radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (
@@ -148,16 +158,8 @@ def utm_forward(lon: Column, lat: Column, epsg: Column) -> Column:
         13 * n**2 / 48 - 3 * n**3 / 5,
         61 * n**3 / 240,
     )
-    e = 2 * math.sqrt(n) / (1 + n)
-    zone = epsg % 100
     hemisphere = F.floor(epsg / 100)
-    known = hemisphere.isin(326, 327) & zone.between(1, 60)
-    phi = F.radians(lat)
-    lam = F.radians(lon - (zone * 6 - 183))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    known = hemisphere.isin(326, 327) & (epsg % 100).between(1, 60)
     x, y = eta, xi
     for j, a in enumerate(alpha, start=1):
         x = x + F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
@@ -169,6 +171,21 @@ def utm_forward(lon: Column, lat: Column, epsg: Column) -> Column:
     )
 
 
+def utm_forward(lon: Column, lat: Column, epsg: Column, bound: bool = False) -> Column:
+    """STRUCT<x, y> of WGS84 degrees in a UTM code (326zz north, 327zz south), else NULL.
+
+    Series of Krueger to the third order: below a millimetre inside a zone.
+    ``bound`` is for use inside a lambda function, where no subexpression is
+    shared: each step is bound to a variable, for written out it would be
+    computed in each term of the next one.  Literals fold only without it.
+    """
+    if not bound:
+        return utm_plane(*utm_sphere(*utm_angles(lon, lat, epsg)), epsg)
+    start = F.struct(*[c.alias(k) for k, c in zip(("t", "lam"), utm_angles(lon, lat, epsg))])
+    sphere = let(start, lambda p: F.struct(*[c.alias(k) for k, c in zip(("xi", "eta"), utm_sphere(p["t"], p["lam"]))]))
+    return let(sphere, lambda p: utm_plane(p["xi"], p["eta"], epsg))
+
+
 def utm_inverse(x: Column, y: Column, epsg: Column) -> Column:
     """STRUCT<lon, lat> of a point in a UTM code, NULL for another code; undoes :func:`utm_forward` below a millimetre."""
     n = _FLAT / (2 - _FLAT)
@@ -202,7 +219,7 @@ def reproject(x: Column, y: Column, source: Column, target: Column) -> Column:
     at = F.when(source == 4326, flat).otherwise(utm_inverse(x, y, source))
 
     def onto(p: Column) -> Column:
-        return F.when(target == 4326, F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).otherwise(utm_forward(p["lon"], p["lat"], target))
+        return F.when(target == 4326, F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).otherwise(utm_forward(p["lon"], p["lat"], target, bound=True))
 
     # the point in degrees is bound to a variable: written out, it would stand in each term of the second series
     far = let(at, onto)

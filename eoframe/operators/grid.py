@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eoframe.functions.geo import let, odd_crossings, point_in_polygon, reproject, ring_edges, utm_forward, utm_inverse
+from eoframe.functions.geo import let, odd_crossings, point_in_polygon, reproject, ring_edges, utm_angles, utm_forward, utm_inverse, utm_plane, utm_sphere
 
 
 @dataclass(frozen=True)
@@ -304,12 +304,18 @@ def project_points(points: DataFrame, lon: str = "lon", lat: str = "lat", epsg:
 def project_bbox(boxes: DataFrame, steps: int = 8) -> DataFrame:
     """Adds x_min, y_min, x_max, y_max: envelope of points along the edges in the row's UTM code.
 
-    The edge points are an array of the row, so nothing is exploded or shuffled.
+    The points are columns, worked out in three steps that each read the
+    columns of the one before, so nothing is exploded or shuffled and no value
+    is computed twice.
     """
+    epsg = F.col("epsg")
     points = _edge_points(*[F.col(c) for c in ("west", "south", "east", "north")], steps)
-    edge = F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in points])
-    xy = boxes.withColumn("_xy", F.transform(edge, lambda p: utm_forward(p["lon"], p["lat"], F.col("epsg"))))
-    xs, ys = F.transform("_xy", lambda p: p["x"]), F.transform("_xy", lambda p: p["y"])
-    return xy.withColumns(
-        {"x_min": F.array_min(xs), "y_min": F.array_min(ys), "x_max": F.array_max(xs), "y_max": F.array_max(ys)}
-    ).drop("_xy")
+    names = range(len(points))
+    angles = [utm_angles(lon, lat, epsg) for lon, lat in points]
+    out = boxes.select("*", *[c.alias(f"_{k}{i}") for i in names for k, c in zip(("t", "lam"), angles[i])])
+    sphere = [utm_sphere(F.col(f"_t{i}"), F.col(f"_lam{i}")) for i in names]
+    out = out.select(*boxes.columns, *[c.alias(f"_{k}{i}") for i in names for k, c in zip(("xi", "eta"), sphere[i])])
+    plane = [utm_plane(F.col(f"_xi{i}"), F.col(f"_eta{i}"), epsg) for i in names]
+    out = out.select(*boxes.columns, *[c[k].alias(f"_{k}{i}") for i, c in enumerate(plane) for k in ("x", "y")])
+    ends = [fn(*[F.col(f"_{k}{i}") for i in names]).alias(f"{k}_{end}") for end, fn in (("min", F.least), ("max", F.greatest)) for k in ("x", "y")]
+    return out.select(*boxes.columns, *ends)

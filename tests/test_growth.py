@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from eoframe.functions.text import epoch_ms_date
+from eoframe.operators import grid as gr
 from eoframe.plans.catalogue import RUNS, SQL
 from eoframe.plans.views import TABLES
 from oracle import SMALL, compare, connect
@@ -35,3 +36,9 @@ def test_shares_of_no_pixel(spark, tmp_path):
     con = connect(folder)
     for name in ("optical_run_ndvi_classes", "ndvi_classes", "dnbr_classes"):
         assert compare(RUNS[name](spark, folder), con, SQL[name]) == "", name
+
+
+def test_points_of_a_box_are_projected_as_columns(spark):
+    boxes = spark.createDataFrame([(-84.1, 9.9, -84.0, 10.0, 32616)], "west double, south double, east double, north double, epsg int")
+    plan = gr.project_bbox(boxes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # no subexpression of a lambda function is shared
