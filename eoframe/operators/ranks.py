@@ -27,6 +27,9 @@ BROADCAST_ROWS = 500_000
 SPLIT_ROWS = 5_000_000
 PARTS = 4096
 
+# Hash buckets in which the rows of keys are counted first.
+KEY_BUCKETS = 8192
+
 HOT_FLOOR = 1_000_000
 # a hot key gives at most four wanted buckets (two seasons, two ranks of a median)
 HOT_SHARE = 4.0 / BROADCAST_ROWS
@@ -172,6 +175,29 @@ def hot_keys(
     return counts.where(rows > limit.scalar()).select(*keys)
 
 
+def bucket_of(keys: Sequence[str], buckets: int = KEY_BUCKETS) -> Column:
+    """A hash bucket of the keys; NULLs have one too."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def find_hot(
+    df: DataFrame, keys: Sequence[str], sizes: DataFrame, floor: int = HOT_FLOOR, share: float = HOT_SHARE
+) -> tuple[int, DataFrame | None]:
+    """(number of rows, the keys of :func:`hot_keys`, or None when there are none).
+
+    ``sizes`` has the rows ``_n`` of ``df`` per bucket ``_h`` of the keys.  A hot
+    key makes its bucket hot, so keys are counted in hot buckets only.
+    """
+    rows, most = sizes.groupBy("_h").agg(F.sum("_n").alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(float(floor), (rows or 0) * float(share))
+    if not rows or most <= limit:
+        return rows or 0, None
+    big = sizes.groupBy("_h").agg(F.sum("_n").alias("_n")).where(F.col("_n") > limit).select("_h")
+    counts = df.withColumn("_h", bucket_of(keys)).join(F.broadcast(big), "_h", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = stable(counts.where(F.col("_n") > limit).select(*keys))
+    return rows, None if hot.isEmpty() else hot
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary keys, rows of hot keys); together all rows of ``df``.
 

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eoframe import dims
-from eoframe.operators.ranks import HOT_FLOOR, HOT_SHARE, exact_quantiles, halfway, hot_keys, split_hot
+from eoframe.operators.ranks import HOT_FLOOR, HOT_SHARE, bucket_of, exact_quantiles, find_hot, halfway, split_hot
+from eoframe.session import stable
+
+# Rows of the seasonal grouping that one task takes.
+TASK_ROWS = 1_000_000
 
 
 def season_of(month: Column, dry: Sequence[int], wet: Sequence[int]) -> Column:
@@ -118,24 +122,35 @@ def seasonal_amplitude(
     polarisation) without a single row in one season is left out.
 
     Both seasons are conditional aggregates of one grouping: one shuffle.  A
-    pixel's dates fit a task; keys with too many rows take the split path.
+    pixel's dates fit a task; keys with too many rows take the split path.  A
+    pass over the key columns, made when the run is planned, counts rows by hash
+    bucket: it tells whether there are such keys, and how many tasks keep a
+    task's rows below ``TASK_ROWS``.
     """
     keys, product = list(keys), list(product)
     seasoned = values.select(
         *keys, season_of(F.col("month"), dry, wet).alias("season"), "value"
     ).where(F.col("season").isNotNull())
     is_dry, is_wet = F.col("season") == "dry", F.col("season") == "wet"
-    # one pass over the key columns tells hot keys and products that miss a season
-    counts = seasoned.groupBy(*keys).agg(F.count_if(is_dry).alias("_d"), F.count_if(is_wet).alias("_w"))
-    cold, hot = split_hot(seasoned, keys, hot_keys(counts, keys, F.col("_d") + F.col("_w"), hot_floor, hot_share))
+    sizes = stable(
+        seasoned.groupBy(*product, bucket_of(keys).alias("_h")).agg(
+            F.count(F.lit(1)).alias("_n"), F.count_if(is_dry).alias("_d"), F.count_if(is_wet).alias("_w")
+        )
+    )
+    rows, hot_ones = find_hot(seasoned, keys, sizes, hot_floor, hot_share)
+    cold, hot = (seasoned, None) if hot_ones is None else split_hot(seasoned, keys, hot_ones)
     # no row is saved by combining a pixel's dates before the shuffle, so the rows
     # move once and are listed where they arrive; the split bounds each list
+    tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    # a key that tells pixels apart comes first: the rows of a task are sorted by it
+    order = [*[k for k in keys if k not in product], *[k for k in keys if k in product]]
+    flagged = cold.select(*order, is_dry.alias("_is_dry"), "value")
     listed = (
-        cold.repartition(*keys)
-        .groupBy(*keys)
+        flagged.repartition(tasks, *order)
+        .groupBy(*order)
         .agg(
-            F.sort_array(F.collect_list(F.when(is_dry, F.col("value")))).alias("_dry"),
-            F.sort_array(F.collect_list(F.when(is_wet, F.col("value")))).alias("_wet"),
+            F.sort_array(F.collect_list(F.when(F.col("_is_dry"), F.col("value")))).alias("_dry"),
+            F.sort_array(F.collect_list(F.when(~F.col("_is_dry"), F.col("value")))).alias("_wet"),
         )
     )
     per_pixel = listed.select(
@@ -145,22 +160,10 @@ def seasonal_amplitude(
         middle_of_sorted(F.col("_dry")).alias("med_dry"),
         middle_of_sorted(F.col("_wet")).alias("med_wet"),
     )
-    # hot keys are at most 1 / hot_share, so their list of buckets is short
-    by_season = exact_quantiles(hot, [*keys, "season"], "value", (0.5,), few_groups=True, halves=True)
-    split = by_season.groupBy(*keys).agg(
-        *[
-            agg.alias(name)
-            for s, flag in (("dry", is_dry), ("wet", is_wet))
-            for agg, name in (
-                (F.coalesce(F.sum(F.when(flag, F.col("n_valid"))), F.lit(0)), f"n_{s}"),
-                (F.max(F.when(flag, F.col("q0"))), f"med_{s}"),
-            )
-        ]
-    )
-    pixels = per_pixel.unionByName(split)
+    pixels = per_pixel if hot is None else per_pixel.unionByName(_split_seasons(hot, keys))
     # products come from a closed vocabulary (11 indices, 175 tracks, 3 polarisations)
     void = (
-        counts.groupBy(*product)
+        sizes.groupBy(*product)
         .agg(F.sum("_d").alias("_d"), F.sum("_w").alias("_w"))
         .where((F.col("_d") == 0) | (F.col("_w") == 0))
         .select(*product)
@@ -176,6 +179,23 @@ def seasonal_amplitude(
     )
 
 
+def _split_seasons(hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """n_dry, n_wet, med_dry, med_wet of keys with too many rows for a list."""
+    is_dry, is_wet = F.col("season") == "dry", F.col("season") == "wet"
+    # hot keys are at most 1 / hot_share, so their list of buckets is short
+    by_season = exact_quantiles(hot, [*keys, "season"], "value", (0.5,), few_groups=True, halves=True)
+    return by_season.groupBy(*keys).agg(
+        *[
+            agg.alias(name)
+            for s, flag in (("dry", is_dry), ("wet", is_wet))
+            for agg, name in (
+                (F.coalesce(F.sum(F.when(flag, F.col("n_valid"))), F.lit(0)), f"n_{s}"),
+                (F.max(F.when(flag, F.col("q0"))), f"med_{s}"),
+            )
+        ]
+    )
+
+
 def observation_summary(amplitude: DataFrame, by: Sequence[str] = ("index",)) -> DataFrame:
     """Min, max, median of the observation counts; pixels dropped and their share.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eoframe.functions.text import epoch_ms_date
 from eoframe.operators import grid as gr
+from eoframe.operators import seasonal
 from eoframe.plans.catalogue import RUNS, SQL
 from eoframe.plans.views import TABLES
 from oracle import SMALL, compare, connect
@@ -42,3 +43,13 @@ def test_points_of_a_box_are_projected_as_columns(spark):
     boxes = spark.createDataFrame([(-84.1, 9.9, -84.0, 10.0, 32616)], "west double, south double, east double, north double, epsg int")
     plan = gr.project_bbox(boxes)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan  # no subexpression of a lambda function is shared
+
+
+def test_tasks_of_the_amplitude_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(seasonal, "TASK_ROWS", 100)
+    df = spark.range(4000).select(F.lit("NDVI").alias("index"), (F.col("id") % 300).alias("px"), (F.col("id") % 12 + 1).alias("month"), F.col("id").cast("double").alias("value"))
+    amplitude = seasonal.seasonal_amplitude(df, ("index", "px"))
+    plan = amplitude._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 40" in plan
+    assert "Union" not in plan  # no key is hot, so the rows are read once more and not twice
+    assert amplitude.count() == 300
