@@ -260,8 +260,11 @@ def orphan_months(values: DataFrame, dry: Sequence[int], wet: Sequence[int]) ->
 
 
 def product_summary(products: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """Min, max, median and share of valid pixels per product."""
-    q = exact_quantiles(products, by, value, (0.5,))
+    """Min, max, median and share of valid pixels per product.
+
+    The quantiles read their rows twice, so the products are worked out once and kept.
+    """
+    q = exact_quantiles(stable(products.select(*by, value)), by, value, (0.5,))
     return q.select(
         *by,
         F.col("v_min").alias("min"),

@@ -53,3 +53,16 @@ def test_tasks_of_the_amplitude_grow_with_the_rows(spark, monkeypatch):
     assert "RepartitionByExpression" in plan and ", 40" in plan
     assert "Union" not in plan  # no key is hot, so the rows are read once more and not twice
     assert amplitude.count() == 300
+
+
+def test_a_product_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    df = spark.range(500).selectExpr("'a' AS index", "CAST(id AS DOUBLE) AS value").mapInPandas(rows, "index string, value double")
+    assert seasonal.product_summary(df, ["index"]).first().median == 249.5
+    assert seen.value == 500
