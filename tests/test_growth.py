@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eoframe.functions.text import epoch_ms_date
 from eoframe.operators import grid as gr
-from eoframe.operators import seasonal
+from eoframe.operators import ranks, seasonal
 from eoframe.plans.catalogue import RUNS, SQL
 from eoframe.plans.views import TABLES
 from oracle import SMALL, compare, connect
@@ -66,3 +66,9 @@ def test_a_product_is_worked_out_once(spark):
     df = spark.range(500).selectExpr("'a' AS index", "CAST(id AS DOUBLE) AS value").mapInPandas(rows, "index string, value double")
     assert seasonal.product_summary(df, ["index"]).first().median == 249.5
     assert seen.value == 500
+
+
+def test_histograms_stay_small(spark):
+    """A histogram has rows by the range of the values, few beside the rows of a large group."""
+    values = spark.range(1, 100_001).select((F.col("id") / 100_000.0).alias("v"))
+    assert values.select(ranks.value_bucket(F.col("v"))).distinct().count() < 1000
