@@ -29,6 +29,18 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_kml_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Whole markup texts as rows (path, kml) for the audit."""
+def write_kml_corpus(texts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Markup texts (path, kml) bundled in as few Parquet files as their size asks for."""
+    texts.select("path", "kml").write.mode(mode).parquet(path)
+
+
+def read_kml_corpus(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """Whole markup texts as rows (path, kml) for the audit.
+
+    A folder of text files gives a row a file; ``bundled`` reads what
+    :func:`write_kml_corpus` wrote.  A file costs milliseconds to open and to
+    list whatever it holds, so a corpus of many small texts belongs in bundles.
+    """
+    if bundled:
+        return spark.read.schema("path STRING, kml STRING").parquet(path)
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("kml"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from eoframe.functions.text import epoch_ms_date
 from eoframe.operators import grid as gr
 from eoframe.operators import ranks, seasonal
+from eoframe.plans import run_queries
 from eoframe.plans.catalogue import RUNS, SQL
 from eoframe.plans.views import TABLES
+from eoframe.sources.pixels import read_kml_corpus
 from oracle import SMALL, compare, connect
 
 
@@ -72,3 +74,17 @@ def test_histograms_stay_small(spark):
     """A histogram has rows by the range of the values, few beside the rows of a large group."""
     values = spark.range(1, 100_001).select((F.col("id") / 100_000.0).alias("v"))
     assert values.select(ranks.value_bucket(F.col("v"))).distinct().count() < 1000
+
+
+def test_a_corpus_of_many_texts_makes_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(run_queries, "scratch", lambda t, name: f"{tmp_path}/{name}")
+    got = RUNS["read_kml_corpus"](spark, SMALL)
+    assert compare(got, connect(SMALL), SQL["read_kml_corpus"]) == ""
+    assert len([f for _, _, files in os.walk(tmp_path / "kml") for f in files if f.endswith((".parquet", ".txt"))]) <= 8
+
+
+def test_a_corpus_of_files_is_read_whole(spark, tmp_path):
+    for i in (1, 2):
+        (tmp_path / f"{i}.kml").write_text("<Placemark>\n<Placemark>\n" * i)
+    docs = read_kml_corpus(spark, str(tmp_path))
+    assert sorted((r.path[-5:], r.kml.count("\n")) for r in docs.collect()) == [("1.kml", 2), ("2.kml", 4)]
