@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 BUCKETS = 32
+# A Python call and a state for each key would cost milliseconds a key.
+SEEN_BUCKETS = 4096
 
 
 def append_new(batch: DataFrame, out_path: str, key: Sequence[str] = ("scene_id",), order: Sequence[str] = ("datetime",)) -> None:
@@ -29,34 +31,36 @@ def append_new(batch: DataFrame, out_path: str, key: Sequence[str] = ("scene_id"
     fresh.select(*batch.columns).write.mode("append").parquet(out_path)
 
 
-def _first_of_key(rank: str, columns: Sequence[str]):
-    """State function of :func:`stream_new_scenes`: the first row of a key that was never seen, else nothing."""
+def _first_of_keys(rank: str, columns: Sequence[str]):
+    """State function of :func:`stream_new_scenes` for a bucket: the first row of each key that was never seen."""
 
-    def pick(_key, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            for _ in pieces:
-                pass
-            return
+    def pick(_bucket, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = set(state.get[0]) if state.exists else set()
+        known = len(seen)
         best = None
-        for piece in pieces:  # a key's rows come in batches, of which one row is held
-            row = piece.sort_values(rank, kind="stable").iloc[:1]
-            if best is None or row[rank].iat[0] < best[rank].iat[0]:
-                best = row
-        state.update((True,))
-        yield best[list(columns)]
+        for piece in pieces:  # rows come in batches, of which one row a new key is held
+            fresh = piece[~piece["_key"].isin(seen)] if known else piece
+            best = fresh if best is None or not len(best) else pd.concat([best, fresh]) if len(fresh) else best
+            best = best.sort_values(rank, kind="stable").drop_duplicates("_key")
+        if best is not None and len(best):
+            state.update((sorted(seen.union(best["_key"])),))
+            yield best[list(columns)]
 
     return pick
 
 
 def stream_new_scenes(
-    arrivals: DataFrame, out_path: str, checkpoint: str, key: Sequence[str] = ("scene_id",), time: str = "datetime",
+    arrivals: DataFrame, out_path: str, checkpoint: str, key: Sequence[str] = ("scene_id",), time: str = "datetime", buckets: int = SEEN_BUCKETS,
 ) -> StreamingQuery:
     """Append each new scene once to Parquet; run it as often as you like.
 
     ``arrivals`` is a streaming DataFrame with a timestamp column.  The state
-    store under ``checkpoint`` remembers the keys that came, hashed over the
-    executors, so a batch costs what it brings: the table is never read, a scene
-    may come at any time and in any order, and none is dropped for its age.
+    store under ``checkpoint`` remembers the keys that came, in hash buckets
+    spread over the executors, so a batch costs what it brings and the keys of
+    the buckets it meets: the table is never read, a scene may come at any time
+    and in any order, and none is dropped for its age.  A bucket's keys and its
+    new rows are held by one task; choose more ``buckets`` for catalogues of
+    hundreds of millions, and keep the number for a checkpoint.
     Rows without a key count as one scene.  Of rows with the same key in a batch
     the first by time (none first), then by all columns as JSON, stays.  The
     file sink's log commits a batch as a whole, and one that is run again writes
@@ -70,8 +74,11 @@ def stream_new_scenes(
     # text that sorts as (time, row)
     micros = F.coalesce(F.unix_micros(time) + F.lit(10**18), F.lit(0))
     ranked = timed.withColumn("_rank", F.concat(F.lpad(micros.cast("string"), 20, "0"), F.to_json(F.struct(*columns))))
-    first = ranked.groupBy(*key).applyInPandasWithState(
-        _first_of_key("_rank", columns), timed.schema, "seen BOOLEAN", "append", GroupStateTimeout.NoTimeout
+    # the key as text, in which a NULL is left out and a field has its name
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    keyed = ranked.withColumns({"_key": F.to_json(F.struct(*key), exact), "_bucket": status_bucket(key, buckets)})
+    first = keyed.groupBy("_bucket").applyInPandasWithState(
+        _first_of_keys("_rank", columns), timed.schema, "seen ARRAY<STRING>", "append", GroupStateTimeout.NoTimeout
     )
     return (
         first.writeStream.format("parquet")

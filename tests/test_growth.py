@@ -12,6 +12,7 @@ from eoframe.plans import run_queries
 from eoframe.plans.catalogue import RUNS, SQL
 from eoframe.plans.views import TABLES
 from eoframe.sources.pixels import read_kml_corpus
+from eoframe.streaming import intake
 from oracle import SMALL, compare, connect
 
 
@@ -88,3 +89,21 @@ def test_a_corpus_of_files_is_read_whole(spark, tmp_path):
         (tmp_path / f"{i}.kml").write_text("<Placemark>\n<Placemark>\n" * i)
     docs = read_kml_corpus(spark, str(tmp_path))
     assert sorted((r.path[-5:], r.kml.count("\n")) for r in docs.collect()) == [("1.kml", 2), ("2.kml", 4)]
+
+
+def test_new_scenes_cost_a_call_a_bucket(spark, tmp_path):
+    """Keys share the calls of the state function, and the states, of their buckets."""
+    spark.range(6000).selectExpr("id % 3000 AS scene_id", "timestamp_seconds(id) AS datetime").coalesce(1).write.parquet(f"{tmp_path}/in")
+    arrivals = spark.readStream.schema("scene_id long, datetime timestamp").parquet(f"{tmp_path}/in")
+    query = intake.stream_new_scenes(arrivals, f"{tmp_path}/out", f"{tmp_path}/state", buckets=16)
+    query.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == 3000 and got.where("unix_seconds(datetime) <> scene_id").count() == 0
+    assert sum(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) <= 16
+
+
+def test_new_scenes_with_keys_a_microsecond_apart(spark, tmp_path):
+    spark.range(6).selectExpr("timestamp_micros(id % 3) AS scene_id", "timestamp_seconds(id) AS datetime").coalesce(1).write.parquet(f"{tmp_path}/in")
+    arrivals = spark.readStream.schema("scene_id timestamp, datetime timestamp").parquet(f"{tmp_path}/in")
+    intake.stream_new_scenes(arrivals, f"{tmp_path}/out", f"{tmp_path}/state", buckets=1).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
