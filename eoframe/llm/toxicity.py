@@ -37,6 +37,7 @@ from eoframe.session import stable
 SAMPLE = 20_000
 WORDS = 16_000
 LANDMARKS = 240
+TRAINERS = 24  # tasks of a training step, each of which makes one matrix of sums, whatever the partitions of the words
 MERGERS = 4
 GAP = 2
 DECAY = 0.7
@@ -123,8 +124,11 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(marks)), dtype=np.float32)
     for who, code, weight in subsequences(words):
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        hit = codes[at] == code
-        np.add.at(out, who[hit], weight[hit, None].astype(np.float32) * rows[at[hit]])
+        hit = np.flatnonzero(codes[at] == code)
+        if len(hit):
+            own = who[hit]  # ascending
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            out[own[starts]] += np.add.reduceat(weight[hit, None].astype(np.float32) * rows[at[hit]], starts, axis=0)
     return out / norms(words).astype(np.float32)[:, None]
 
 
@@ -205,7 +209,8 @@ def train_words(words: list[str], p: np.ndarray, q: np.ndarray) -> tuple[np.ndar
 
 
 def train_table(words: DataFrame, marks: list[str], root: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """The machine of all rows of ``words`` (word, p, q); tasks return one matrix of sums each."""
+    """The machine of all rows of ``words`` (word, p, q); at most ``TRAINERS`` tasks return one matrix of sums each."""
+    words = words.coalesce(TRAINERS)
 
     def sums(w: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +227,7 @@ def train_table(words: DataFrame, marks: list[str], root: np.ndarray) -> tuple[n
             if rows:
                 yield pd.DataFrame({"least": [rows[0][0]], "m": [sum(np.frombuffer(m) for _, m in rows).tobytes()]})
 
-        # a matrix per task, added in a fixed order by MERGERS tasks, so the driver gets as many whatever the partitions
+        # a matrix per task, added in a fixed order by MERGERS tasks, so disk and driver get as many whatever the partitions
         some = words.mapInPandas(run, "least string, m binary").repartition(MERGERS).mapInPandas(merge, "least string, m binary")
         rows = sorted(some.collect(), key=lambda r: r.least)
         return sum(np.frombuffer(r.m).reshape(len(w), len(w) + 1) for r in rows)

@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from eoframe.functions.text import epoch_ms_date
+from eoframe.llm import toxicity
 from eoframe.operators import grid as gr
 from eoframe.operators import ranks, seasonal
 from eoframe.plans import run_queries
@@ -107,3 +109,16 @@ def test_new_scenes_with_keys_a_microsecond_apart(spark, tmp_path):
     arrivals = spark.readStream.schema("scene_id timestamp, datetime timestamp").parquet(f"{tmp_path}/in")
     intake.stream_new_scenes(arrivals, f"{tmp_path}/out", f"{tmp_path}/state", buckets=1).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_matrices_of_a_training_step_do_not_grow_with_the_partitions(spark):
+    words = [f"{a}{b}{c}" for a in ("idi", "mor", "cat", "dog") for b in ("ot", "on", "ter", "gy") for c in "abcdefgh"]
+    p = np.array([1.0 if w.startswith(("idiot", "moron")) else 0.0 for w in words])
+    table = spark.createDataFrame(list(zip(words, p.tolist(), (1 - p).tolist())), "word string, p double, q double").repartition(60).localCheckpoint()
+    context = spark.sparkContext
+    context.setJobGroup("matrices", "training steps")
+    toxicity.train_table(table, *toxicity.landmarks(words, p, 1 - p))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("matrices") for s in tracker.getJobInfo(j).stageIds]
+    assert 1 <= max(s.numTasks for s in stages if s) <= 24
