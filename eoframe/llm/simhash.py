@@ -14,10 +14,15 @@ is a Jaccard share of shingles of at least that, or fingerprints linked as above
 whose counted shingles have that cosine.  Fingerprints alone miss most pairs at
 0.8, so rows also meet in ``BANDS`` buckets of pairs of least shingle hashes.  A
 bucket is put in order of length and a row is compared with its ``REACH``
-neighbours only; what is connected then meets ``WIDER`` neighbours as one row,
-in up to ``ROUNDS`` more rounds.  So pairs grow with the rows, whatever the size
-of a bucket, at the price that a link may be missed where a bucket holds many
-texts that are not alike.
+neighbours; what is connected then meets ``WIDER`` neighbours as one row, in up
+to ``ROUNDS`` more rounds.  Buckets of more rows that are not connected by then
+are solved exactly: all their rows are joined by prefixes.  With shingles in
+order of how many of these rows have them, two texts alike by the least share
+one of the first few, which are the rare ones, so a common passage makes no
+pairs.  Rows of one prefix shingle are dealt into squares of ``SIDE`` by
+``SIDE`` rows, rows already connected are not compared, and a pair whose
+lengths and places forbid the share is left out.  In the same way all
+fingerprints of a cluster are compared if it is not connected.
 
 Defined results: empty or null texts have fingerprint zero and link like any
 other; equal fingerprints are one node; null doc_ids count as the smallest only
@@ -26,7 +31,7 @@ where a component has no other; empty tables give none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,6 +52,7 @@ BANDS = 12  # two rows alike by 0.8 share a band's key with 0.64, so they share
 REACH = 2  # neighbours of a bucket that are compared at first
 WIDER = 12  # and later, when what is connected counts as one row
 ROUNDS = 1
+SIDE = 1000  # rows of a key that meet as many others in one join key
 _ORDERS = np.random.default_rng(11).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -356,22 +362,77 @@ def checked(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Data
     return out
 
 
+def across(rows: DataFrame, fits: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b): every two nodes of ``rows`` (key, node, root, ...) that share a key, differ in root and meet ``fits``.
+
+    Rows of a key's largest root meet the others only, and no join key holds
+    more than about ``SIDE`` rows of either side.
+    """
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy(F.col("key").alias("k"))
+    sizes = sizes.agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).where("all > top.c")
+    dealt = rows.join(sizes, F.col("key") == F.col("k")).withColumns({
+        "heavy": F.col("root") == F.col("top.root"),
+        "nh": F.ceil(F.col("top.c") / SIDE), "nl": F.ceil((F.col("all") - F.col("top.c")) / SIDE),
+    }).withColumn("slot", F.pmod(F.xxhash64("node"), F.when(F.col("heavy"), F.col("nh")).otherwise(F.col("nl"))))
+    # squares (i, j): i is a part of the others, j one of them too, or below zero a part of the largest root
+    light = "concat(transform(sequence(slot, nl - 1), c -> struct(slot AS i, c AS j)), transform(sequence(0L, nh - 1), c -> struct(slot AS i, -1 - c AS j)))"
+    right = "CASE WHEN heavy THEN transform(sequence(0L, nl - 1), c -> struct(c AS i, -1 - slot AS j)) ELSE transform(sequence(0L, slot), c -> struct(c AS i, slot AS j)) END"
+    plain = rows.columns
+    x = dealt.where("NOT heavy").select(*plain, F.explode(F.expr(light)).alias("at")).select("*", "at.i", "at.j").alias("x")
+    y = dealt.select(*plain, F.explode(F.expr(right)).alias("at")).select("*", "at.i", "at.j").alias("y")
+    once = F.expr("x.key = y.key AND x.i = y.i AND x.j = y.j AND x.root <> y.root AND (x.i <> x.j OR x.node < y.node)")
+    met = x.join(y, once & fits("x", "y"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def prefix_pairs(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b): pairs of texts ``rows`` (node, root) of different roots, among them all that share ``least`` of their shingles."""
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"v": pdf.tk, "hs": [np.unique(shingle_hashes(x, width)).view(np.int64) for x in pdf.text]})
+
+    some = with_key(docs).join(few(rows), F.col("tk") == F.col("node"), "left_semi").mapInPandas(shingles, "v bigint, hs array<bigint>")
+    tokens, remove = stored(some.dropDuplicates(["v"]).select("v", F.size("hs").cast("bigint").alias("n"), F.explode("hs").alias("token")))
+    shared = tokens.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("c")).where("c > 1")
+    own = Window.partitionBy("v")  # the shingles of one text
+    # those that no other row has come first
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "token")) - 1
+    first = tokens.join(shared, F.col("token") == F.col("t")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9))
+    first = stable(first.join(rows, F.col("v") == F.col("node")).select(F.col("token").alias("key"), "node", "root", "n", "place"))
+    remove()
+
+    def fits(x: str, y: str) -> Column:
+        n, m, i, j = (F.col(f"{t}.{c}") for c in ("n", "place") for t in (x, y))
+        # at the first shingle two texts share, no more than what follows can be shared
+        return F.least(n - i, m - j) * (1 + least) >= least * (n + m) - 1e-6
+
+    return across(first, fits)
+
+
 def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int, least: float) -> DataFrame:
     """(node, root) of the texts of ``nodes`` (tk, fp, n, keys) that are linked to any other by ``least``."""
     heads = nodes.groupBy("fp").agg(F.min("tk").alias("head"))
     by = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"n{c}"))
     near_ = links(heads.select("fp"), distance).distinct().join(by("a"), "a").join(by("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     same = nodes.join(by("f"), F.col("fp") == F.col("f")).where("tk <> nf").select(F.col("tk").alias("a"), F.col("nf").alias("b"))
-    close = near_.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("counted"))
+    close = stable(near_.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("counted")))
     rows = nodes.select(F.explode("keys").alias("key"), "n", F.col("tk").alias("node"))
     first = neighbours(rows.withColumn("root", F.col("node")), least=least).withColumn("counted", F.lit(False))
     pairs = stable(close.unionByName(first).groupBy("a", "b").agg(F.max("counted").alias("counted")))
     edges = checked(pairs, docs, width, least)
     roots = components(edges)
+    # in buckets of two rows all is compared by now
+    full = rows.groupBy(F.col("key").alias("k")).count().where(F.col("count") > min(REACH, 2))
+    rows = stable(rows.join(full, F.col("key") == F.col("k"), "left_semi"))
+
+    def rooted(some: DataFrame) -> DataFrame:
+        r = some.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left")
+        return r.withColumn("root", F.coalesce("root", "node")).drop("rn")
+
     for _ in range(ROUNDS):
         # what is connected meets others as one row of its shortest text
-        r = rows.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left")
-        one = r.groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("n", "node")).alias("m"))
+        one = rooted(rows).groupBy("key", "root").agg(F.min(F.struct("n", "node")).alias("m"))
         met = neighbours(one.select("key", "m.n", "m.node", "root"), WIDER, least)
         more = stable(met.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("counted", F.lit(False)))
         if more.isEmpty():
@@ -382,7 +443,24 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int,
             break
         edges = edges.unionByName(new)
         roots = components(edges)
-    return roots
+    # the rest exactly: texts of buckets, and of clusters of fingerprints, that are not connected
+    r = rooted(rows)
+    apart = r.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    texts_ = stable(r.join(apart, F.col("key") == F.col("k"), "left_semi").select("node", "root").distinct())
+    rest = []
+    if not texts_.isEmpty():
+        rest.append(prefix_pairs(docs, texts_, width, least).withColumn("counted", F.lit(False)))
+    ends = rooted(rooted(close.withColumnRenamed("a", "node")).withColumnsRenamed({"node": "a", "root": "ra", "b": "node"}))
+    if not ends.where("ra <> root").isEmpty():
+        cluster = components(close).select(F.col("node").alias("cn"), F.col("root").alias("key"))
+        members = rooted(nodes.select(F.col("tk").alias("node"), "fp").join(cluster, F.col("node") == F.col("cn")).drop("cn"))
+        rest.append(across(members, lambda x, y: F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= distance).withColumn("counted", F.lit(True)))
+    for some in rest:
+        more = stable(some.join(pairs, ["a", "b", "counted"], "left_anti"))
+        if not more.isEmpty():
+            edges = edges.unionByName(checked(more, docs, width, least))
+            roots = None
+    return roots if roots is not None else components(edges)
 
 
 def near_groups(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, least: float | None = None) -> DataFrame:
