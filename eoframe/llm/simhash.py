@@ -370,6 +370,7 @@ def across(rows: DataFrame, fits: Callable[[str, str], Column]) -> DataFrame:
     """
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy(F.col("key").alias("k"))
     sizes = sizes.agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).where("all > top.c")
+    sizes = stable(sizes)  # with ``rows`` a checkpoint, so that the plans below stay short
     dealt = rows.join(sizes, F.col("key") == F.col("k")).withColumns({
         "heavy": F.col("root") == F.col("top.root"),
         "nh": F.ceil(F.col("top.c") / SIDE), "nl": F.ceil((F.col("all") - F.col("top.c")) / SIDE),
@@ -421,7 +422,7 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int,
     first = neighbours(rows.withColumn("root", F.col("node")), least=least).withColumn("counted", F.lit(False))
     pairs = stable(close.unionByName(first).groupBy("a", "b").agg(F.max("counted").alias("counted")))
     edges = checked(pairs, docs, width, least)
-    roots = components(edges)
+    roots = stable(components(edges))
     # in buckets of two rows all is compared by now
     full = rows.groupBy(F.col("key").alias("k")).count().where(F.col("count") > min(REACH, 2))
     rows = stable(rows.join(full, F.col("key") == F.col("k"), "left_semi"))
@@ -442,9 +443,9 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int,
         if new.isEmpty():
             break
         edges = edges.unionByName(new)
-        roots = components(edges)
+        roots = stable(components(edges))
     # the rest exactly: texts of buckets, and of clusters of fingerprints, that are not connected
-    r = rooted(rows)
+    r = stable(rooted(rows))
     apart = r.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     texts_ = stable(r.join(apart, F.col("key") == F.col("k"), "left_semi").select("node", "root").distinct())
     rest = []
@@ -453,7 +454,7 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int,
     ends = rooted(rooted(close.withColumnRenamed("a", "node")).withColumnsRenamed({"node": "a", "root": "ra", "b": "node"}))
     if not ends.where("ra <> root").isEmpty():
         cluster = components(close).select(F.col("node").alias("cn"), F.col("root").alias("key"))
-        members = rooted(nodes.select(F.col("tk").alias("node"), "fp").join(cluster, F.col("node") == F.col("cn")).drop("cn"))
+        members = stable(rooted(nodes.select(F.col("tk").alias("node"), "fp").join(cluster, F.col("node") == F.col("cn")).drop("cn")))
         rest.append(across(members, lambda x, y: F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= distance).withColumn("counted", F.lit(True)))
     for some in rest:
         more = stable(some.join(pairs, ["a", "b", "counted"], "left_anti"))

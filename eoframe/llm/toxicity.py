@@ -353,6 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame):
         for pdf in batches:
             x = pd.DataFrame(text_features(pdf.text.tolist(), machine), columns=[f"f{i}" for i in range(FEATURES)])
             yield x.assign(toxic=pdf.toxic.to_numpy())
+        _TABLES.clear()
 
     schema = ", ".join(f"f{i} double" for i in range(FEATURES)) + ", toxic int"
     rows = sample.mapInPandas(features, schema).toPandas().sort_values([f"f{i}" for i in range(FEATURES)])  # about SAMPLE rows
@@ -371,6 +372,7 @@ def scores(docs: DataFrame, model) -> DataFrame:
             x = text_features(pdf.text.tolist(), machine)
             s = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield pd.DataFrame({"doc_id": pdf.doc_id, "tk": pdf.tk, "score": s})
+        _TABLES.clear()  # a worker outlives its task, and its 67 MB would stay through later stages
 
     return keyed.mapInPandas(run, "doc_id bigint, tk bigint, score double")
 
