@@ -116,20 +116,26 @@ def norms(words: list[str]) -> np.ndarray:
 
 def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     """Normalised kernel of ``words`` against ``marks``."""
-    codes = np.unique(np.concatenate([c for _, c, _ in subsequences(marks)]))
-    rows = np.zeros((len(codes) + 1, len(marks)), dtype=np.float32)
-    for who, code, weight in subsequences(marks):
-        np.add.at(rows, (np.searchsorted(codes, code), who), weight)
-    rows /= norms(marks).astype(np.float32)
-    out = np.zeros((len(words), len(marks)), dtype=np.float32)
+    found = list(subsequences(marks))
+    code, who, weight = (np.concatenate([x[i] for x in found]) for i in (1, 0, 2))
+    # one entry for a subsequence and a mark, by subsequence; most subsequences have few marks
+    cells, place = np.unique(code * len(marks) + who, return_inverse=True)
+    value = np.bincount(place, weights=weight) / norms(marks)[cells % len(marks)]
+    mark = cells % len(marks)
+    codes, starts, sizes = np.unique(cells // len(marks), return_index=True, return_counts=True)
+    out = np.zeros(len(words) * len(marks))
+    squares = np.zeros(len(words))
     for who, code, weight in subsequences(words):
+        squares += np.bincount(who, weights=weight * weight, minlength=len(words))
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         hit = np.flatnonzero(codes[at] == code)
         if len(hit):
-            own = who[hit]  # ascending
-            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            out[own[starts]] += np.add.reduceat(weight[hit, None].astype(np.float32) * rows[at[hit]], starts, axis=0)
-    return out / norms(words).astype(np.float32)[:, None]
+            n = sizes[at[hit]]
+            entry = np.arange(n.sum()) + np.repeat(starts[at[hit]] - np.cumsum(n) + n, n)
+            cell = np.repeat(who[hit] * len(marks), n) + mark[entry]
+            out += np.bincount(cell, weights=np.repeat(weight[hit], n) * value[entry], minlength=len(out))
+    lengths = np.sqrt(np.maximum(squares, 1e-12))
+    return (out.reshape(len(words), len(marks)) / lengths[:, None]).astype(np.float32)
 
 
 def moments(words: list[str], p: np.ndarray, q: np.ndarray, marks: list[str], root: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -269,10 +275,11 @@ def text_features(texts: list[str], machine: tuple) -> np.ndarray:
         if every:
             number, kinds = pd.factorize(np.array(every, dtype=object))
             kinds = list(kinds)
-            f = np.zeros(len(kinds))
+            f, squares = np.zeros(len(kinds)), np.zeros(len(kinds))
             for who, code, weight in subsequences(kinds):
                 f += np.bincount(who, weights=weight * dense[code], minlength=len(kinds))
-            f = (f / norms(kinds) + bias)[number]
+                squares += np.bincount(who, weights=weight * weight, minlength=len(kinds))
+            f = (f / np.sqrt(np.maximum(squares, 1e-12)) + bias)[number]
             have = np.flatnonzero(counts)
             starts = (np.cumsum(counts) - counts)[have]
             low, high = np.add.reduceat(f > 0.2, starts, dtype=np.int64), np.add.reduceat(f > 0.5, starts, dtype=np.int64)
@@ -322,7 +329,8 @@ def fit(docs: DataFrame, labels: DataFrame):
     known = marked.join(docs.select(F.col("doc_id").alias("di")).distinct(), F.col("li") == F.col("di")).select("li", "toxic")
     chosen = stable(known.orderBy(F.xxhash64("li"), "li").limit(SAMPLE))  # SAMPLE short rows
     sample = stable(
-        with_key(docs).join(chosen, F.col("doc_id") == F.col("li")).select("text", "toxic").repartition(24, F.xxhash64("text"))
+        # by id too, or all copies of a text meet in one task
+        with_key(docs).join(chosen, F.col("doc_id") == F.col("li")).repartition(24, F.xxhash64("li", "text")).select("text", "toxic")
     )
     share = sample.agg(F.avg("toxic")).first()[0]
     if share is None or share in (0.0, 1.0):

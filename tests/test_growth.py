@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -126,6 +127,48 @@ def test_matrices_of_a_training_step_do_not_grow_with_the_partitions(spark):
     assert 1 <= max(s.numTasks for s in stages if s) <= 24
 
 
+def test_a_kernel_grows_with_shared_subsequences_not_with_the_marks():
+    rng = random.Random(5)
+    some = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    stems = [some(7) for _ in range(60)]
+    words = [rng.choice(stems) + some(4) for _ in range(4096)]
+    marks = words[::17]
+    rows = [dict() for _ in words]
+    for who, code, weight in toxicity.subsequences(words):
+        for i, c, w in zip(who.tolist(), code.tolist(), weight.tolist()):
+            rows[i][c] = rows[i].get(c, 0) + w
+    square = toxicity.norms(words)
+    tracemalloc.start()
+    k = toxicity.kernel(words, marks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i in range(0, 4096, 41):
+        for j, at in enumerate(range(0, 4096, 17)):
+            plain = sum(w * rows[at].get(c, 0) for c, w in rows[i].items()) / (square[i] * square[at])
+            assert abs(k[i, j] - plain) < 1e-5
+    assert peak < 40e6  # bytes; the kernel itself has 4 and 8
+
+
+def test_words_of_a_text_are_cut_into_subsequences_once(monkeypatch):
+    words = ["gronk", "grunk", "table", "window"]
+    machine = toxicity.folded(words, np.eye(4), np.array([1.0, 0.5, -1.0, -1.0, 0.1]))
+    whole, calls = toxicity.subsequences, []
+    monkeypatch.setattr(toxicity, "subsequences", lambda w: calls.append(1) or whole(w))
+    toxicity.text_features(["gronk at the table", "", "a window"], machine)
+    assert len(calls) == 1
+
+
+def test_copies_of_a_labelled_text_do_not_meet_in_one_task(spark, monkeypatch):
+    text = "the same gronk words again and again. "
+    docs = spark.range(400).selectExpr("id AS doc_id", f"'{text}' AS text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    kept, made = toxicity.stable, []
+    monkeypatch.setattr(toxicity, "stable", lambda df: made.append(kept(df)) or made[-1])
+    toxicity.fit(docs, labels)
+    sample = next(d for d in made if d.columns == ["text", "toxic"])
+    assert sample.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 100
+
+
 def _roots(spark, texts, keys, fps):
     """Least index of the texts each is linked to by ``similar_roots``, with band keys and fingerprints as given."""
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
