@@ -421,8 +421,7 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int,
     rows = nodes.select(F.explode("keys").alias("key"), "n", F.col("tk").alias("node"))
     first = neighbours(rows.withColumn("root", F.col("node")), least=least).withColumn("counted", F.lit(False))
     pairs = stable(close.unionByName(first).groupBy("a", "b").agg(F.max("counted").alias("counted")))
-    edges = checked(pairs, docs, width, least)
-    roots = stable(components(edges))
+    roots = stable(components(checked(pairs, docs, width, least)))
     # in buckets of two rows all is compared by now
     full = rows.groupBy(F.col("key").alias("k")).count().where(F.col("count") > min(REACH, 2))
     rows = stable(rows.join(full, F.col("key") == F.col("k"), "left_semi"))
@@ -431,6 +430,10 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int,
         r = some.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left")
         return r.withColumn("root", F.coalesce("root", "node")).drop("rn")
 
+    def stars(some: DataFrame) -> DataFrame:
+        """What is known to be connected as links, which new links are added to."""
+        return some.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
     for _ in range(ROUNDS):
         # what is connected meets others as one row of its shortest text
         one = rooted(rows).groupBy("key", "root").agg(F.min(F.struct("n", "node")).alias("m"))
@@ -442,12 +445,12 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int,
         new = checked(more, docs, width, least)
         if new.isEmpty():
             break
-        edges = edges.unionByName(new)
-        roots = stable(components(edges))
+        roots = stable(components(stars(roots).unionByName(new)))
     # the rest exactly: texts of buckets, and of clusters of fingerprints, that are not connected
     r = stable(rooted(rows))
     apart = r.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     texts_ = stable(r.join(apart, F.col("key") == F.col("k"), "left_semi").select("node", "root").distinct())
+    linked = stars(roots)
     rest = []
     if not texts_.isEmpty():
         rest.append(prefix_pairs(docs, texts_, width, least).withColumn("counted", F.lit(False)))
@@ -459,9 +462,9 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, width: int, distance: int,
     for some in rest:
         more = stable(some.join(pairs, ["a", "b", "counted"], "left_anti"))
         if not more.isEmpty():
-            edges = edges.unionByName(checked(more, docs, width, least))
+            linked = linked.unionByName(checked(more, docs, width, least))
             roots = None
-    return roots if roots is not None else components(edges)
+    return roots if roots is not None else components(linked)
 
 
 def near_groups(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, least: float | None = None) -> DataFrame:

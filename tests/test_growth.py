@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eoframe.functions.text import epoch_ms_date
-from eoframe.llm import simhash, toxicity
+from eoframe.llm import common, simhash, toxicity
 from eoframe.operators import grid as gr
 from eoframe.operators import ranks, seasonal
 from eoframe.plans import run_queries
@@ -169,6 +169,29 @@ def test_copies_of_a_labelled_text_do_not_meet_in_one_task(spark, monkeypatch):
     assert sample.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 100
 
 
+def test_plans_of_a_round_of_components_stay_short(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    kept, joins = common.stable, []
+
+    def watched(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return kept(df)
+
+    monkeypatch.setattr(common, "stable", watched)
+    got = [(r.node, r.root) for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert sorted(got) == sorted(root.items())
+    assert max(joins) <= 1
+    joins.clear()
+    common.components(spark.createDataFrame([(2, 1), (3, 1), (5, 4)], "a long, b long")).collect()
+    assert len(joins) == 1  # stars already, so no round
+
+
 def _roots(spark, texts, keys, fps):
     """Least index of the texts each is linked to by ``similar_roots``, with band keys and fingerprints as given."""
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
