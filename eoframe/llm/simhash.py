@@ -53,6 +53,7 @@ REACH = 2  # neighbours of a bucket that are compared at first
 WIDER = 12  # and later, when what is connected counts as one row
 ROUNDS = 1
 SIDE = 1000  # rows of a key that meet as many others in one join key
+BITMAP = 16  # longs of a text's bitmap; it tells texts of up to some 1 500 shingles apart
 _ORDERS = np.random.default_rng(11).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -341,6 +342,12 @@ def alike(a: np.ndarray, b: np.ndarray, least: float, counted: bool) -> bool:
     return counted and p[i] @ q[j] >= least * np.sqrt((p @ p) * (q @ q))
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Per place whether an odd number of the different hashes ``own`` falls there, as ``BITMAP`` longs."""
+    odd = np.bincount((own >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def checked(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """Of ``pairs`` (a, b, counted) of texts of ``docs`` (one row per text) those that are alike by ``least``."""
 
@@ -389,24 +396,34 @@ def across(rows: DataFrame, fits: Callable[[str, str], Column]) -> DataFrame:
 def prefix_pairs(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
     """(a, b): pairs of texts ``rows`` (node, root) of different roots, among them all that share ``least`` of their shingles."""
 
+    longs = [f"b{k}" for k in range(BITMAP)]
+
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"v": pdf.tk, "hs": [np.unique(shingle_hashes(x, width)).view(np.int64) for x in pdf.text]})
-
-    some = with_key(docs).join(few(rows), F.col("tk") == F.col("node"), "left_semi").mapInPandas(shingles, "v bigint, hs array<bigint>")
-    tokens, remove = stored(some.dropDuplicates(["v"]).select("v", F.size("hs").cast("bigint").alias("n"), F.explode("hs").alias("token")))
+            own = [np.unique(shingle_hashes(x, width)) for x in pdf.text]
+            bits = np.array([bitmap(h) for h in own], dtype=np.int64).reshape(len(own), BITMAP)
+            yield pd.DataFrame({"v": pdf.tk.to_numpy(), "hs": [h.view(np.int64) for h in own], **dict(zip(longs, bits.T))})
+
+    schema = "v bigint, hs array<bigint>, " + ", ".join(f"{b} bigint" for b in longs)
+    some = with_key(docs).join(few(rows), F.col("tk") == F.col("node"), "left_semi").mapInPandas(shingles, schema)
+    lists, remove = stored(some.dropDuplicates(["v"]))
+    tokens = lists.select("v", F.size("hs").cast("bigint").alias("n"), F.explode("hs").alias("token"))
     shared = tokens.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("c")).where("c > 1")
     own = Window.partitionBy("v")  # the shingles of one text
     # those that no other row has come first
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "token")) - 1
     first = tokens.join(shared, F.col("token") == F.col("t")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9))
-    first = stable(first.join(rows, F.col("v") == F.col("node")).select(F.col("token").alias("key"), "node", "root", "n", "place"))
+    mapped = rows.join(lists.select(F.col("v").alias("bv"), *longs), F.col("node") == F.col("bv"))
+    first = stable(first.join(mapped, F.col("v") == F.col("node")).select(F.col("token").alias("key"), "node", "root", "n", "place", *longs))
     remove()
 
     def fits(x: str, y: str) -> Column:
         n, m, i, j = (F.col(f"{t}.{c}") for c in ("n", "place") for t in (x, y))
         # at the first shingle two texts share, no more than what follows can be shared
-        return F.least(n - i, m - j) * (1 + least) >= least * (n + m) - 1e-6
+        follows = F.least(n - i, m - j) * (1 + least) >= least * (n + m) - 1e-6
+        # texts differ in as many shingles as their bitmaps do in bits, or in more
+        bits = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in longs), F.lit(0))
+        return follows & (bits * (1 + least) <= (1 - least) * (n + m) + 1e-6)
 
     return across(first, fits)
 

@@ -237,3 +237,25 @@ def test_equal_fingerprints_are_compared_with_more_than_the_first(spark):
     like = [" ".join(words), " ".join([*words, "z"])]
     texts = [*unlike, *like]
     assert _roots(spark, texts, [[k] for k in range(6)], [9] * 6) == [0, 1, 2, 3, 4, 4]
+
+
+def test_a_family_of_texts_makes_few_pairs(spark):
+    """Texts a few words from one base, most of them not alike: pairs are formed of about those that are."""
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for i, at in enumerate(rng.sample(range(5, 145, 10), 3)):
+            words[at + rng.randrange(10)] = f"t{k}e{i}" if k % 5 else f"e{at}"
+        texts.append(" ".join(words))
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tk = {r.text: r.tk for r in docs.select("text", F.xxhash64("text").alias("tk")).collect()}
+    rows = spark.createDataFrame([(k, k) for k in tk.values()], "node long, root long")
+    got = {(r.a, r.b) for r in simhash.prefix_pairs(docs, rows, 5, 0.8).collect()}
+    sets = {tk[t]: set(simhash.shingle_hashes(t, 5).tolist()) for t in texts}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
+    assert alike and alike <= got
+    assert len(got - near) <= len(texts)  # of 11 000 pairs
