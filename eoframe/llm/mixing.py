@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eoframe.llm.common import NO_ID, packed, real_id, table
-from eoframe.session import stable
+from eoframe.session import stable, stable_row_each
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -69,7 +69,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 def balance(histogram: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = STEPS) -> DataFrame:
     """(no, lam, scale): the dual's solution per source; ``histogram`` has (no, size, n)."""
-    state = stable(
+    state = stable_row_each(
         targets.join(histogram.groupBy(F.col("no").alias("hn")).agg(F.max("size").cast("double").alias("scale")), F.col("no") == F.col("hn"))
         .select("no", "target", "scale", F.lit(0.0).alias("lam"), (F.col("scale") * -40).alias("low"), (F.col("scale") * 40).alias("high"), F.lit(False).alias("done"))
         .where("target > 0 AND target < 2 * source_size")
@@ -89,7 +89,7 @@ def balance(histogram: DataFrame, targets: DataFrame, cap: float = CAP, steps: i
         inside = (newton > low) & (newton < high)
         step = F.when(inside, newton).otherwise((low + high) / 2)
         ended = F.col("gn").isNull() | (F.abs(gap) <= 1e-9 * F.col("target"))
-        state = stable(
+        state = stable_row_each(
             state.join(sums, F.col("no") == F.col("gn"), "left").select(
                 "no", "target", "scale",
                 F.when(ended, F.col("lam")).otherwise(step).alias("lam"),
@@ -125,10 +125,10 @@ def copies_for(docs: DataFrame) -> DataFrame:
     a threshold of its own.
     """
     sizes = stable(docs.groupBy("source", "size").agg(F.sum("n").alias("n")))
-    targets = stable(source_targets(sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))))
+    targets = stable_row_each(source_targets(sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))))
     named = targets.withColumnRenamed("source", "ts").drop("source_size", "target")
     histogram = stable(sizes.join(named, F.col("source").eqNullSafe(F.col("ts"))).where("size > 0").select("no", "size", "n"))
-    duals = stable(
+    duals = stable_row_each(
         targets.join(balance(histogram, targets).withColumnRenamed("no", "dn"), F.col("no") == F.col("dn"), "left")
         .select(F.col("source").alias("ts"), "no", "source_size", "target", "lam", "scale")
     )
@@ -145,7 +145,7 @@ def copies_for(docs: DataFrame) -> DataFrame:
     rows = stable(rows)
     events = rows.where("size > 0").select("no", "s", "size", F.explode(F.array(1 - F.col("y"), 2 - F.col("y"))).alias("at"))
     # narrow [low, low + width) per source; taken: tokens of all events below low
-    cut = stable(targets.select(F.col("no").alias("cn"), F.col("target").alias("goal"), F.lit(-2.0).alias("low"), F.lit(4.0).alias("width"), F.lit(0).cast("bigint").alias("taken")))
+    cut = stable_row_each(targets.select(F.col("no").alias("cn"), F.col("target").alias("goal"), F.lit(-2.0).alias("low"), F.lit(4.0).alias("width"), F.lit(0).cast("bigint").alias("taken")))
     for _ in range(PASSES):
         bin_ = F.floor((F.col("at") - F.col("low")) / F.col("width") * BINS)
         inside = events.join(every_salt(cut), (F.col("no") == F.col("cn")) & (F.col("s") == F.col("cs"))).where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + F.col("width")))
@@ -154,7 +154,7 @@ def copies_for(docs: DataFrame) -> DataFrame:
         before = bins.withColumn("before", F.coalesce(F.sum("sum").over(upto), F.lit(0)))
         hit = before.join(cut.select(F.col("cn").alias("c2"), "goal", "taken"), F.col("cn") == F.col("c2")).where("taken + before < goal")
         last = hit.groupBy(F.col("cn").alias("hn")).agg(F.max(F.struct("bin", "before")).alias("h"))
-        cut = stable(
+        cut = stable_row_each(
             cut.join(last, F.col("cn") == F.col("hn"), "left").select(
                 "cn", "goal",
                 F.when(F.col("h").isNull(), F.col("low")).otherwise(F.col("low") + F.col("h.bin") * F.col("width") / BINS).alias("low"),
@@ -196,7 +196,7 @@ def closing_moves(classes: DataFrame, goals: DataFrame, rounds: int = ROUNDS) ->
     """
     state = stable(classes)
     taken = classes.groupBy(F.col("no").alias("tn")).agg(F.sum(F.col("n") * F.col("size") * F.col("copies")).alias("t"))
-    gaps = stable(goals.join(taken, F.col("no") == F.col("tn")).select("no", (F.col("goal") - F.col("t")).alias("gap")))
+    gaps = stable_row_each(goals.join(taken, F.col("no") == F.col("tn")).select("no", (F.col("goal") - F.col("t")).alias("gap")))
     done = state.where("false").select("no", "size", "copies", F.lit(0).alias("step"))
     for _ in range(rounds):
         moves = state.where("n > 0").select(
@@ -216,7 +216,7 @@ def closing_moves(classes: DataFrame, goals: DataFrame, rounds: int = ROUNDS) ->
         # two rows of one class need two rows there
         pair = pair.where("ask.size <> b.size OR ask.copies <> b.copies OR ask.n > 1")
         left = F.abs(F.col("gap") - F.col("ask.size") * F.col("ask.step") - F.col("b.size") * F.col("b.step"))
-        best = stable(pair.groupBy("no").agg(F.min(F.struct(left.alias("left"), F.least("ask", "b").alias("a"), F.greatest("ask", "b").alias("b"))).alias("p"), F.first("gap").alias("gap")).where("p.left < abs(gap)"))
+        best = stable_row_each(pair.groupBy("no").agg(F.min(F.struct(left.alias("left"), F.least("ask", "b").alias("a"), F.greatest("ask", "b").alias("b"))).alias("p"), F.first("gap").alias("gap")).where("p.left < abs(gap)"))
         steps = best.select("no", F.explode(F.array("p.a", "p.b")).alias("m")).where("m.step <> 0").select("no", "m.size", "m.copies", "m.step")
         if best.isEmpty():
             break

@@ -10,12 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from eoframe.functions.text import epoch_ms_date
-from eoframe.llm import common, simhash, toxicity
+from eoframe.llm import common, mixing, simhash, toxicity
 from eoframe.operators import grid as gr
 from eoframe.operators import ranks, seasonal
 from eoframe.plans import run_queries
 from eoframe.plans.catalogue import RUNS, SQL
 from eoframe.plans.views import TABLES
+from eoframe.session import stable
 from eoframe.sources.pixels import read_kml_corpus
 from eoframe.streaming import intake
 from oracle import SMALL, compare, connect
@@ -259,3 +260,25 @@ def test_a_family_of_texts_makes_few_pairs(spark):
     near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
     assert alike and alike <= got
     assert len(got - near) <= len(texts)  # of 11 000 pairs
+
+
+def test_shuffles_behind_a_checkpoint_are_freed(spark, monkeypatch):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    seen, before = [], spark.conf.get(key)
+    frame = type(spark.range(0))
+    kept = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **k: seen.append(spark.conf.get(key)) or kept(self, *a, **k))
+    d = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    assert stable(d).count() == 10
+    table, remove = common.stored(d)
+    assert table.count() == 10 and d.count() == 10 and len(d.collect()) == 10
+    remove()
+    assert seen == ["true"] and spark.conf.get(key) == before
+
+
+def test_rows_of_a_source_are_kept_in_one_file(spark):
+    """Every round of the dual and of the threshold would else write a file for each shuffle partition."""
+    histogram = spark.createDataFrame([(k, s, n) for k in range(30) for s, n in ((1, 50), (10, 20), (500, 3))], "no int, size long, n long")
+    targets = spark.createDataFrame([(k, "s", 1750, 700.0) for k in range(30)], "no int, source string, source_size long, target double")
+    got = mixing.balance(histogram, targets)
+    assert got.rdd.getNumPartitions() == 1 and got.count() == 30
