@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eoframe import dims
 from eoframe.functions import indices as ix
 from eoframe.functions import radiometry as rad
+from eoframe.session import compiled_apart
 
 SPECTRAL = ("blue", "green", "red", "rededge1", "rededge3", "nir", "nir08", "swir16", "swir22")
 
@@ -52,7 +53,7 @@ def index_columns(pixels: DataFrame, names: Sequence[str], prefix: str = "raw_")
         # a column of its own, so that the pattern is matched once per row
         refl = refl.withColumn("_group", group).withColumn("_group_no", ix.group_number(F.col("_group")))
     values = {f"{prefix}{n}": ix.index_value(n, band, group_no) for n in names}
-    return refl.withColumns(values).drop("_group", "_group_no")
+    return compiled_apart(refl).withColumns(values).drop("_group", "_group_no")
 
 
 def compute_indices(
@@ -63,17 +64,29 @@ def compute_indices(
     ``raw`` is the finite formula value, ``value`` is NULL when outside the
     physical range or masked.  Red-edge indices give no rows for Landsat.
     The whole operator is one narrow stage, and only the bands of the wanted
-    indices are read.  Rows are spread by ``unpivot``, which builds no arrays.
+    indices are read.  Range and mask are applied before the rows are spread,
+    where an index is a column: no row compares its index with names.
     """
     has_quality = "scl" in pixels.columns and "qa_pixel" in pixels.columns
     masked = rad.invalid_pixel(F.col("family"), F.col("scl"), F.col("qa_pixel"))
-    wide = index_columns(pixels.withColumn("_bad", masked if has_quality else F.lit(False)), names)
-    long = wide.select(*keep, "family", "_bad", *[F.col(f"raw_{n}").alias(n) for n in names]).unpivot(
-        [*keep, "family", "_bad"], list(names), "index", "raw"
+    flagged = pixels.withColumn("_bad", masked if has_quality else F.lit(False))
+    wide = index_columns(compiled_apart(flagged), names)
+    valued = wide.select(
+        *keep,
+        (F.col("family") != "ls").alias("_red_edge"),
+        F.lit(True).alias("_always"),
+        *[f"raw_{n}" for n in names],
+        *[F.when(~F.col("_bad"), rad.clamp_physical(n, F.col(f"raw_{n}"))).alias(f"value_{n}") for n in names],
     )
-    red_edge = F.col("index").isin(*dims.S2_ONLY) & (F.col("family") == "ls")
-    value = F.when(~F.col("_bad") & within_range(F.col("index"), F.col("raw")), F.col("raw"))
-    return long.where(~red_edge).select(*keep, "index", "raw", value.alias("value"))
+    triples = ", ".join(
+        f"(raw_{n}, value_{n}, {'_red_edge' if n in dims.S2_ONLY else '_always'}) AS `{n}`" for n in names
+    )
+    # the method for columns has no place for two values a row, the statement has
+    long = pixels.sparkSession.sql(
+        f"SELECT * FROM {{wide}} UNPIVOT INCLUDE NULLS ((raw, value, _here) FOR index IN ({triples}))",
+        wide=compiled_apart(valued),
+    )
+    return long.where("_here").select(*keep, "index", "raw", "value")
 
 
 def within_range(index: Column, raw: Column) -> Column:
