@@ -41,11 +41,9 @@ def rvi_dual_pol(vh: Column, vv: Column) -> Column:
 def tc_group(platform: Column, family: Column) -> Column:
     """Coefficient group of a satellite; an unknown Landsat has none."""
     digit = F.regexp_extract(F.lower(F.coalesce(platform, F.lit(""))), r"landsat[-_ ]?(\d)", 1)
-    landsat = (
-        F.when(digit.isin("4", "5"), F.lit("TM"))
-        .when(digit == "7", F.lit("ETM"))
-        .when(digit.isin("8", "9"), F.lit("OLI"))
-    )
+    # looked up, not compared set by set: the pattern is matched once
+    sets = {"4": "TM", "5": "TM", "7": "ETM", "8": "OLI", "9": "OLI"}
+    landsat = F.try_element_at(F.create_map(*[F.lit(x) for pair in sets.items() for x in pair]), digit)
     return F.when(family == "ls", landsat).otherwise(F.lit("MSI"))
 
 
